@@ -6,10 +6,10 @@ the other to what the earlier ones leave (k-means on a bounded sample), and a
 vector is encoded by beam search: the best partial sums are kept at every
 codebook, not just the one that looks best. The norm of the sum is stored with
 the codes. A query makes one table of its products with all codewords; a
-candidate's score is the sum of its codes' entries over its stored norm. Blocks
-of queries meet blocks of rows by an equi-join on the block of queries, every
-block of rows gives each query's best ``rerank``, and the best of those over all
-blocks are scored exactly on the original vectors.
+candidate's score is the sum of its codes' entries over its stored norm. Each
+block of queries meets all rows in SLICES tasks, every task keeps each query's
+best ``rerank`` as the packed rows pass, and the best of those over all slices
+are scored exactly on the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those of another length than most; repeated
@@ -28,14 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialize
-
 #: Codebooks, codewords in each, partial sums kept while encoding.
 BOOKS, WORDS, BEAM = 8, 256, 8
 #: Vectors that the codebooks are fitted to, at most, and rounds of k-means.
 SAMPLE, ROUNDS = 8192, 8
 #: Rows and queries to a block, and candidates of a query that are scored exactly.
-ROW_BLOCK, QUERY_BLOCK, RERANK = 4096, 2048, 100
+ROW_BLOCK, QUERY_BLOCK, RERANK = 2048, 2048, 100
+#: Slices of the rows that a block of queries meets, each in one task. Their
+#: number is fixed, so the candidates grow with the queries, not with queries x rows.
+SLICES = 12
 
 
 @dataclass
@@ -105,6 +106,12 @@ def best_of(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([above, level[: most - len(above)]])
 
 
+def best_pairs(found: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    top = np.lexsort((ids, -s))[:most]
+    return ids[top], s[top]
+
+
 def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest other rows of each query row."""
     spark = vectors.sparkSession
@@ -132,33 +139,54 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
             if part.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([unit(part.column(1), dim).tobytes()])], names=["block", "q_ids", "q_x"])
 
-    index = materialize(good.select("vec_id", "v").mapInArrow(encode, "ids binary, codes binary, norms binary"), "ann-index")
+    index = good.select("vec_id", "v").mapInArrow(encode, "ids binary, codes binary, norms binary")
     asked = good.where("q").select("vec_id", "v")
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    blocks = materialize(asked.repartition(n_blocks).mapInArrow(pack, "block int, q_ids binary, q_x binary"), "ann-queries")
+    blocks = asked.repartition(n_blocks).mapInArrow(pack, "block int, q_ids binary, q_x binary")
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = books.value.words
+        at, q_ids, tables, held = None, [], None, {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for q, found in held.items():
+                ids, s = best_pairs(found, rerank)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(s)], names=["query_id", "vec_id", "approx"])
+
         for part in parts:
             for r in part.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
+                if (r["block"], r["slice"]) != at:
+                    yield from flush()
+                    at, q_ids, tables, held = (r["block"], r["slice"]), [], [], {}
+                if r["q_ids"] is not None:  # a slice's queries come first
+                    more = np.frombuffer(r["q_ids"], "<i8")
+                    q_ids += more.tolist()
+                    tables += list(np.einsum("qd,bwd->qbw", np.frombuffer(r["q_x"], np.float32).reshape(len(more), dim), words, optimize=True))
+                    continue
+                ids = np.frombuffer(r["ids"], "<i8")
+                codes = np.ascontiguousarray(np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1).T)
                 norms = np.maximum(np.frombuffer(r["norms"], "<f4"), 1e-6)
-                tables = np.einsum("qd,bwd->qbw", np.frombuffer(r["q_x"], np.float32).reshape(len(q_ids), dim), words, optimize=True)
-                for i, q in enumerate(q_ids):
-                    s = np.zeros(len(ids), np.float32)
-                    for b in range(codes.shape[1]):
-                        s += tables[i, b][codes[:, b]]
-                    s /= norms
+                for q, table in zip(q_ids, tables, strict=True):
+                    s = table[0][codes[0]]
+                    for b in range(1, len(codes)):
+                        s = s + table[b][codes[b]]
+                    s = s / norms
                     s[ids == q] = -np.inf
-                    at = best_of(s, ids, rerank)
-                    at = at[np.isfinite(s[at])]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(ids[at]), pa.array(s[at])], names=["query_id", "vec_id", "approx"])
-
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
-    pairs = index.select("ids", "codes", "norms", every).join(blocks, "block").repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, 4096)))
-    near = pairs.select("ids", "codes", "norms", "q_ids", "q_x").mapInArrow(score, "query_id long, vec_id long, approx float")
+                    top = best_of(s, ids, rerank)
+                    top = top[np.isfinite(s[top])]
+                    found = held.setdefault(q, [])
+                    found.append((ids[top], s[top]))
+                    if len(found) > 8:
+                        held[q] = [best_pairs(found, rerank)]
+        yield from flush()
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None).cast("binary")
+    rows = index.select(every(n_blocks).alias("block"), F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int").alias("slice"), "ids", "codes", "norms", none.alias("q_ids"), none.alias("q_x"))
+    queries = blocks.select("block", every(SLICES).alias("slice"), none.alias("ids"), none.alias("codes"), none.alias("norms"), "q_ids", "q_x")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = queries.unionByName(rows).repartition(max(tasks, min(n_blocks * SLICES, 20 * tasks)), "block", "slice").sortWithinPartitions("block", "slice", F.col("q_ids").isNull())
+    near = met.mapInArrow(score, "query_id long, vec_id long, approx float")
     by_approx = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
     near = near.withColumn("at", F.row_number().over(by_approx)).where(F.col("at") <= rerank).select("query_id", "vec_id")
     own = good.select("vec_id", "v")
