@@ -29,9 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Codebooks, codewords in each, partial sums kept while encoding.
-BOOKS, WORDS, BEAM = 8, 256, 8
+BOOKS, WORDS, BEAM = 32, 256, 4
 #: Vectors that the codebooks are fitted to, at most, and rounds of k-means.
-SAMPLE, ROUNDS = 8192, 8
+SAMPLE, ROUNDS = 8192, 6
 #: Rows and queries to a block, and candidates of a query that are scored exactly.
 ROW_BLOCK, QUERY_BLOCK, RERANK = 2048, 2048, 100
 #: Slices of the rows that a block of queries meets, each in one task. Their
