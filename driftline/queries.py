@@ -1,9 +1,313 @@
-"""Registered queries of the trajectory operators."""
+"""Registered queries: each operator on the trajectory view of lineitem, with its SQL.
 
+Doubles are rounded to six places on both sides, so that the order of sums
+does not tell.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftline.model import Trajectory, from_lineitem
+from driftline.operators import angles, correlation, distances, fluctuation, grids, linear, membrane, radial, shape, transforms
+
+POINTS = """p AS (
+  SELECT l_orderkey % 50 AS frame, l_partkey % 40 AS atom,
+         CAST(SUM(l_orderkey*7919 + l_partkey*104729 + l_linenumber*1299709) % 50000 AS DOUBLE) / 1000 AS x,
+         CAST(SUM(l_orderkey*15485863 + l_partkey*7919 + l_linenumber*104729) % 50000 AS DOUBLE) / 1000 AS y,
+         CAST(SUM(l_orderkey*104729 + l_partkey*1299709 + l_linenumber*7919) % 50000 AS DOUBLE) / 1000 AS z
+  FROM lineitem GROUP BY 1, 2),
+t AS (
+  SELECT *, CAST(1 + atom % 16 AS DOUBLE) AS mass, atom // 4 AS resid, CASE WHEN atom < 20 THEN 'A' ELSE 'B' END AS chain,
+         ['N', 'CA', 'C', 'O'][(atom % 4 + 1)::INT] AS name, ['ALA', 'GLY', 'SOL', 'NA'][((atom // 4) % 4 + 1)::INT] AS resname,
+         CASE WHEN atom % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS charge
+  FROM p),
+fr AS (SELECT range AS frame FROM range(50))"""
+
+REGISTRY: dict[str, Query] = {}
+
+
+@dataclass
+class Query:
+    build: Callable[[Trajectory], DataFrame]
+    sql: str | None
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = self.build(from_lineitem(spark, sf_dir))
+        return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def add(name: str, build: Callable[[Trajectory], DataFrame], keys: str = "", values: str = "", body: str | None = None, ctes: str = "") -> None:
+    sql = None
+    if body is not None:
+        out = ", ".join([*keys.split(), *[f"round({v}, 6) + 0.0::DOUBLE AS {v}" for v in values.split()]])
+        sql = f"WITH {POINTS}{', ' + ctes if ctes else ''} SELECT {out} FROM ({body})"
+    REGISTRY[name] = Query(build, sql)
+
+
+def _mi(d: str, length: str = "50.0::DOUBLE") -> str:
+    return f"(({d}) - round(({d}) / {length}) * {length})"
+
+
+def _norm(x: str, y: str, z: str) -> str:
+    return f"sqrt(({x})*({x}) + ({y})*({y}) + ({z})*({z}))"
+
+
+def _d(a: str, b: str, pbc: bool = False) -> str:
+    """Distance of two aliases with x, y, z."""
+    parts = [f"{b}.{c} - {a}.{c}" for c in "xyz"]
+    return _norm(*[_mi(x) if pbc else x for x in parts])
+
+
+def _pairs(where_a: str, where_b: str, pbc: bool = False, rule: str = "a.atom <> b.atom", more: str = "") -> str:
+    """CTE body: frame, a, b, dist."""
+    return f"SELECT a.frame, a.atom AS a, b.atom AS b, {_d('a', 'b', pbc)} AS dist{more} FROM t a JOIN t b ON a.frame = b.frame WHERE ({where_a}) AND ({where_b}) AND {rule}"
+
+
+def _centers(**where: str) -> str:
+    parts = [f"sum(CASE WHEN {w} THEN {c} END) / sum(CASE WHEN {w} THEN 1.0::DOUBLE END) AS \"{s}{c}\"" for s, w in where.items() for c in "xyz"]
+    return f"SELECT frame, {', '.join(parts)} FROM t GROUP BY frame"
+
+
+def _cdist(a: str, b: str, pbc: bool = False) -> str:
+    parts = [f'"{b}{c}" - "{a}{c}"' for c in "xyz"]
+    return _norm(*[_mi(x) if pbc else x for x in parts])
+
+
+CENTERED = "c AS (SELECT frame, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM t GROUP BY frame), q AS (SELECT t.frame, atom, chain, x-cx AS x, y-cy AS y, z-cz AS z FROM t JOIN c USING (frame))"
+TENSOR = "avg(x*x) AS xx, avg(y*y) AS yy, avg(z*z) AS zz, avg(x*y) AS xy, avg(x*z) AS xz, avg(y*z) AS yz"
+EIGEN = """e1 AS (SELECT *, (xx+yy+zz)/3 AS m FROM g),
+e2 AS (SELECT *, sqrt(((xx-m)*(xx-m)+(yy-m)*(yy-m)+(zz-m)*(zz-m)+2*(xy*xy+xz*xz+yz*yz))/6) AS pp FROM e1),
+e3 AS (SELECT *, (((xx-m)/pp)*(((yy-m)/pp)*((zz-m)/pp)-(yz/pp)*(yz/pp)) - (xy/pp)*((xy/pp)*((zz-m)/pp)-(yz/pp)*(xz/pp)) + (xz/pp)*((xy/pp)*(yz/pp)-((yy-m)/pp)*(xz/pp)))/2 AS h FROM e2),
+e4 AS (SELECT *, m + 2*pp*cos(acos(greatest(-1, least(1, h)))/3) AS l3, m + 2*pp*cos(acos(greatest(-1, least(1, h)))/3 + 2*pi()/3) AS l1 FROM e3),
+e AS (SELECT *, 3*m - l1 - l3 AS l2 FROM e4)"""
+
+# Size and shape
+add("radius_of_gyration", lambda t: shape.rg(t), "frame", "rg", "SELECT frame, sqrt(avg(x*x+y*y+z*z)) AS rg FROM q GROUP BY frame", CENTERED)
+add("rg_mass_weighted", lambda t: shape.rg(t, "chain A", True), "frame", "rg", "SELECT t.frame, sqrt(sum(mass*((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz)))/sum(mass)) AS rg FROM t JOIN (SELECT frame, sum(mass*x)/sum(mass) AS cx, sum(mass*y)/sum(mass) AS cy, sum(mass*z)/sum(mass) AS cz FROM t WHERE chain='A' GROUP BY frame) USING (frame) WHERE chain='A' GROUP BY t.frame")
+add("radgyr_tensor", lambda t: shape.radgyr_tensor(t), "frame", "rg xx yy zz xy xz yz", f"SELECT frame, sqrt(avg(x*x+y*y+z*z)) AS rg, {TENSOR} FROM q GROUP BY frame", CENTERED)
+add("radgyr", lambda t: shape.radgyr(t), "frame", "rg r_max rg_x rg_y rg_z", "SELECT frame, sqrt(avg(x*x+y*y+z*z)) AS rg, max(sqrt(x*x+y*y+z*z)) AS r_max, sqrt(avg(y*y)+avg(z*z)) AS rg_x, sqrt(avg(x*x)+avg(z*z)) AS rg_y, sqrt(avg(x*x)+avg(y*y)) AS rg_z FROM q GROUP BY frame", CENTERED)
+add("shape_descriptors", lambda t: shape.shape_descriptors(t), "frame", "rg l1 l2 l3 asphericity acylindricity anisotropy", "SELECT frame, rg, l1, l2, l3, l3 - 0.5*(l1+l2) AS asphericity, l2 - l1 AS acylindricity, 1.5*(l1*l1+l2*l2+l3*l3)/((l1+l2+l3)*(l1+l2+l3)) - 0.5 AS anisotropy FROM e", f"{CENTERED}, g AS (SELECT frame, sqrt(avg(x*x+y*y+z*z)) AS rg, {TENSOR} FROM q GROUP BY frame), {EIGEN}")
+add("center_of_mass", lambda t: shape.center_of_mass(t, "name CA"), "frame", "x y z", "SELECT frame, sum(mass*x)/sum(mass) AS x, sum(mass*y)/sum(mass) AS y, sum(mass*z)/sum(mass) AS z FROM t WHERE name='CA' GROUP BY frame")
+add("center_of_geometry", lambda t: shape.center_of_geometry(t, "resid 2-5"), "frame", "x y z", "SELECT frame, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM t WHERE resid BETWEEN 2 AND 5 GROUP BY frame")
+add("check_structure", lambda t: shape.check_structure(t), "frame n_bad", "", "SELECT frame, sum(CASE WHEN isnan(x) OR isnan(y) OR isnan(z) OR isinf(x) OR isinf(y) OR isinf(z) THEN 1 ELSE 0 END)::BIGINT AS n_bad FROM t GROUP BY frame")
+
+# The selection language
+for k, (expression, where) in enumerate(
+    [
+        ("protein and not name CA", "resname IN ('ALA','GLY') AND name <> 'CA'"),
+        ("backbone or resname NA", "(resname IN ('ALA','GLY') AND name IN ('N','CA','C','O')) OR resname = 'NA'"),
+        ("(chain B and resid 5 7:8) or sidechain", "chain = 'B' AND (resid = 5 OR resid BETWEEN 7 AND 8)"),
+    ]
+):
+    add(f"selection_{k}", lambda t, e=expression: transforms.strip(t, e).groupBy("atom").agg(F.count("*").alias("n")), "atom n", "", f"SELECT atom, count(*) AS n FROM t WHERE {where} GROUP BY atom")
+
+# Distances
+add("distance_to_point", lambda t: distances.distance_to_point(t, "name CA", (10, 20, 30), True), "frame atom", "dist", f"SELECT frame, atom, {_norm(_mi('x-10'), _mi('y-20'), _mi('z-30'))} AS dist FROM t WHERE name='CA'")
+add("distance_to_reference", lambda t: distances.distance_to_reference(t, "chain A", 0), "frame atom", "dist", f"SELECT a.frame, a.atom, {_d('b', 'a')} AS dist FROM t a JOIN t b ON a.atom=b.atom AND b.frame=0 WHERE a.chain='A'")
+AB = "c AS (" + _centers(a="chain='A'", b="chain='B'") + ")"
+add("distance", lambda t: distances.distance(t, "chain A", "chain B", pbc=True), "frame", "dist", f"SELECT frame, {_cdist('a', 'b', True)} AS dist FROM c", AB)
+add("distance_vector", lambda t: distances.distance_vector(t, "chain A", "chain B"), "frame", "dx dy dz", 'SELECT frame, bx-ax AS dx, "by"-ay AS dy, bz-az AS dz FROM c', AB)
+add("multi_distance", lambda t: distances.multi_distance(t, [("chain A", "chain B"), ("name CA", "name O")]), "frame", "dist_0 dist_1", f"SELECT frame, {_cdist('a', 'b')} AS dist_0, {_cdist('u', 'v')} AS dist_1 FROM c", "c AS (" + _centers(a="chain='A'", b="chain='B'", u="name='CA'", v="name='O'") + ")")
+add("multi_vector", lambda t: distances.multi_vector(t, [("chain A", "chain B")], ["name CA"]), "frame", "v0_x v0_y v0_z c0_x c0_y c0_z", 'SELECT frame, bx-ax AS v0_x, "by"-ay AS v0_y, bz-az AS v0_z, ux AS c0_x, uy AS c0_y, uz AS c0_z FROM c', "c AS (" + _centers(a="chain='A'", b="chain='B'", u="name='CA'") + ")")
+add("vector", lambda t: distances.distance_vector(t, "name CA", "name O", pbc=True), "frame", "dx dy dz", f"SELECT frame, {_mi('vx-ux')} AS dx, {_mi('vy-uy')} AS dy, {_mi('vz-uz')} AS dz FROM c", "c AS (" + _centers(u="name='CA'", v="name='O'") + ")")
+add("distance_center_to_point", lambda t: distances.distance_center_to_point(t, "chain A", (10, 20, 30)), "frame", "dist", f"SELECT frame, {_norm('ax-10', 'ay-20', 'az-30')} AS dist FROM c", AB)
+add("distance_center_to_reference", lambda t: distances.distance_center_to_reference(t, "chain A", 0), "frame", "dist", f"SELECT c.frame, {_norm('c.ax-r.ax', 'c.ay-r.ay', 'c.az-r.az')} AS dist FROM c, c r WHERE r.frame=0", AB)
+add("lowestcurve", lambda t: distances.lowestcurve(t, "chain A", "chain B"), "", "lowest", f"SELECT min({_cdist('a', 'b')}) AS lowest FROM c", AB)
+add("pairwise_distance", lambda t: distances.pairwise_distance(t, "name CA", "name O", True), "frame a b", "dist", _pairs("a.name='CA'", "b.name='O'", True, "true"))
+add("pair_list_distance", lambda t: distances.pair_list_distance(t, [(0, 5), (7, 31)], True), "frame pair", "dist", f"SELECT a.frame, CASE WHEN a.atom=0 THEN 0 ELSE 1 END AS pair, {_d('a', 'b', True)} AS dist FROM t a JOIN t b ON a.frame=b.frame AND ((a.atom=0 AND b.atom=5) OR (a.atom=7 AND b.atom=31))")
+add("drid", lambda t: distances.drid(t, "name CA"), "frame atom", "m1 m2 m3", "SELECT frame, a AS atom, m1, sqrt(v) AS m2, sign(s)*pow(abs(s), 1.0/3) AS m3 FROM (SELECT frame, a, any_value(m1) AS m1, avg((1/dist-m1)*(1/dist-m1)) AS v, avg((1/dist-m1)*(1/dist-m1)*(1/dist-m1)) AS s FROM pr JOIN (SELECT frame, a, avg(1/dist) AS m1 FROM pr GROUP BY frame, a) USING (frame, a) GROUP BY frame, a)", "pr AS (" + _pairs("a.name='CA'", "b.name='CA'") + ")")
+add("mindist", lambda t: distances.mindist(t, "name CA", "name O", True), "frame", "dist", "SELECT frame, coalesce(d, 0) AS dist FROM fr LEFT JOIN (SELECT frame, min(dist) AS d FROM pr GROUP BY frame) USING (frame)", "pr AS (" + _pairs("a.name='CA'", "b.name='O'", True, "true") + ")")
+add("pairdist_extrema_min", lambda t: distances.pairdist_extrema(t, "name CA", "name CA", pbc=True, cutoff=12.0, empty=-1.0), "frame", "dist", "SELECT frame, coalesce(d, -1) AS dist FROM fr LEFT JOIN (SELECT frame, min(dist) AS d FROM pr WHERE dist <= 12 GROUP BY frame) USING (frame)", "pr AS (" + _pairs("a.name='CA'", "b.name='CA'", True) + ")")
+add("pairdist_extrema_max", lambda t: distances.pairdist_extrema(t, "name CA", "name CA", largest=True), "frame", "dist", "SELECT frame, max(dist) AS dist FROM pr GROUP BY frame", "pr AS (" + _pairs("a.name='CA'", "b.name='CA'") + ")")
+add("hausdorff", lambda t: distances.hausdorff(t, "name CA", "name O", True), "frame", "dist", "SELECT frame, greatest((SELECT max(m) FROM (SELECT min(dist) AS m FROM pr WHERE pr.frame=fr.frame GROUP BY a)), (SELECT max(m) FROM (SELECT min(dist) AS m FROM pr WHERE pr.frame=fr.frame GROUP BY b))) AS dist FROM fr", "pr AS (" + _pairs("a.name='CA'", "b.name='O'", True, "true") + ")")
+add("closest_atom", lambda t: distances.closest_atom(t, "name CA", (10, 20, 30)), "frame atom", "", f"SELECT frame, atom FROM (SELECT frame, atom, row_number() OVER (PARTITION BY frame ORDER BY {_norm('x-10', 'y-20', 'z-30')}, atom) AS k FROM t WHERE name='CA') WHERE k=1")
+NEAR = "pr AS (" + _pairs("a.resname='NA'", "b.resname='SOL'", True, "true") + ")"
+add("search_neighbors", lambda t: distances.search_neighbors(t, "resname NA", "resname SOL", 9.0, True), "frame n", "", "SELECT frame, coalesce(n, 0) AS n FROM fr LEFT JOIN (SELECT frame, count(DISTINCT b) AS n FROM pr WHERE dist <= 9 GROUP BY frame) USING (frame)", NEAR)
+add("search_neighbor_list", lambda t: distances.search_neighbor_list(t, "resname NA", "resname SOL", 9.0, True), "frame atoms n", "", "SELECT frame, string_agg(b::VARCHAR, ' ' ORDER BY b) AS atoms, count(*) AS n FROM (SELECT DISTINCT frame, b FROM pr WHERE dist <= 9) GROUP BY frame", NEAR)
+add("watershell", lambda t: distances.watershell(t, "resname NA", "resname SOL", 6.0, 12.0, True), "frame n_lower n_upper", "", "SELECT frame, coalesce(l, 0) AS n_lower, coalesce(u, 0) AS n_upper FROM fr LEFT JOIN (SELECT frame, count(DISTINCT CASE WHEN dist <= 6 THEN b END) AS l, count(DISTINCT CASE WHEN dist <= 12 THEN b END) AS u FROM pr GROUP BY frame) USING (frame)", NEAR)
+add("closest", lambda t: distances.closest(t, "resname NA", "resname SOL", 3, True), "frame rank atom", "dist", "SELECT frame, rank, b AS atom, dist FROM (SELECT frame, b, dist, row_number() OVER (PARTITION BY frame ORDER BY dist, b) AS rank FROM (SELECT frame, b, min(dist) AS dist FROM pr GROUP BY frame, b)) WHERE rank <= 3", NEAR)
+add("closest_coords", lambda t: distances.closest_coords(t, "resname NA", "resname SOL", 2, True), "frame atom", "x y z", "SELECT t.frame, t.atom, x, y, z FROM t WHERE resname='NA' OR (t.frame, t.atom) IN (SELECT (frame, b) FROM (SELECT frame, b, row_number() OVER (PARTITION BY frame ORDER BY dist, b) AS rank FROM (SELECT frame, b, min(dist) AS dist FROM pr GROUP BY frame, b)) WHERE rank <= 2)", NEAR)
+add("native_contacts", lambda t: distances.native_contacts(t, "chain A", "chain B", 15.0, reference=0), "frame", "fraction", "SELECT frame, coalesce(n, 0)::DOUBLE / (SELECT count(*) FROM ref) AS fraction FROM fr LEFT JOIN (SELECT frame, count(*) AS n FROM pr JOIN ref USING (a, b) WHERE dist <= 15 GROUP BY frame) USING (frame)", "pr AS (" + _pairs("a.chain='A'", "b.chain='B'") + "), ref AS (SELECT a, b FROM pr WHERE frame=0 AND dist <= 15)")
+add("atom_map", lambda t: distances.atom_map(t, "name CA", "name O"), "frame atom nearest", "", "SELECT frame, a AS atom, arg_min(b, (dist, b)) AS nearest FROM pr GROUP BY frame, a", "pr AS (" + _pairs("a.name='CA'", "b.name='O'", False, "true") + ")")
+add("hbond", lambda t: distances.hbond(t, "name N", "name O", 8.0), "frame n", "", "SELECT frame, coalesce(n, 0) AS n FROM fr LEFT JOIN (SELECT frame, count(*) AS n FROM pr WHERE dist <= 8 GROUP BY frame) USING (frame)", "pr AS (" + _pairs("a.name='N'", "b.name='O'") + ")")
+add("mdmat", lambda t: distances.mdmat(t, "chain A", True, 20.0), "a_resid b_resid", "dist", "SELECT a_resid, b_resid, avg(least(m, 20.0)) AS dist FROM (SELECT frame, a_resid, b_resid, min(dist) AS m FROM pr GROUP BY ALL) GROUP BY ALL", "pr AS (" + _pairs("a.chain='A'", "b.chain='A'", True, "a.resid <> b.resid", ", a.resid AS a_resid, b.resid AS b_resid") + ")")
+add("matrix_distance", lambda t: distances.matrix_distance(t, "name CA"), "a b", "dist", "SELECT a, b, avg(dist) AS dist FROM pr GROUP BY a, b", "pr AS (" + _pairs("a.name='CA'", "b.name='CA'") + ")")
+add("saltbr", lambda t: distances.saltbr(t, None, 15.0), "a_resid b_resid kind n_contact", "dist", f"SELECT a.resid AS a_resid, b.resid AS b_resid, '+-' AS kind, sum(CASE WHEN {_d('a', 'b')} <= 15 THEN 1 ELSE 0 END)::BIGINT AS n_contact, avg({_d('a', 'b')}) AS dist FROM g a JOIN g b ON a.frame=b.frame AND a.resid < b.resid GROUP BY a.resid, b.resid", "g AS (SELECT frame, resid, sum(x)/count(*) AS x, sum(y)/count(*) AS y, sum(z)/count(*) AS z FROM t GROUP BY frame, resid)")
+
+# Angles
+ANG = "c AS (" + _centers(a="chain='A'", b="name='O'", e="chain='B'") + ")"
+_angle = lambda: "degrees(acos(greatest(-1, least(1, ((ax-bx)*(ex-bx)+(ay-\"by\")*(ey-\"by\")+(az-bz)*(ez-bz)) / (" + _norm("ax-bx", 'ay-"by"', "az-bz") + "*" + _norm("ex-bx", 'ey-"by"', "ez-bz") + ")))))"
+add("angle", lambda t: angles.angle(t, "chain A", "name O", "chain B"), "frame", "angle", f"SELECT frame, {_angle()} AS angle FROM c", ANG)
+add("multi_angle", lambda t: angles.multi_angle(t, [("chain A", "name O", "chain B")]), "frame", "angle_0", f"SELECT frame, {_angle()} AS angle_0 FROM c", ANG)
+
+
+def _dihedral_sql(a: str, b: str, c: str, d: str, back: bool = False) -> str:
+    """From four prefixes of coordinate columns (a prefix may end in a dot)."""
+    q = lambda p, k: f'{p}"{k}"' if p.endswith(".") else f'"{p}{k}"'
+    v = [[f"({q(n, k)}-{q(m, k)})" for k in "xyz"] for m, n in ((a, b), (b, c), (c, d))]
+    if back:
+        v[0] = [f"(-{k})" for k in v[0]]
+    cr = lambda u, w: [f"({u[1]}*{w[2]}-{u[2]}*{w[1]})", f"({u[2]}*{w[0]}-{u[0]}*{w[2]})", f"({u[0]}*{w[1]}-{u[1]}*{w[0]})"]
+    do = lambda u, w: f"({u[0]}*{w[0]}+{u[1]}*{w[1]}+{u[2]}*{w[2]})"
+    n1, n2 = cr(v[0], v[1]), cr(v[1], v[2])
+    return f"degrees(atan2({_norm(*v[1])}*{do(v[0], n2)}, {do(n1, n2)}))"
+
+
+QUAD = "c AS (" + _centers(a="resid=0", b="resid=3", g="resid=6", h="resid=9") + ")"
+R4 = ("resid 0", "resid 3", "resid 6", "resid 9")
+DI = _dihedral_sql("a", "b", "g", "h")
+add("dihedral", lambda t: angles.dihedral(t, *R4), "frame", "dihedral", f"SELECT frame, {DI} AS dihedral FROM c", QUAD)
+add("multidihedral", lambda t: angles.multidihedral(t, [R4], range360=True), "frame", "dihedral_0", f"SELECT frame, CASE WHEN {DI} < 0 THEN {DI} + 360 ELSE {DI} END AS dihedral_0 FROM c", QUAD)
+add("permute_dihedrals", lambda t: angles.multidihedral(t, [R4, R4[::-1]]), "frame", "dihedral_0 dihedral_1", f"SELECT frame, {DI} AS dihedral_0, {_dihedral_sql('h', 'g', 'b', 'a')} AS dihedral_1 FROM c", QUAD)
+add("dihedral_rms", lambda t: angles.dihedral_rms(t, [R4], 0), "frame", "rms", f"SELECT frame, abs({_mi('d - r', '360.0::DOUBLE')}) AS rms FROM (SELECT frame, {DI} AS d, (SELECT {DI} FROM c WHERE frame=0) AS r FROM c)", QUAD)
+add("check_chirality", lambda t: angles.check_chirality(t, [R4]), "frame", "volume_0", 'SELECT frame, ((("by"-ay)*(gz-az)-(bz-az)*(gy-ay))*(hx-ax) + ((bz-az)*(gx-ax)-(bx-ax)*(gz-az))*(hy-ay) + ((bx-ax)*(gy-ay)-("by"-ay)*(gx-ax))*(hz-az)) AS volume_0 FROM c', QUAD)
+RES = "r AS (SELECT frame, chain, resid, " + ", ".join(f"max(CASE WHEN name='{n}' THEN {k} END) AS {n.lower()}_{k}" for n in ("N", "CA", "C") for k in "xyz") + " FROM t GROUP BY frame, chain, resid), w AS (SELECT *, " + ", ".join(f"lag(c_{k}) OVER v AS p_{k}, lead(n_{k}) OVER v AS q_{k}" for k in "xyz") + " FROM r WINDOW v AS (PARTITION BY frame, chain ORDER BY resid))"
+add("rama", lambda t: angles.rama(t), "frame chain resid", "phi psi", f"SELECT frame, chain, resid, {_dihedral_sql('p_', 'n_', 'ca_', 'c_', True)} AS phi, {_dihedral_sql('n_', 'ca_', 'c_', 'q_', True)} AS psi FROM w", RES)
+QUADS = "n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY atom) - 1 AS pos FROM t), u AS (SELECT frame, pos // 4 AS quad, count(*) AS n, " + ", ".join(f"max(CASE WHEN pos%4={i} THEN {k} END) AS p{i}{k}" for i in range(4) for k in "xyz") + f" FROM n GROUP BY 1, 2), th AS (SELECT frame, quad, {_dihedral_sql('p0', 'p1', 'p2', 'p3')} AS th FROM u WHERE n=4), st AS (SELECT frame, quad, CASE WHEN abs(th)>150 THEN 'trans' WHEN abs(th)<30 THEN 'cis' WHEN th>0 THEN 'g_plus' ELSE 'g_minus' END AS s FROM th)"
+add("tordiff", lambda t: angles.tordiff(t), "frame", "trans cis g_plus g_minus", "SELECT frame, " + ", ".join(f"avg((s='{s}')::INT) AS {s}" for s in angles.STATES) + " FROM st GROUP BY frame", QUADS)
+add("toroidal_diffusion", lambda t: angles.toroidal_transitions(t, None, 2), "source target n", "", "SELECT source, target, count(*) AS n FROM (SELECT s AS target, lag(s, 2) OVER (PARTITION BY quad ORDER BY frame) AS source FROM st) WHERE source IS NOT NULL GROUP BY ALL", QUADS)
+add("pucker", lambda t: angles.pucker(t, "resid 0 1"), "frame", "radius", f"SELECT t.frame, max({_norm('x-ax', 'y-ay', 'z-az')}) AS radius FROM t JOIN c USING (frame) WHERE resid IN (0, 1) GROUP BY t.frame", "c AS (" + _centers(a="resid IN (0, 1)") + ")")
+add("rotate_dihedral", lambda t: angles.rotate_dihedral(t, R4, "chain B", 30.0))
+add("set_dihedral", lambda t: angles.dihedral(t.with_frames(angles.set_dihedral(t, R4, "resid 7 8 9", 60.0)), *R4), "frame", "dihedral", "SELECT frame, 60.0::DOUBLE AS dihedral FROM (SELECT DISTINCT frame FROM t)")
+
+# Polymers
+BONDS = "b AS (SELECT *, " + _norm("dx", "dy", "dz") + " AS length FROM (SELECT frame, chain, row_number() OVER v - 1 AS k, " + ", ".join(f"lead({k}) OVER v - {k} AS d{k}" for k in "xyz") + " FROM t WINDOW v AS (PARTITION BY frame, chain ORDER BY resid, atom)) WHERE dx IS NOT NULL)"
+add("polymer_chain_rg", lambda t: shape.chain_rg(t), "frame chain", "rg", "SELECT frame, chain, sqrt(var_pop(x)+var_pop(y)+var_pop(z)) AS rg FROM t GROUP BY frame, chain")
+add("polymer_contour_length", lambda t: angles.contour_length(t), "frame chain", "contour", "SELECT frame, chain, sum(length) AS contour FROM b GROUP BY frame, chain", BONDS)
+add("polymer_end_to_end", lambda t: angles.end_to_end(t), "frame chain", "dist", "SELECT frame, chain, " + _norm("arg_max(x, atom) - arg_min(x, atom)", "arg_max(y, atom) - arg_min(y, atom)", "arg_max(z, atom) - arg_min(z, atom)") + " AS dist FROM t GROUP BY frame, chain")
+add("polymer_bond_length", lambda t: angles.bond_length_distribution(t, None, 20, 50.0), "bin n", "", "SELECT range AS bin, coalesce(n, 0) AS n FROM range(20) LEFT JOIN (SELECT floor(length/2.5)::BIGINT AS bin, count(*) AS n FROM b WHERE length < 50 GROUP BY 1) ON bin = range", BONDS)
+add("polymer_bond_angle", lambda t: angles.bond_angle_distribution(t, None, 18), "bin n", "", "SELECT range AS bin, coalesce(n, 0) AS n FROM range(18) LEFT JOIN (SELECT floor(th/10)::BIGINT AS bin, count(*) AS n FROM (SELECT degrees(acos(greatest(-1, least(1, -(dx*ex+dy*ey+dz*ez)/(length*l2))))) AS th FROM (SELECT *, lead(dx) OVER v AS ex, lead(dy) OVER v AS ey, lead(dz) OVER v AS ez, lead(length) OVER v AS l2 FROM b WINDOW v AS (PARTITION BY frame, chain ORDER BY k)) WHERE ex IS NOT NULL) WHERE th < 180 GROUP BY 1) ON bin = range", BONDS)
+CORR = "k AS (SELECT v.k - u.k AS k, avg((u.dx*v.dx+u.dy*v.dy+u.dz*v.dz)/(u.length*v.length)) AS corr FROM b u JOIN b v ON u.frame=v.frame AND u.chain=v.chain AND v.k >= u.k GROUP BY 1)"
+add("polymer_bond_correlation", lambda t: angles.bond_correlation(t), "k", "corr", "SELECT k, corr FROM k", f"{BONDS}, {CORR}")
+add("polymer_persistence_length", lambda t: angles.persistence_length(t), "", "bond persistence kuhn", "SELECT any_value(m) AS bond, -1/regr_slope(ln(corr), m*k) AS persistence, -2/regr_slope(ln(corr), m*k) AS kuhn FROM k, (SELECT avg(length) AS m FROM b) WHERE corr > 0", f"{BONDS}, {CORR}")
+
+# Fluctuations and deviations
+add("rmsf", lambda t: fluctuation.rmsf(t), "atom", "rmsf", "SELECT atom, sqrt(var_pop(x)+var_pop(y)+var_pop(z)) AS rmsf FROM t GROUP BY atom")
+add("atomicfluct", lambda t: fluctuation.rmsf(t, "name CA"), "atom", "rmsf", "SELECT atom, sqrt(var_pop(x)+var_pop(y)+var_pop(z)) AS rmsf FROM t WHERE name='CA' GROUP BY atom")
+add("bfactors", lambda t: fluctuation.bfactors(t), "atom", "bfactor", "SELECT atom, 8*pi()*pi()/3*(var_pop(x)+var_pop(y)+var_pop(z)) AS bfactor FROM t GROUP BY atom")
+add("atomic_adp", lambda t: fluctuation.atomic_adp(t), "atom", "uxx uyy uzz uxy uxz uyz", "SELECT atom, var_pop(x) AS uxx, var_pop(y) AS uyy, var_pop(z) AS uzz, covar_pop(x, y) AS uxy, covar_pop(x, z) AS uxz, covar_pop(y, z) AS uyz FROM t GROUP BY atom")
+for alias in ("mean_structure", "get_average_frame", "make_structure"):
+    add(alias, lambda t: fluctuation.mean_structure(t), "atom", "x y z", "SELECT atom, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM t GROUP BY atom")
+SQ = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
+add("rmsd", lambda t: fluctuation.rmsd(t, "chain A", 0), "frame", "rmsd", f"SELECT a.frame, sqrt(avg({SQ})) AS rmsd FROM t a JOIN t b ON a.atom=b.atom AND b.frame=0 WHERE a.chain='A' GROUP BY a.frame")
+add("rmsd_perres", lambda t: fluctuation.rmsd_perres(t, None, 0), "frame resid", "rmsd", f"SELECT a.frame, a.resid, sqrt(avg({SQ})) AS rmsd FROM t a JOIN t b ON a.atom=b.atom AND b.frame=0 GROUP BY a.frame, a.resid")
+add("distance_rmsd", lambda t: fluctuation.distance_rmsd(t, "name CA", 0), "frame", "rmsd", "SELECT u.frame, sqrt(avg((u.dist-v.dist)*(u.dist-v.dist))) AS rmsd FROM pr u JOIN pr v ON u.a=v.a AND u.b=v.b AND v.frame=0 GROUP BY u.frame", "pr AS (" + _pairs("a.name='CA'", "b.name='CA'", False, "a.atom < b.atom") + ")")
+add("pairwise_rmsd", lambda t: fluctuation.pairwise_rmsd(t, "name CA"), "f1 f2", "rmsd", f"SELECT a.frame AS f1, b.frame AS f2, sqrt(avg({SQ})) AS rmsd FROM t a JOIN t b ON a.atom=b.atom AND a.frame < b.frame WHERE a.name='CA' GROUP BY 1, 2")
+add("symmrmsd", lambda t: fluctuation.symmrmsd(t, [[0, 1]], "resid 0", 0), "frame", "rmsd", "SELECT frame, sqrt(least(s00 + s11, s01 + s10) / 4 + r / 4) AS rmsd FROM (SELECT a.frame, " + ", ".join(f"sum(CASE WHEN a.atom={i} AND b.atom={j} THEN {SQ} END) AS s{i}{j}" for i in (0, 1) for j in (0, 1)) + f", sum(CASE WHEN a.atom=b.atom AND a.atom > 1 THEN {SQ} ELSE 0 END) AS r FROM t a JOIN t b ON b.frame=0 AND b.resid=0 WHERE a.resid=0 GROUP BY a.frame)")
+FEAT = "f AS (SELECT frame, atom*3 + k AS feature, [x, y, z][(k+1)::INT] AS value FROM t, range(3) r(k) WHERE name='CA')"
+add("matrix_covariance", lambda t: fluctuation.matrix_covariance(t, "name CA"), "i j", "cov", "SELECT a.feature AS i, b.feature AS j, covar_pop(a.value, b.value) AS cov FROM f a JOIN f b ON a.frame=b.frame GROUP BY 1, 2", FEAT)
+add("matrix_correlation", lambda t: fluctuation.matrix_correlation(t, "name CA"), "a b", "corr", "SELECT a.atom AS a, b.atom AS b, (covar_pop(a.x,b.x)+covar_pop(a.y,b.y)+covar_pop(a.z,b.z))/sqrt((var_pop(a.x)+var_pop(a.y)+var_pop(a.z))*(var_pop(b.x)+var_pop(b.y)+var_pop(b.z))) AS corr FROM t a JOIN t b ON a.frame=b.frame WHERE a.name='CA' AND b.name='CA' GROUP BY 1, 2")
+
+# Transforms
+add("strip", lambda t: transforms.strip(t, "name CA"), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE name='CA'")
+add("translate", lambda t: transforms.translate(t, (1.0, -2.0, 0.5)), "frame atom", "x y z", "SELECT frame, atom, x+1 AS x, y-2 AS y, z+0.5 AS z FROM t")
+add("scale", lambda t: transforms.scale(t, 0.1), "frame atom", "x y z", "SELECT frame, atom, x*0.1 AS x, y*0.1 AS y, z*0.1 AS z FROM t")
+add("rotate", lambda t: transforms.rotate(t, [0, -1, 0, 1, 0, 0, 0, 0, 1]), "frame atom", "x y z", "SELECT frame, atom, -y AS x, x AS y, z FROM t")
+add("transform", lambda t: transforms.transform(t, [0, -1, 0, 1, 0, 0, 0, 0, 1], (5, 6, 7)), "frame atom", "x y z", "SELECT frame, atom, 5-y AS x, x+6 AS y, z+7 AS z FROM t")
+add("center", lambda t: transforms.center(t, "chain A"), "frame atom", "x y z", "SELECT t.frame, atom, x-ax AS x, y-ay AS y, z-az AS z FROM t JOIN c USING (frame)", AB)
+add("center_in_box", lambda t: transforms.center(t, "chain A", "box"), "frame atom", "x y z", "SELECT t.frame, atom, x+25-ax AS x, y+25-ay AS y, z+25-az AS z FROM t JOIN c USING (frame)", AB)
+for alias in ("image", "autoimage", "fiximagedbonds"):
+    add(alias, lambda t: transforms.image(t.with_frames(transforms.translate(t, (30.0, -30.0, 70.0))), "chain A"), "frame atom", "x y z", "SELECT frame, atom, CASE WHEN chain='A' THEN x-floor(x/50)*50 ELSE x END AS x, CASE WHEN chain='A' THEN y-floor(y/50)*50 ELSE y END AS y, CASE WHEN chain='A' THEN z-floor(z/50)*50 ELSE z END AS z FROM (SELECT frame, atom, chain, x+30 AS x, y-30 AS y, z+70 AS z FROM t)")
+add("replicate_cell", lambda t: transforms.replicate_cell(t, (2, 1, 2), "name CA"), "frame atom ix iy iz", "x y z", "SELECT frame, atom, i AS ix, 0::BIGINT AS iy, k AS iz, x+50*i AS x, y, z+50*k AS z FROM t, range(2) a(i), range(2) b(k) WHERE name='CA'")
+add("xtalsymm", lambda t: transforms.xtalsymm(t, [[1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0], [-1, 0, 0, 25, 0, -1, 0, 0, 0, 0, 1, 25]], "name CA"), "frame atom op", "x y z", "SELECT frame, atom, op, CASE op WHEN 0 THEN x ELSE 25-x END AS x, CASE op WHEN 0 THEN y ELSE -y END AS y, CASE op WHEN 0 THEN z ELSE z+25 END AS z FROM t, range(2) r(op) WHERE name='CA'")
+add("volume", lambda t: transforms.volume(t), "frame", "volume", "SELECT frame, 125000.0::DOUBLE AS volume FROM fr")
+VEL = "v AS (SELECT frame, atom, " + ", ".join(f"coalesce(({k} - lag({k}) OVER w) / ((frame - lag(frame) OVER w) * 2.0), 0.0) AS v{k}" for k in "xyz") + ", row_number() OVER w AS pos FROM t WINDOW w AS (PARTITION BY atom ORDER BY frame))"
+add("get_velocity", lambda t: transforms.get_velocity(t), "frame atom", "vx vy vz", "SELECT frame, atom, vx, vy, vz FROM v", VEL)
+add("runningavg", lambda t: transforms.runningavg(t, None, 5), "frame atom", "x y z", "SELECT frame, atom, avg(x) OVER w AS x, avg(y) OVER w AS y, avg(z) OVER w AS z FROM t WINDOW w AS (PARTITION BY atom ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+add("runningavg_cumulative", lambda t: transforms.runningavg(t, "name CA"), "frame atom", "x y z", "SELECT frame, atom, avg(x) OVER w AS x, avg(y) OVER w AS y, avg(z) OVER w AS z FROM t WHERE name='CA' WINDOW w AS (PARTITION BY atom ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+add("frame_stride", lambda t: transforms.select_frames(t, 3, 40, 4), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE frame >= 3 AND frame < 40 AND (frame-3) % 4 = 0")
+add("frame_pick", lambda t: transforms.pick_frames(t, [5, -1, 5, 99]), "position frame atom", "x y z", "SELECT position, frame, atom, x, y, z FROM t JOIN (VALUES (0::BIGINT, 5), (1, 49), (2, 5)) v(position, f) ON frame = f")
+
+# Radial distributions
+CAO = "pr AS (" + _pairs("a.name='CA'", "b.name='O'", True) + ")"
+HIST = "h AS (SELECT range AS bin, coalesce(n, 0) AS n FROM range(20) LEFT JOIN (SELECT floor(dist/1.0)::BIGINT AS b, count(*) AS n FROM pr WHERE dist < 20 GROUP BY 1) ON b = range)"
+add("pairdist_histogram", lambda t: radial.pairdist_histogram(t, "name CA", "name O", 20, 20.0, True), "bin n", "", "SELECT bin, n FROM h", f"{CAO}, {HIST}")
+add("rdf", lambda t: radial.rdf(t, "name CA", "name O", 20, 20.0), "bin n", "r g integral", "SELECT bin, n, bin+0.5 AS r, n/(500*4.0/3*pi()*((bin+1)**3-bin**3)*10/125000) AS g, sum(n) OVER (ORDER BY bin)/500.0 AS integral FROM h", f"{CAO}, {HIST}")
+add("pairdist", lambda t: radial.pairdist(t, "name CA", "name O", 20, 20.0, True), "bin", "mean std", "SELECT range AS bin, avg(coalesce(n, 0)) AS mean, stddev_samp(coalesce(n, 0)) AS std FROM range(20) CROSS JOIN fr LEFT JOIN (SELECT frame, floor(dist)::BIGINT AS b, count(*) AS n FROM pr WHERE dist < 20 GROUP BY 1, 2) k ON k.b = range AND k.frame = fr.frame GROUP BY range", CAO)
+add("pairdist_dynamic", lambda t: radial.pairdist_dynamic(t, "name CA", "name O", 2.5, True), "bin n", "", "SELECT floor(dist/2.5)::BIGINT AS bin, count(*) AS n FROM pr GROUP BY 1", CAO)
+add("structure_factor", lambda t: radial.structure_factor(t, "name CA", 20, 20.0, 10, 3.0), "k", "s", "SELECT range AS k, 1 + 4*pi()*(10/125000.0::DOUBLE)*sum((n/(500*(10/125000.0::DOUBLE)*4*pi()*(bin+0.5)**2) - 1)*sin(range*0.3*(bin+0.5))/(range*0.3*(bin+0.5))*(bin+0.5)**2) AS s FROM h, range(1, 11) GROUP BY range", "pr AS (" + _pairs("a.name='CA'", "b.name='CA'", True) + f"), {HIST}")
+
+# Time correlation
+GC = "g0 AS (SELECT frame, resid, sum(mass*x)/sum(mass) AS x, sum(mass*y)/sum(mass) AS y, sum(mass*z)/sum(mass) AS z FROM t GROUP BY frame, resid), g1 AS (SELECT frame, resid, " + ", ".join(f"coalesce({_mi(f'{k} - lag({k}) OVER w')}, {k}) AS {k}" for k in "xyz") + " FROM g0 WINDOW w AS (PARTITION BY resid ORDER BY frame)), g AS (SELECT resid, row_number() OVER w - 1 AS idx, sum(x) OVER w AS x, sum(y) OVER w AS y, sum(z) OVER w AS z FROM g1 WINDOW w AS (PARTITION BY resid ORDER BY frame))"
+add("msd_multi", lambda t: correlation.msd(t, max_lag=8), "lag", "x y z total", "SELECT b.idx-a.idx AS lag, avg((b.x-a.x)*(b.x-a.x)) AS x, avg((b.y-a.y)*(b.y-a.y)) AS y, avg((b.z-a.z)*(b.z-a.z)) AS z, avg((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z)) AS total FROM g a JOIN g b ON a.resid=b.resid AND b.idx-a.idx BETWEEN 1 AND 8 GROUP BY 1", GC)
+add("lipid_msd", lambda t: correlation.lipid_msd(t, None, 5), "resid lag", "msd", "SELECT a.resid, b.i-a.i AS lag, avg((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS msd FROM m a JOIN m b ON a.resid=b.resid AND b.i-a.i BETWEEN 1 AND 5 GROUP BY 1, 2", "m AS (SELECT resid, row_number() OVER (PARTITION BY resid ORDER BY frame) AS i, avg(x) AS x, avg(y) AS y FROM t GROUP BY frame, resid)")
+DEV = "d AS (SELECT a.atom, a.frame, row_number() OVER (PARTITION BY a.atom ORDER BY a.frame) - 1 AS i, a.x-b.x AS x, a.y-b.y AS y, a.z-b.z AS z FROM t a JOIN t b ON a.atom=b.atom AND b.frame=0 WHERE a.name='CA')"
+add("atomiccorr", lambda t: correlation.atomiccorr(t, "name CA", 0, 6), "lag", "corr", "SELECT lag, avg(s) AS corr FROM (SELECT b.i-a.i AS lag, a.i, sum(a.x*b.x+a.y*b.y+a.z*b.z) AS s FROM d a JOIN d b ON a.atom=b.atom AND b.i-a.i BETWEEN 0 AND 6 GROUP BY 1, 2) GROUP BY lag", DEV)
+add("xcorr", lambda t: correlation.xcorr(t, "chain A", "chain B", 6), "lag", "corr", 'SELECT v.frame-u.frame AS lag, avg((u.ax-o.ax)*(v.bx-o.bx)+(u.ay-o.ay)*(v."by"-o."by")+(u.az-o.az)*(v.bz-o.bz)) AS corr FROM c u JOIN c v ON v.frame-u.frame BETWEEN 0 AND 6 JOIN c o ON o.frame=0 GROUP BY 1', AB)
+add("velocityautocorr", lambda t: correlation.velocityautocorr(t, "name CA", 6), "lag", "vacf", "SELECT b.pos-a.pos AS lag, avg(a.vx*b.vx+a.vy*b.vy+a.vz*b.vz) AS vacf FROM v a JOIN v b ON a.atom=b.atom AND b.pos-a.pos BETWEEN 0 AND 6 WHERE a.pos > 1 AND a.atom % 4 = 1 GROUP BY 1", VEL)
+ROT = "o AS (SELECT a.resid, row_number() OVER (PARTITION BY a.resid ORDER BY a.frame) AS i, " + ", ".join(f"(b.{k}-a.{k})/{_d('a', 'b')} AS {k}" for k in "xyz") + " FROM t a JOIN t b ON a.frame=b.frame AND a.resid=b.resid AND a.name='N' AND b.name='O')"
+add("rotacf", lambda t: correlation.rotacf(t, "name N", "name O", max_lag=6), "lag", "p1 p2", "SELECT b.i-a.i AS lag, avg(a.x*b.x+a.y*b.y+a.z*b.z) AS p1, avg(1.5*(a.x*b.x+a.y*b.y+a.z*b.z)**2-0.5) AS p2 FROM o a JOIN o b ON a.resid=b.resid AND b.i-a.i BETWEEN 0 AND 6 GROUP BY 1", ROT)
+add("vanhove", lambda t: correlation.vanhove(t, "name CA", 5.0, 50.0, 4), "lag bin", "g", f"SELECT lag, bin, count(*)/any_value(n)::DOUBLE AS g FROM (SELECT lag, floor(r/5)::BIGINT AS bin, r, count(*) OVER (PARTITION BY lag) AS n FROM (SELECT b.frame-a.frame AS lag, {_d('a', 'b')} AS r FROM t a JOIN t b ON a.atom=b.atom AND b.frame-a.frame BETWEEN 0 AND 4 WHERE a.name='CA')) WHERE r < 50 GROUP BY lag, bin")
+add("conductivity", lambda t: correlation.conductivity(t, "name CA", max_lag=5), "lag", "m2 sigma", "SELECT b.i-a.i AS lag, avg((b.x-a.x)**2+(b.y-a.y)**2+(b.z-a.z)**2) AS m2, avg((b.x-a.x)**2+(b.y-a.y)**2+(b.z-a.z)**2)/125000.0::DOUBLE*(1.602176634e-19::DOUBLE*1.602176634e-19::DOUBLE/(6*1.380649e-23::DOUBLE*300*1e-27::DOUBLE)) AS sigma FROM j a JOIN j b ON b.i-a.i BETWEEN 1 AND 5 GROUP BY 1", GC.replace("FROM t GROUP BY", "FROM t WHERE name='CA' GROUP BY") + ", j AS (SELECT idx AS i, -sum(x) AS x, -sum(y) AS y, -sum(z) AS z FROM g GROUP BY idx)")
+DIP = "d AS (SELECT frame, resid, sum(charge*x) AS dx, sum(charge*y) AS dy, sum(charge*z) AS dz FROM t GROUP BY frame, resid)"
+add("dipole_moments", lambda t: correlation.dipole_moments(t), "frame resid", "dx dy dz", "SELECT frame, resid, dx, dy, dz FROM d", DIP)
+add("dipole_alignment", lambda t: correlation.dipole_alignment(t), "frame", "cos_x cos_y cos_z cos2_x cos2_y cos2_z", "SELECT frame, " + ", ".join(f"avg(d{k}/n) AS cos_{k}, avg(d{k}*d{k}/(n*n)) AS cos2_{k}" for k in "xyz") + f" FROM (SELECT *, {_norm('dx', 'dy', 'dz')} AS n FROM d) GROUP BY frame", DIP)
+add("dielectric", lambda t: correlation.dielectric(t))
+add("equipartition", lambda t: correlation.equipartition(t), "frame chain", "temperature", "SELECT frame, chain, sum(mass*(x*x+y*y+z*z))/(3*count(*)*0.00831446261815324::DOUBLE) AS temperature FROM t GROUP BY frame, chain")
+add("wavelet", lambda t: correlation.wavelet(t, "chain A", "chain B"))
+
+# Grids
+BIN = lambda c, n: f"least(floor((({c}) - floor(({c})/50)*50)/50*{n}), {n}-1)::BIGINT"
+LD = lambda w: f"h AS (SELECT range AS bin, coalesce(w, 0.0) AS w FROM range(20) LEFT JOIN (SELECT {BIN('z', 20)} AS b, sum({w}) AS w FROM t GROUP BY 1) ON b = range)"
+add("lineardensity", lambda t: grids.lineardensity(t, None, "z", 20), "bin", "center density", "SELECT bin, (bin+0.5)*2.5 AS center, w/50/6250.0 AS density FROM h", LD("1.0::DOUBLE"))
+add("lineardensity_mass", lambda t: grids.lineardensity(t, None, "z", 20, "mass"), "bin", "center density", "SELECT bin, (bin+0.5)*2.5 AS center, w/50/6250.0 AS density FROM h", LD("mass"))
+add("densmap", lambda t: grids.densmap(t, None, "z", 5), "i j", "density", f"SELECT {BIN('x', 5)} AS i, {BIN('y', 5)} AS j, count(*)/50.0/5000 AS density FROM t GROUP BY 1, 2")
+VOX = "n AS (SELECT t.frame, floor((x-ax+15)/10)::BIGINT AS i, floor((y-ay+15)/10)::BIGINT AS j, floor((z-az+15)/10)::BIGINT AS k FROM t JOIN c USING (frame) WHERE resname='SOL'), u AS (SELECT frame, i+3*(j+3*k) AS voxel, count(*) AS n FROM n WHERE i BETWEEN 0 AND 2 AND j BETWEEN 0 AND 2 AND k BETWEEN 0 AND 2 GROUP BY 1, 2), z AS (SELECT v.voxel, fr.frame, coalesce(u.n, 0) AS n FROM (SELECT DISTINCT voxel FROM u) v CROSS JOIN fr LEFT JOIN u ON u.voxel=v.voxel AND u.frame=fr.frame)"
+VARGS = ("resname SOL", "chain A", 10.0, (3, 3, 3), (15.0, 15.0, 15.0))
+for alias in ("water_count", "count_in_voxel"):
+    add(alias, lambda t: grids.water_count(t, *VARGS), "voxel first last min max", "mean std", "SELECT voxel, avg(n) AS mean, stddev_pop(n) AS std, arg_min(n, frame) AS first, arg_max(n, frame) AS last, min(n) AS min, max(n) AS max FROM z GROUP BY voxel", f"{AB}, {VOX}")
+for alias in ("density", "volmap"):
+    add(alias, lambda t: grids.density(t, *VARGS), "voxel", "mean std", "SELECT voxel, avg(n)/1000 AS mean, stddev_pop(n)/1000 AS std FROM z GROUP BY voxel", f"{AB}, {VOX}")
+add("potential", lambda t: grids.potential(t, None, "z", 20))
+add("h2order", lambda t: grids.h2order(t), "bin", "cos dipole", f"SELECT {BIN('hh', 10)} AS bin, avg(dz/n) AS cos, avg(n) AS dipole FROM (SELECT *, {_norm('dx', 'dy', 'dz')} AS n FROM (SELECT frame, resid, avg(z) AS hh, sum(charge*x) AS dx, sum(charge*y) AS dy, sum(charge*z) AS dz FROM t GROUP BY frame, resid)) GROUP BY 1")
+add("hydorder", lambda t: grids.hydorder(t, "name O"), "frame atom", "sg sk", "SELECT x.frame, x.a AS atom, sg, sk FROM (SELECT u.frame, u.a, 3.0/32*sum((u.ux*v.ux+u.uy*v.uy+u.uz*v.uz+1.0::DOUBLE/3)**2) AS sg FROM k u JOIN k v ON u.frame=v.frame AND u.a=v.a AND u.r < v.r GROUP BY 1, 2) x JOIN (SELECT frame, a, sum((dist-m)**2)/(12*any_value(m)**2) AS sk FROM (SELECT *, avg(dist) OVER (PARTITION BY frame, a) AS m FROM k) GROUP BY 1, 2) y ON x.frame=y.frame AND x.a=y.a", "pr AS (" + _pairs("a.name='O'", "b.name='O'", True, more="".join(f", {_mi(f'b.{k}-a.{k}')} AS d{k}" for k in "xyz")) + "), k AS (SELECT *, dx/dist AS ux, dy/dist AS uy, dz/dist AS uz FROM (SELECT *, row_number() OVER (PARTITION BY frame, a ORDER BY dist, b) AS r FROM pr) WHERE r <= 4)")
+add("nmr_ired", lambda t: grids.distance_vectors(t, [(0, 1), (4, 5)]), "frame pair", "ux uy uz", "SELECT a.frame, CASE a.atom WHEN 0 THEN 0 ELSE 1 END AS pair, " + ", ".join(f"(b.{k}-a.{k})/{_d('a', 'b')} AS u{k}" for k in "xyz") + " FROM t a JOIN t b ON a.frame=b.frame AND b.atom=a.atom+1 WHERE a.atom IN (0, 4)")
+
+# Membranes
+LEAF = "m AS (SELECT frame, avg(z) AS mid FROM t GROUP BY frame), h AS (SELECT t.frame, resid, avg(z) AS z, any_value(mid) AS mid FROM t JOIN m USING (frame) GROUP BY t.frame, resid), l AS (SELECT frame, resid, CASE WHEN z > mid THEN 1 ELSE -1 END AS leaflet FROM h)"
+add("lipid_leaflets", lambda t: membrane.leaflets(t), "frame resid leaflet", "", "SELECT frame, resid, leaflet FROM l", LEAF)
+add("lipid_z_positions", lambda t: membrane.z_positions(t, "all", "name O"), "frame resid", "height", "SELECT t.frame, resid, avg(z) - any_value(mid) AS height FROM t JOIN m USING (frame) WHERE name='O' GROUP BY t.frame, resid", LEAF)
+add("lipid_z_thickness", lambda t: membrane.z_thickness(t), "frame resid", "thickness", "SELECT frame, resid, CASE WHEN max(z)-min(z) > 25 THEN 50-(max(z)-min(z)) ELSE max(z)-min(z) END AS thickness FROM t GROUP BY frame, resid")
+add("lipid_z_angles", lambda t: membrane.z_angles(t, "name N", "name O"), "frame resid", "angle", f"SELECT a.frame, a.resid, degrees(acos(greatest(-1, least(1, (a.z-b.z)/{_norm(_mi('a.x-b.x'), _mi('a.y-b.y'), 'a.z-b.z')})))) AS angle FROM t a JOIN t b ON a.frame=b.frame AND a.resid=b.resid AND a.name='N' AND b.name='O'")
+add("lipid_scc", lambda t: membrane.scc(t), "frame resid", "scc", f"SELECT frame, resid, avg(1.5*(dz/{_norm('dx', 'dy', 'dz')})**2-0.5) AS scc FROM (SELECT frame, resid, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(z) OVER w - z AS dz FROM t WINDOW w AS (PARTITION BY frame, resid ORDER BY atom)) WHERE dx IS NOT NULL GROUP BY frame, resid")
+CON = "pr AS (" + _pairs("true", "true", True, "a.resid <> b.resid", ", a.resid AS ra, b.resid AS rb") + "), k AS (SELECT DISTINCT frame, ra, rb FROM pr WHERE dist <= 6), e AS (SELECT DISTINCT frame, resid FROM t)"
+add("lipid_neighbours", lambda t: membrane.neighbours(t, None, 6.0), "frame resid n", "", "SELECT e.frame, e.resid, count(rb) AS n FROM e LEFT JOIN k ON e.frame=k.frame AND e.resid=ra GROUP BY 1, 2", CON)
+add("lipid_neighbour_matrix", lambda t: membrane.neighbour_matrix(t, None, 6.0), "frame a_resid b_resid contact", "", "SELECT a.frame, a.resid AS a_resid, b.resid AS b_resid, CASE WHEN ra IS NULL THEN 0 ELSE 1 END::BIGINT AS contact FROM e a JOIN e b ON a.frame=b.frame LEFT JOIN k ON k.frame=a.frame AND ra=a.resid AND rb=b.resid", CON)
+add("lipid_largest_cluster", lambda t: membrane.largest_cluster(t, None, 6.0))
+add("lipid_membrane_thickness", lambda t: membrane.membrane_thickness(t, None, membrane.leaflets(t), 2), "frame", "thickness", f"SELECT frame, avg(u-d) AS thickness FROM (SELECT t.frame, {BIN('x', 2)} AS i, {BIN('y', 2)} AS j, avg(CASE WHEN leaflet=1 THEN z END) AS u, avg(CASE WHEN leaflet=-1 THEN z END) AS d FROM t JOIN l ON t.frame=l.frame AND t.resid=l.resid GROUP BY 1, 2, 3) GROUP BY frame", LEAF)
+add("lipid_registration", lambda t: membrane.registration(t, None, None, membrane.leaflets(t)))
+add("lipid_flip_flop", lambda t: membrane.flip_flop(membrane.leaflets(t), 2))
+NEM = "d AS (SELECT frame, dx/n AS x, dy/n AS y, dz/n AS z FROM (SELECT a.frame, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz, " + _d("a", "b") + " AS n FROM t a JOIN t b ON a.frame=b.frame AND a.resid=b.resid AND a.name='N' AND b.name='O')), g AS (SELECT frame, count(*) AS n, 1.5*avg(x*x)-0.5 AS xx, 1.5*avg(y*y)-0.5 AS yy, 1.5*avg(z*z)-0.5 AS zz, 1.5*avg(x*y) AS xy, 1.5*avg(x*z) AS xz, 1.5*avg(y*z) AS yz FROM d GROUP BY frame), " + EIGEN
+add("nematic_order", lambda t: membrane.nematic(t, "name N", "name O"))
+add("nematic_eigenvalue", lambda t: membrane.nematic(t, "name N", "name O").select("frame", "n", "qxx", "qxy", F.col("order").alias("largest")), "frame n", "qxx qxy largest", "SELECT frame, n, xx AS qxx, xy AS qxy, l3 AS largest FROM e", NEM)
+
+# Small linear algebra and clusters: no SQL, tests hold them against numpy
+add("rmsd_aligned", lambda t: linear.rmsd_aligned(t, "name CA", 0))
+add("align", lambda t: linear.align(t, "name CA", 0).select("frame", *[F.col("r")[i].alias(f"r{i}") for i in range(9)], *[F.col("t")[i].alias(f"t{i}") for i in range(3)]))
+add("rotation_matrix", lambda t: linear.rotation_matrix(t, "name CA", 0))
+add("superpose", lambda t: linear.superpose(t, "name CA", 0))
+add("principal_axes", lambda t: linear.principal_axes(t).select("frame", *[F.col("moments")[i].alias(f"m{i}") for i in range(3)], *[F.col("axes")[i].alias(f"a{i}") for i in range(9)]))
+add("align_principal_axis", lambda t: linear.align_principal_axis(t))
+for alias in ("pca", "analyze_modes"):
+    add(alias, lambda t: linear.pca(t, 5, "name CA"))
+add("projection", lambda t: linear.projection(t, 3, "name CA"))
+add("trajectory_cluster_dbscan", lambda t: linear.dbscan(t, 22.0, 4, "name CA"))
+add("trajectory_cluster_kmeans", lambda t: linear.kmeans(t, 4, "name CA"))
+add("kabsch_sander", lambda t: linear.kabsch_sander(t))
+add("dssp", lambda t: linear.dssp(t))
+for alias in ("surf", "molsurf"):
+    add(alias, lambda t: linear.surf(t))
+add("helixorient", lambda t: linear.helix_orientation(t))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q.run for name, q in REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q.sql for name, q in REGISTRY.items() if q.sql}
