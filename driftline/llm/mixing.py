@@ -150,6 +150,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, whole=True, **options)
     ends = mixed.groupBy("source").agg(F.max("epochs").alias("epochs_"), F.max(F.when(F.col("part") > 0, F.col("key"))).alias("last_")).withColumnRenamed("source", "source_")
     key = exponential_key(F.col(id_col), letter_quality(F.col(text_col)), seed)
-    copies = F.col("epochs_") + F.coalesce(key <= F.col("last_"), F.lit(False)).cast("long")
-    placed = docs.join(materialize(ends, "mix-keys"), F.col(source_col).eqNullSafe(F.col("source_"))).withColumn("copies_", copies).where("copies_ > 0")
-    return placed.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "copies_"))).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), key.alias("key"))
+    copies = F.col("epochs_") + F.coalesce(F.col("key") <= F.col("last_"), F.lit(False)).cast("long")
+    placed = packed.join(materialize(ends, "mix-keys"), F.col("source").eqNullSafe(F.col("source_"))).select("row", copies.alias("copies")).where("copies > 0")
+    return placed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -246,8 +246,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Rows without words stay; of repeated rows one stays.
     """
     kept = classes(docs, id_col=id_col, text_col=text_col, n=n, percent=percent).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    hashed = docs.withColumn("text_hash_", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_hash_") == F.col("kept_hash"))
-    once = Window.partitionBy(F.col(id_col), "text_hash_").orderBy(F.lit(0))
-    found = hashed.join(kept, same, "left_semi").withColumn("row_", F.row_number().over(once)).where("row_ = 1")
-    return found.select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    once = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))
+    return packed.join(kept, same, "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")

@@ -1,0 +1,41 @@
+"""The pipeline's run against a plain version of its stages."""
+
+import random
+
+from driftline.llm import mixing, near_dedup
+
+
+def test_stages_follow_each_other(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(3))
+    kinds = {"xx": ["the", "ing", "er"], "yy": ["schen", "ung", "ber"]}
+    texts = [(k, " ".join(word(kinds[k]) for _ in range(60))) for k in [*kinds] * 40]
+    rows = [(i, t, k, f"s{i % 3}", len(t)) for i, (k, t) in enumerate(texts)]
+    rows += [(200, rows[3][1], "xx", "s0", 1), (201, None, None, "s1", None), (202, "1234 !!", None, "s1", 7), (203, rows[4][1] + ' token = "0123456789abcdef0123456789abcdef01234567"', "xx", "s2", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        stage(spark, docs, str(tmp_path)).write.parquet(out := str(tmp_path / name))
+        docs = spark.read.parquet(out)
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        if name != "bpe":
+            assert docs.columns == before.columns
+        if name == "language":
+            assert ids == {r[0] for r in rows} - {201, 202}
+        if name == "near_dedup":
+            kept = {r.doc_id for r in near_dedup.classes(before).where("kept").collect()}
+            assert ids == kept and 200 not in ids and docs.count() == len(ids)
+        if name == "secrets":
+            assert ids == {r.doc_id for r in before.select("doc_id").collect()}
+            assert not [r for r in docs.collect() if "0123456789abcdef" in r.text]
+        if name == "mixing":
+            taken = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(before, whole=True).collect()}
+            copies = {}
+            for r in docs.collect():
+                copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+            assert {d: t for (d, n), t in taken.items() if t} == {d: c * n for (d, n) in taken for c in [copies.get(d, 0)] if c}
+    assert docs.count() == before.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
