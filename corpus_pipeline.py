@@ -26,11 +26,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs, keep_text=True)
-    masked = found.select("row.*", "all").withColumn("text", secrets.redact(F.col("text"), F.col("all")))
+    text = secrets.redact(F.col("row.text"), F.col("all"))
+    row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        masked = masked.withColumn("n_chars", F.when(F.size("all") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.size("all") > 0, F.length(text).cast(kind)).otherwise(F.col("row.n_chars")))
+    return found.select(row.alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
