@@ -36,7 +36,8 @@ PIECE = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a leaf of the tree, and the tokens on each side of a first window.
 LEAF, WINDOW = 512, 8
-KEPT = 1 << 19
+#: Pieces kept by a task, and documents to a batch of results.
+KEPT, ROWS = 1 << 17, 256
 
 _loaded: dict = {}
 
@@ -49,16 +50,12 @@ class Coder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        # for text inside one pre-token: the same merges, no pattern, no special tokens
-        self.raw = Tokenizer.from_file(path)
-        self.raw.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.raw.encode_special_tokens = True
-        self.leaf = leaf
+        self.path, self.leaf, self._raw = path, leaf, None
         self.special = [t["content"] for t in json.loads(self.whole.to_str())["added_tokens"]]
         self.pattern, self.pre = regex.compile(PIECE), regex.compile(PRE_TOKEN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -70,6 +67,17 @@ class Coder:
             self.bytes[i] = t.encode() if t in self.special else bytes(letters[c] for c in t)
         self.kept: dict[str, tuple[bytes, bytes]] = {}
 
+    @property
+    def raw(self):
+        """For text inside one pre-token: the same merges, no pattern, no special tokens; made when first needed."""
+        if self._raw is None:
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self._raw = Tokenizer.from_file(self.path)
+            self._raw.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self._raw.encode_special_tokens = True
+        return self._raw
+
     def leaves(self, text: str) -> list[str]:
         """Halves of halves of at most ``leaf`` characters; their number is a power of two."""
         parts = [text]
@@ -176,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for part in parts:
+        for part in (p.slice(b, ROWS) for p in parts for b in range(0, max(p.num_rows, 1), ROWS)):
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
             for ids, decoded in c.encode([x or "" for x in part.column(1).to_pylist()]):
                 n.append(len(ids) // 4)
@@ -191,6 +199,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        c.kept.clear()  # the worker stays, its pieces need not
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -10,10 +10,10 @@ _powers = np.ones(1, np.uint64)
 
 
 class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, kept for the task and emptied at a million words."""
+    """Word (bytes) -> 64-bit hash, kept for the task and emptied at a quarter million words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Bytes of text in one call of the library.
 BATCH_BYTES = 1 << 20
 #: Lengths kept by a task; beyond that it starts anew.
-KEPT = 1 << 19
+KEPT = 1 << 18
 
 _loaded: dict = {}
 
