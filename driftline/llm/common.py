@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,3 +43,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8, with A-Z in lower case and nothing else changed."""
     return text.encode().lower().split() if text else []
+
+
+#: Bits of a membership bitmap: 256 rows of 4 KB, however many keys it is made of.
+BITMAP_BITS = 1 << 23
+
+
+def bitmap(keys: DataFrame, *columns: str) -> DataFrame:
+    """A bitmap of the hashes of ``columns``: a megabyte at most, so it may be broadcast."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    placed = keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    return placed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def marked(df: DataFrame, bits: DataFrame, *columns: str) -> DataFrame:
+    """Adds ``maybe``: false where the row's key is surely not in the bitmap.
+
+    More keys only make more rows true; what is true must be looked up exactly.
+    """
+    at = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    placed = df.withColumns({"bucket": F.bitmap_bucket_number(at), "bit": F.bitmap_bit_position(at)}).join(F.broadcast(bits), "bucket", "left")
+    held = F.expr("conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10)").cast("int").bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    return placed.select(*df.columns, F.coalesce(held, F.lit(False)).alias("maybe"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialize, words_of
+from driftline.llm.common import bitmap, marked, materialize, words_of
 from driftline.llm.hashing import WordHashes, mix, shingles
 
 TREES, DEPTH, TOP = 16, 8, 4
@@ -152,6 +152,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(held, pa.binary())], names=["node", "shingles"]).filter(pa.array(good, pa.bool_()))
 
     texts = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text"))
+    # most texts have no candidate: a bitmap keeps them out of the shuffle
+    texts = marked(texts, materialize(bitmap(wanted, "doc_id"), "bitmap"), "of").where("maybe")
     found = texts.join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("node", "text").mapInArrow(run, "node binary, shingles binary")
     return found.dropDuplicates(["node"])
 
@@ -245,8 +247,13 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Rows without words stay; of repeated rows one stays.
     """
-    kept = classes(docs, id_col=id_col, text_col=text_col, n=n, percent=percent).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    found = classes(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
+    rows = found.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    # rows to drop or to look at again; all others pass without a shuffle
+    doubtful = materialize(rows.where("n > 1 or not kept"), "doubtful")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    packed = marked(packed, materialize(bitmap(doubtful, "of_id", "of_hash"), "bitmap"), "doc_id", "text_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
     once = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))
-    return packed.join(kept, same, "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")
+    looked_at = packed.where("maybe").join(doubtful, same, "left").where(F.coalesce("kept", F.lit(True))).withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    return packed.where("not maybe").select("row").unionByName(looked_at.select("row")).select("row.*")
