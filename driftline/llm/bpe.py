@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import slices, small_batches
 from driftline.llm.token_counts import batches
 
 #: Unicode white space, as the pre-tokenizer's pattern has it (fixed values).
@@ -184,7 +185,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for part in (p.slice(b, ROWS) for p in parts for b in range(0, max(p.num_rows, 1), ROWS)):
+        for part in slices(parts, ROWS):
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
             for ids, decoded in c.encode([x or "" for x in part.column(1).to_pylist()]):
                 n.append(len(ids) // 4)
@@ -204,4 +205,4 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     more = ", ids array<int>, decoded string" if with_ids else ""
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return small_batches(source).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -65,3 +65,30 @@ def marked(df: DataFrame, bits: DataFrame, *columns: str) -> DataFrame:
     placed = df.withColumns({"bucket": F.bitmap_bucket_number(at), "bit": F.bitmap_bit_position(at)}).join(F.broadcast(bits), "bucket", "left")
     held = F.expr("conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10)").cast("int").bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
     return placed.select(*df.columns, F.coalesce(held, F.lit(False)).alias("maybe"))
+
+
+def slices(parts, rows: int = 512):
+    """Arrow batches cut into smaller ones; what the worker no longer needs goes back at the end.
+
+    Workers stay for later tasks, so memory that they keep is lost to those.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    for part in parts:
+        for b in range(0, max(part.num_rows, 1), rows):
+            yield part.slice(b, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts go to Python a thousand rows at a time: the session's default of 10,000 rows is meant for numbers."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import slices, small_batches
 from driftline.llm.hashing import WordHashes, mix, runs
 
 #: Cells of a fingerprint (a multiple of 3), 1 / the share of words that end a
@@ -217,7 +218,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=NAMES)
 
         held, at, first = [], None, ""
-        stream = (r for part in parts for r in zip(*[c.to_pylist() for c in part.columns], strict=True))
+        stream = (r for part in slices(parts) for r in zip(*[c.to_pylist() for c in part.columns], strict=True))
         for name, ahead, doc_id, text in chain(stream, [(None, False, None, "")]):
             if name != at:
                 if held:  # no row of a next range: this range follows itself
@@ -233,7 +234,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                     held = []
                 held.append((doc_id, text))
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long")
+    return small_batches(rows).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long")
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_paragraphs"]

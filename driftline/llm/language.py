@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.llm.common import slices, small_batches
+
 #: Places for the n-grams of each order.
 PLACES = {1: 1 << 10, 2: 1 << 13, 3: 1 << 15}
 #: The sample: rows for each language, rows in all, and those that are landmarks.
@@ -149,14 +151,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             held = [presence(x) if has_letter(x) else None for x in part.column(0).to_pylist()]
             packed = [None if h is None else b"".join(np.packbits(np.bincount(p, minlength=s).astype(bool)).tobytes() for p, s in zip(h, PLACES.values(), strict=True)) for h in held]
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(packed, pa.binary())], names=["label", "turn", "packed"])
 
     texts = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null")
     # at most ``rows`` ids: a size that is known
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "label", "turn").mapInArrow(run, "label string, turn int, packed binary")
+    sample = small_batches(texts).join(F.broadcast(chosen), "doc_id").select("text", "label", "turn").mapInArrow(run, "label string, turn int, packed binary")
     got = sorted((r["turn"], r["label"], bytes(r["packed"])) for r in sample.where("packed is not null").collect())
     held = []
     for _, _, packed in got:
@@ -173,13 +175,13 @@ def predict_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             names, sure = shared.value.predict(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return small_batches(source).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -188,8 +190,8 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             names, _ = shared.value.predict(part.column(at).to_pylist())
             yield part.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

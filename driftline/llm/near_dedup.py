@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import bitmap, marked, materialize, words_of
+from driftline.llm.common import bitmap, marked, materialize, slices, small_batches, words_of
 from driftline.llm.hashing import WordHashes, mix, shingles
 
 TREES, DEPTH, TOP = 16, 8, 4
@@ -61,7 +61,7 @@ def describe(docs: DataFrame, *, id_col: str, text_col: str, n: int) -> DataFram
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for part in parts:
+        for part in slices(parts):
             held = [shingles(words.of(words_of(x)), n) for x in part.column(2).to_pylist()]
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in held]
             signs = [signature(s) if len(s) else None for s in held]
@@ -76,14 +76,14 @@ def describe(docs: DataFrame, *, id_col: str, text_col: str, n: int) -> DataFram
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "signature", "sketch"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, signature binary, sketch binary")
+    return small_batches(source).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, signature binary, sketch binary")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
     """A row for each node and tree: region, deep (a hash of all the tree's hashes), order (its sort key), node."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             if not part.num_rows:
                 continue
             s = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, TREES, DEPTH).astype(np.uint64)
@@ -129,7 +129,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     joined = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             if not part.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in (2, 3))
@@ -145,7 +145,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str,
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for part in parts:
+        for part in slices(parts):
             held = [shingles(words.of(words_of(x)), n).tobytes() for x in part.column(1).to_pylist()]
             nodes = [xxhash.xxh3_128_digest(s) for s in held]
             good = [x == y for x, y in zip(nodes, part.column(0).to_pylist(), strict=True)]
@@ -163,7 +163,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             good = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.llm.common import slices, small_batches
+
 #: Words of a unit from which it is cut further, 1 / the share of words after
 #: which it is cut, and the least words of a unit.
 LONG, CUT, SHORT = 24, 8, 3
@@ -68,7 +70,7 @@ def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             held: list[list] = [[] for _ in names]
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 seen = set()
@@ -82,7 +84,7 @@ def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds, strict=True)], names=names)
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, unit int, start int, end int, n_words int, digest long, again boolean")
+    return small_batches(source).mapInArrow(run, "doc_id long, unit int, start int, end int, n_words int, digest long, again boolean")
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:

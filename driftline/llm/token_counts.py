@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import slices, small_batches
+
 #: Bytes of text in one call of the library.
 BATCH_BYTES = 1 << 20
 #: Lengths kept by a task; beyond that it starts anew.
@@ -92,7 +94,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lengths(path)
         get = known.__getitem__
-        for part in parts:
+        for part in slices(parts):
             texts = [x or "" for x in part.column(1).to_pylist()]
             if split:
                 n_tokens = []
@@ -108,5 +110,5 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    out = source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = small_batches(source).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
