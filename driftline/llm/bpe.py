@@ -38,7 +38,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters of a leaf of the tree, and the tokens on each side of a first window.
 LEAF, WINDOW = 512, 8
 #: Pieces kept by a task, and documents to a batch of results.
-KEPT, ROWS = 1 << 17, 256
+KEPT, ROWS = 1 << 18, 256
 
 _loaded: dict = {}
 
@@ -56,7 +56,7 @@ class Coder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.path, self.leaf, self._raw = path, leaf, None
+        self.path, self.leaf, self.most, self._raw = path, leaf, KEPT, None
         self.special = [t["content"] for t in json.loads(self.whole.to_str())["added_tokens"]]
         self.pattern, self.pre = regex.compile(PIECE), regex.compile(PRE_TOKEN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -140,8 +140,8 @@ class Coder:
 
     def learn(self, pieces: set[str]) -> None:
         """Keep each piece's ids and the bytes that its ids decode to."""
-        if len(self.kept) + len(pieces) > KEPT:
-            self.kept.clear()
+        if len(self.kept) + len(pieces) > self.most:
+            self.kept = {p: self.kept[p] for p in pieces if p in self.kept}  # the common ones
         new = [p for p in pieces if p not in self.kept]
         for group in batches([p for p in new if len(p) <= self.leaf]):
             for p, e in zip(group, self.whole.encode_batch_fast(group, add_special_tokens=False), strict=True):
@@ -180,11 +180,15 @@ def coder(path: str) -> Coder:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids and decoded."""
+def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = KEPT) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids and decoded.
+
+    A task keeps ``kept`` pieces; fewer than the default are given back at its end.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
+        c.most = kept
         for part in slices(parts, ROWS):
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
             for ids, decoded in c.encode([x or "" for x in part.column(1).to_pylist()]):
@@ -200,7 +204,8 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        c.kept.clear()  # the worker stays, its pieces need not
+        if kept < KEPT:  # the worker stays, its pieces need not
+            c.kept.clear()
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
