@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, vocabulary(CODE_VOCABULARY), with_ids=True).drop("decoded")
+    return bpe.encode_documents(docs, vocabulary(CODE_VOCABULARY), with_ids=True, kept=1 << 17).drop("decoded")
 
 
 STAGES = [
