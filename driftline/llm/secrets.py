@@ -109,9 +109,12 @@ def battery(token: Column) -> Column:
         var_runs = (mean_runs - 1.0) * (mean_runs - 2.0) / (n - 1.0)
         z_runs = F.when(var_runs > 0, F.abs(runs - mean_runs) / F.sqrt(var_runs)).otherwise(F.lit(30.0))
         # serial correlation of neighbours
-        mean = F.aggregate(s["v"], F.lit(0.0), lambda a, v: a + v) / n
-        var = F.aggregate(s["v"], F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-        cov = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (x["a"] - mean) * (x["b"] - mean))
+        # by sums, as a mean inside a lambda would be taken anew for every symbol
+        total = F.aggregate(s["v"], F.lit(0.0), lambda a, v: a + v)
+        var = F.aggregate(s["v"], F.lit(0.0), lambda a, v: a + v * v) - total * total / n
+        products = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["a"] * x["b"])
+        mean = total / n
+        cov = products - mean * (2.0 * total - F.element_at(s["v"], 1) - F.element_at(s["v"], -1)) + (n - 1.0) * mean * mean
         z_serial = F.when(var > 0, F.abs(cov / var + 1.0 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
         return F.struct(_tail(z_chi).alias("chi"), F.least(2.0 * _tail(z_runs), F.lit(1.0)).alias("runs"), F.least(2.0 * _tail(z_serial), F.lit(1.0)).alias("serial"))
 
