@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geometry import angle as between
 from driftline.functions.geometry import cross, dihedral as torsion
-from driftline.functions.geometry import dot, min_image, norm, rotate_about, sub, vec, wrapped_difference
+from driftline.functions.geometry import clamp, dot, min_image, norm, rotate_about, sub, vec, wrapped_difference
 from driftline.functions.selection import select
 from driftline.model import Selection, Trajectory
 from driftline.operators.common import centers, with_box
@@ -175,3 +175,63 @@ def persistence_length(traj: Trajectory, selection: Selection = None) -> DataFra
     points = bond_correlation(traj, selection).where("corr > 0").join(F.broadcast(mean))  # one row
     fit = points.agg(F.first("bond").alias("bond"), F.expr("regr_slope(ln(corr), bond * k)").alias("slope"))
     return fit.select("bond", (-1.0 / F.col("slope")).alias("persistence"), (-2.0 / F.col("slope")).alias("kuhn"))
+
+
+def multipucker(traj: Trajectory, selection: Selection = None, bins: int = 10, range_max: float | None = None, normalize: bool = True) -> DataFrame:
+    """frame, bin, value: distances from the center in each frame, up to ``range_max`` (itself in the last bin) or else the largest of all."""
+    rows = traj.points(selection).join(centers(traj, {"c": selection}), "frame").select("frame", norm(sub(vec(), vec("c"))).alias("r"))
+    top = rows.agg(F.max("r").alias("top")) if range_max is None else traj.frames.sparkSession.range(1).select(F.lit(float(range_max)).alias("top"))
+    rows = rows.crossJoin(F.broadcast(top)).where("r <= top")  # one row
+    at = F.when(F.col("top") > 0, F.least(F.floor(F.col("r") * bins / F.col("top")), F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
+    n = rows.groupBy("frame", at.alias("bin")).agg(F.count("*").alias("n"))
+    every = traj.boxes.select("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    out = every.join(n, ["frame", "bin"], "left").fillna(0, ["n"])
+    total = F.sum("n").over(Window.partitionBy("frame"))
+    value = F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)) if normalize else F.col("n").cast("double")
+    return out.select("frame", "bin", value.alias("value"))
+
+
+def bundle(traj: Trajectory, top: Selection, bottom: Selection, kink: Selection = None, by: str = "chain", mass_weighted: bool = False) -> DataFrame:
+    """Geometry of each axis (group) of a bundle about the bundle's middle, with z as the reference axis.
+
+    frame, by, mid_x .. mid_z, dir_x .. dir_z, length, distance, z_shift, tilt,
+    radial_tilt, lateral_tilt; with ``kink`` also kink_angle, kink_radial and
+    kink_lateral. Angles in degrees, 0 where undefined. Atoms of an end are
+    taken in the images next to its first one.
+    """
+    parts = {"t": top, "b": bottom} | ({"k": kink} if kink is not None else {})
+    flags = F.array(*[F.when(select(s), F.lit(k)) for k, s in parts.items()])
+    ends = traj.atoms.select("atom", by, "mass", F.explode(F.array_compact(flags)).alias("part"))
+    rows = traj.frames.join(ends, "atom").join(traj.boxes.select("frame", "lx", "ly", "lz"), "frame")
+    w = Window.partitionBy("frame", by, "part").orderBy("atom")
+    start = tuple(F.first(c).over(w) for c in "xyz")
+    near = min_image(sub(vec(), start), (F.col("lx"), F.col("ly"), F.col("lz")))
+    rows = rows.select("frame", by, "part", "mass", *[(s + d).alias(c) for s, d, c in zip(start, near, "xyz", strict=True)])
+    m = F.col("mass") if mass_weighted else F.lit(1.0)
+    sums = lambda k, c: F.sum(F.when(F.col("part") == k, m * F.col(c) if c else m))
+    g = rows.groupBy("frame", by).agg(*[(sums(k, c) / sums(k, "")).alias(f"{k}{c}") for k in parts for c in "xyz"])
+    every = Window.partitionBy("frame")
+    middle = {c: (F.avg(f"t{c}").over(every) + F.avg(f"b{c}").over(every)) / 2.0 for c in "xyz"}
+    g = g.select("frame", by, *[(F.col(f"{k}{c}") - middle[c]).alias(f"{k}{c}") for k in parts for c in "xyz"])
+    raw = sub(vec("t"), vec("b"))
+    g = g.select("*", *[((F.col(f"t{c}") + F.col(f"b{c}")) / 2.0).alias(f"mid_{c}") for c in "xyz"], norm(raw).alias("length"))
+    unit = lambda v: tuple(F.when(norm(v) > 0, c / norm(v)).otherwise(F.lit(0.0)) for c in v)
+    g = g.select("*", *[c.alias(f"dir_{k}") for c, k in zip(unit(raw), "xyz", strict=True)])
+    mid, d = vec("mid_"), vec("dir_")
+    lean = lambda part: F.when(F.sqrt(part * part + d[2] * d[2]) > 1e-12, F.degrees(F.asin(clamp(part / F.sqrt(part * part + d[2] * d[2]))))).otherwise(F.lit(0.0))
+    out = [*[F.col(f"{p}_{c}") for p in ("mid", "dir") for c in "xyz"], F.col("length"), norm(mid).alias("distance"), mid[2].alias("z_shift"), F.degrees(F.acos(clamp(d[2]))).alias("tilt")]
+    out += [lean(mid[0] * d[0] + mid[1] * d[1]).alias("radial_tilt"), lean(mid[1] * d[0] - mid[0] * d[1]).alias("lateral_tilt")]
+    if kink is not None:
+        up, down = unit(sub(vec("t"), vec("k"))), unit(sub(vec("k"), vec("b")))
+        out_of = unit((mid[0], mid[1], F.lit(0.0)))
+        turn = cross(up, down)
+        side = lambda v: F.degrees(F.asin(clamp(dot(turn, v))))
+        out += [F.degrees(F.acos(clamp(dot(up, down)))).alias("kink_angle"), side(out_of).alias("kink_radial"), side((out_of[1], -out_of[0], F.lit(0.0))).alias("kink_lateral")]
+    return g.select("frame", by, *out)
+
+
+def jcoupling(traj: Trajectory, quads: list[Quad], a: float = 6.4, b: float = -1.4, c: float = 1.9, phase: float = 0.0, pbc: bool = False) -> DataFrame:
+    """Scalar couplings of dihedrals by a Karplus curve, A cos^2 + B cos + C; ``phase`` in degrees."""
+    rows = multidihedral(traj, quads, pbc=pbc)
+    turn = lambda i: F.cos(F.radians(F.col(f"dihedral_{i}") + phase))
+    return rows.select("frame", *[(a * turn(i) * turn(i) + b * turn(i) + c).alias(f"j_{i}") for i in range(len(quads))])

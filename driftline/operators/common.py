@@ -72,7 +72,7 @@ def lagged(df: DataFrame, keys: list[str], order: str, values: list[str], max_la
     and the index, after one side is repeated once for each lag.
     """
     late = df.select(*keys, F.col(order).alias("end"), *[F.col(v).alias(f"1_{v}") for v in values])
-    early = df.select(*keys, order, *[F.col(v).alias(f"0_{v}") for v in values], F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
+    early = df.select(*keys, order, *[F.col(v).alias(f"0_{v}") for v in values], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_lag).cast("long"))).alias("lag"))
     return early.withColumn("end", F.col(order) + F.col("lag")).join(late, [*keys, "end"]).drop("end")
 
 

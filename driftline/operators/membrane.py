@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geometry import clamp, dot, nearest_integer, norm, periodic_bin, sub, vec
+from driftline.functions.selection import select
 from driftline.model import Selection, Trajectory
 from driftline.operators.common import pairs
 
@@ -167,3 +169,103 @@ def nematic(traj: Trajectory, tails: Selection, heads: Selection, by: str = "res
     terms = [(F.avg(1.5 * u(p[0]) * u(p[1])) - (0.5 if p[0] == p[1] else 0.0)).alias(f"q{p}") for p in ("xx", "yy", "zz", "xy", "xz", "yz")]
     q = rows.groupBy("frame").agg(F.count("*").alias("n"), *terms)
     return q.withColumn("order", eigenvalues(*[F.col(f"q{p}") for p in ("xx", "yy", "zz", "xy", "xz", "yz")])[2])
+
+
+def curved_leaflets(traj: Trajectory, selection: Selection, cutoff: float) -> DataFrame:
+    """frame, resid, leaflet (1, -1) from groups of residues in contact.
+
+    The two largest groups (ties: smaller resid) are the leaflets, the one
+    farther from the box's middle 1 (as far: the higher); each other residue
+    joins the nearer, as near the positive. With a single group, z against the mean tells.
+    A frame is one group of the function.
+    """
+    res = traj.points(selection, "resid", box=True).groupBy("frame", "resid").agg(*[F.avg(c).alias(c) for c in "xyz"], *[F.first(c).alias(c) for c in ("lx", "ly", "lz")], F.collect_list(F.array("x", "y", "z")).alias("atoms"))
+    links = contacts(traj, selection, cutoff).groupBy("frame", F.col("a_resid").alias("resid")).agg(F.collect_list("b_resid").alias("near"))
+
+    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("resid").reset_index(drop=True)
+        place = {r: i for i, r in enumerate(part["resid"])}
+        group = np.full(len(part), -1)
+        for i in range(len(part)):
+            if group[i] >= 0:
+                continue
+            group[i], todo = i, [i]
+            while todo:
+                near = part["near"].iloc[todo.pop()]
+                for r in near if near is not None else ():
+                    j = place[r]
+                    if group[j] < 0:
+                        group[j] = i
+                        todo.append(j)
+        xyz, box = part[["x", "y", "z"]].to_numpy(), part[["lx", "ly", "lz"]].iloc[0].to_numpy(dtype=float)
+        names, sizes = np.unique(group, return_counts=True)
+        if len(names) < 2:
+            return pd.DataFrame({"frame": key[0], "resid": part["resid"], "leaflet": np.where(xyz[:, 2] >= xyz[:, 2].mean(), 1, -1)})
+        first, second = names[np.argsort(-sizes, kind="stable")][:2]
+        image = lambda d: d - np.round(d / box) * box
+        out = np.sqrt((image(xyz - box / 2.0) ** 2).sum(axis=1))
+        far, high = ([v[group == g].mean() for g in (first, second)] for v in (out, xyz[:, 2]))
+        if far[0] < far[1] - 1e-6 or (abs(far[0] - far[1]) <= 1e-6 and high[0] < high[1]):
+            first, second = second, first
+        atoms = [np.array(list(map(list, a)), dtype=float) for a in part["atoms"]]
+        sides = [np.concatenate([a for a, g in zip(atoms, group, strict=True) if g == s]) for s in (first, second)]
+        nearest = lambda a, side: min(float((image(p - side) ** 2).sum(axis=1).min()) for p in a)
+        signs = [1 if g == first else -1 if g == second else 1 if nearest(a, sides[0]) <= nearest(a, sides[1]) else -1 for a, g in zip(atoms, group, strict=True)]
+        return pd.DataFrame({"frame": key[0], "resid": part["resid"], "leaflet": signs})
+
+    return res.join(links, ["frame", "resid"], "left").groupBy("frame").applyInPandas(one, "frame long, resid long, leaflet long")
+
+
+def area(traj: Trajectory, selection: Selection, leaflet: DataFrame) -> DataFrame:
+    """frame, resid, area of each residue's Voronoi cell in the periodic plane of its leaflet; null outside leaflets.
+
+    Cells are cut from the box by the bisectors with the other residues' images,
+    nearest first, until the rest are too far to cut. A leaflet of a frame is
+    one group of the function.
+    """
+    res = traj.points(selection, "resid", box=True).groupBy("frame", "resid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.first("lx").alias("lx"), F.first("ly").alias("ly"))
+    res = res.join(leaflet.select("frame", "resid", "leaflet"), ["frame", "resid"], "left").fillna(0, ["leaflet"])
+
+    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+        if key[1] == 0:
+            return pd.DataFrame({"frame": part["frame"], "resid": part["resid"], "area": None})
+        seeds, box = part[["x", "y"]].to_numpy(), part[["lx", "ly"]].iloc[0].to_numpy(dtype=float)
+        shifts = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]) * box
+        areas = []
+        for i, p in enumerate(seeds):
+            others = np.delete(seeds, i, axis=0) - p
+            others = (others - np.round(others / box) * box)[:, None, :] + shifts[None]
+            others = others.reshape(-1, 2)
+            others = others[np.argsort((others**2).sum(axis=1), kind="stable")]
+            cell = np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)]) * box / 2.0
+            for q in others:
+                if len(cell) < 3 or q @ q > 4.0 * (cell**2).sum(axis=1).max():
+                    break
+                side = cell @ q - q @ q / 2.0
+                kept = []
+                for k in range(len(cell)):
+                    a, b, sa, sb = cell[k], cell[(k + 1) % len(cell)], side[k], side[(k + 1) % len(cell)]
+                    if sa <= 0:
+                        kept.append(a)
+                    if (sa < 0 < sb) or (sb < 0 < sa):
+                        kept.append(a + (b - a) * (sa / (sa - sb)))
+                cell = np.array(kept).reshape(-1, 2)
+            x, y = cell[:, 0], cell[:, 1]
+            areas.append(float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2.0) if len(cell) > 2 else 0.0)
+        return pd.DataFrame({"frame": part["frame"], "resid": part["resid"], "area": areas})
+
+    return res.groupBy("frame", "leaflet").applyInPandas(one, "frame long, resid long, area double")
+
+
+def neighbour_composition(traj: Trajectory, selection: Selection, cutoff: float, label: str = "resname") -> DataFrame:
+    """frame, resid, label, n: residues in contact by their label."""
+    names = traj.atoms.where(select(selection)).groupBy(F.col("resid").alias("b_resid")).agg(F.min(label).alias(label))
+    return contacts(traj, selection, cutoff).join(names, "b_resid").groupBy("frame", F.col("a_resid").alias("resid"), label).agg(F.count("*").alias("n"))
+
+
+def scc_weighted(first: DataFrame, second: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Weighted mean of two tails' order by frame and residue; the one there is where the other is missing."""
+    a, b = (d.select("frame", "resid", F.col("scc").alias(f"scc_{k}")) for k, d in (("a", first), ("b", second)))
+    w = [F.when(F.col(f"scc_{k}").isNotNull(), F.lit(float(v))).otherwise(F.lit(0.0)) for k, v in zip("ab", weights, strict=True)]
+    top = sum(F.coalesce(F.col(f"scc_{k}"), F.lit(0.0)) * v for k, v in zip("ab", w, strict=True))
+    return a.join(b, ["frame", "resid"], "full").select("frame", "resid", (top / F.nullif(w[0] + w[1], F.lit(0.0))).alias("scc"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +110,58 @@ def pick_frames(traj: Trajectory, indices: list[int]) -> DataFrame:
     wanted = traj.frames.sparkSession.createDataFrame([(k, i) for k, i in enumerate(indices)], "position long, index long").join(F.broadcast(n))  # one row
     wanted = wanted.select("position", F.when(F.col("index") < 0, F.col("index") + F.col("n")).otherwise(F.col("index")).alias("frame"))
     return traj.frames.join(wanted, "frame").select("position", "frame", "atom", "x", "y", "z")
+
+
+def set_velocity(traj: Trajectory, selection: Selection = None, temperature: float = 300.0, seed: int = 0) -> DataFrame:
+    """Maxwellian velocities, normal with variance T / m in each component; the same seed, frame and atom give the same draw wherever they are computed."""
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.col("frame"), F.col("atom"), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    draw = lambda k: F.sqrt(-2.0 * F.log(u(2 * k))) * F.cos(2.0 * math.pi * u(2 * k + 1))
+    rows = traj.points(selection, "mass")
+    width = F.when(F.col("mass") > 0, F.sqrt(F.lit(float(temperature)) / F.col("mass"))).otherwise(F.lit(0.0))
+    return rows.select("frame", "atom", *[(draw(k) * width).alias(f"v{c}") for k, c in enumerate("xyz")])
+
+
+def randomize_ions(traj: Trajectory, ions: Selection, solvent: Selection, around: Selection = None, by: float = 0.0, overlap: float = 0.0, seed: int = 0, max_attempts: int = 1000) -> DataFrame:
+    """frame, atom, x, y, z with each ion's residue swapped with a random residue of solvent.
+
+    Solvent counts where it is ``by`` or more from ``around``; ions stay
+    ``overlap`` or more apart. Draws depend on the seed and the frame. A frame
+    is one group of the function, since each swap depends on those before it.
+    """
+    kind = F.when(select(ions), "ion").when(select(solvent), "solvent").otherwise("rest")
+    near = F.lit(False) if around is None else select(around)
+    rows = traj.frames.join(traj.atoms.select("atom", "resid", kind.alias("kind"), near.alias("around")), "atom").join(traj.boxes.select("frame", "lx", "ly", "lz"), "frame")
+
+    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("atom").reset_index(drop=True)
+        at, rng = part[["x", "y", "z"]].to_numpy(copy=True), np.random.default_rng([seed, int(key[0]) & 0x7FFFFFFF])
+        box = part[["lx", "ly", "lz"]].iloc[0].fillna(0.0).to_numpy(dtype=float)
+        period = np.where(box > 0, box, np.inf)
+
+        def apart(p: np.ndarray, q: np.ndarray) -> float:
+            d = p - q
+            d = d - np.where(np.isfinite(period), np.round(d / period) * np.where(np.isfinite(period), period, 0.0), 0.0)
+            return float(np.sqrt((d * d).sum(axis=-1)).min()) if len(d) else np.inf
+
+        rows_of = {k: [g.to_numpy() for _, g in part[part["kind"] == k].groupby("resid").groups.items()] for k in ("ion", "solvent")}
+        solute = at[part["around"].to_numpy()]
+        free = [r for r in rows_of["solvent"] if not len(solute) or min(apart(at[i], solute) for i in r) >= by]
+        placed: list[np.ndarray] = []
+        for ion in rows_of["ion"]:
+            here = at[ion].mean(axis=0)
+            for _ in range(max_attempts):
+                if not free:
+                    raise ValueError("no residue of solvent is left for an ion")
+                pick = int(rng.integers(len(free)))
+                there = at[free[pick]].mean(axis=0)
+                if not placed or apart(there, np.array(placed)) >= overlap:
+                    break
+            else:
+                raise ValueError("no place for an ion was found")
+            at[ion] += there - here
+            at[free[pick]] += here - there
+            placed.append(there)
+            free.pop(pick)
+        return pd.DataFrame({"frame": part["frame"], "atom": part["atom"], "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]})
+
+    return rows.groupBy("frame").applyInPandas(one, "frame long, atom long, x double, y double, z double")

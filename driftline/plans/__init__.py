@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from driftline.model import Trajectory
-from driftline.operators import angles, correlation, distances, fluctuation, grids, linear, membrane, radial, shape, transforms
+from driftline.operators import angles, correlation, distances, fluctuation, grids, linear, membrane, radial, series, shape, solvation, transforms
 
 #: Other names of the same analysis.
 ALIASES = {
@@ -16,13 +16,17 @@ ALIASES = {
     "count_in_voxel": "water_count", "analyze_modes": "pca", "molsurf": "surf", "permute_dihedrals": "multidihedral", "msd_multi": "msd", "polymer_chain_rg": "chain_rg",
     "polymer_contour_length": "contour_length", "polymer_end_to_end": "end_to_end", "polymer_persistence_length": "persistence_length", "vector": "distance_vector",
     "polymer_bond_length": "bond_length_distribution", "polymer_bond_angle": "bond_angle_distribution", "helixorient": "helix_orientation", "nematic_order": "nematic",
+    "strip_trajectory": "strip", "superpose_trajectory": "superpose", "rotate_dihedral_trajectory": "rotate_dihedral", "set_dihedral_trajectory": "set_dihedral", "center_trajectory_output": "center",
+    "transform_trajectory": "transform", "image_trajectory": "image", "autoimage_trajectory": "image", "fiximagedbonds_trajectory": "image", "runningavg_trajectory": "runningavg",
+    "randomize_ions_trajectory": "randomize_ions", "docking": "docking_contacts", "docking_analysis": "docking_contacts", "radial": "rdf", "sasa": "surf", "covar": "matrix_covariance", "correl": "matrix_correlation",
+    "dist": "matrix_distance", "rotdif": "rotacf", "toroidal_diffusion": "toroidal_transitions", "velocity_autocorrelation": "velocityautocorr",
 }
 
 
 def analyses() -> dict[str, Callable[..., DataFrame]]:
     """Every public function of the operator modules whose first argument is a trajectory; membranes' begin with lipid_."""
     found = {}
-    for module in (shape, distances, angles, fluctuation, transforms, radial, correlation, grids, membrane, linear):
+    for module in (shape, distances, angles, fluctuation, transforms, radial, correlation, grids, membrane, linear, solvation, series):
         for name, f in inspect.getmembers(module, inspect.isfunction):
             if f.__module__ == module.__name__ and not name.startswith("_") and next(iter(inspect.signature(f).parameters), "") == "traj":
                 found[f"lipid_{name}" if module is membrane and name != "nematic" else name] = f

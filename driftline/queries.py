@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.model import Trajectory, from_lineitem
-from driftline.operators import angles, correlation, distances, fluctuation, grids, linear, membrane, radial, shape, transforms
+from driftline.operators import angles, correlation, distances, fluctuation, grids, linear, membrane, radial, series, shape, solvation, transforms
 
 POINTS = """p AS (
   SELECT l_orderkey % 50 AS frame, l_partkey % 40 AS atom,
@@ -286,6 +286,57 @@ NEM = "d AS (SELECT frame, dx/n AS x, dy/n AS y, dz/n AS z FROM (SELECT a.frame,
 add("nematic_order", lambda t: membrane.nematic(t, "name N", "name O"))
 add("nematic_eigenvalue", lambda t: membrane.nematic(t, "name N", "name O").select("frame", "n", "qxx", "qxy", F.col("order").alias("largest")), "frame n", "qxx qxy largest", "SELECT frame, n, xx AS qxx, xy AS qxy, l3 AS largest FROM e", NEM)
 
+# Solvent around a solute
+TRIPLE = ("resname SOL and name O", "resname SOL and name N", "resname SOL and name C")
+MOL = "m0 AS (SELECT frame, resid, " + ", ".join(f"max(CASE WHEN name='{n}' THEN {k} END) AS {p}{k}" for p, n in (("o", "O"), ("n", "N"), ("c", "C")) for k in "xyz") + " FROM t WHERE resname='SOL' GROUP BY ALL HAVING count(*) FILTER (name IN ('O','N','C')) = 3)"
+MOL += ", m1 AS (SELECT frame, resid, " + ", ".join(f"{_mi(f'n{k}-o{k}')} AS e{k}, {_mi(f'c{k}-o{k}')} AS f{k}" for k in "xyz") + " FROM m0), m2 AS (SELECT *, ex+fx AS bx, ey+fy AS bly, ez+fz AS bz FROM m1), m3 AS (SELECT *, bly*fz-bz*fy AS vx, bz*fx-bx*fz AS vy, bx*fy-bly*fx AS vz, " + _norm("bx", "bly", "bz") + " AS bn FROM m2)"
+MOL += ", w AS (SELECT pr.frame, pr.a, pr.b, dist, -(dx*bx+dy*bly+dz*bz)/(dist*bn) AS cos1, -(dx*vx+dy*vy+dz*vz)/(dist*" + _norm("vx", "vy", "vz") + ") AS cos2 FROM pr JOIN m3 ON pr.frame=m3.frame AND pr.resid=m3.resid)"
+SOLV = "pr AS (" + _pairs("a.resname='NA'", "b.resname='SOL' AND b.name='O'", True, "true", ", b.resid AS resid, " + ", ".join(f"{_mi(f'b.{k}-a.{k}')} AS d{k}" for k in "xyz")) + ")"
+add("sorient", lambda t: solvation.sorient(t, "resname NA", TRIPLE, 8, 3.0), "bin n", "r cos1 p2 sum_cos1 sum_p2 count_density", "SELECT range AS bin, (range+0.5)*3 AS r, coalesce(n, 0) AS n, coalesce(s1/n, 0) AS cos1, coalesce(s2/n, 0) AS p2, coalesce(sum(s1) OVER v, 0)/(8*50.0) AS sum_cos1, coalesce(sum(s2) OVER v, 0)/(8*50.0) AS sum_p2, coalesce(n, 0)/(3*50.0) AS count_density FROM range(8) LEFT JOIN (SELECT least(floor(dist/3), 7)::BIGINT AS b, count(*) AS n, sum(cos1) AS s1, sum(3*cos2*cos2-1) AS s2 FROM w WHERE dist <= 24 GROUP BY 1) ON b = range WINDOW v AS (ORDER BY range)", f"{SOLV}, {MOL}")
+add("sorient_histogram", lambda t: solvation.sorient_histogram(t, "resname NA", TRIPLE, 5.0, 20.0, 0.25), "kind bin", "center density", "SELECT 'cos1' AS kind, range AS bin, -1+(range+0.5)*0.25 AS center, coalesce(n, 0)/((SELECT count(*) FROM s)*0.25) AS density FROM range(8) LEFT JOIN (SELECT least(floor((cos1+1)*4), 7)::BIGINT AS b, count(*) AS n FROM s GROUP BY 1) ON b=range UNION ALL SELECT 'abs_cos2', range, (range+0.5)*0.25, coalesce(n, 0)/((SELECT count(*) FROM s)*0.25) FROM range(4) LEFT JOIN (SELECT least(floor(abs(cos2)*4), 3)::BIGINT AS b, count(*) AS n FROM s GROUP BY 1) ON b=range", f"{SOLV}, {MOL}, s AS (SELECT * FROM w WHERE dist >= 5 AND dist < 20)")
+POLAR = SOLV + ", np AS (SELECT frame, resid, min(dist) AS dist, " + ", ".join(f"arg_min(d{k}, (dist, a)) AS d{k}" for k in "xyz") + " FROM pr GROUP BY frame, resid)"
+POLAR += ", o0 AS (SELECT frame, resid, name, charge, " + ", ".join(_mi(f"{k} - first({k}) OVER v") + f" AS o{k}" for k in "xyz") + " FROM t WHERE resname='SOL' WINDOW v AS (PARTITION BY frame, resid ORDER BY atom))"
+POLAR += ", dm AS (SELECT frame, resid, " + ", ".join(f"(sum(charge*o{k}) - avg(charge)*sum(o{k}))*(1.60217733::DOUBLE/0.03336::DOUBLE)*0.1::DOUBLE AS m{k}, (max(CASE WHEN name='N' THEN o{k} END)+max(CASE WHEN name='C' THEN o{k} END))/2 - max(CASE WHEN name='O' THEN o{k} END) AS h{k}" for k in "xyz") + " FROM o0 GROUP BY ALL)"
+POLAR += ", po AS (SELECT dist, " + _norm("mx", "my", "mz") + " AS mu, -(dx*mx+dy*my+dz*mz)/dist AS radial, -(dx*hx+dy*hy+dz*hz)/dist/" + _norm("hx", "hy", "hz") + " AS turn FROM np JOIN dm USING (frame, resid))"
+add("spol", lambda t: solvation.spol(t, "resname NA", "resname SOL", TRIPLE, 10, 2.0), "bin n", "r per_frame cumulative", "SELECT range AS bin, coalesce(n, 0) AS n, (range+1)*2.0 AS r, coalesce(n, 0)/50.0 AS per_frame, coalesce(sum(n) OVER (ORDER BY range), 0)/50.0 AS cumulative FROM range(10) LEFT JOIN (SELECT floor(dist/2)::BIGINT AS b, count(*) AS n FROM po WHERE dist < 20 GROUP BY 1) ON b=range", POLAR)
+add("spol_shell", lambda t: solvation.spol_shell(t, "resname NA", "resname SOL", TRIPLE, 3.0, 15.0, 0.5), "n", "shell_size dipole dipole_std radial_dipole radial_polarization", "SELECT count(*) AS n, count(*)/50.0 AS shell_size, avg(mu) AS dipole, stddev_pop(mu) AS dipole_std, avg(radial) AS radial_dipole, avg(radial-0.5*coalesce(turn, 0)) AS radial_polarization FROM po WHERE dist >= 3 AND dist < 15", POLAR)
+IONS = "i AS (SELECT frame, resid, resname, sum(mass*x)/sum(mass) AS x, sum(mass*y)/sum(mass) AS y, sum(mass*z)/sum(mass) AS z FROM t WHERE resname IN ('NA', 'SOL') GROUP BY ALL), nb AS (SELECT a.frame, a.resid, string_agg(b.resid::VARCHAR, ' ' ORDER BY b.resid) AS cluster, arg_min(b.resid, (" + _d("a", "b", True) + ", b.resid)) AS pair FROM i a JOIN i b ON a.frame=b.frame AND a.resname <> b.resname WHERE " + _d("a", "b", True) + " < 15 GROUP BY ALL), iv AS (SELECT i.frame, i.resid, resname, cluster, pair FROM i LEFT JOIN nb USING (frame, resid)), l AS (SELECT b.frame-a.frame AS lag, a.resname, (a.pair IS NOT DISTINCT FROM b.pair)::INT AS ip, (a.cluster IS NOT DISTINCT FROM b.cluster)::INT AS cp FROM iv a JOIN iv b ON a.resid=b.resid AND b.frame-a.frame BETWEEN 0 AND 6)"
+add("ion_pair_corr", lambda t: solvation.ion_pair_corr(t, "resname NA", "resname SOL", 15.0, 15.0, 6), "lag", "ip ip_cation ip_anion cp cp_cation cp_anion", "SELECT lag, " + ", ".join(f"avg({c}) AS {c}, avg({c}) FILTER (resname='NA') AS {c}_cation, avg({c}) FILTER (resname='SOL') AS {c}_anion" for c in ("ip", "cp")) + " FROM l GROUP BY lag", IONS)
+DOCK = "pr AS (" + _pairs("a.chain='A'", "b.chain='B'", False, "true", ", a.charge*b.charge AS qq, a.name[1] AS ea, b.name[1] AS eb") + "), cd AS (SELECT frame, a, b, dist, CASE WHEN dist <= 3 THEN 4 WHEN dist <= 4 AND qq < 0 THEN 0 WHEN dist <= 7 AND ea IN ('N','O') AND eb IN ('N','O') THEN 1 WHEN dist <= 8 AND ea='C' AND eb='C' THEN 2 WHEN dist <= 9 THEN 3 END AS code FROM pr)"
+add("docking_contacts", lambda t: solvation.docking_contacts(t, "chain A", "chain B", 9.0, 8.0, 7.0, 3.0), "frame receptor ligand code", "dist strength", "SELECT frame, a AS receptor, b AS ligand, code, dist, CASE code WHEN 1 THEN 0.5 ELSE greatest(0, least(1, 1 - dist/CASE code WHEN 2 THEN 8.0 WHEN 3 THEN 9.0 ELSE 3.0 END)) END AS strength FROM cd WHERE code > 0", DOCK)
+GIST = "hc AS (SELECT frame, avg(x) AS sx, avg(y) AS sy, avg(z) AS sz FROM t WHERE resname='NA' GROUP BY frame), m0 AS (SELECT frame, resid, " + ", ".join(f"max(CASE WHEN name='{n}' THEN {k} END) AS {p}{k}" for p, n in (("o", "O"), ("n", "N"), ("c", "C")) for k in "xyz") + " FROM t WHERE resname='SOL' GROUP BY ALL), hh AS (SELECT frame, ox, oy, oz, " + ", ".join(f"(n{k}+c{k})/2-o{k} AS h{k}, o{k}-s{k} AS r{k}" for k in "xyz") + " FROM m0 JOIN hc USING (frame))"
+add("gist_grid", lambda t: solvation.gist_grid(t, TRIPLE, "resname NA", (5.0, 5.0, 5.0), (4, 3, 2), 10.0, 6), "voxel orientation n", "", "SELECT floor((ox-5)/10)::BIGINT + 4*(floor((oy-5)/10)::BIGINT + 3*floor((oz-5)/10)::BIGINT) AS voxel, coalesce(least(floor(((hx*rx+hy*ry+hz*rz)/" + _norm("hx", "hy", "hz") + "/" + _norm("rx", "ry", "rz") + "+1)/2*6), CASE WHEN hx IS NOT NULL THEN 5 END), -1)::BIGINT AS orientation, count(*) AS n FROM hh WHERE ox >= 5 AND ox < 45 AND oy >= 5 AND oy < 35 AND oz >= 5 AND oz < 25 AND ox IS NOT NULL GROUP BY 1, 2", GIST)
+FREE = "pl AS (SELECT t.frame, x-ax+12 AS x, y-ay+12 AS y, z-az+12 AS z FROM t JOIN c USING (frame) WHERE resname='SOL'), iv AS (SELECT * FROM pl WHERE x >= 0 AND y >= 0 AND z >= 0 AND x < 24 AND y < 24 AND z < 24), tk AS (SELECT DISTINCT frame, i + 6*(j + 6*k) AS voxel FROM iv, range(6) a(i), range(6) b(j), range(6) d(k) WHERE ((i+0.5)*4-x)**2 + ((j+0.5)*4-y)**2 + ((k+0.5)*4-z)**2 <= 25), oc AS (SELECT voxel, count(*) AS n, max((frame=0)::INT) AS n0, max((frame=49)::INT) AS n1 FROM tk GROUP BY voxel), vv AS (SELECT range AS voxel, coalesce(n, 0) AS n, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, 1-coalesce(n, 0)/50.0 AS mean FROM range(216) LEFT JOIN oc ON voxel=range)"
+add("free_volume", lambda t: solvation.free_volume(t, "resname SOL", "chain A", 4.0, (6, 6, 6), 5.0), "voxel first last min max", "mean std", "SELECT voxel, mean, sqrt(greatest(mean-mean*mean, 0)) AS std, (1-n0)::BIGINT AS first, (1-n1)::BIGINT AS last, (n=0)::BIGINT AS min, (n<50)::BIGINT AS max FROM vv", f"{AB}, {FREE}")
+
+# Bundles and rings
+add("multipucker", lambda t: angles.multipucker(t, "resid 0 1", 6, 40.0), "frame bin", "value", f"SELECT fr.frame, range AS bin, coalesce(n, 0)/sum(coalesce(n, 0)) OVER (PARTITION BY fr.frame) AS value FROM fr CROSS JOIN range(6) LEFT JOIN (SELECT t.frame, least(floor({_norm('x-ax', 'y-ay', 'z-az')}*6/40), 5)::BIGINT AS b, count(*) AS n FROM t JOIN c USING (frame) WHERE resid IN (0, 1) AND {_norm('x-ax', 'y-ay', 'z-az')} <= 40 GROUP BY 1, 2) k ON k.frame=fr.frame AND b=range", "c AS (" + _centers(a="resid IN (0, 1)") + ")")
+BUN = "s0 AS (SELECT frame, chain, CASE WHEN name='CA' THEN 't' ELSE 'b' END AS part, " + ", ".join(f"first({k}) OVER v + {_mi(f'{k} - first({k}) OVER v')} AS {k}" for k in "xyz") + " FROM t WHERE name IN ('CA', 'O') WINDOW v AS (PARTITION BY frame, chain, name ORDER BY atom)), s1 AS (SELECT frame, chain, " + ", ".join(f"avg({k}) FILTER (part='{p}') AS {p}{k}" for p in "tb" for k in "xyz") + " FROM s0 GROUP BY frame, chain), s2 AS (SELECT frame, chain, " + ", ".join(f"(t{k}+b{k})/2 - (avg(t{k}) OVER u + avg(b{k}) OVER u)/2 AS mid_{k}, t{k}-b{k} AS v{k}" for k in "xyz").replace("+by", '+"by"').replace("(by)", '("by")').replace("-by", '-"by"') + " FROM s1 WINDOW u AS (PARTITION BY frame)), s3 AS (SELECT *, " + _norm("vx", "vy", "vz") + " AS length FROM s2), s4 AS (SELECT *, " + ", ".join(f"v{k}/length AS dir_{k}" for k in "xyz") + " FROM s3)"
+BUN = BUN.replace("AS by", 'AS "by"')
+_lean = lambda e: f"degrees(asin(({e})/sqrt(({e})**2 + dir_z**2)))"
+add("bundle", lambda t: angles.bundle(t, "name CA", "name O"), "frame chain", "mid_x mid_y mid_z dir_x dir_y dir_z length distance z_shift tilt radial_tilt lateral_tilt", f"SELECT *, {_norm('mid_x', 'mid_y', 'mid_z')} AS distance, mid_z AS z_shift, degrees(acos(dir_z)) AS tilt, {_lean('mid_x*dir_x+mid_y*dir_y')} AS radial_tilt, {_lean('mid_y*dir_x-mid_x*dir_y')} AS lateral_tilt FROM s4", BUN)
+add("jcoupling", lambda t: angles.jcoupling(t, [R4], phase=-60.0), "frame", "j_0", f"SELECT frame, 6.4*cos(radians({DI}-60))**2 - 1.4*cos(radians({DI}-60)) + 1.9 AS j_0 FROM c", QUAD)
+
+# Series and order parameters
+UV = "uv AS (SELECT a.frame, a.resid, " + ", ".join(f"(b.{k}-a.{k})/{_d('a', 'b')} AS u{k}" for k in "xyz") + " FROM t a JOIN t b ON a.frame=b.frame AND a.resid=b.resid AND a.name='N' AND b.name='CA')"
+add("nh_order_parameters", lambda t: series.nh_order_parameters(t, "name N", "name CA"), "resid", "s2", "SELECT resid, 1.5*(avg(ux*ux)**2+avg(uy*uy)**2+avg(uz*uz)**2+2*(avg(ux*uy)**2+avg(ux*uz)**2+avg(uy*uz)**2))-0.5 AS s2 FROM uv GROUP BY resid", UV)
+add("ired_matrix", lambda t: series.ired_matrix(t, "name N", "name CA"), "a b", "corr", "SELECT p.resid AS a, q.resid AS b, avg(1.5*(p.ux*q.ux+p.uy*q.uy+p.uz*q.uz)**2-0.5) AS corr FROM uv p JOIN uv q USING (frame) GROUP BY 1, 2", UV)
+add("lipidscd", lambda t: series.lipidscd(t, "name N", "name CA"), "resid", "scd", "SELECT resid, avg(1.5*uz*uz-0.5) AS scd FROM uv GROUP BY resid", UV)
+add("acorr", lambda t: series.correlate(distances.distance(t, "chain A", "chain B"), ["dist"], max_lag=8), "lag", "corr", f"SELECT b.frame-a.frame AS lag, avg(a.d*b.d)/(SELECT avg(d*d) FROM q0) AS corr FROM q0 a JOIN q0 b ON b.frame-a.frame BETWEEN 0 AND 8 GROUP BY 1", f"{AB}, q0 AS (SELECT frame, {_cdist('a', 'b')} AS d FROM c)")
+add("timecorr", lambda t: series.timecorr(distances.distance_vector(t, "chain A", "chain B"), ("dx", "dy", "dz"), 2, max_lag=6), "lag", "corr", "SELECT b.frame-a.frame AS lag, avg(1.5*(a.x*b.x+a.y*b.y+a.z*b.z)**2-0.5) AS corr FROM q0 a JOIN q0 b ON b.frame-a.frame BETWEEN 0 AND 6 GROUP BY 1", AB + ', q0 AS (SELECT frame, ' + ", ".join(f'("b{k}"-a{k})/{_cdist("a", "b")} AS {k}' for k in "xyz") + " FROM c)")
+add("lowest_envelope", lambda t: series.lowest_envelope(distances.distance_to_point(t, "name CA", (25, 25, 25)), "atom", "dist", 3, 8.0), "bin", "x y", f"SELECT bin, (bin+0.5)*8 AS x, avg(d) AS y FROM (SELECT bin, d, row_number() OVER (PARTITION BY bin ORDER BY d, atom) AS k FROM (SELECT atom, floor(atom/8)::BIGINT AS bin, {_norm('x-25', 'y-25', 'z-25')} AS d FROM t WHERE name='CA')) WHERE k <= 3 GROUP BY bin")
+add("crank", lambda t: series.crank(angles.dihedral(t, *R4), angles.dihedral(t, "resid 1", "resid 4", "resid 7", "resid 8")), "frame", "crank", f"SELECT frame, sqrt(power({DI}, 2) + power({_dihedral_sql('e', 'f', 'k', 'l')}, 2)) AS crank FROM c", "c AS (" + _centers(a="resid=0", b="resid=3", g="resid=6", h="resid=9", e="resid=1", f="resid=4", k="resid=7", l="resid=8") + ")")
+add("ti", lambda t: series.ti(t.points("name CA").select(F.floor(F.col("atom") / 8).alias("lam"), F.col("x").alias("dvdl"))), "", "integral error", "SELECT sum(w*m) AS integral, sqrt(sum(w*e*w*e)) AS error FROM (SELECT m, e, (coalesce(lead(lam) OVER v, lam) - coalesce(lag(lam) OVER v, lam))/2 AS w FROM (SELECT floor(atom/8) AS lam, avg(x) AS m, stddev_samp(x)/sqrt(count(*)) AS e FROM t WHERE name='CA' GROUP BY 1) WINDOW v AS (ORDER BY lam))")
+add("project_values", lambda t: series.project_values(t.points(), "x", "y", "z", 5, (0.0, 0.0), (50.0, 50.0)), "i j n", "mean", "SELECT floor(x/10)::BIGINT AS i, floor(y/10)::BIGINT AS j, avg(z) AS mean, count(*) AS n FROM t WHERE x < 50 AND y < 50 GROUP BY 1, 2")
+add("joint_density", lambda t: series.joint_density(t.points(), "x", "y", 5, (0.0, 0.0), (50.0, 50.0), 300.0), "i j", "density energy", "SELECT i, j, n/(sum(n) OVER ()*100.0) AS density, -0.00831446261815324::DOUBLE*300*ln(n/max(n) OVER ()) AS energy FROM (SELECT floor(x/10)::BIGINT AS i, floor(y/10)::BIGINT AS j, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2)")
+add("diffusion", lambda t: series.diffusion(t, max_lag=8))
+add("set_velocity", lambda t: transforms.set_velocity(t, "name CA", 300.0, 7))
+add("randomize_ions", lambda t: transforms.randomize_ions(t, "resname NA", "resname SOL", seed=7))
+add("lipid_curved_leaflets", lambda t: membrane.curved_leaflets(t, "chain A", 6.0))
+add("lipid_area", lambda t: membrane.area(t, None, membrane.leaflets(t)))
+add("lipid_neighbour_composition", lambda t: membrane.neighbour_composition(t, None, 8.0), "frame resid resname n", "", f"SELECT frame, a AS resid, resname, count(*) AS n FROM (SELECT DISTINCT a.frame, a.resid AS a, b.resid AS b, b.resname FROM t a JOIN t b ON a.frame=b.frame AND a.resid <> b.resid WHERE {_d('a', 'b', True)} <= 8) GROUP BY ALL")
+add("lipid_scc_weighted", lambda t: membrane.scc_weighted(membrane.scc(t, "chain A"), membrane.scc(t, "resid 2-7"), (1.0, 2.0)))
+
 # Small linear algebra and clusters: no SQL, tests hold them against numpy
 add("rmsd_aligned", lambda t: linear.rmsd_aligned(t, "name CA", 0))
 add("align", lambda t: linear.align(t, "name CA", 0).select("frame", *[F.col("r")[i].alias(f"r{i}") for i in range(9)], *[F.col("t")[i].alias(f"t{i}") for i in range(3)]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftline import queries
 from driftline.functions.selection import SelectionError, select
 from driftline.model import Trajectory
-from driftline.operators import angles, correlation, distances, fluctuation, linear, membrane, radial, shape, transforms
+from driftline.operators import angles, correlation, distances, fluctuation, linear, membrane, radial, series, shape, solvation, transforms
 from driftline.plans import analyses, run
 from driftline.sources import dcd, text
 from driftline.streaming import running
@@ -26,7 +26,7 @@ def same(a, b):
 
 
 
-@pytest.mark.parametrize("name", [n for n in ("radius_of_gyration", "radgyr_tensor", "pairwise_distance", "search_neighbors", "rmsf", "image", "msd_multi", "lipid_neighbours", "water_count", "polymer_end_to_end", "drid", "runningavg")])
+@pytest.mark.parametrize("name", [n for n in ("radius_of_gyration", "radgyr_tensor", "pairwise_distance", "search_neighbors", "rmsf", "image", "msd_multi", "lipid_neighbours", "water_count", "polymer_end_to_end", "drid", "runningavg", "sorient", "spol_shell", "ion_pair_corr", "docking_contacts", "gist_grid", "free_volume", "bundle", "ired_matrix")])
 def test_queries_match_duckdb(spark, name):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
@@ -197,3 +197,86 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.frame, r.rg, r.n) for r in spark.table("rg_so_far").collect()) == [(0, 1.0, 2), (1, 1.0, 2)]
+
+
+def test_voronoi_cells_fill_the_plane(spark):
+    rng = np.random.default_rng(3)
+    t = make(spark, [[(*rng.uniform(0, 12, 2), 0.0) for _ in range(15)] for _ in range(2)], box=12.0)
+    sheet = t.frames.select("frame", F.col("atom").alias("resid")).withColumn("leaflet", F.when(F.col("resid") < 14, 1).otherwise(0))
+    rows = membrane.area(t, None, sheet).collect()
+    assert all((r["area"] is None or math.isnan(r["area"])) == (r["resid"] == 14) for r in rows)
+    for f in (0, 1):
+        cells = {r["resid"]: r["area"] for r in rows if r["frame"] == f and r["resid"] < 14}
+        assert math.isclose(sum(cells.values()), 144.0, rel_tol=1e-9)
+        seeds = np.array([(r["x"], r["y"]) for r in t.frames.where((F.col("frame") == f) & (F.col("atom") < 14)).orderBy("atom").collect()])
+        probe = rng.uniform(0, 12, (40000, 2))
+        d = probe[:, None, :] - seeds[None]
+        nearest = ((d - np.round(d / 12.0) * 12.0) ** 2).sum(axis=2).argmin(axis=1)
+        assert all(abs(cells[i] / 144.0 - (nearest == i).mean()) < 0.01 for i in range(14))
+
+
+def test_one_lipid_has_the_whole_plane(spark):
+    t = make(spark, [[(1, 1, 0)]], box=5.0)
+    sheet = spark.createDataFrame([(0, 0, 1)], "frame long, resid long, leaflet long")
+    assert values(membrane.area(t, None, sheet), "area") == [(25.0,)]
+
+
+def test_curved_leaflets_by_contact(spark):
+    ring = lambda r, n: [(25 + r * math.cos(2 * math.pi * k / n), 25 + r * math.sin(2 * math.pi * k / n), 25.0) for k in range(n)]
+    t = make(spark, [[*ring(12, 40), *ring(6, 20), (25 + 14.5, 25.0, 25.0), (25.0, 25.0, 25.0)]], box=50.0)
+    got = dict(values(membrane.curved_leaflets(t, None, 2.2), "resid", "leaflet"))
+    assert [got[i] for i in (*range(40), 60)] == [1] * 41 and [got[i] for i in (*range(40, 60), 61)] == [-1] * 21
+    flat = make(spark, [line(0, 1, 2)], box=50.0)
+    assert {r[0] for r in values(membrane.curved_leaflets(flat, None, 1.5), "leaflet")} == {1}
+
+
+def test_ions_swap_with_solvent(spark):
+    t = make(spark, [line(0, 5, 10, 15), line(1, 6, 11, 16)], box=40.0)
+    swap = lambda **k: values(transforms.randomize_ions(t, "resid 0", "resid 1-3", **k), "frame", "atom", "x")
+    got = swap(seed=5)
+    assert got == swap(seed=5)
+    for f, was in ((0, {0, 5, 10, 15}), (1, {1, 6, 11, 16})):
+        now = {a: x for g, a, x in got if g == f}
+        assert set(now.values()) == was and now[0] != f
+    far = swap(seed=5, around="resid 0", by=12.0)
+    assert [x for f, a, x in far if a == 0] == [15.0, 16.0]
+    with pytest.raises(Exception, match="no residue"):
+        swap(around="resid 0", by=30.0)
+
+
+def test_velocities_are_drawn_alike_everywhere(spark):
+    t = make(spark, [[(0, 0, 0)] * 4] * 400)
+    a = transforms.set_velocity(t, None, 300.0, 3)
+    b = transforms.set_velocity(t.with_frames(t.frames.repartition(7)), None, 300.0, 3)
+    assert values(a, "vx", "vy") == values(b, "vx", "vy")
+    v = np.array(values(a, "vx", "vy", "vz"))
+    assert abs(v.var() - 300.0) < 30.0 and abs(v.mean()) < 1.0 and abs(np.corrcoef(v.T)[0, 1]) < 0.1
+
+
+def test_bundle_kinks_and_ends_across_the_boundary(spark):
+    points = [(9.5, 0, 2), (0.5, 0, 2), (0, 0, 0), (0, 0, -2), (5, 0, 2), (5, 0, 2), (6, 0, 0), (5, 0, -2)]
+    t = make(spark, [points], box=10.0, names=["N", "N", "CA", "O"] * 2, chains=["A"] * 4 + ["B"] * 4)
+    r = {x["chain"]: x for x in angles.bundle(t, "name N", "name O", "name CA").collect()}
+    assert math.isclose(r["B"]["length"], 4.0) and math.isclose(r["B"]["tilt"], 0.0) and math.isclose(r["B"]["kink_angle"], 2 * math.degrees(math.atan(0.5)))
+    assert math.isclose(r["A"]["length"], math.hypot(10, 4)) and r["B"]["z_shift"] == 0.0
+
+
+def test_series_against_numpy(spark):
+    x = np.random.default_rng(1).normal(size=30)
+    s = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "frame long, v double")
+    got = values(series.correlate(s, ["v"], max_lag=5), "corr")
+    want = [np.mean(x[: 30 - k] * x[k:]) for k in range(6)]
+    assert np.allclose([g[0] for g in got], np.array(want) / want[0])
+    m = spark.createDataFrame([(0.0, 1.0), (0.5, 2.0), (1.0, 5.0)], "lam double, dvdl double")
+    assert math.isclose(series.ti(m).collect()[0]["integral"], np.trapezoid([1, 2, 5], [0, 0.5, 1]))
+    a, b = (spark.createDataFrame(r, "frame long, resid long, scc double") for r in ([(0, 0, 1.0), (0, 1, 3.0)], [(0, 0, 4.0)]))
+    assert values(membrane.scc_weighted(a, b, (1.0, 2.0)), "scc") == [(3.0,), (3.0,)]
+
+
+def test_solvation_of_empty_selections(spark):
+    t = make(spark, [line(0, 1, 2)], box=10.0)
+    none, triple = "resname SOL", ("resname SOL and name O", "resname SOL and name N", "resname SOL and name C")
+    assert [r["n"] for r in solvation.sorient(t, "resid 0", triple, 3, 1.0).orderBy("bin").collect()] == [0, 0, 0]
+    assert solvation.spol_shell(t, "resid 0", none, triple, 0.0, 5.0).collect()[0]["n"] == 0
+    assert solvation.ion_pair_corr(t, "resid 0", none, 3.0, 3.0, 2).collect()[0]["ip"] == 1.0
+    assert {r["mean"] for r in solvation.free_volume(t, none, "resid 0", 1.0, (2, 2, 2), 1.0).collect()} == {1.0}
