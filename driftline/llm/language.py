@@ -33,6 +33,8 @@ PLACES = {1: 1 << 10, 2: 1 << 13, 3: 1 << 15}
 #: The sample: rows for each language, rows in all, and those that are landmarks.
 ROWS_PER_LANGUAGE, ROWS, LANDMARKS = 400, 4096, 256
 RIDGE = 1e-2
+#: Parts in which a language's rows are ranked first, so that the last ranking sees at most so many times ROWS_PER_LANGUAGE.
+RANK_PARTS = 16
 #: Texts scored by one product.
 BLOCK = 64
 UNKNOWN = "und"
@@ -141,9 +143,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """
     doc_id = F.col(id_col)
     labelled = docs.select(doc_id.alias("doc_id"), F.col(label_col).alias("label")).where(doc_id.isNotNull() & F.col("label").isNotNull() & ~held_out(doc_id))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # the first rows of a language are among the first of its parts, however the rows are dealt to these
     chosen = (
         labelled.dropDuplicates(["doc_id"])
-        .withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")))
+        .withColumn("part", F.pmod(F.spark_partition_id(), F.lit(RANK_PARTS)))
+        .withColumn("turn", F.row_number().over(Window.partitionBy("label", "part").orderBy(*order)))
+        .where(F.col("turn") <= per_language)
+        .withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy(*order)))
         .where(F.col("turn") <= per_language)
         .orderBy("turn", "label")
         .limit(rows)
