@@ -13,7 +13,11 @@ Candidates whose sketches are too far apart to reach the threshold by many
 standard deviations fall away; the rest is confirmed on the full sets, first
 the best candidate of each node, then, since copies are by then in one
 component, only what would join two components. Regions that still hold several
-components are tried against other first nodes until a round joins nothing.
+components are tried against other first nodes while that joins some. What is
+then still apart in a region is compared in full: the region's nodes are dealt
+into blocks of bounded size, and every two blocks whose sizes allow the
+threshold give the exact similarity of all their pairs between two components.
+So every pair that shares a region is decided.
 
 Two sets at the threshold of 0.85 share the first 4 hashes in at least one of
 16 trees with probability 1 - (1 - 0.85^4)^16 = 0.99999.
@@ -40,8 +44,10 @@ from driftline.llm.hashing import WordHashes, mix, shingles
 TREES, DEPTH, TOP = 16, 8, 4
 #: Nodes of a region from which the depth adapts, and neighbours on either side.
 DENSE, NEIGHBOURS = 64, 2
-#: Rounds of further first nodes, at most; they end with the first that joins nothing.
+#: Rounds of further first nodes, at most; what they leave open is compared in full.
 ROUNDS = 8
+#: Nodes and shingles of a block, about; shared shingles counted at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 18, 2048
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -201,7 +207,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     members, pairs = candidates(nodes)
     good = materialize(likely(pairs, nodes, percent / 100.0), "likely")
     labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    if not good.isEmpty():
+    if not members.isEmpty():
         ids = nodes.select("node", "doc_id")
         listed = members.select("node").distinct()
         sets = materialize(full_sets(docs, listed.join(ids, "node"), id_col=id_col, text_col=text_col, n=n), "sets")
@@ -219,6 +225,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             labels, found = joined_up(more, labels, sets, percent)
             if not found:
                 break
+        labels, _ = merged(materialize(left_over(members, labels, sets, percent), "links"), labels)
     mapped = nodes.select("node", "doc_id").join(labels.toDF("at", "label"), F.col("node") == F.col("at"), "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = mapped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = mapped.join(smallest, "label").select(F.col("node").alias("at"), "component_id")
@@ -227,14 +234,92 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def similar(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, for each set of x and of y."""
+    n = [np.array([len(s) for s in side], np.int64) for side in (x, y)]
+    flat = [np.concatenate(side) for side in (x, y)]
+    shared = np.intersect1d(*flat)
+    common = np.zeros((len(x), len(y)), np.float32)
+    rows, places = [], []
+    for side, sizes in zip(flat, n, strict=True):
+        place = np.minimum(np.searchsorted(shared, side), max(len(shared) - 1, 0))
+        held = np.flatnonzero(shared[place] == side) if len(shared) else np.zeros(0, np.int64)
+        order = held[np.argsort(place[held], kind="stable")]
+        rows.append(np.repeat(np.arange(len(sizes)), sizes)[order])
+        places.append(place[order])
+    for first in range(0, len(shared), COLUMNS):
+        held = []
+        for row, place, sizes in zip(rows, places, n, strict=True):
+            part = slice(*np.searchsorted(place, [first, first + COLUMNS]))
+            matrix = np.zeros((len(sizes), min(COLUMNS, len(shared) - first)), np.float32)
+            matrix[row[part], place[part] - first] = 1.0
+            held.append(matrix)
+        common += held[0] @ held[1].T
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (n[0][:, None] + n[1][None, :] - common)
+
+
+def left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a region, at least one for every two components that have any.
+
+    Sizes of sets at the threshold are in one bucket or in neighbouring ones.
+    Blocks are dealt by a hash within a region and bucket; a component with a
+    block's worth of nodes there has its own, which needn't meet one another.
+    """
+    named = members.where(F.col("n") > NEIGHBOURS + 1).select("region", "node").join(labels.toDF("at", "label"), F.col("node") == F.col("at"), "left").select("region", "node", F.coalesce("label", "node").alias("label"))
+    open_ = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(F.col("region").alias("of"))
+    width = 1.001 * float(np.log(100.0 / percent))
+    sizes = sets.select(F.col("node").alias("at"), F.expr("length(shingles) div 8").alias("size"))
+    sized = named.join(open_, F.col("region") == F.col("of")).join(sizes, F.col("node") == F.col("at")).select("region", "node", "label", "size", F.floor(F.log("size") / F.lit(width)).alias("bucket"))
+    sized = materialize(sized, "open")
+    of_label = sized.groupBy("region", "bucket", "label").agg(F.count("*").alias("held"))
+    large = of_label.where(F.col("held") >= BLOCK).select("region", "bucket", "label", F.col("label").alias("own"))
+    placed = sized.join(large, ["region", "bucket", "label"], "left")
+    slots = F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("size") / F.lit(float(BLOCK_SHINGLES))))
+    groups = placed.groupBy("region", "bucket", "own").agg(slots.alias("slots"))
+    same = (F.col("p.region") == F.col("g.region")) & (F.col("p.bucket") == F.col("g.bucket")) & F.col("p.own").eqNullSafe(F.col("g.own"))
+    dealt = placed.alias("p").join(groups.alias("g"), same).select("p.region", "p.bucket", "p.own", "node", "label", F.pmod(F.xxhash64("node"), F.col("slots")).alias("slot"))
+    dealt = materialize(dealt.withColumn("block", F.struct("bucket", "own", "slot")), "dealt")
+    blocks = dealt.groupBy("region", "bucket", "own", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    left, right = blocks.alias("x"), blocks.alias("y")
+    meet = (F.col("x.region") == F.col("y.region")) & (F.col("x.block") <= F.col("y.block")) & (F.col("y.bucket") - F.col("x.bucket") <= 1)
+    apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
+    pairs = left.join(right, meet & apart).select("x.region", F.col("x.block").alias("one"), F.col("y.block").alias("other"))
+    pairs = materialize(pairs.withColumn("pair", F.xxhash64("region", "one", "other")), "blocks")
+    sides = pairs.select("region", "pair", F.col("one").alias("block"), F.lit(False).alias("second")).unionByName(pairs.where("one != other").select("region", "pair", F.col("other").alias("block"), F.lit(True).alias("second")))
+    rows = sides.join(dealt.select("region", "block", "node", "label"), ["region", "block"]).join(sets, "node").select("region", "pair", "second", "node", "label", "shingles")
+
+    def run(part: pa.Table) -> pa.Table:
+        nodes, names = part.column("node").to_pylist(), part.column("label").to_pylist()
+        held = [np.frombuffer(s, np.uint64) for s in part.column("shingles").to_pylist()]
+        second = np.array(part.column("second").to_pylist(), bool)
+        x = np.flatnonzero(~second)
+        y = np.flatnonzero(second) if second.any() else x
+        number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+        label = np.array([number[name] for name in names])
+        good = similar([held[i] for i in x], [held[i] for i in y], percent) & (label[x][:, None] != label[y][None, :])
+        i, j = np.nonzero(good)
+        # one link is enough for two components
+        _, once = np.unique(np.sort(np.stack([label[x[i]], label[y[j]]], axis=1), axis=1), axis=0, return_index=True)
+        ends = [(nodes[x[i[k]]], nodes[y[j[k]]]) for k in once]
+        return pa.table({"a": pa.array([min(e) for e in ends], pa.binary()), "b": pa.array([max(e) for e in ends], pa.binary())})
+
+    return rows.groupBy("region", "pair").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def joined_up(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, bool]:
     """Labels after the pairs between two components that are confirmed, and whether there are any."""
     at = lambda side: labels.toDF(f"at_{side}", f"label_{side}")
     apart = pairs.join(at("a"), F.col("a") == F.col("at_a"), "left").join(at("b"), F.col("b") == F.col("at_b"), "left")
     apart = apart.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")).where("label_a != label_b")
-    links = materialize(confirmed(apart.select("a", "b"), sets, percent), "links")
+    return merged(materialize(confirmed(apart.select("a", "b"), sets, percent), "links"), labels)
+
+
+def merged(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
+    """Labels after the links between components, and whether there are any."""
     if links.isEmpty():
         return labels, False
+    at = lambda side: labels.toDF(f"at_{side}", f"label_{side}")
     lifted = links.join(at("a"), F.col("a") == F.col("at_a"), "left").join(at("b"), F.col("b") == F.col("at_b"), "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
     over = components(lifted)
     before = labels.unionByName(over.select("node", F.col("node").alias("label")).join(labels.select(F.col("node").alias("at")), F.col("node") == F.col("at"), "left_anti"))

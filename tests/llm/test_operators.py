@@ -171,6 +171,52 @@ def test_near_dedup_in_dense_regions(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_classes(rows)
 
 
+def family(rng, size, pairs):
+    """Variants of one text, about 0.75 alike, and near copies of some of them, 0.857 alike."""
+    base = words(rng, 200).split()
+    out = []
+    for i in range(size):
+        w = list(base)
+        for at in rng.sample(range(0, 200, 6), 3):
+            w[at] = words(rng, 1) + str(i)
+        out.append(w)
+    for i in range(pairs):
+        w = list(out[i])
+        for at in rng.sample(range(3, 195, 6), 3):
+            w[at] = "altered" + str(i)
+        out.append(w)
+    rng.shuffle(out)
+    return [(i, " ".join(w), None, None, None) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("dense, block", [(64, 512), (8, 16)])
+def test_near_dedup_of_pairs_in_a_family(spark, monkeypatch, dense, block):
+    """Pairs among many texts that are alike, but below the threshold."""
+    rows = family(random.Random(21), 500, 100)
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    got = near_dedup.classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_classes(rows)
+
+
+def test_near_dedup_compares_open_regions_in_full(spark, monkeypatch):
+    """Without further rounds, blocks of one component meet those of others."""
+    rng = random.Random(5)
+    base = words(rng, 120).split()
+    centres = [[w if rng.random() < 0.98 else words(rng, 1) + str(k) for w in base] for k in range(6)]
+    rows = []
+    for i in range(180):
+        w = list(centres[i % 6])
+        w[rng.randrange(len(w))] = "changed" + str(rng.randrange(40))
+        rows.append((i, " ".join(w), None, None, None))
+    rows += family(random.Random(22), 60, 10)
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    for name, value in (("DENSE", 8), ("ROUNDS", 0), ("BLOCK", 8)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = near_dedup.classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_classes(rows)
+
+
 def test_components_of_a_long_chain(spark):
     name = lambda i: F.lpad(i.cast("string"), 6, "0").cast("binary")
     links = spark.range(300).select(name(F.col("id")).alias("a"), name(F.col("id") + 1).alias("b"))
