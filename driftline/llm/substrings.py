@@ -1,13 +1,18 @@
-"""Substring dedup: hashed units of text, of which the earliest occurrence stays.
+"""Substring dedup: repeated units and repeated runs of words, of which the earliest occurrence stays.
 
 A text is cut into units at line breaks and ends of sentences, and units of
-more than LONG words further after words whose hash is divisible by CUT, so that
-a passage has whole units of its own wherever it stands. Units are normalised
-(lower case, no punctuation, single spaces) and hashed; digests are grouped
-over all documents, and the occurrence in the document with the smallest id, at
-its first place there, is kept. What is removed are runs of neighbouring
-repeated units of at least ``least_words`` words together, with their offsets
-in the original text (code points, end exclusive).
+more than LONG words further after words whose hash is divisible by CUT. Units
+are normalised (lower case, no punctuation, single spaces) and hashed; digests
+are grouped over all documents, and the occurrence in the document with the
+smallest id, at its first place there, is kept.
+
+As units at the edges of a passage mix with its host, every run of RUN words
+that occurs again is found as well, wherever it stands. Of the hashes of SHORTER
+words, the smallest among each RUN - SHORTER + 1 neighbours is an anchor, so a
+repeated run holds a repeated anchor; the runs around those are then hashed
+themselves, and grouped like units. What is removed are the words of repeated
+units and runs, in stretches of at least ``least_words`` words together, with
+their offsets in the original text (code points, end exclusive).
 
 Defined cases: null and empty texts have no units; a null id ranks last; rows
 that share an id count as one document; an empty table gives an empty result.
@@ -18,18 +23,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import slices, small_batches
+from driftline.llm.common import bitmap, marked, materialize, slices, small_batches
+from driftline.llm.hashing import mix, powers, runs
 
 #: Words of a unit from which it is cut further, 1 / the share of words after
 #: which it is cut, and the least words of a unit.
 LONG, CUT, SHORT = 24, 8, 3
 #: Least words of a removed run.
 LEAST_WORDS = 20
+#: Words of a run that is compared wherever it stands, and of an anchor in it.
+RUN, SHORTER = 20, 8
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
@@ -37,71 +46,163 @@ _WORD = re.compile(r"\S+")
 _DROPPED = ".,;:!?\"'()[]{}<>|*_#-"
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, number of words, digest) of each unit of SHORT words or more."""
-    at = 0
+class PlainHashes(dict):
+    """Word -> 64-bit hash of the normalised word, emptied at a quarter million words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.lower().strip(_DROPPED))
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def units(text: str, h: np.ndarray) -> np.ndarray:
+    """Number of the first word of each unit, those of fewer than SHORT words too; ``h`` are the words' hashes."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    starts, at, n = [], 0, 0
     for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        raw = text[at:end]
-        words = raw.split()
-        if len(words) > LONG:
-            spans = list(_WORD.finditer(raw))
-            first = 0
-            for i, w in enumerate(words):
-                if i + 1 == len(words) or xxhash.xxh3_64_intdigest(w.lower().strip(_DROPPED)) % CUT == 0:
-                    if i + 1 - first >= SHORT:
-                        yield at + spans[first].start(), at + spans[i].end(), i + 1 - first, digest(words[first : i + 1])
-                    first = i + 1
-        elif len(words) >= SHORT:
-            left = len(raw) - len(raw.lstrip())
-            yield at + left, at + len(raw.rstrip()), len(words), digest(words)
+        words = len(text[at:end].split())
+        if words:
+            starts.append(n)
+            if words > LONG:
+                starts.extend((np.flatnonzero(h[n : n + words - 1] % np.uint64(CUT) == 0) + n + 1).tolist())
+        n += words
         at = end
+    return np.array(starts, np.int64)
+
+
+def windows(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of ``n`` words, by its first word."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    p, spread = powers(n), mix(h)
+    total = np.zeros(len(h) - n + 1, np.uint64)
+    for i in range(n):
+        total += spread[i : len(h) - n + 1 + i] * p[i]
+    return mix(total + np.uint64(n))
+
+
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the anchors: each run of RUN words holds one that depends on its words only."""
+    short, wide = windows(h, SHORTER), RUN - SHORTER + 1
+    if len(short) < wide:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(short, wide).argmin(axis=1) + np.arange(len(short) - wide + 1))
+    return at, short[at]
+
+
+def seen_before(digests: np.ndarray) -> np.ndarray:
+    again = np.ones(len(digests), bool)
+    again[np.unique(digests, return_index=True)[1]] = False
+    return again
+
+
+PIECE = "doc_id long, text_hash long, anchor boolean, first int, last int, reach int, start int, end int, digest long, again boolean"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+
 
+def _emit(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, _KINDS, strict=True)], names=[c.split()[0] for c in PIECE.split(", ")])
 
-def digest(words: list[str]) -> int:
-    """A signed 64-bit hash of the normalised words."""
-    plain = " ".join([w.strip(_DROPPED) for w in words]).lower()
-    h = xxhash.xxh3_64_intdigest(plain)
-    return h - (1 << 64) if h >> 63 else h
 
+def _pieces(doc_id, text_hash, anchor: bool, first, last, reach, spans: np.ndarray, digests: np.ndarray) -> list[np.ndarray]:
+    """Columns of PIECE for some pieces of a text; ``spans`` are the words' places."""
+    n = len(first)
+    start, end = (np.zeros(n, np.int64), np.zeros(n, np.int64)) if anchor else (spans[first, 0], spans[last - 1, 1])
+    return [np.full(n, doc_id, np.int64), np.full(n, text_hash, np.int64), np.full(n, anchor), first, last, reach, start, end, digests.view(np.int64), seen_before(digests)]
 
-def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, unit, start, end, n_words, digest, again (seen before in this text)."""
-    names = ["doc_id", "unit", "start", "end", "n_words", "digest", "again"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+
+def _spans(text: str) -> np.ndarray:
+    return np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+
+
+def piece_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Units of SHORT words or more, and anchors.
+
+    first and last (exclusive) count words, reach is the first word of the next
+    such unit, start and end are offsets, again: seen before in this text.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = PlainHashes()
         for part in slices(parts):
-            held: list[list] = [[] for _ in names]
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                seen = set()
-                for i, (start, end, n, d) in enumerate(units(text or "")):
-                    for column, x in zip(held, (doc_id, i, start, end, n, d, d in seen), strict=True):
-                        column.append(x)
-                    seen.add(d)
-                if len(held[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds, strict=True)], names=names)
-                    held = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds, strict=True)], names=names)
-
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(text_col).alias("text"))
-    return small_batches(source).mapInArrow(run, "doc_id long, unit int, start int, end int, n_words int, digest long, again boolean")
+            held: list = []
+            for doc_id, text_hash, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                spans = _spans(text or "")
+                if not len(spans):
+                    continue
+                h = plain.of([text[a:b] for a, b in spans.tolist()])
+                first = units(text, h)
+                last, digests = np.append(first[1:], len(h)), runs(h, first)
+                good = last - first >= SHORT
+                first, last, digests = first[good], last[good], digests[good]
+                held.append(_pieces(doc_id, text_hash, False, first, last, np.append(first[1:], len(h)) if len(first) else first, spans, digests))
+                at, short = anchors(h)
+                held.append(_pieces(doc_id, text_hash, True, at, at, at, spans, short))
+            yield _emit(held)
+
+    return small_batches(_source(docs, id_col, text_col)).mapInArrow(run, PIECE)
+
+
+def run_table(docs: DataFrame, found: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The runs of RUN words that hold one of the anchors ``found``."""
+    places = materialize(found.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.collect_set("first").alias("places")), "places")
+    texts = marked(_source(docs, id_col, text_col), materialize(bitmap(places, "of_id", "of_hash"), "bitmap"), "doc_id", "text_hash").where("maybe")
+    both = texts.join(places, (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))).select("doc_id", "text_hash", "text", "places")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = PlainHashes()
+        for part in slices(parts, 128):
+            held: list = []
+            for doc_id, text_hash, text, places in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                spans = _spans(text)
+                long = windows(plain.of([text[a:b] for a, b in spans.tolist()]), RUN)
+                first = np.unique((np.array(places)[:, None] - np.arange(RUN - SHORTER + 1)).reshape(-1))
+                first = first[(first >= 0) & (first < len(long))]
+                held.append(_pieces(doc_id, text_hash, False, first, first + RUN, first + RUN, spans, long[first]))
+            yield _emit(held)
+
+    return both.mapInArrow(run, PIECE)
+
+
+def repeated(pieces: DataFrame) -> DataFrame:
+    """The pieces whose digest occurs several times, with ``kept``, the smallest id among them.
+
+    Units and anchors have their own digests, as their numbers of words differ in the hash.
+    """
+    several = pieces.groupBy("anchor", "digest").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("kind"), F.col("digest").alias("of"), "kept")
+    return pieces.join(several, (F.col("digest") == F.col("of")) & (F.col("anchor") == F.col("kind"))).drop("of", "kind", "digest")
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, end, n_words, n_units, kept_doc_id of each run to remove."""
-    every = unit_table(docs, id_col=id_col, text_col=text_col)
-    repeats = every.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
-    flagged = every.join(repeats, F.col("digest") == F.col("of")).where(F.col("again") | (F.col("doc_id") != F.col("first")))
-    flagged = flagged.select("doc_id", "unit", "start", "end", "n_words", "first").repartition("doc_id").dropDuplicates(["doc_id", "unit"])
-    island = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
-    runs = (
-        flagged.withColumn("island", island)
-        .groupBy("doc_id", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_units"), F.min("first").alias("kept_doc_id"))
+    """doc_id, start, end, n_words, n_units, kept_doc_id of each run to remove; n_units counts units and runs of RUN words."""
+    later = F.col("again") | (F.col("doc_id") != F.col("kept"))
+    found = materialize(repeated(piece_table(docs, id_col=id_col, text_col=text_col)).where(F.col("anchor") | later), "pieces")
+    long = materialize(run_table(docs, found.where("anchor"), id_col=id_col, text_col=text_col), "runs")
+    flagged = found.where("not anchor").unionByName(repeated(long).where(later))
+    text = ["doc_id", "text_hash"]
+    flagged = flagged.select(*text, "first", "last", "reach", "start", "end", "kept").repartition(*text).dropDuplicates([*text, "first", "last"])
+    ordered = Window.partitionBy(*text).orderBy("first", "last")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    covered = flagged.withColumns({"reached": F.max("reach").over(before), "ended": F.coalesce(F.max("last").over(before), F.lit(0))})
+    covered = covered.withColumn("fresh", F.greatest(F.col("last") - F.greatest("first", "ended"), F.lit(0)))
+    islands = covered.withColumn("island", F.sum(F.when(F.col("first") <= F.col("reached"), 0).otherwise(1)).over(ordered))
+    stretches = (
+        islands.groupBy(*text, "island")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("fresh").alias("n_words"), F.count("*").alias("n_units"), F.min("kept").alias("kept_doc_id"))
         .where(F.col("n_words") >= least_words)
     )
     known = lambda c: F.nullif(F.col(c), F.lit(2**63 - 1)).alias(c)
-    return runs.select(known("doc_id"), "start", "end", "n_words", "n_units", known("kept_doc_id"))
+    return stretches.select(known("doc_id"), "start", "end", "n_words", "n_units", known("kept_doc_id"))
 
 
 def remove(text: Column, spans: Column) -> Column:

@@ -239,6 +239,19 @@ def test_substring_dedup_removes_later_passages(spark):
     assert len(left[8].text.split()) <= 120 + 20 and left[8].removed[0].kept_doc_id == 3
 
 
+def test_substring_dedup_of_passages_inside_lines(spark):
+    """Passages in the middle of lines are found up to their edges, whatever their hosts."""
+    rng = random.Random(31)
+    rows, passages = [], [words(rng, rng.choice([20, 30, 51, 60])) for _ in range(120)]
+    for side in range(2):
+        for i, passage in enumerate(passages):
+            rows.append((side * 1000 + i, f"{words(rng, rng.randint(3, 30))} left{side} {passage} right{side} {words(rng, rng.randint(3, 30))}"))
+    got = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    assert {(r.doc_id, r.kept_doc_id, texts[r.doc_id][r.start : r.end], r.n_words) for r in got} == {(1000 + i, i, p, len(p.split())) for i, p in enumerate(passages)}
+    assert len(got) == len(passages)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts_match_the_library(docs, name):
     path = queries.vocabulary(name)
