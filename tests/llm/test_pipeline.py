@@ -39,3 +39,15 @@ def test_stages_follow_each_other(spark, tmp_path):
             assert {d: t for (d, n), t in taken.items() if t} == {d: c * n for (d, n) in taken for c in [copies.get(d, 0)] if c}
     assert docs.count() == before.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_copies_are_linked_from_four_fifths(spark, tmp_path):
+    import corpus_pipeline
+
+    text = [f"w{i}" for i in range(104)]
+    near = text[:50] + ["other", "words"] + text[52:80] + ["more"] + text[81:]  # 89 of 111 shingles in common
+    far = ["x"] * 12 + text[12:50] + ["y"] + text[51:]
+    rows = [(0, " ".join(text)), (1, " ".join(near)), (2, " ".join(far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    assert kept == {0, 2}
