@@ -192,13 +192,17 @@ def predict_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id",
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known, with all their columns as they were."""
+    """The rows whose language is known, with all their columns as they were.
+
+    A model without languages rejects only what has no letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
-            names, _ = shared.value.predict(part.column(at).to_pylist())
-            yield part.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+            texts = part.column(at).to_pylist()
+            known = [x != UNKNOWN for x in shared.value.predict(texts)[0]] if shared.value.languages else [has_letter(x) for x in texts]
+            yield part.filter(pa.array(known, pa.bool_()))
 
     return small_batches(docs).mapInArrow(run, docs.schema)

@@ -406,6 +406,12 @@ def test_language(spark, docs, none):
     assert kept.columns == docs.columns and not {100, 101, 102, 109} & {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_texts_stay_without_labels(docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = language.keep_identified(unlabelled, language.train(unlabelled))
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(r[0]) for r in rows_of() if language.has_letter(r[1]))
+
+
 def test_kernel_matrices_equal_the_kernel():
     """The one matrix for each order scores as landmarks and features do."""
     texts, labels = ["aaa bbb", "abab ab", "ccc ddd", "cdcd cd"], ["x", "x", "y", "y"]
