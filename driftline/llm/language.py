@@ -138,6 +138,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows, at most ``per_language`` of each language, chosen by a hash of the id.
 
+    An id that repeats counts once: with its smallest label, and of the rows with
+    that and a letter the one with the smallest text hash.
+
     Only places of n-grams reach the driver, so the sample is bounded in bytes
     too, however long its texts are.
     """
@@ -146,7 +149,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     # the first rows of a language are among the first of its parts, however the rows are dealt to these
     chosen = (
-        labelled.dropDuplicates(["doc_id"])
+        labelled.groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
         .withColumn("part", F.pmod(F.spark_partition_id(), F.lit(RANK_PARTS)))
         .withColumn("turn", F.row_number().over(Window.partitionBy("label", "part").orderBy(*order)))
         .where(F.col("turn") <= per_language)
@@ -154,19 +158,22 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         .where(F.col("turn") <= per_language)
         .orderBy("turn", "label")
         .limit(rows)
-        .select("doc_id", "turn")
+        .select("doc_id", "label", "turn")
     )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
-            held = [presence(x) if has_letter(x) else None for x in part.column(0).to_pylist()]
+            held = [presence(x) if has_letter(x) else None for x in part.column(4).to_pylist()]
             packed = [None if h is None else b"".join(np.packbits(np.bincount(p, minlength=s).astype(bool)).tobytes() for p, s in zip(h, PLACES.values(), strict=True)) for h in held]
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(packed, pa.binary())], names=["label", "turn", "packed"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(packed, pa.binary())], names=["doc_id", "label", "turn", "hash", "packed"])
 
     texts = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null")
     # at most ``rows`` ids: a size that is known
-    sample = small_batches(texts).join(F.broadcast(chosen), "doc_id").select("text", "label", "turn").mapInArrow(run, "label string, turn int, packed binary")
-    got = sorted((r["turn"], r["label"], bytes(r["packed"])) for r in sample.where("packed is not null").collect())
+    found = small_batches(texts).join(F.broadcast(chosen), ["doc_id", "label"]).select("doc_id", "label", "turn", F.xxhash64("text").alias("hash"), "text")
+    kinds = [f"{x} {found.schema[x].dataType.simpleString()}" for x in ("doc_id", "label", "turn", "hash")]
+    # one row of an id that repeats
+    sample = found.mapInArrow(run, ", ".join([*kinds, "packed binary"])).where("packed is not null").groupBy("doc_id", "label", "turn").agg(F.min_by("packed", "hash").alias("packed"))
+    got = sorted((r["turn"], r["label"], bytes(r["packed"])) for r in sample.collect())
     held = []
     for _, _, packed in got:
         bits, at, places = np.unpackbits(np.frombuffer(packed, np.uint8)), 0, []

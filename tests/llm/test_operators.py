@@ -412,6 +412,18 @@ def test_texts_stay_without_labels(docs):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(r[0]) for r in rows_of() if language.has_letter(r[1]))
 
 
+def test_language_sample_has_one_row_of_an_id(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, words(rng, 20), "xx" if i % 2 else "yy") for i in range(40)] + [(1, words(rng, 20), "xx") for _ in range(300)] + [(1, "12", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted, fit = [], language.fit_presence
+    monkeypatch.setattr(language, "fit_presence", lambda held, labels: fitted.append(len(labels)) or fit(held, labels))
+    language.train(df)
+    language.train(df.repartition(7))
+    used = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))
+    assert zlib.crc32(b"1") % 4 != 2 and fitted == [used, used]
+
+
 def test_kernel_matrices_equal_the_kernel():
     """The one matrix for each order scores as landmarks and features do."""
     texts, labels = ["aaa bbb", "abab ab", "ccc ddd", "cdcd cd"], ["x", "x", "y", "y"]
