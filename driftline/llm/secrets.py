@@ -45,6 +45,8 @@ ALPHABETS = {
 }
 #: Classes of p-values of a length class and encoding.
 P_CLASSES = 40
+#: Tokens from which a length class has a threshold of its own.
+POOL = 1000
 
 _MARK, _SPLIT = "\x01", "\x03"
 
@@ -176,7 +178,7 @@ def thresholds(found: DataFrame, fdr: float) -> Column:
     for r in counts:
         classes.setdefault(r["class"], [0] * P_CLASSES)[r["p"]] += r["count"]
     limits = {}
-    for name, held in classes.items():
+    for name, held in pooled(classes).items():
         upper = sum(held[P_CLASSES // 2 :])
         for i in range(P_CLASSES // 2 + 1):
             accepted = sum(held[i:])
@@ -191,6 +193,20 @@ def thresholds(found: DataFrame, fdr: float) -> Column:
     return F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
 
 
+def pooled(classes: dict[str, list[int]]) -> dict[str, list[int]]:
+    """Classes of fewer than POOL tokens together with the nearest lengths of their encoding."""
+    out = {}
+    for name, held in classes.items():
+        encoding, length = name.split(":")
+        others = sorted((abs(int(x.split(":")[1]) - int(length)), x) for x in classes if x.split(":")[0] == encoding and x != name)
+        out[name], at = list(held), None
+        for distance, other in others:
+            if sum(out[name]) >= POOL and distance != at:
+                break
+            out[name], at = [a + b for a, b in zip(out[name], classes[other], strict=True)], distance
+    return out
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
