@@ -65,14 +65,17 @@ def pairs(traj: Trajectory, sel_a: Selection, sel_b: Selection, *, pbc: bool = F
     return out.where(F.col("dist") <= cutoff) if cutoff is not None else out
 
 
-def lagged(df: DataFrame, keys: list[str], order: str, values: list[str], max_lag: int) -> DataFrame:
-    """keys, order, lag, values at the start (0_) and the end (1_) of every pair of rows up to ``max_lag`` apart.
+def lagged(df: DataFrame, keys: list[str], order: str, values: list[str], max_lag: int | None) -> DataFrame:
+    """keys, order, lag, values at the start (0_) and the end (1_) of every pair of rows up to ``max_lag`` apart (None: all).
 
     ``order`` is an index without gaps inside each key; the join is on the keys
     and the index, after one side is repeated once for each lag.
     """
+    reach = F.col("reach_") if max_lag is None else F.lit(max_lag)
+    if max_lag is None:
+        df = df.withColumn("reach_", F.max(order).over(Window.partitionBy(*keys)) - F.col(order))
     late = df.select(*keys, F.col(order).alias("end"), *[F.col(v).alias(f"1_{v}") for v in values])
-    early = df.select(*keys, order, *[F.col(v).alias(f"0_{v}") for v in values], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_lag).cast("long"))).alias("lag"))
+    early = df.select(*keys, order, *[F.col(v).alias(f"0_{v}") for v in values], F.explode(F.sequence(F.lit(0).cast("long"), reach.cast("long"))).alias("lag"))
     return early.withColumn("end", F.col(order) + F.col("lag")).join(late, [*keys, "end"]).drop("end")
 
 

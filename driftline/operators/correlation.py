@@ -28,7 +28,7 @@ def group_centers(traj: Trajectory, selection: Selection = None, by: str = "resi
     return unwrap(traj, rows, [by]) if unwrapped else rows
 
 
-def msd(traj: Trajectory, selection: Selection = None, by: str = "resid", max_lag: int = 10, unwrapped: bool = True) -> DataFrame:
+def msd(traj: Trajectory, selection: Selection = None, by: str = "resid", max_lag: int | None = None, unwrapped: bool = True) -> DataFrame:
     """lag, x, y, z, total: mean squared displacement of the groups' centers."""
     require_uniform(traj)
     rows = lagged(indexed(group_centers(traj, selection, by, unwrapped), [by]), [by], "idx", XYZ, max_lag).where("lag > 0")
@@ -36,7 +36,7 @@ def msd(traj: Trajectory, selection: Selection = None, by: str = "resid", max_la
     return rows.groupBy("lag").agg(*[F.avg(square(c)).alias(c) for c in "xyz"], F.avg(sum(square(c) for c in "xyz")).alias("total"))
 
 
-def lipid_msd(traj: Trajectory, selection: Selection = None, max_lag: int = 10) -> DataFrame:
+def lipid_msd(traj: Trajectory, selection: Selection = None, max_lag: int | None = None) -> DataFrame:
     """Lateral, for each residue, without unwrapping."""
     rows = traj.points(selection, "resid").groupBy("frame", "resid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     rows = lagged(indexed(rows, ["resid"]), ["resid"], "idx", ["x", "y"], max_lag).where("lag > 0")
@@ -44,7 +44,7 @@ def lipid_msd(traj: Trajectory, selection: Selection = None, max_lag: int = 10)
     return rows.groupBy("resid", "lag").agg(F.avg(d("x") + d("y")).alias("msd"))
 
 
-def atomiccorr(traj: Trajectory, selection: Selection = None, reference: int | None = None, max_lag: int = 10) -> DataFrame:
+def atomiccorr(traj: Trajectory, selection: Selection = None, reference: int | None = None, max_lag: int | None = None) -> DataFrame:
     """Mean over origins of the sum over atoms of d(t).d(t + lag), d being the displacement from the reference."""
     ref = traj.at(reference).select("atom", *[F.col(c).alias(f"r{c}") for c in "xyz"])
     rows = traj.points(selection).join(ref, "atom").select("frame", "atom", *[(F.col(c) - F.col(f"r{c}")).alias(c) for c in "xyz"])
@@ -53,7 +53,7 @@ def atomiccorr(traj: Trajectory, selection: Selection = None, reference: int | N
     return sums.groupBy("lag").agg(F.avg("s").alias("corr"))
 
 
-def xcorr(traj: Trajectory, sel_a: Selection, sel_b: Selection, max_lag: int = 10) -> DataFrame:
+def xcorr(traj: Trajectory, sel_a: Selection, sel_b: Selection, max_lag: int | None = None) -> DataFrame:
     """Of the displacements of two centers from where they are in the first frame."""
     rows = centers(traj, {"a": sel_a, "b": sel_b}).withColumn("stream", F.lit(0))
     w = Window.partitionBy("stream").orderBy("frame")
@@ -62,17 +62,17 @@ def xcorr(traj: Trajectory, sel_a: Selection, sel_b: Selection, max_lag: int = 1
     return rows.groupBy("lag").agg(F.avg(dot(vec("0_a"), vec("1_b"))).alias("corr"))
 
 
-def velocityautocorr(traj: Trajectory, selection: Selection = None, max_lag: int = 10, normalize: bool = False) -> DataFrame:
+def velocityautocorr(traj: Trajectory, selection: Selection = None, max_lag: int | None = None, normalize: bool = False) -> DataFrame:
     v = get_velocity(traj, selection)
     first = v.groupBy("atom").agg(F.min("frame").alias("first"))
     rows = v.join(first, "atom").where("frame > first").drop("first")
     rows = lagged(indexed(rows, ["atom"]), ["atom"], "idx", ["vx", "vy", "vz"], max_lag)
     out = rows.groupBy("lag").agg(F.avg(dot(vec("0_v"), vec("1_v"))).alias("vacf"))
-    # at most max_lag + 1 rows
+    # a row for each lag
     return out.withColumn("vacf", F.col("vacf") / F.first("vacf").over(Window.orderBy("lag"))) if normalize else out
 
 
-def rotacf(traj: Trajectory, first: Selection, last: Selection, by: str = "resid", max_lag: int = 10) -> DataFrame:
+def rotacf(traj: Trajectory, first: Selection, last: Selection, by: str = "resid", max_lag: int | None = None) -> DataFrame:
     """P1 and P2 of the unit vectors from the center of ``first`` to that of ``last`` in each group."""
     ends = [traj.points(sel, by).groupBy("frame", by).agg(*[F.avg(c).alias(f"{s}{c}") for c in "xyz"]) for s, sel in (("a", first), ("b", last))]
     d = sub(vec("b"), vec("a"))
@@ -82,7 +82,7 @@ def rotacf(traj: Trajectory, first: Selection, last: Selection, by: str = "resid
     return rows.groupBy("lag").agg(F.avg(c).alias("p1"), F.avg(1.5 * c * c - 0.5).alias("p2"))
 
 
-def vanhove(traj: Trajectory, selection: Selection = None, r_bin: float = 1.0, r_max: float = 50.0, max_lag: int = 10) -> DataFrame:
+def vanhove(traj: Trajectory, selection: Selection = None, r_bin: float = 1.0, r_max: float = 50.0, max_lag: int | None = None) -> DataFrame:
     """lag, bin, g: share of the displacements of a lag in each bin."""
     rows = lagged(indexed(traj.points(selection), ["atom"]), ["atom"], "idx", XYZ, max_lag).withColumn("r", norm(sub(vec("1_"), vec("0_"))))
     total = rows.groupBy("lag").agg(F.count("*").alias("total"))
@@ -94,7 +94,7 @@ def vanhove(traj: Trajectory, selection: Selection = None, r_bin: float = 1.0, r
 E_CHARGE, K_BOLTZMANN, EPSILON_0 = 1.602176634e-19, 1.380649e-23, 8.8541878128e-12
 
 
-def conductivity(traj: Trajectory, selection: Selection = None, by: str = "resid", temperature: float = 300.0, max_lag: int = 10) -> DataFrame:
+def conductivity(traj: Trajectory, selection: Selection = None, by: str = "resid", temperature: float = 300.0, max_lag: int | None = None) -> DataFrame:
     """Squared displacement of the summed dipole of unwrapped charged centers against lag, over 6 kB T V (V in nm^3)."""
     require_uniform(traj)
     charge = traj.points(selection, by, "charge").groupBy("frame", by).agg(F.sum("charge").alias("q"))

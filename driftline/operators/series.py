@@ -16,7 +16,7 @@ from driftline.operators.correlation import msd
 GAS_CONSTANT = 0.00831446261815324
 
 
-def correlate(series: DataFrame, first: list[str], second: list[str] | None = None, order: str = "frame", keys: tuple[str, ...] = (), max_lag: int = 100, normalize: bool = True) -> DataFrame:
+def correlate(series: DataFrame, first: list[str], second: list[str] | None = None, order: str = "frame", keys: tuple[str, ...] = (), max_lag: int | None = None, normalize: bool = True) -> DataFrame:
     """lag, corr: mean over starts of the product of ``first`` at the start and ``second`` (default the same) at the end, over that of lag 0 if normalised."""
     second = second or first
     base = series if keys else series.withColumn("stream", F.lit(0))
@@ -30,7 +30,7 @@ def correlate(series: DataFrame, first: list[str], second: list[str] | None = No
     return out.select("lag", F.when(zero != 0, F.col("corr") / zero).otherwise(F.lit(0.0)).alias("corr"))
 
 
-def timecorr(vectors: DataFrame, columns: tuple[str, str, str] = ("x", "y", "z"), legendre: int = 1, order: str = "frame", keys: tuple[str, ...] = (), max_lag: int = 100) -> DataFrame:
+def timecorr(vectors: DataFrame, columns: tuple[str, str, str] = ("x", "y", "z"), legendre: int = 1, order: str = "frame", keys: tuple[str, ...] = (), max_lag: int | None = None) -> DataFrame:
     """lag, corr: mean first or second Legendre polynomial of the angle between vectors a lag apart; vectors without length are left out."""
     n = norm(tuple(F.col(c) for c in columns))
     units = vectors.where(n > 0).select(*keys, order, *[(F.col(c) / n).alias(u) for c, u in zip(columns, "uvw", strict=True)])
@@ -84,7 +84,7 @@ def joint_density(data: DataFrame, x: str, y: str, bins: int, low: tuple[float,
     return rows.select("i", "j", (F.col("n") / (F.col("total") * cell)).alias("density"), *energy)
 
 
-def diffusion(traj: Trajectory, selection: Selection = None, by: str = "resid", max_lag: int = 10) -> DataFrame:
+def diffusion(traj: Trajectory, selection: Selection = None, by: str = "resid", max_lag: int | None = None) -> DataFrame:
     """x, y, z, total: slopes of the squared displacement against time through the least squares line, over 2 and (total) 6."""
     times = traj.boxes.agg(F.max("time_ps").alias("last"), F.min("time_ps").alias("first"), F.count("*").alias("frames"))
     rows = msd(traj, selection, by, max_lag).crossJoin(F.broadcast(times))  # one row

@@ -117,7 +117,7 @@ def spol_shell(traj: Trajectory, solute: Selection, solvent: Selection, atoms: t
     return sums.crossJoin(traj.boxes.agg(F.count("*").alias("frames"))).select("n", (F.col("n") / F.col("frames")).alias("shell_size"), "dipole", "dipole_std", "radial_dipole", "radial_polarization")
 
 
-def ion_pair_corr(traj: Trajectory, cations: Selection, anions: Selection, r_cation: float, r_anion: float, max_lag: int = 10, by: str = "resid") -> DataFrame:
+def ion_pair_corr(traj: Trajectory, cations: Selection, anions: Selection, r_cation: float, r_anion: float, max_lag: int | None = None, by: str = "resid") -> DataFrame:
     """lag, and for all ions, cations and anions how often the nearest counter-ion (ip) and the whole set of near ones (cp) are the same after it.
 
     An ion is a group's mass center; having none nearby at both times counts as the same. Sets are compared whole.

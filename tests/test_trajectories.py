@@ -280,3 +280,10 @@ def test_solvation_of_empty_selections(spark):
     assert solvation.spol_shell(t, "resid 0", none, triple, 0.0, 5.0).collect()[0]["n"] == 0
     assert solvation.ion_pair_corr(t, "resid 0", none, 3.0, 3.0, 2).collect()[0]["ip"] == 1.0
     assert {r["mean"] for r in solvation.free_volume(t, none, "resid 0", 1.0, (2, 2, 2), 1.0).collect()} == {1.0}
+
+
+def test_all_lags_without_a_parameter(spark):
+    s = spark.range(25).select(F.col("id").alias("frame"), F.lit(1.0).alias("v"))
+    assert [r.lag for r in series.correlate(s, ["v"]).orderBy("lag").collect()] == list(range(25))
+    t = make(spark, [line(i) for i in range(14)], box=100.0)
+    assert [r.lag for r in correlation.msd(t).orderBy("lag").collect()] == list(range(1, 14))
