@@ -45,26 +45,28 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-#: Bits of a membership bitmap: 256 rows of 4 KB, however many keys it is made of.
-BITMAP_BITS = 1 << 23
+#: Bits of a membership bitmap, at least and at most: 32 to 4,096 rows of 4 KB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
-def bitmap(keys: DataFrame, *columns: str) -> DataFrame:
-    """A bitmap of the hashes of ``columns``: a megabyte at most, so it may be broadcast."""
-    at = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+def bitmap(keys: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """A bitmap of the hashes of ``columns`` in the shared folder, and its bits: 16 a key, and 16 MB at most, so it may be broadcast."""
+    bits = min(max(1 << (16 * max(keys.count(), 1)).bit_length(), LEAST_BITS), MOST_BITS)
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
     placed = keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-    return placed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return materialize(placed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmap"), bits
 
 
-def marked(df: DataFrame, bits: DataFrame, *columns: str) -> DataFrame:
-    """Adds ``maybe``: false where the row's key is surely not in the bitmap.
+def marked(df: DataFrame, held: tuple[DataFrame, int], *columns: str, name: str = "maybe") -> DataFrame:
+    """Adds ``name``: false where the row's key is surely not in the bitmap.
 
     More keys only make more rows true; what is true must be looked up exactly.
     """
-    at = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
-    placed = df.withColumns({"bucket": F.bitmap_bucket_number(at), "bit": F.bitmap_bit_position(at)}).join(F.broadcast(bits), "bucket", "left")
-    held = F.expr("conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10)").cast("int").bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
-    return placed.select(*df.columns, F.coalesce(held, F.lit(False)).alias("maybe"))
+    rows, bits = held
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    placed = df.withColumns({"bucket": F.bitmap_bucket_number(at), "bit": F.bitmap_bit_position(at)}).join(F.broadcast(rows), "bucket", "left")
+    found = F.expr("conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10)").cast("int").bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    return placed.select(*df.columns, F.coalesce(found, F.lit(False)).alias(name))
 
 
 def slices(parts, rows: int = 512):

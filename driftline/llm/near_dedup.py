@@ -2,22 +2,24 @@
 
 Every text's set of word shingles gives TREES x DEPTH minimum hashes. Texts with
 equal sets are one node from then on. In each tree, nodes are sorted by the
-tree's DEPTH hashes; those that share the first TOP of them form a region. The
-candidates of a node are its neighbours in the sorted order and the first node
-of its region. In a region of more than DENSE nodes the depth adapts: it is cut
-by all DEPTH hashes, each part has a first node of its own, and parts that are
-still too large are dealt out by a hash, their first nodes joining them. So
-candidates grow with the nodes, not with the square of a region.
-
-Candidates whose sketches are too far apart to reach the threshold by many
-standard deviations fall away; the rest is confirmed on the full sets, first
-the best candidate of each node, then, since copies are by then in one
-component, only what would join two components. Regions that still hold several
-components are tried against other first nodes while that joins some. What is
-then still apart in a region is compared in full: the region's nodes are dealt
-into blocks of bounded size, and every two blocks whose sizes allow the
-threshold give the exact similarity of all their pairs between two components.
-So every pair that shares a region is decided.
+tree's DEPTH hashes; those that share the first TOP of them form a region. Links
+are found in three passes, each looking only at nodes that are still in
+different components:
+
+1. each node against one other, the smallest of its regions' first nodes;
+2. each node against its neighbours in the sorted orders and the first nodes of
+   all its regions. In a region of more than DENSE nodes the depth adapts: it is
+   cut by all DEPTH hashes, each part has a first node of its own, and parts that
+   are still too large are dealt out by a hash;
+3. what is then still apart in a region in full: the region's nodes are dealt
+   into blocks of bounded size, and every two blocks whose sizes allow the
+   threshold give the exact similarity of all their pairs between two components.
+
+In the first two passes, candidates whose sketches are too far apart to reach
+the threshold by many standard deviations fall away, and the rest is confirmed
+on the full sets. They only save work: the third pass decides every pair that
+shares a region. It takes time with the square of a region in which hardly any
+two nodes are linked, and no more rows at once than two blocks.
 
 Two sets at the threshold of 0.85 share the first 4 hashes in at least one of
 16 trees with probability 1 - (1 - 0.85^4)^16 = 0.99999.
@@ -42,10 +44,8 @@ from driftline.llm.common import bitmap, marked, materialize, slices, small_batc
 from driftline.llm.hashing import WordHashes, mix, shingles
 
 TREES, DEPTH, TOP = 16, 8, 4
-#: Nodes of a region from which the depth adapts, and neighbours on either side.
+#: Nodes of a region from which the depth adapts, and neighbours before a node; the third pass needs neither.
 DENSE, NEIGHBOURS = 64, 2
-#: Rounds of further first nodes, at most; what they leave open is compared in full.
-ROUNDS = 8
 #: Nodes and shingles of a block, about; shared shingles counted at once.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 18, 2048
 
@@ -107,28 +107,50 @@ def forest(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "region long, deep long, order long, node binary")
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members of regions with several nodes, candidate pairs a < b)."""
+def regions(nodes: DataFrame) -> DataFrame:
+    """Members (region, deep, order, node, n, hub) of the regions of several nodes; hub is the smallest of them."""
     rows = forest(nodes)
-    shared = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("region", "of")
-    members = materialize(rows.join(shared, F.col("region") == F.col("of")).drop("of"), "forest")
-    firsts = members.groupBy("region").agg(F.min("node").alias("first"))
-    hubs = members.join(firsts, "region").select("node", "first")
-    dense = members.where(F.col("n") > DENSE)
-    parts = dense.groupBy("region", "deep").agg(F.count("*").alias("held"), F.min("node").alias("first"))
-    dense = dense.join(parts, ["region", "deep"])
+    shared = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").withColumnRenamed("region", "of")
+    # written first: a join of two plain shuffles can be split where a region is hot
+    return materialize(rows.join(materialize(shared, "regions"), F.col("region") == F.col("of")).drop("of"), "forest")
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, name: str, label: str) -> DataFrame:
+    """Adds ``label`` of the node in column ``name``: its own name where it has no links yet."""
+    joined = rows.join(labels.toDF("at_", "label_"), F.col(name) == F.col("at_"), "left")
+    return joined.withColumn(label, F.coalesce("label_", name)).drop("at_", "label_")
+
+
+def neighbours(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs a < b of different components: neighbours in the sorted orders, and first nodes of regions and their parts."""
+    named = materialize(with_labels(members, labels, "node", "label"), "named")
+    open_ = materialize(open_regions(named), "regions")
+    named = named.join(open_, F.col("region") == F.col("of")).drop("of")
+    dense = named.where(F.col("n") > DENSE)
+    parts = dense.groupBy(F.col("region").alias("of"), F.col("deep").alias("cut")).agg(F.count("*").alias("held"), F.min(F.struct("node", "label")).alias("first"))
+    dense = materialize(dense.join(parts, (F.col("region") == F.col("of")) & (F.col("deep") == F.col("cut"))), "dense")
     dealt = F.xxhash64("deep", F.pmod(F.hash("node"), F.ceil(F.col("held") / F.lit(float(DENSE)))))
-    sparse = members.where(F.col("n") <= DENSE).select("region", F.lit(0).cast("long").alias("part"), "deep", "order", "node")
+    placed = named.where(F.col("n") <= DENSE).select("region", F.lit(0).cast("long").alias("part"), "deep", "order", "node", "label")
+    placed = placed.unionByName(dense.select("region", dealt.alias("part"), "deep", "order", "node", "label"))
     sorted_in = Window.partitionBy("region", "part").orderBy("order", "deep", "node")
-    placed = sparse.unionByName(dense.select("region", dealt.alias("part"), "deep", "order", "node"))
-    near = placed.select("node", F.array(*[F.lag("node", i).over(sorted_in) for i in range(1, NEIGHBOURS + 1)]).alias("before"))
-    near = near.select("node", F.explode("before").alias("first"))
-    both = hubs.unionByName(dense.select("node", "first")).unionByName(near).where(F.col("first").isNotNull() & (F.col("first") != F.col("node")))
-    return members, both.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+    before = F.array(*[F.lag(F.struct("node", "label"), i).over(sorted_in) for i in range(1, NEIGHBOURS + 1)])
+    near = placed.withColumn("before", before).select("node", "label", F.explode("before").alias("first"))
+    near = near.unionByName(dense.select("node", "label", "first")).where(F.col("first").isNotNull() & (F.col("label") != F.col("first.label"))).select("node", F.col("first.node").alias("first"))
+    hubs = with_labels(named.select("node", "label", "hub").distinct(), labels, "hub", "first_label").where("label != first_label").select("node", F.col("hub").alias("first"))
+    return ordered(near.unionByName(hubs))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+
+
+def open_regions(named: DataFrame) -> DataFrame:
+    """of: the regions whose nodes (region, label) are in several components."""
+    return named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(F.col("region").alias("of"))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """a, b, estimate of the pairs whose sketches may belong to sets at the threshold (6 deviations below)."""
+    """The pairs whose sketches may belong to sets at the threshold (6 deviations below)."""
     k = TREES * DEPTH
     least = threshold - 6.0 * (threshold * (1.0 - threshold) / k) ** 0.5
     sketches = nodes.select("node", "sketch")
@@ -139,11 +161,10 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             if not part.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in (2, 3))
-            same = (x == y).mean(axis=1)
-            good = pa.array(same >= least)
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good), pa.array(same).filter(good)], names=["a", "b", "estimate"])
+            good = pa.array((x == y).mean(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
-    return joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary, estimate double")
+    return joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -159,7 +180,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str,
 
     texts = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text"))
     # most texts have no candidate: a bitmap keeps them out of the shuffle
-    texts = marked(texts, materialize(bitmap(wanted, "doc_id"), "bitmap"), "of").where("maybe")
+    texts = marked(texts, bitmap(wanted, "doc_id"), "of").where("maybe")
     found = texts.join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("node", "text").mapInArrow(run, "node binary, shingles binary")
     return found.dropDuplicates(["node"])
 
@@ -204,28 +225,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     slim = materialize(describe(docs, id_col=id_col, text_col=text_col, n=n), "described")
     whole = slim.where("node is not null")
     nodes = materialize(whole.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "nodes")
-    members, pairs = candidates(nodes)
-    good = materialize(likely(pairs, nodes, percent / 100.0), "likely")
+    members = regions(nodes)
     labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     if not members.isEmpty():
-        ids = nodes.select("node", "doc_id")
-        listed = members.select("node").distinct()
-        sets = materialize(full_sets(docs, listed.join(ids, "node"), id_col=id_col, text_col=text_col, n=n), "sets")
-        best = good.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        labels = components(confirmed(best, sets, percent))
-        labels, _ = joined_up(good.select("a", "b"), labels, sets, percent)
-        for salt in range(ROUNDS):
-            named = members.where(F.col("n") > NEIGHBOURS + 1).select("region", "node").join(labels.toDF("at", "label"), F.col("node") == F.col("at"), "left").select("region", "node", F.coalesce("label", "node").alias("label"))
-            open_ = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(salt)), "node", "label")).alias("first")).where("low != high").select(F.col("region").alias("of"), F.col("first.node").alias("first"), F.col("first.label").alias("first_label"))
-            tried = named.join(open_, F.col("region") == F.col("of")).where(F.col("label") != F.col("first_label"))
-            tried = tried.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-            more = materialize(likely(tried, nodes, percent / 100.0).select("a", "b"), "likely")
-            if more.isEmpty():
-                break
-            labels, found = joined_up(more, labels, sets, percent)
-            if not found:
-                break
-        labels, _ = merged(materialize(left_over(members, labels, sets, percent), "links"), labels)
+        listed = materialize(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "listed")
+        sets = materialize(full_sets(docs, listed, id_col=id_col, text_col=text_col, n=n), "sets")
+        linked = lambda pairs: materialize(confirmed(likely(pairs, nodes, percent / 100.0), sets, percent), "links")
+        first = members.where("node != hub").groupBy("node").agg(F.min("hub").alias("first"))
+        labels = merged(linked(ordered(first)), labels)
+        labels = merged(linked(neighbours(members, labels)), labels)
+        labels = merged(materialize(left_over(members, labels, sets, percent), "links"), labels)
     mapped = nodes.select("node", "doc_id").join(labels.toDF("at", "label"), F.col("node") == F.col("at"), "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = mapped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = mapped.join(smallest, "label").select(F.col("node").alias("at"), "component_id")
@@ -266,8 +275,8 @@ def left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     Blocks are dealt by a hash within a region and bucket; a component with a
     block's worth of nodes there has its own, which needn't meet one another.
     """
-    named = members.where(F.col("n") > NEIGHBOURS + 1).select("region", "node").join(labels.toDF("at", "label"), F.col("node") == F.col("at"), "left").select("region", "node", F.coalesce("label", "node").alias("label"))
-    open_ = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(F.col("region").alias("of"))
+    named = materialize(with_labels(members.select("region", "node"), labels, "node", "label"), "named")
+    open_ = materialize(open_regions(named), "regions")
     width = 1.001 * float(np.log(100.0 / percent))
     sizes = sets.select(F.col("node").alias("at"), F.expr("length(shingles) div 8").alias("size"))
     sized = named.join(open_, F.col("region") == F.col("of")).join(sizes, F.col("node") == F.col("at")).select("region", "node", "label", "size", F.floor(F.log("size") / F.lit(width)).alias("bucket"))
@@ -307,24 +316,17 @@ def left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return rows.groupBy("region", "pair").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def joined_up(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, bool]:
-    """Labels after the pairs between two components that are confirmed, and whether there are any."""
-    at = lambda side: labels.toDF(f"at_{side}", f"label_{side}")
-    apart = pairs.join(at("a"), F.col("a") == F.col("at_a"), "left").join(at("b"), F.col("b") == F.col("at_b"), "left")
-    apart = apart.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")).where("label_a != label_b")
-    return merged(materialize(confirmed(apart.select("a", "b"), sets, percent), "links"), labels)
-
-
-def merged(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
-    """Labels after the links between components, and whether there are any."""
+def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels (node, label) after further links (a, b) between components."""
     if links.isEmpty():
-        return labels, False
-    at = lambda side: labels.toDF(f"at_{side}", f"label_{side}")
-    lifted = links.join(at("a"), F.col("a") == F.col("at_a"), "left").join(at("b"), F.col("b") == F.col("at_b"), "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        return labels
+    if labels.isEmpty():
+        return components(links)
+    lifted = with_labels(with_labels(links, labels, "a", "x"), labels, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     over = components(lifted)
     before = labels.unionByName(over.select("node", F.col("node").alias("label")).join(labels.select(F.col("node").alias("at")), F.col("node") == F.col("at"), "left_anti"))
     after = before.join(over.toDF("from", "to"), F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
-    return materialize(after, "labels"), True
+    return materialize(after, "labels")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 85) -> DataFrame:
@@ -337,7 +339,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # rows to drop or to look at again; all others pass without a shuffle
     doubtful = materialize(rows.where("n > 1 or not kept"), "doubtful")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    packed = marked(packed, materialize(bitmap(doubtful, "of_id", "of_hash"), "bitmap"), "doc_id", "text_hash")
+    packed = marked(packed, bitmap(doubtful, "of_id", "of_hash"), "doc_id", "text_hash")
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
     once = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))
     looked_at = packed.where("maybe").join(doubtful, same, "left").where(F.coalesce("kept", F.lit(True))).withColumn("nth", F.row_number().over(once)).where("nth = 1")

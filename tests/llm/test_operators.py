@@ -208,7 +208,7 @@ def test_near_dedup_of_pairs_in_a_family(spark, monkeypatch, dense, block):
 
 
 def test_near_dedup_compares_open_regions_in_full(spark, monkeypatch):
-    """Without further rounds, blocks of one component meet those of others."""
+    """Blocks of one component meet those of others."""
     rng = random.Random(5)
     base = words(rng, 120).split()
     centres = [[w if rng.random() < 0.98 else words(rng, 1) + str(k) for w in base] for k in range(6)]
@@ -219,12 +219,26 @@ def test_near_dedup_compares_open_regions_in_full(spark, monkeypatch):
         rows.append((i, " ".join(w), None, None, None))
     rows += family(random.Random(22), 60, 10)
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    for name, value in (("DENSE", 8), ("ROUNDS", 0), ("BLOCK", 8)):
+    for name, value in (("DENSE", 8), ("NEIGHBOURS", 1), ("BLOCK", 8)):
         monkeypatch.setattr(near_dedup, name, value)
     got = near_dedup.classes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_classes(rows)
 
 
+def test_near_dedup_of_templates(spark):
+    """Texts 0.8 alike in every template, of which only those with fewer changes are linked."""
+    rng, rows = random.Random(7), []
+    for _ in range(12):
+        base = words(rng, 300).split()
+        for k in range(150):
+            w = list(base)
+            for _ in range(2 if k < 2 else 3):
+                w[rng.randrange(300)] = words(rng, 1)
+            rows.append((len(rows), " ".join(w), None, None, None))
+    got = near_dedup.classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_classes(rows)
+
+
 def test_components_of_a_long_chain(spark):
     name = lambda i: F.lpad(i.cast("string"), 6, "0").cast("binary")
     links = spark.range(300).select(name(F.col("id")).alias("a"), name(F.col("id") + 1).alias("b"))
@@ -256,8 +270,58 @@ def test_substring_dedup_of_passages_inside_lines(spark):
             rows.append((side * 1000 + i, f"{words(rng, rng.randint(3, 30))} left{side} {passage} right{side} {words(rng, rng.randint(3, 30))}"))
     got = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     texts = dict(rows)
-    assert {(r.doc_id, r.kept_doc_id, texts[r.doc_id][r.start : r.end], r.n_words) for r in got} == {(1000 + i, i, p, len(p.split())) for i, p in enumerate(passages)}
-    assert len(got) == len(passages)
+    sure = [i for i, p in enumerate(passages) if len(p.split()) >= substrings.RUN + substrings.WIDE - 1]
+    found = {(r.doc_id, r.kept_doc_id, texts[r.doc_id][r.start : r.end], r.n_words) for r in got}
+    every = {(1000 + i, i, p, len(p.split())) for i, p in enumerate(passages)}
+    assert {x for x in every if x[1] in sure} <= found <= every and len(got) == len(found)
+
+
+def seen_earlier(rows, n):
+    """For each row, the words that stand in a run of ``n`` words which an earlier place has too, by brute force."""
+    plain = lambda text: [w.lower().strip(substrings._DROPPED) for w in (text or "").split()]
+    held, out = {}, []
+    split = [plain(t) for _, t in rows]
+    for k, w in enumerate(split):
+        for i in range(len(w) - n + 1):
+            held.setdefault(tuple(w[i : i + n]), []).append((k, i))
+    for k, w in enumerate(split):
+        out.append({j for i in range(len(w) - n + 1) for j in range(i, i + n) if len(held[tuple(w[i : i + n])]) > 1})
+    return out
+
+
+def test_substring_dedup_by_row(spark):
+    """Rows that share an id, or have none, are documents of their own; unique text stays, repeated text goes once."""
+    rng = random.Random(13)
+    passages = [words(rng, rng.randint(52, 90)) for _ in range(6)]
+    rows = []
+    for k in range(60):
+        parts = [words(rng, rng.randint(5, 40))]
+        for p in rng.sample(passages, k % 3):
+            parts += [rng.choice([p, p.upper(), p.replace(" ", ", ", 3)]), words(rng, rng.randint(4, 40))]
+        rows.append((rng.choice([None, 7, k, k]), rng.choice([" ", "\n"]).join(parts)))
+    rows += [(1, passages[0] + " tail"), (None, passages[0] + " tail"), (None, words(rng, 60)), (99, ""), (98, None), (97, "a b c")]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    again = {(d, t): x for (d, t), x in zip(rows, seen_earlier(rows, 20), strict=True)}
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {d for d, _ in rows}
+    kept = {}
+    for d, t in rows:
+        kept.setdefault(d, []).append((t or "").split())
+    for r in got:  # what is gone was repeated
+        gone = [(d, t) for d, t in again if d == r.doc_id and (r.text == t if r.removed is None else t is not None and len(t) > max(x.end for x in r.removed) - 1 and "".join(t[a:b] for a, b in zip([0] + [x.end for x in r.removed], [x.start for x in r.removed] + [len(t)], strict=True)) == r.text)]
+        assert gone
+        if r.removed is not None:
+            words_of = [m.span() for m in re.finditer(r"\S+", gone[0][1])]
+            cut = {i for i, (a, b) in enumerate(words_of) for x in r.removed if x.start <= a and b <= x.end}
+            assert cut <= again[gone[0]] and all(x.end - x.start > 0 for x in r.removed)
+    whole = "\n".join(" ".join(w.lower().strip(substrings._DROPPED) for w in (r.text or "").split()) for r in got)
+    for p in passages:  # one of each is left
+        assert whole.count(p.lower()) == 1
+
+
+@pytest.mark.parametrize("text, left", [("x " * 100, 20), (" ".join(["one two three four five six seven"] * 30), 20)])
+def test_substring_dedup_within_a_text(spark, text, left):
+    (r,) = substrings.deduplicate(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert left <= len(r.text.split()) <= left + substrings.WIDE + substrings.RUN
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
