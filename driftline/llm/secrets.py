@@ -10,7 +10,9 @@ class and encoding over the whole corpus: the share of truly random strings in
 a class follows from its upper half of p-values, where text hardly ever falls,
 and the least threshold is taken at which the expected share of text among the
 accepted stays below ``fdr``. Short classes, where text passes the tests more
-often, so get a higher threshold than long ones.
+often, so get a higher threshold than long ones. A threshold is never above one
+half: where even there the upper half's own share can't be told from text, what
+lies above one half is accepted, and the rate isn't controlled in that class.
 
 Defined cases: a null text counts as empty; spans are code points, end
 exclusive; an empty table gives an empty result.
@@ -19,6 +21,7 @@ exclusive; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,31 +48,53 @@ ALPHABETS = {
 }
 #: Classes of p-values of a length class and encoding.
 P_CLASSES = 40
+#: Items that one step of an array function takes together.
+CHUNK = 64
 #: Tokens from which a length class has a threshold of its own.
 POOL = 1000
 
 _MARK, _SPLIT = "\x01", "\x03"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def in_chunks(items: Column, start: Column, advance: Callable[[Column, Column], Column], one: Callable[[Column, Column], Column]) -> Column:
+    """Array of ``one(at, x)`` for each x, ``at`` being what ``advance`` makes of the items before it.
+
+    An aggregate copies its state at each step, so a state that grows with the
+    items would take quadratic time; chunks of CHUNK items keep it small.
+    """
+    n = F.ceil(F.size(items) / F.lit(float(CHUNK))).cast("int")
+    chunks = F.transform(F.sequence(F.lit(1), n), lambda k: F.slice(items, (k - 1) * CHUNK + 1, CHUNK))
+
+    def run(held: Column) -> Column:
+        starts = F.aggregate(held, F.array(start), lambda acc, c: F.concat(acc, F.array(F.aggregate(c, F.element_at(acc, -1), advance))))
+
+        def inside(c: Column, at: Column) -> Column:
+            places = F.aggregate(c, F.array(at), lambda acc, x: F.concat(acc, F.array(advance(F.element_at(acc, -1), x))))
+            return bound(places, lambda p: F.zip_with(F.slice(p, 1, F.size(c)), c, one))
+
+        return bound(starts, lambda s: F.flatten(F.zip_with(held, F.slice(s, 1, F.size(held)), inside)))
+
+    return bound(chunks, run)
+
+
 def _spans(text: Column, pattern: str, least: int) -> Column:
     """Matches in ``text`` (free of the two marks) as structs of start, end, body."""
     marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$1{_SPLIT}$2{_MARK}"), _MARK)
-    # pieces at odd positions are matches; a match is one character longer in here, by its _SPLIT
-    piece = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("body"))
-    step = F.aggregate(
-        marked,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array_remove(F.array(piece), piece).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x) - acc["match"].cast("int")).alias("at"),
-            (~acc["match"]).alias("match"),
-            F.when(
-                acc["match"] & (F.length(F.substring_index(x, _SPLIT, -1)) >= least),
-                F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x) - 1).alias("end"), F.substring_index(x, _SPLIT, -1).alias("body")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(marked) > 1, step).otherwise(F.array_remove(F.array(piece), piece))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,body:string>>)")
+
+    def found(pieces: Column) -> Column:
+        # pieces at odd places are matches; a match is one character longer in here, by its _SPLIT
+        places = in_chunks(pieces, F.lit(0), lambda at, x: at + F.length(F.replace(x, F.lit(_SPLIT))), lambda at, x: F.struct(at.alias("at"), x.alias("x")))
+        matches = F.filter(places, lambda x, i: i % 2 == 1)
+        spans = F.transform(matches, lambda m: F.struct(m["at"].alias("start"), (m["at"] + F.length(m["x"]) - 1).alias("end"), F.substring_index(m["x"], _SPLIT, -1).alias("body")))
+        return F.filter(spans, lambda x: F.length(x["body"]) >= least)
+
+    return bound(marked, lambda pieces: F.when(F.size(pieces) > 1, found(pieces)).otherwise(none))
 
 
 def _tail(z: Column) -> Column:
@@ -87,20 +112,27 @@ def battery(token: Column) -> Column:
     An upper-case hexadecimal string counts as hexadecimal; ``-`` and ``_``
     count as ``+`` and ``/``. A constant string has p 0.
     """
-    body = F.regexp_replace(token, "=+$", "")
-    encoding = (
-        F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
-        .when(body.rlike("^[A-Z2-7]+$"), F.lit("base32"))
-        .otherwise(F.lit("base64"))
-    )
-    folded = F.when(encoding == "hex", F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
-    alphabet = F.when(encoding == "hex", F.lit(ALPHABETS["hex"])).when(encoding == "base32", F.lit(ALPHABETS["base32"])).otherwise(F.lit(ALPHABETS["base64"]))
+    alphabets = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
+
+    def encoded(body: Column) -> Column:
+        encoding = (
+            F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
+            .when(body.rlike("^[A-Z2-7]+$"), F.lit("base32"))
+            .otherwise(F.lit("base64"))
+        )
+        return F.struct(body.alias("body"), encoding.alias("e"))
+
+    def valued(s: Column) -> Column:
+        folded = F.when(s["e"] == "hex", F.lower(s["body"])).otherwise(F.translate(s["body"], "-_", "+/"))
+        alphabet = F.element_at(alphabets, s["e"])
+        both = F.struct(folded.alias("body"), alphabet.alias("a"), s["e"].alias("e"))
+        return bound(both, lambda t: F.struct(F.transform(F.split(t["body"], ""), lambda c: F.position(c, t["a"]) - 1).alias("v"), F.length(t["a"]).alias("k"), t["body"].alias("body"), t["a"].alias("a"), t["e"].alias("e")))
 
     def tests(s: Column) -> Column:
         n = F.size(s["v"]).cast("double")
         k = s["k"].cast("double")
         # chi-squared over the alphabet, brought to a normal by its exact first two moments
-        squares = F.aggregate(F.array_distinct(s["v"]), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(s["v"], lambda x: x == v)).cast("double"), 2.0))
+        squares = F.aggregate(F.split(s["a"], ""), F.lit(0.0), lambda a, c: a + F.pow((F.size(s["v"]) - F.length(F.replace(s["body"], c))).cast("double"), 2.0))
         z_chi = (squares * k / n - n - (k - 1.0)) / F.sqrt(2.0 * (k - 1.0) * (1.0 - 1.0 / n))
         # runs about the middle of the alphabet
         high = F.aggregate(s["v"], F.lit(0.0), lambda a, v: a + (v * 2 >= s["k"]).cast("double"))
@@ -120,18 +152,16 @@ def battery(token: Column) -> Column:
         z_serial = F.when(var > 0, F.abs(cov / var + 1.0 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
         return F.struct(_tail(z_chi).alias("chi"), F.least(2.0 * _tail(z_runs), F.lit(1.0)).alias("runs"), F.least(2.0 * _tail(z_serial), F.lit(1.0)).alias("serial"))
 
-    values = F.transform(F.split(folded, ""), lambda c: F.position(c, alphabet) - 1)
-    start = F.array(F.struct(values.alias("v"), F.length(alphabet).alias("k"), encoding.alias("e")))
-
     def combined(s: Column) -> Column:
         def fisher(t: Column) -> Column:
             h = -(F.log(t["chi"]) + F.log(t["runs"]) + F.log(t["serial"]))
             p = F.exp(-h) * (1.0 + h + h * h / 2.0)  # upper tail of chi-squared with 6 degrees at 2h
             return F.struct(s["e"].alias("encoding"), F.size(s["v"]).alias("n"), t["chi"].alias("p_chi"), t["runs"].alias("p_runs"), t["serial"].alias("p_serial"), p.alias("p"))
 
-        return F.element_at(F.transform(F.array(tests(s)), fisher), 1)
+        return bound(tests(s), fisher)
 
-    return F.element_at(F.transform(start, combined), 1)
+    # what a lambda over the symbols uses must be bound outside: it would be taken anew for each
+    return bound(F.regexp_replace(token, "=+$", ""), lambda body: bound(encoded(body), lambda s: bound(valued(s), combined)))
 
 
 def _length_class(n: Column) -> Column:
@@ -177,22 +207,26 @@ def thresholds(found: DataFrame, fdr: float) -> Column:
     classes: dict[str, list[int]] = {}
     for r in counts:
         classes.setdefault(r["class"], [0] * P_CLASSES)[r["p"]] += r["count"]
-    limits = {}
-    for name, held in pooled(classes).items():
-        upper = sum(held[P_CLASSES // 2 :])
-        for i in range(P_CLASSES // 2 + 1):
-            accepted = sum(held[i:])
-            expected = 2.0 * upper * (1.0 - i / P_CLASSES)
-            if accepted and (accepted - expected) / accepted <= fdr:
-                limits[name] = i / P_CLASSES if i else 1.0 / (4 * P_CLASSES)
-                break
-        else:
-            limits[name] = 0.5
+    limits = {name: limit(held, fdr) for name, held in pooled(classes).items()}
     if not limits:
         return F.create_map(F.lit("none"), F.lit(2.0))
     return F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
 
 
+def limit(held: list[int], fdr: float) -> float:
+    """The least p-value from which the expected share of text among the accepted stays below ``fdr``, one half at most.
+
+    ``held`` counts p-values by P_CLASSES classes of equal width; twice the
+    upper half is the number of random strings, spread evenly.
+    """
+    upper = sum(held[P_CLASSES // 2 :])
+    for i in range(P_CLASSES // 2):
+        accepted, expected = sum(held[i:]), 2.0 * upper * (1.0 - i / P_CLASSES)
+        if accepted and (accepted - expected) / accepted <= fdr:
+            return i / P_CLASSES if i else 1.0 / (4 * P_CLASSES)
+    return 0.5
+
+
 def pooled(classes: dict[str, list[int]]) -> dict[str, list[int]]:
     """Classes of fewer than POOL tokens together with the nearest lengths of their encoding."""
     out = {}
@@ -214,14 +248,21 @@ def joined(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with each span, or union of overlapping spans, replaced by ``mask``."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans,
-        state,
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
-    )
+
+    def mended(apart: Column) -> Column:
+        # a chunk's part of the text is cut out once, so that each cut in it is short
+        n = F.ceil(F.size(apart) / F.lit(float(CHUNK))).cast("int")
+
+        def chunk(k: Column) -> Column:
+            first = F.element_at(apart, (k - 1) * CHUNK + 1)["at"]
+            last = F.element_at(apart, F.least(k * CHUNK, F.size(apart)))["end"]
+            local = lambda t: F.transform(F.slice(apart, (k - 1) * CHUNK + 1, CHUNK), lambda x: F.concat(t.substr(x["at"] - first + 1, x["start"] - x["at"]), F.lit(mask)))
+            return F.array_join(bound(text.substr(first + 1, last - first), local), "")
+
+        rest = text.substr(F.element_at(apart, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), n), chunk), ""), rest)
+
+    ended = in_chunks(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.struct(at.alias("at"), x["start"].alias("start"), F.greatest(at, x["end"]).alias("end")))
+    # spans that begin inside an earlier one only lengthen it
+    done = bound(ended, lambda every: bound(F.filter(every, lambda x: x["start"] >= x["at"]), mended))
     return F.when(F.size(spans) > 0, done).otherwise(text)

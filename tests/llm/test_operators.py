@@ -1,6 +1,7 @@
 """The operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -116,6 +117,69 @@ def test_secrets_find_random_strings_and_leave_words(spark):
     assert sum(got[i] > 0 for i, _ in secret) >= 72 and sum(got[i] > 0 for i, _ in plain) <= 2
 
 
+def plain_battery(token):
+    """The three statistics and Fisher's combination, by numpy."""
+    body = token.rstrip("=")
+    encoding = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body) else "base32" if re.fullmatch("[A-Z2-7]+", body) else "base64"
+    body = body.lower() if encoding == "hex" else body.replace("-", "+").replace("_", "/")
+    v = np.array([secrets.ALPHABETS[encoding].index(c) for c in body], float)
+    n, k = len(v), len(secrets.ALPHABETS[encoding])
+    tail = lambda z: max(0.5 * math.erfc(z / 2**0.5), 1e-300)
+    expected = n / k
+    chi = ((np.bincount(v.astype(int), minlength=k) - expected) ** 2 / expected).sum()
+    # the exact variance of the statistic under uniformity
+    p_chi = tail((chi - (k - 1)) / (2 * (k - 1) * (1 - 1 / n)) ** 0.5)
+    up = v >= k / 2
+    h, low, runs = up.sum(), (~up).sum(), 1 + (up[1:] != up[:-1]).sum()
+    mean = 2 * h * low / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = min(1.0, 2 * tail(abs(runs - mean) / var**0.5 if var > 0 else 30.0))
+    d = v - v.mean()
+    p_serial = min(1.0, 2 * tail(abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * n**0.5 if d.any() else 30.0))
+    x = -(math.log(p_chi) + math.log(p_runs) + math.log(p_serial))
+    return encoding, n, p_chi, p_runs, p_serial, math.exp(-x) * (1 + x + x * x / 2)
+
+
+def test_battery_matches_numpy(spark):
+    rng = random.Random(17)
+    tokens = ["".join(rng.choices(a, k=rng.choice([20, 33, 64, 400]))) for a in secrets.ALPHABETS.values() for _ in range(8)]
+    tokens += ["a" * 40, "ab" * 30, "thequickbrownfoxjumpsoverthelazydog", "0123456789ABCDEF0123", "abc-def_ghi-jkl_mno-pqr==", "A" * 20 + "=="]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for r in df.select("t", secrets.battery(F.col("t")).alias("b")).collect():
+        want = plain_battery(r.t)
+        assert tuple(r.b)[:2] == want[:2] and tuple(r.b)[2:] == pytest.approx(want[2:], abs=2e-6, rel=1e-3)
+
+
+def test_thresholds_hold_the_rate():
+    """The share of text among what a class accepts stays below the rate, as far as the upper half tells."""
+    rng = np.random.default_rng(5)
+    for random_, text in ((20_000, 0), (20_000, 20_000), (3_000, 60_000)):
+        p = np.concatenate([rng.random(random_), rng.random(text) ** 6])
+        counts = np.bincount(np.minimum((p * secrets.P_CLASSES).astype(int), secrets.P_CLASSES - 1), minlength=secrets.P_CLASSES)
+        limit = secrets.limit(counts.tolist(), 0.05)
+        false, accepted = (p[random_:] > limit).sum(), (p > limit).sum()
+        assert (limit < 0.03 if not text else 0 < limit <= 0.5)
+        # text above one half counts twice in the estimate
+        assert limit == 0.5 or false <= 0.05 * accepted + 2 * (p[random_:] > 0.5).sum()
+
+
+def test_secrets_take_linear_time(spark):
+    """Long tokens and many matches: spans by Python's own search."""
+    rng = random.Random(23)
+    token = "".join(rng.choices(secrets.ALPHABETS["base64"], k=60_000))
+    many = " ".join("".join(rng.choices("0123456789abcdef", k=rng.choice([8, 16, 24]))) + rng.choice(["", " é", " 😀"]) for _ in range(3_000))
+    rows = [(1, f"start {token} end"), (2, many), (3, "token=" + "q" * 50_000)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True).select("doc_id", secrets.joined(F.col("base")).alias("b"), secrets.joined(F.col("all")).alias("a"), secrets.redact(F.col("row.text"), F.col("base")).alias("t")).collect()}
+    for i, text in rows:
+        assert got[i].b == brute_spans(text)
+        cut, at = [], 0
+        for x in filter(None, got[i].b.split(",")):
+            _, a, b = x.split(":")
+            cut += [text[at : int(a)], "[SECRET]"] if int(a) >= at else []
+            at = max(at, int(b))
+        assert got[i].t == "".join(cut) + text[at:]
+
+
 def test_secrets_pool_rare_length_classes():
     rare, common, other = [0] * secrets.P_CLASSES, [50] * secrets.P_CLASSES, [7] * secrets.P_CLASSES
     rare[3] = 1
