@@ -1,14 +1,18 @@
 """BPE encoding and decoding by tree concatenation.
 
-The pattern that cuts text before the merges never joins a character that is
-not white space to white space after it, so text falls into independent pieces
-there. A longer piece without such a place is halved again and again: the
-leaves are encoded by themselves, all in one call of the library, and put
-together pairwise up the tree. At each join a window of tokens from both
-sides is encoded anew and widened until its first and last tokens are those
-that stood there before; tokens beyond are then unaffected, since a sequence of
-merges is right if and only if each pair of neighbours is. Decoding joins the
-bytes of the tokens.
+A text of more than LEAF characters is halved again and again, wherever the
+halves happen to end. The leaves of a batch of texts are encoded together, and
+put together pairwise up the trees. At each join a window of tokens from both
+sides is encoded anew, by the library and with all its rules, and widened until
+it agrees with both sides: a side is taken up again where both encodings begin a
+word (a piece that the pattern before the merges gives) at the same byte, as the
+pattern then goes on alike, or, inside a word that is longer than the window,
+where both have the same token at the same bytes, as a sequence of merges is
+right if and only if each pair of neighbours is. Decoding joins the bytes of the
+tokens.
+
+Texts of more than SPREAD characters are cut into parts that are encoded in
+tasks of their own; each such text's parts then meet in one task, which joins them.
 
 Defined cases: a null text counts as empty; an empty text has no tokens; an
 empty table gives an empty result; the text of a special token inside a text
@@ -19,32 +23,40 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import slices, small_batches
+from driftline.llm.common import materialize, slices, small_batches
 from driftline.llm.token_counts import batches
 
-#: Unicode white space, as the pre-tokenizer's pattern has it (fixed values).
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A piece: white space, then all up to the next white space.
-PIECE = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
-#: The cuts inside a piece, before the merges (fixed value).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a leaf of the tree, and the tokens on each side of a first window.
-LEAF, WINDOW = 512, 8
-#: Pieces kept by a task, and documents to a batch of results.
-KEPT, ROWS = 1 << 18, 256
+#: Characters of a leaf of the tree at most, and the tokens on each side of a first window.
+LEAF, WINDOW = 2048, 16
+#: Characters from which a text's parts are dealt out, and of such a part.
+SPREAD, PART = 1 << 16, 1 << 14
+#: Bytes after the end of a word that its pattern may have looked at: three characters.
+AHEAD = 12
+#: Documents to a batch of results.
+ROWS = 256
 
 _loaded: dict = {}
 
 
+class Ids:
+    """Ids of a text, and which of them begin a word."""
+
+    def __init__(self, ids: np.ndarray, begins: np.ndarray):
+        self.ids, self.begins = ids, begins
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
 class Coder:
-    """Encoder and decoder of one byte-level BPE file, with pieces kept for the task."""
+    """Encoder and decoder of one byte-level BPE file."""
 
     def __init__(self, path: str, leaf: int = LEAF):
         import json
@@ -56,115 +68,131 @@ class Coder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.path, self.leaf, self.most, self._raw = path, leaf, KEPT, None
-        self.special = [t["content"] for t in json.loads(self.whole.to_str())["added_tokens"]]
-        self.pattern, self.pre = regex.compile(PIECE), regex.compile(PRE_TOKEN)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.leaf = leaf
+        special = [t["content"] for t in json.loads(self.whole.to_str())["added_tokens"]]
+        # a window's side must be longer than a special token that a join cuts, and than what a pattern looks at
+        self.window = max([WINDOW, AHEAD + 1, *(len(x.encode()) + 1 for x in special)])
         letters = {c: b for b, c in byte_letters().items()}
-        size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.bytes = [b""] * size
-        for i in range(size):
+        self.bytes = []
+        for i in range(self.whole.get_vocab_size(with_added_tokens=True)):
             t = self.whole.id_to_token(i)
-            self.bytes[i] = t.encode() if t in self.special else bytes(letters[c] for c in t)
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
+            self.bytes.append(t.encode() if t in special else bytes(letters[c] for c in t))
 
-    @property
-    def raw(self):
-        """For text inside one pre-token: the same merges, no pattern, no special tokens; made when first needed."""
-        if self._raw is None:
-            from tokenizers import Tokenizer, pre_tokenizers
-
-            self._raw = Tokenizer.from_file(self.path)
-            self._raw.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self._raw.encode_special_tokens = True
-        return self._raw
-
-    def leaves(self, text: str) -> list[str]:
+    def halves(self, text: str) -> list[str]:
         """Halves of halves of at most ``leaf`` characters; their number is a power of two."""
         parts = [text]
         while len(parts[0]) > self.leaf:
             parts = [y for x in parts for y in (x[: (len(x) + 1) // 2], x[(len(x) + 1) // 2 :])]
         return parts
 
-    def tree(self, text: str) -> list[int]:
-        """The ids of one pre-token."""
-        level = [e.ids for e in self.raw.encode_batch_fast(self.leaves(text), add_special_tokens=False)]
-        while len(level) > 1:
-            level = [self.join(level[i], level[i + 1]) for i in range(0, len(level), 2)]
-        return level[0]
+    def parsed(self, texts: list[str]) -> list[Ids]:
+        out = []
+        for e in self.whole.encode_batch(texts, add_special_tokens=False):
+            words = np.array(e.word_ids, np.int64)
+            out.append(Ids(np.array(e.ids, np.uint32), np.append(True, words[1:] != words[:-1]) if len(words) else np.zeros(0, bool)))
+        return out
 
-    def join(self, a: list[int], b: list[int]) -> list[int]:
+    def trees(self, texts: list[str]) -> list[Ids]:
+        """The ids of texts, each from its leaves."""
+        split = [self.halves(x) for x in texts]
+        leaves = self.parsed([y for x in split for y in x])
+        out, at = [], 0
+        for x in split:
+            level = leaves[at : at + len(x)]
+            at += len(x)
+            while len(level) > 1:
+                level = [self.join(level[i], level[i + 1]) for i in range(0, len(level), 2)]
+            out.append(level[0])
+        return out
+
+    def joined(self, parts: list[Ids]) -> Ids:
+        """The ids of what consecutive parts stand for together, pairwise up a tree."""
+        while len(parts) > 1:
+            parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def join(self, a: Ids, b: Ids) -> Ids:
         """The ids of what ``a`` and ``b`` stand for together."""
-        if not a or not b:
-            return a or b
-        w = WINDOW
+        if not len(a) or not len(b):
+            return a if len(a) else b
+        w = self.window
         while True:
-            left, right = max(0, len(a) - w), min(len(b), w)
-            middle = self.encode_bytes(b"".join(self.bytes[i] for i in a[left:] + b[:right]))
+            low, high = max(0, len(a) - w), min(len(b), w)
+            near = np.flatnonzero(a.begins[max(0, low - w) : low + 1])
+            low = max(0, low - w) + int(near[-1]) if len(near) else low
+            middle = self.window_of(a.ids[low:], b.ids[:high])
             if middle is not None:
-                fits_left = left == 0 or middle[0] == a[left]
-                fits_right = right == len(b) or middle[-1] == b[right - 1]
-                if fits_left and fits_right:
-                    return a[:left] + middle + b[right:]
-            if left == 0 and right == len(b):
+                left = self.agree_left(a, low, middle)
+                right = (len(b), len(middle)) if high == len(b) else self.agree_right(a, low, b, high, middle)
+                if left is not None and right is not None and left[1] <= right[1]:
+                    (i, m), (j, n) = left, right
+                    join = lambda x, y, z: np.concatenate([x[:i], y[m:n], z[j:]])  # noqa: B023, E731
+                    return Ids(join(a.ids, middle.ids, b.ids), join(a.begins, middle.begins, b.begins))
+            if low == 0 and high == len(b):
                 raise ValueError("the whole of both sides must be text")
             w *= 2
 
-    def encode_bytes(self, data: bytes) -> list[int] | None:
+    def window_of(self, a: np.ndarray, b: np.ndarray) -> Ids | None:
         """None if the window cuts a character."""
         try:
-            return self.raw.encode(data.decode(), add_special_tokens=False).ids
+            return self.parsed([(self.decode_bytes(a) + self.decode_bytes(b)).decode()])[0]
         except UnicodeDecodeError:
             return None
 
-    def long(self, piece: str) -> list[int]:
-        """The ids of a piece that is longer than a leaf."""
-        out: list[int] = []
-        for k, part in enumerate(self.specials.split(piece) if self.specials else [piece]):
-            if k % 2:
-                out.append(self.whole.token_to_id(part))
+    def places(self, ids: np.ndarray) -> list[int]:
+        """Where each token begins, in bytes, and the end."""
+        return list(accumulate((len(self.bytes[i]) for i in ids.tolist()), initial=0))
+
+    def agree_left(self, a: Ids, low: int, middle: Ids) -> tuple[int, int] | None:
+        """(i, m): the ids are a's up to i and the window's from m on."""
+        if low == 0 or a.begins[low]:
+            return low, 0
+        # inside a long word: the same token in both
+        at = dict(zip(self.places(middle.ids)[:-1], range(len(middle)), strict=True))
+        for i, place in zip(range(low, len(a)), self.places(a.ids[low:]), strict=False):
+            m = at.get(place)
+            if a.begins[i] or (m and middle.begins[m]):
+                return None
+            if m and middle.ids[m] == a.ids[i] and not middle.begins[1 : m + 1].any():
+                return i, m
+        return None
+
+    def agree_right(self, a: Ids, low: int, b: Ids, high: int, middle: Ids) -> tuple[int, int] | None:
+        """(j, n): the ids are the window's up to n and b's from j on."""
+        start = sum(len(self.bytes[i]) for i in a.ids[low:].tolist())
+        held = self.places(middle.ids)
+        at = dict(zip(held[:-1], range(len(middle)), strict=True))
+        one_word = True
+        for j, place in zip(range(high), self.places(b.ids[:high]), strict=False):
+            if start + place + AHEAD > held[-1]:
+                return None
+            one_word = one_word and not (j and b.begins[j])
+            n = at.get(start + place)
+            if n is None:
                 continue
-            short: list[str] = []
-            for m in self.pre.finditer(part):
-                token = m.group()
-                if len(token) > self.leaf:
-                    out += self.batch(short) + self.tree(token)
-                    short = []
-                else:
-                    short.append(token)
-            out += self.batch(short)
-        return out
-
-    def batch(self, tokens: list[str]) -> list[int]:
-        return [i for e in self.raw.encode_batch_fast(tokens, add_special_tokens=False) for i in e.ids] if tokens else []
-
-    def learn(self, pieces: set[str]) -> None:
-        """Keep each piece's ids and the bytes that its ids decode to."""
-        if len(self.kept) + len(pieces) > self.most:
-            self.kept = {p: self.kept[p] for p in pieces if p in self.kept}  # the common ones
-        new = [p for p in pieces if p not in self.kept]
-        for group in batches([p for p in new if len(p) <= self.leaf]):
-            for p, e in zip(group, self.whole.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.keep(p, e.ids)
-        for p in new:
-            if len(p) > self.leaf:
-                self.keep(p, self.long(p))
-
-    def keep(self, piece: str, ids: list[int]) -> None:
-        self.kept[piece] = np.array(ids, "<u4").tobytes(), self.decode_bytes(ids)
-
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes[i] for i in ids])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
+            if b.begins[j] and middle.begins[n]:
+                return j, n
+            # inside a long word: the same token in both, and no other word from the join on
+            if j and one_word and middle.ids[n] == b.ids[j] and not middle.begins[np.searchsorted(held, start) : n + 1].any():
+                return j, n
+        return None
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.bytes[i] for i in ids.tolist()])
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """In UTF-8; bytes that are none (which no text gives) become U+FFFD, as in the library."""
+        return self.decode_bytes(ids).decode(errors="replace").encode()
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; those that are no longer than a leaf are encoded by themselves."""
         for group in batches(texts):
-            split = [self.pattern.findall(x) for x in group]
-            self.learn({p for x in split for p in x})
-            for x in split:
-                both = [self.kept[p] for p in x]
-                # bytes that are no UTF-8 (which no text gives) become U+FFFD, as in the library
-                yield b"".join([b[0] for b in both]), b"".join([b[1] for b in both]).decode(errors="replace").encode()
+            short = [x for x in group if len(x) <= self.leaf]
+            long = [x for x in group if len(x) > self.leaf]
+            plain = iter(self.whole.encode_batch_fast(short, add_special_tokens=False))
+            grown = iter(self.trees(long))
+            for x in group:
+                yield np.array(next(plain).ids, np.uint32) if len(x) <= self.leaf else next(grown).ids
 
 
 def byte_letters() -> dict[int, str]:
@@ -176,38 +204,70 @@ def byte_letters() -> dict[int, str]:
 
 def coder(path: str) -> Coder:
     if path not in _loaded:
+        _loaded.clear()  # a worker stays for later queries, with the last vocabulary
         _loaded[path] = Coder(path)
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = KEPT) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids and decoded.
+RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+IDS = ", ids array<int>, decoded string"
+
 
-    A task keeps ``kept`` pieces; fewer than the default are given back at its end.
-    """
+def results(c: Coder, every: list[np.ndarray], with_ids: bool) -> tuple[list[pa.Array], list[str]]:
+    ids = [x.astype("<u4").tobytes() for x in every]
+    decoded = [c.decoded(x) for x in every]
+    columns = [pa.array([len(x) for x in every], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
+    if with_ids:
+        columns += [pa.array([x.astype("int32") for x in every], pa.list_(pa.int32())), pa.array([x.decode() for x in decoded], pa.string())]
+    return columns, [x.split()[0] for x in (RESULT + IDS * with_ids).split(", ")]
+
+
+def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, spread: int = SPREAD, part: int = PART) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids and decoded."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        c.most = kept
-        for part in slices(parts, ROWS):
-            n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
-            for ids, decoded in c.encode([x or "" for x in part.column(1).to_pylist()]):
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                decoded_sha.append(hashlib.sha256(decoded).hexdigest())
-                if with_ids:
-                    all_ids.append(np.frombuffer(ids, "<u4").astype("int32"))
-                    all_decoded.append(decoded.decode())
-            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-        if kept < KEPT:  # the worker stays, its pieces need not
-            c.kept.clear()
-
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    more = ", ids array<int>, decoded string" if with_ids else ""
-    return small_batches(source).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+        for held in slices(parts, ROWS):
+            columns, names = results(c, list(c.encode(held.column(1).to_pylist())), with_ids)
+            yield pa.RecordBatch.from_arrays([held.column(0), *columns], names=["doc_id", *names])
+
+    usual = small_batches(source.where(F.length("text") <= spread)).mapInArrow(run, f"doc_id {kind}, {RESULT}{IDS * with_ids}")
+    return usual.unionByName(_spread(source.where(F.length("text") > spread), path, with_ids, part))
+
+
+def _spread(source: DataFrame, path: str, with_ids: bool, size: int) -> DataFrame:
+    """The same for long texts, whose parts are encoded in tasks of their own; equal texts are encoded once."""
+    keys = [F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("digest")]
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in slices(parts, 8):
+            for key, digest, text in zip(*[c.to_pylist() for c in held.columns], strict=True):
+                pieces = [text[a : a + size] for a in range(0, len(text), size)]
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([digest] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(pieces, pa.string())], names=["key", "digest", "k", "piece"])
+
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(path)
+        for held in slices(parts, 16):
+            found = c.trees(held.column(3).to_pylist())
+            packed = [pa.array([x.ids.astype("<u4").tobytes() for x in found], pa.binary()), pa.array([x.begins.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*held.columns[:3], *packed], names=["key", "digest", "k", "ids", "begins"])
+
+    def join(held: pa.Table) -> pa.Table:
+        c = coder(path)
+        held = held.sort_by("k")
+        parts = [Ids(np.frombuffer(i, "<u4"), np.frombuffer(b, bool)) for i, b in zip(held.column("ids").to_pylist(), held.column("begins").to_pylist(), strict=True)]
+        columns, names = results(c, [c.joined(parts).ids], with_ids)
+        return pa.Table.from_arrays([held.column("key").slice(0, 1).combine_chunks(), held.column("digest").slice(0, 1).combine_chunks(), *columns], names=["key", "digest", *names])
+
+    named = source.select("doc_id", *keys)
+    texts = small_batches(source.select(*keys, "text").dropDuplicates(["key", "digest"]))
+    pieces = texts.mapInArrow(cut, "key long, digest string, k int, piece string")
+    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = pieces.repartition(tasks, "key", "k").mapInArrow(encode, "key long, digest string, k int, ids binary, begins binary")
+    whole = parts.groupBy("key", "digest").applyInArrow(join, f"key long, digest string, {RESULT}{IDS * with_ids}")
+    whole = materialize(whole, "long-texts").withColumnRenamed("key", "of_key").withColumnRenamed("digest", "of_digest")
+    both = named.join(whole, (F.col("key") == F.col("of_key")) & (F.col("digest") == F.col("of_digest")))
+    return both.drop("key", "digest", "of_key", "of_digest")

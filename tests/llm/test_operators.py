@@ -404,14 +404,29 @@ def fuzzed():
     return out + ["a" * 3000, "ab" * 999, "中" * 700, "!" * 600 + "x" * 700, "the" * 500 + "<|endoftext|>" + "1" * 900 + "  " + "é" * 500, "".join(rng.choice("etaoinshrdlu") for _ in range(9000))]
 
 
-@pytest.mark.parametrize("leaf", [3, 512])
+@pytest.mark.parametrize("leaf", [1, 3, 17, 100, 2048])
 def test_bpe_trees_match_the_library(leaf):
     c = bpe.Coder(queries.vocabulary("byte_bpe_50k.json"), leaf=leaf)
     texts = fuzzed()
-    for text, (ids, decoded) in zip(texts, c.encode(texts), strict=True):
+    for text, ids in zip(texts, c.encode(texts), strict=True):
         e = c.whole.encode(text, add_special_tokens=False).ids
-        assert np.array(e, "<u4").tobytes() == ids
-        assert c.whole.decode(e, skip_special_tokens=False).encode() == decoded
+        assert e == ids.tolist(), text
+        assert c.whole.decode(e, skip_special_tokens=False).encode() == c.decoded(ids)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_trees_of_hard_joins(seed):
+    """Contractions, runs of spaces, digits and signs, characters of several bytes, at every possible cut."""
+    rng = random.Random(seed)
+    c = bpe.Coder(queries.vocabulary("byte_bpe_50k.json"), leaf=40)
+    kinds = ["'", "'ll", "'re", "we'", "ll", " ", "   ", "\n\n ", "!!!", "'s!", "123456", "é中", "😀", "<|endoftext|>", "<|endof", "text|>", "abc", "ing "]
+    for _ in range(150):
+        text = "".join(rng.choice(kinds) * rng.choice([1, 1, 2, 30]) for _ in range(rng.randint(2, 25)))
+        want = c.whole.encode(text, add_special_tokens=False).ids
+        assert next(c.encode([text])).tolist() == want, text
+        cut = rng.randrange(len(text))
+        a, b = c.parsed([text[:cut], text[cut:]])
+        assert c.join(a, b).ids.tolist() == want, (text, cut)
 
 
 def test_word_lengths_add_up():
@@ -422,10 +437,16 @@ def test_word_lengths_add_up():
     assert [sum(known[p] for p in x) for x in pieces] == token_counts.lengths(texts, path)
 
 
-def test_bpe_query_rows(docs):
-    got = bpe.encode_documents(docs, queries.vocabulary("byte_bpe_50k.json"), with_ids=True).collect()
-    texts = {hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows_of()}
-    assert len(got) == len(rows_of()) and all(r.decoded_sha256 in texts and len(r.ids) == r.n_tokens for r in got)
+@pytest.mark.parametrize("spread", [1 << 16, 2_000])
+def test_bpe_query_rows(docs, spread):
+    path = queries.vocabulary("byte_bpe_50k.json")
+    got = bpe.encode_documents(docs, path, with_ids=True, spread=spread, part=700).collect()
+    whole = bpe.Coder(path).whole
+    want = []
+    for r in rows_of():
+        ids = whole.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest(), ids, r[1] or ""))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
 def test_fingerprints_of_neighbours(spark, docs):
