@@ -4,12 +4,14 @@ A text of more than LEAF characters is halved again and again, wherever the
 halves happen to end. The leaves of a batch of texts are encoded together, and
 put together pairwise up the trees. At each join a window of tokens from both
 sides is encoded anew, by the library and with all its rules, and widened until
-it agrees with both sides: a side is taken up again where both encodings begin a
-word (a piece that the pattern before the merges gives) at the same byte, as the
-pattern then goes on alike, or, inside a word that is longer than the window,
-where both have the same token at the same bytes, as a sequence of merges is
-right if and only if each pair of neighbours is. Decoding joins the bytes of the
-tokens.
+it agrees with both sides. The pattern before the merges never joins white space
+to what stands before it, so where the window holds such places on both sides,
+what lies between them must come out the same. Else a side is taken up again
+where both encodings begin a word (a piece that the pattern gives) at the same
+byte, as the pattern then goes on alike, or, inside a word that is longer than
+the window, where both have the same token at the same bytes, as a sequence of
+merges is right if and only if each pair of neighbours is. Decoding joins the
+bytes of the tokens.
 
 Texts of more than SPREAD characters are cut into parts that are encoded in
 tasks of their own; each such text's parts then meet in one task, which joins them.
@@ -34,11 +36,15 @@ from driftline.llm.common import materialize, slices, small_batches
 from driftline.llm.token_counts import batches
 
 #: Characters of a leaf of the tree at most, and the tokens on each side of a first window.
-LEAF, WINDOW = 2048, 16
+LEAF, WINDOW = 1024, 16
 #: Characters from which a text's parts are dealt out, and of such a part.
 SPREAD, PART = 1 << 16, 1 << 14
 #: Bytes after the end of a word that its pattern may have looked at: three characters.
 AHEAD = 12
+#: White space of one byte (fixed values).
+SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+#: Tokens on a side within which white space is looked for.
+NEAR = 128
 #: Documents to a batch of results.
 ROWS = 256
 
@@ -46,9 +52,9 @@ _loaded: dict = {}
 
 
 class Ids:
-    """Ids of a text, and which of them begin a word."""
+    """Ids of a text, and which of them begin a word where that is known already."""
 
-    def __init__(self, ids: np.ndarray, begins: np.ndarray):
+    def __init__(self, ids: np.ndarray, begins: np.ndarray | None = None):
         self.ids, self.begins = ids, begins
 
     def __len__(self) -> int:
@@ -77,6 +83,8 @@ class Coder:
         for i in range(self.whole.get_vocab_size(with_added_tokens=True)):
             t = self.whole.id_to_token(i)
             self.bytes.append(t.encode() if t in special else bytes(letters[c] for c in t))
+        self.spaced = np.array([x[:1] in SPACES for x in self.bytes]) & (not any(x in t.encode() for t in special for x in SPACES))
+        self.plain = np.array([0x20 < x[-1] < 0x7F if x else False for x in self.bytes])
 
     def halves(self, text: str) -> list[str]:
         """Halves of halves of at most ``leaf`` characters; their number is a power of two."""
@@ -95,7 +103,7 @@ class Coder:
     def trees(self, texts: list[str]) -> list[Ids]:
         """The ids of texts, each from its leaves."""
         split = [self.halves(x) for x in texts]
-        leaves = self.parsed([y for x in split for y in x])
+        leaves = [Ids(np.array(e.ids, np.uint32)) for e in self.whole.encode_batch_fast([y for x in split for y in x], add_special_tokens=False)]
         out, at = [], 0
         for x in split:
             level = leaves[at : at + len(x)]
@@ -115,6 +123,28 @@ class Coder:
         """The ids of what ``a`` and ``b`` stand for together."""
         if not len(a) or not len(b):
             return a if len(a) else b
+        return self.join_at_spaces(a, b) or self.join_in_words(self.with_words(a), self.with_words(b))
+
+    def join_at_spaces(self, a: Ids, b: Ids) -> Ids | None:
+        """None if no window with white space on both sides agrees."""
+        w = self.window
+        while w <= NEAR:
+            start, end = max(0, len(a) - w), min(len(b), w)
+            left, right = (np.flatnonzero(self.spaced[x[1:]] & self.plain[x[:-1]]) + 1 for x in (a.ids[start:], b.ids[:end]))
+            if len(left) > 1 and len(right) > 1:
+                low, i, j, high = start + int(left[0]), start + int(left[-1]), int(right[0]), int(right[-1])
+                # at white space the text is cut between characters
+                text = (self.decode_bytes(a.ids[low:]) + self.decode_bytes(b.ids[:high])).decode()
+                middle = np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                if np.array_equal(middle[: i - low], a.ids[low:i]) and np.array_equal(middle[len(middle) - (high - j) :], b.ids[j:high]):
+                    return Ids(np.concatenate([a.ids[:low], middle, b.ids[high:]]))
+            w *= 2
+        return None
+
+    def with_words(self, a: Ids) -> Ids:
+        return a if a.begins is not None else self.parsed([self.decode_bytes(a.ids).decode()])[0]
+
+    def join_in_words(self, a: Ids, b: Ids) -> Ids:
         w = self.window
         while True:
             low, high = max(0, len(a) - w), min(len(b), w)
@@ -252,13 +282,12 @@ def _spread(source: DataFrame, path: str, with_ids: bool, size: int) -> DataFram
         c = coder(path)
         for held in slices(parts, 16):
             found = c.trees(held.column(3).to_pylist())
-            packed = [pa.array([x.ids.astype("<u4").tobytes() for x in found], pa.binary()), pa.array([x.begins.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*held.columns[:3], *packed], names=["key", "digest", "k", "ids", "begins"])
+            yield pa.RecordBatch.from_arrays([*held.columns[:3], pa.array([x.ids.astype("<u4").tobytes() for x in found], pa.binary())], names=["key", "digest", "k", "ids"])
 
     def join(held: pa.Table) -> pa.Table:
         c = coder(path)
         held = held.sort_by("k")
-        parts = [Ids(np.frombuffer(i, "<u4"), np.frombuffer(b, bool)) for i, b in zip(held.column("ids").to_pylist(), held.column("begins").to_pylist(), strict=True)]
+        parts = [Ids(np.frombuffer(x, "<u4")) for x in held.column("ids").to_pylist()]
         columns, names = results(c, [c.joined(parts).ids], with_ids)
         return pa.Table.from_arrays([held.column("key").slice(0, 1).combine_chunks(), held.column("digest").slice(0, 1).combine_chunks(), *columns], names=["key", "digest", *names])
 
@@ -266,7 +295,7 @@ def _spread(source: DataFrame, path: str, with_ids: bool, size: int) -> DataFram
     texts = small_batches(source.select(*keys, "text").dropDuplicates(["key", "digest"]))
     pieces = texts.mapInArrow(cut, "key long, digest string, k int, piece string")
     tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = pieces.repartition(tasks, "key", "k").mapInArrow(encode, "key long, digest string, k int, ids binary, begins binary")
+    parts = pieces.repartition(tasks, "key", "k").mapInArrow(encode, "key long, digest string, k int, ids binary")
     whole = parts.groupBy("key", "digest").applyInArrow(join, f"key long, digest string, {RESULT}{IDS * with_ids}")
     whole = materialize(whole, "long-texts").withColumnRenamed("key", "of_key").withColumnRenamed("digest", "of_digest")
     both = named.join(whole, (F.col("key") == F.col("of_key")) & (F.col("digest") == F.col("of_digest")))
