@@ -11,7 +11,8 @@ cells, as many as the share of empty cells suggests. From the differing digests
 and the sizes follows the likeness, the Jaccard similarity of the two sets.
 
 A fingerprint is the text form of a sketch of CELLS cells and the number of
-digests. Equal texts have equal fingerprints.
+digests. Equal texts have equal fingerprints. ``compare`` takes two of them apart
+again, subtracts and peels; only where that fails are texts needed.
 
 Defined cases: a null text counts as empty; two texts without words are alike
 with 1.0; rows with one id are ordered by text hash and text; null ids come
@@ -36,8 +37,8 @@ from driftline.llm.hashing import WordHashes, mix, runs
 #: Cells of a fingerprint (a multiple of 3), 1 / the share of words that end a
 #: paragraph, and the most words in one.
 CELLS, CUT, LONGEST = 24, 6, 16
-#: Documents compared at once.
-BATCH = 256
+#: Documents compared at once, and ids drawn for each partition to cut the ids into ranges.
+BATCH, DRAWN = 256, 64
 
 
 def digests(text: str, words: WordHashes) -> np.ndarray:
@@ -138,27 +139,83 @@ def differing(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) ->
     return out
 
 
-def likeness(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[float]:
-    found = []
-    for (a, b), (x, y) in zip(pairs, differing(pairs, cells), strict=True):
-        common = (len(a) + len(b) - len(x) - len(y)) // 2
-        union = len(a) + len(b) - common
-        found.append(common / union if union else 1.0)
-    return found
-
-
-def fingerprints(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
-    sketch = Cells(np.full(len(sets), cells, np.int64))
+def sketch(sets: list[np.ndarray], cells: int = CELLS) -> Cells:
+    out = Cells(np.full(len(sets), cells, np.int64))
     lengths = [len(s) for s in sets]
     if sum(lengths):
-        sketch.add(np.repeat(np.arange(len(sets)), lengths), np.concatenate(sets), np.ones(sum(lengths), np.int32))
+        out.add(np.repeat(np.arange(len(sets)), lengths), np.concatenate(sets), np.ones(sum(lengths), np.int32))
+    return out
+
+
+def subtracted(a: Cells, b: Cells, left: np.ndarray, right: np.ndarray, cells: int = CELLS) -> Cells:
+    """The sketches ``left`` of ``a`` without the sketches ``right`` of ``b``."""
+    out = Cells(np.full(len(left), cells, np.int64))
+    rows = lambda x, at: x.reshape(-1, cells)[at].reshape(-1)
+    out.count = rows(a.count, left) - rows(b.count, right)
+    out.keys = rows(a.keys, left) ^ rows(b.keys, right)
+    out.checks = rows(a.checks, left) ^ rows(b.checks, right)
+    return out
+
+
+def taken_apart(held: Cells, n: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """The digests on either side of ``n`` subtracted sketches; None where peeling leaves some."""
+    owner, keys, sign = held.peel()
+    left = np.bincount(held.owner[(held.count != 0) | (held.keys != 0)], minlength=n)
+    order = np.argsort(owner, kind="stable")
+    owner, keys, sign = owner[order], keys[order], sign[order]
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    parts = [(keys[x:y], sign[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+    return [None if gone else (np.sort(k[s > 0]), np.sort(k[s < 0])) for gone, (k, s) in zip(left, parts, strict=True)]
+
+
+def likeness(sizes: list[tuple[int, int]], found: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+    """Jaccard similarity from the sizes of two sets and what only one of them holds."""
     out = []
-    for i, n in enumerate(lengths):
+    for (a, b), (x, y) in zip(sizes, found, strict=True):
+        common = (a + b - len(x) - len(y)) // 2
+        out.append(common / (a + b - common) if a + b else 1.0)
+    return out
+
+
+def alike(pairs: list[tuple[np.ndarray, np.ndarray]], held: Cells, cells: int = CELLS) -> list[float]:
+    """Likeness of pairs of sets, ``held`` being their subtracted sketches; larger ones are made where these don't do."""
+    found = taken_apart(held, len(pairs))
+    again = [i for i, x in enumerate(found) if x is None]
+    for i, x in zip(again, differing([pairs[i] for i in again], 2 * cells), strict=True):
+        found[i] = x
+    return likeness([(len(a), len(b)) for a, b in pairs], found)
+
+
+def written(held: Cells, sizes: list[int], cells: int = CELLS) -> list[str]:
+    """The text forms of sketches of ``cells`` cells."""
+    out = []
+    for i, n in enumerate(sizes):
         s = slice(i * cells, (i + 1) * cells)
-        out.append(base64.b64encode(np.array([n, cells], "<u4").tobytes() + sketch.count[s].astype("<i4").tobytes() + sketch.keys[s].astype("<u8").tobytes() + sketch.checks[s].astype("<u4").tobytes()).decode())
+        out.append(base64.b64encode(np.array([n, cells], "<u4").tobytes() + held.count[s].astype("<i4").tobytes() + held.keys[s].astype("<u8").tobytes() + held.checks[s].astype("<u4").tobytes()).decode())
     return out
 
 
+def read(fingerprint: str) -> tuple[int, Cells]:
+    """(number of digests, sketch) of a fingerprint."""
+    raw = base64.b64decode(fingerprint)
+    n, cells = np.frombuffer(raw, "<u4", 2).tolist()
+    held = Cells(np.array([cells]))
+    held.count = np.frombuffer(raw, "<i4", cells, 8).astype(np.int32)
+    held.keys = np.frombuffer(raw, "<u8", cells, 8 + 4 * cells).astype(np.uint64)
+    held.checks = np.frombuffer(raw, "<u4", cells, 8 + 12 * cells).astype(np.uint32)
+    return n, held
+
+
+def compare(a: str, b: str) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """(likeness, digests only in the first, only in the second) of two fingerprints; None if they need more cells."""
+    (n, x), (m, y) = read(a), read(b)
+    if len(x.count) != len(y.count):
+        return None
+    one = np.zeros(1, np.int64)
+    (found,) = taken_apart(subtracted(x, y, one, one, len(x.count)), 1)
+    return None if found is None else (likeness([(n, m)], [found])[0], *found)
+
+
 def edited(text: str, following: str) -> str:
     n = len(text) // 3
     return text[: len(text) - n] + following[:n]
@@ -187,10 +244,11 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
     top = ids.agg(F.max("doc_id").alias("top")).collect()[0]["top"]
-    cuts = [] if top is None else ids.where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
-    bounds = sorted({int(x) for x in cuts if x < top}, reverse=True)
+    # ranges end at exact ids: evenly spaced ones of the DRAWN * n with the smallest hashes
+    drawn = sorted(r["doc_id"] for r in ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DRAWN * n).collect())
+    bounds = sorted({drawn[i * len(drawn) // n] for i in range(1, n)} - {top} if drawn else set(), reverse=True)
     # a number for each range that falls into a partition of its own
     spread = spark.range(32 * n).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
     names = [r["name"] for r in spread.groupBy("p").agg(F.min("id").alias("name")).orderBy("p").collect()]
@@ -210,9 +268,13 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             texts = [t for _, t in held] + [following]
             changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
             own, new = [digests(t, words) for t in texts], [digests(t, words) for t in changed]
-            prints = fingerprints(own[:-1] + new, cells)
-            near = likeness(list(zip(own, new, strict=False)) + list(zip(own, own[1:], strict=False)), cells)
             k = len(held)
+            both, at = sketch(own + new, cells), np.arange(k)
+            sizes = [len(s) for s in own + new]
+            prints = written(both, sizes, cells)
+            prints = prints[:k] + prints[k + 1 :]
+            pairs = list(zip(own, new, strict=False)) + list(zip(own, own[1:], strict=False))
+            near = alike(pairs, subtracted(both, both, np.append(at, at), np.append(at + k + 1, at + 1), cells), cells)
             columns = [[d for d, _ in held], [len(t) for t in texts[:-1]], [hashlib.sha256(t.encode()).hexdigest() for t in changed], prints[:k], prints[k:], near[:k], near[k:], [len(s) for s in own[:-1]]]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=NAMES)
