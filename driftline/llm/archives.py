@@ -23,20 +23,23 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialize, scratch_dir
+from driftline.llm.common import bitmap, marked, materialize, scratch_dir, small_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of neighbouring records that one read brings.
 READ_BYTES = 4 << 20
+#: Of all copies, the share (one in so many) from which a payload counts as frequent: at most so many payloads do.
+HOT = 1000
 #: Values of the ZIP format (fixed): signatures, and what stands for "see ZIP64".
 LOCAL, CENTRAL, END, END64, LOCATOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 IN_ZIP64 = 0xFFFFFFFF
@@ -150,23 +153,70 @@ class PackageReader:
             raise ValueError(f"{name} has no local header")
         return where + 30 + n_name + n_extra, size
 
+    def records(self) -> list[tuple[int, int]]:
+        """(offset in the package, length) of the records of all stored archive members.
+
+        Lines of index members that name a file, an offset and a length in JSON
+        (CDXJ, gzipped or not) or end in the last two, for the only archive, are
+        taken; an archive that no index names is run through.
+        """
+        found: dict[str, list[tuple[int, int]]] = {n: [] for n in self.members if n.startswith("archive/") and n.endswith(".warc.gz")}
+        for name in sorted(n for n in self.members if n.startswith("indexes/") and n.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))):
+            data = self.read(*self.stored(name))
+            for line in (gzip.decompress(data) if name.endswith(".gz") else data).decode().splitlines():
+                brace = line.find("{")
+                if brace >= 0:
+                    fields = json.loads(line[brace:])
+                    archive, at, n = "archive/" + str(fields["filename"]).rpartition("/")[2], int(fields["offset"]), int(fields["length"])
+                elif line.strip() and not line.startswith("!") and len(found) == 1:
+                    archive, (at, n) = next(iter(found)), map(int, line.split(" ")[-2:])
+                else:
+                    continue
+                if archive in found:
+                    found[archive].append((at, n))
+        out = []
+        for archive in sorted(found):
+            first, size = self.stored(archive)
+            places = sorted(set(found[archive])) or gzip_members(lambda at, n, first=first: self.read(first + at, n), size)
+            out += [(first + at, n) for at, n in places]
+        return out
+
+
+def gzip_members(data: Callable[[int, int], bytes], size: int, block: int = 1 << 20) -> list[tuple[int, int]]:
+    """(offset, length) of each gzip member in ``size`` bytes, by running through them."""
+    out, at, begin, reader = [], 0, 0, zlib.decompressobj(31)
+    while at < size:
+        held = data(at, min(block, size - at))
+        at += len(held)
+        while held:
+            reader.decompress(held)
+            if not reader.eof:
+                break
+            end = at - len(reader.unused_data)
+            out.append((begin, end - begin))
+            begin, held, reader = end, reader.unused_data, zlib.decompressobj(31)
+    if begin != size:
+        raise ValueError("an archive member ends within a record")
+    return out
+
 
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One gzip member."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
-    target = "".join(c for c in url or "" if c not in "\r\n")
+def warc_record(page_id: int | None, url: str | None, payload: bytes | None, digest: bytes, n_bytes: int, refers_to: int | None) -> bytes:
+    """One gzip member; a revisit is given no payload, only its SHA-1 and length. Line ends in a URL become %0D and %0A."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
+    block = http + (payload or b"")
+    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {target}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{digest32(payload)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
     ]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -186,6 +236,8 @@ def parse_record(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
     number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
+    if h["WARC-Type"] != "revisit" and (h["WARC-Payload-Digest"] != f"sha1:{digest32(payload)}" or int(fields["Content-Length"]) != len(payload)):
+        raise ValueError(f"the payload of {h['WARC-Record-ID']} isn't what its header says")
     return {
         "page_id": number(h["WARC-Record-ID"]),
         "url": h["WARC-Target-URI"],
@@ -205,22 +257,37 @@ def write_packages(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     """
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload")).withColumn("same", F.sha2("payload", 256))
-    firsts = rows.where(F.length("payload") >= least).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    marked = rows.join(firsts, "same", "left")
-    revisit = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("first") != F.col("page_id")) & (F.length("payload") >= least)
-    marked = marked.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"))
+    firsts = rows.where(F.length("payload") >= least).groupBy(F.col("same").alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts, "firsts")
+    total = firsts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+    # HOT digests at most have so many copies: known to every task, their rows need no shuffle
+    frequent = F.col("n") * HOT >= F.lit(total)
+    known = firsts.where(frequent).select(F.col("of").alias("hot"), F.col("first").alias("hot_first"))
+    rows = rows.join(F.broadcast(known), F.col("same") == F.col("hot"), "left")
+    # nor do payloads without a copy
+    rows = marked(rows, bitmap(firsts.where(~frequent), "of"), "same", name="copy").withColumn("copy", F.col("copy") & F.col("hot").isNull() & (F.length("payload") >= least))
+    rest = rows.where("copy").join(firsts.where(~frequent).select("of", "first"), F.col("same") == F.col("of"), "left")
+    refers = lambda first: F.when(first.isNotNull() & F.col("page_id").isNotNull() & (first != F.col("page_id")) & (F.length("payload") >= least), first)
+    names = ["page_id", "url", "payload", "digest", "n_bytes", "refers_to"]
+
+    def ready(rows: DataFrame, first: str) -> DataFrame:
+        """The columns of a record; a revisit's payload goes."""
+        rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "n_bytes": F.length("payload").cast("long"), "refers_to": refers(F.col(first))})
+        return rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).select(*names)
+
+    packed = small_batches(ready(rows.where("not copy"), "hot_first").unionByName(ready(rest, "first")))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, index, n = f"{folder}/{uuid.uuid4().hex}.wacz", None, [], 0
         for part in parts:
-            for page_id, url, payload, refers_to in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            for page_id, url, payload, digest, n_bytes, refers_to in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 if out is None:
                     store, path = open_store(name)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
                     stream = store.open_output_stream(path)
                     out = PackageWriter(stream, zip64)
                     out.begin(DATA)
-                record = warc_record(page_id, url, payload, refers_to, refers_to is not None)
+                record = warc_record(page_id, url, None if refers_to is not None else payload, digest, n_bytes, refers_to)
                 index.append(f"{'' if page_id is None else page_id} {out.put(record)} {len(record)}\n")
                 n += 1
         if out is not None:
@@ -232,7 +299,7 @@ def write_packages(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             stream.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.at], pa.int64()), pa.array([n], pa.int64())], names=["path", "size", "n_records"])
 
-    return materialize(marked.mapInArrow(run, "path string, size long, n_records long"), "packages")
+    return materialize(packed.mapInArrow(run, "path string, size long, n_records long"), "packages")
 
 
 def read_packages(packages: DataFrame, *, read_bytes: int = READ_BYTES) -> DataFrame:
@@ -248,17 +315,15 @@ def read_packages(packages: DataFrame, *, read_bytes: int = READ_BYTES) -> DataF
                 store, inside = open_store(path)
                 with store.open_input_file(inside) as f:
                     package = PackageReader(f, size)
-                    data_at, _ = package.stored(DATA)
-                    at, n = package.stored(INDEX)
-                    lines = [tuple(map(int, x.split(b" ")[1:])) for x in package.read(at, n).split(b"\n") if x]
+                    places = package.records()
                 ranges: list[list[int]] = []
-                held = read_bytes
-                for offset, length in lines:
-                    if held + length > read_bytes:
+                held, end = read_bytes, None
+                for offset, length in places:
+                    if held + length > read_bytes or offset != end:
                         ranges.append([])
                         held = 0
-                    ranges[-1] += [offset + data_at, length]
-                    held += length
+                    ranges[-1] += [offset, length]
+                    held, end = held + length, offset + length
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(ranges), pa.string()), pa.array(ranges, pa.list_(pa.int64()))], names=["path", "ranges"])
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

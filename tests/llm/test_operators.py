@@ -475,6 +475,34 @@ def test_fingerprints_of_a_single_row(spark):
     assert r.near_next == 1.0
 
 
+def test_fingerprints_of_large_ids(spark):
+    """Ids beyond 2^53, next to one another, over many ranges."""
+    rng = random.Random(3)
+    rows = [(2**60 + i, words(rng, rng.randint(3, 30))) for i in range(400)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    texts = [t for _, t in sorted(rows, reverse=True)]
+    want = {d: hashlib.sha256(fingerprints.edited(t, n).encode()).hexdigest() for (d, t), n in zip(sorted(rows, reverse=True), texts[1:] + texts[:1], strict=True)}
+    assert got == want
+
+
+def test_fingerprints_compare():
+    """Two stored fingerprints give the differing digests without the texts, or None."""
+    rng, held = random.Random(12), fingerprints.WordHashes()
+    text = words(rng, 400)
+    for changed in (0, 1, 2, 200):
+        w = text.split()
+        for at in rng.sample(range(400), changed):
+            w[at] = "changed"
+        a, b = fingerprints.digests(text, held), fingerprints.digests(" ".join(w), held)
+        x, y = fingerprints.written(fingerprints.sketch([a, b]), [len(a), len(b)])
+        got = fingerprints.compare(x, y)
+        if changed == 200:
+            assert got is None
+        else:
+            assert got[0] == pytest.approx(len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+            assert np.array_equal(got[1], np.setdiff1d(a, b)) and np.array_equal(got[2], np.setdiff1d(b, a))
+
+
 def test_peeling_recovers_differences():
     rng = np.random.default_rng(4)
     pairs = []
@@ -485,11 +513,12 @@ def test_peeling_recovers_differences():
         assert np.array_equal(x, np.setdiff1d(a, b)) and np.array_equal(y, np.setdiff1d(b, a))
 
 
-PAGES = [(i, f"http://a/{i}", f"<p>{i % 7}</p>" * 3) for i in range(40)] + [(41, None, None), (42, "u\r\nv", ""), (43, "x", "é" * 100_000)]
+PAGES = [(i, f"http://a/{i}", f"<p>{i % 7}</p>" * 3) for i in range(40)] + [(41, None, None), (42, "u\r\nv", ""), (43, "x", "é" * 100_000)] + [(i, "y", "alone" + str(i)) for i in range(50, 90)]
 
 
-@pytest.mark.parametrize("zip64", [False, True])
-def test_packages_round_trip(spark, tmp_path, zip64):
+@pytest.mark.parametrize("zip64, hot", [(False, 1000), (True, 1)])
+def test_packages_round_trip(spark, tmp_path, zip64, hot, monkeypatch):
+    monkeypatch.setattr(archives, "HOT", hot)
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("same", F.lit(0)).repartition(3)
     packages = archives.write_packages(pages, str(tmp_path / "p"), zip64=zip64)
     assert packages.agg(F.sum("n_records")).collect()[0][0] == len(PAGES)
@@ -508,6 +537,37 @@ def test_packages_round_trip(spark, tmp_path, zip64):
         assert z.testzip() is None and archives.DATA in z.namelist()
 
 
+def test_packages_of_repeated_and_missing_ids(spark, tmp_path):
+    rows = [(None, "a", "one"), (None, "b", "one"), (5, "c", "one"), (5, "d", "one"), (6, "e", "one"), (None, "f", "two"), (None, "g", "two"), (7, "h", "x"), (7, "i", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = sorted(((r.page_id, r.url, r.record_type, r.refers_to, bytes(r.payload).decode()) for r in archives.read_packages(archives.write_packages(pages, str(tmp_path / "p"))).collect()), key=lambda r: r[1])
+    want = [(None, "a", "response", None, "one"), (None, "b", "response", None, "one"), (5, "c", "response", None, "one"), (5, "d", "response", None, "one"), (6, "e", "revisit", 5, ""), (None, "f", "response", None, "two"), (None, "g", "response", None, "two"), (7, "h", "response", None, "x"), (7, "i", "response", None, "y")]
+    assert got == want
+
+
+def test_packages_of_others(spark, tmp_path):
+    """Several archives, one with a gzipped CDXJ index and one without any; other members are left alone."""
+    import gzip
+    import json
+    import zipfile
+
+    make = lambda i: archives.warc_record(i, f"http://p/{i}", b"body %d" % i, hashlib.sha1(b"body %d" % i).digest(), len(b"body %d" % i), None)
+    one, other, lines, at = b"", b"".join(make(i) for i in range(10, 15)), [], 0
+    for i in range(5):
+        lines.append("p,%d)/ 2024 " % i + json.dumps({"filename": "one.warc.gz", "offset": str(at), "length": str(len(make(i)))}))
+        one, at = one + make(i), at + len(make(i))
+    path = tmp_path / "other.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr("archive/one.warc.gz", one)
+        z.writestr("archive/two.warc.gz", other)
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()))
+        z.writestr("pages/pages.jsonl", "{}", compress_type=zipfile.ZIP_DEFLATED)
+    packages = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, size long")
+    got = {r.page_id: bytes(r.payload) for r in archives.read_packages(packages).collect()}
+    assert got == {i: b"body %d" % i for i in [*range(5), *range(10, 15)]}
+
+
 def test_packages_of_no_pages(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert archives.read_packages(archives.write_packages(none, str(tmp_path / "q"))).count() == 0
