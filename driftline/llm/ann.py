@@ -6,15 +6,19 @@ the other to what the earlier ones leave (k-means on a bounded sample), and a
 vector is encoded by beam search: the best partial sums are kept at every
 codebook, not just the one that looks best. The norm of the sum is stored with
 the codes. A query makes one table of its products with all codewords; a
-candidate's score is the sum of its codes' entries over its stored norm. Each
-block of queries meets all rows in SLICES tasks, every task keeps each query's
-best ``rerank`` as the packed rows pass, and the best of those over all slices
-are scored exactly on the original vectors.
+candidate's score is the sum of its codes' entries over its stored norm.
+
+The codes are dealt into slices of SLICE_ROWS rows, or fewer where there are few
+rows, and stay there: a task holds one slice, and all queries pass it in packed
+blocks. So a row's codes are shuffled once, and a query's vector once for each
+slice. The best ``rerank`` of each query over all slices are scored exactly on
+the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do those of another length than most; repeated
-rows are candidates each; ties go to the smaller id; extra columns are ignored;
-an empty table gives an empty result.
+components take no part, nor do those of another length than most, as a cosine
+needs equal lengths; rows of one id are one candidate and one query, with the
+vector whose hash is smallest; ties go to the smaller id; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,19 +28,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.llm.common import bitmap, marked, materialize
+
 #: Codebooks, codewords in each, partial sums kept while encoding.
 BOOKS, WORDS, BEAM = 32, 256, 4
 #: Vectors that the codebooks are fitted to, at most, and rounds of k-means.
 SAMPLE, ROUNDS = 8192, 6
-#: Rows and queries to a block, and candidates of a query that are scored exactly.
-ROW_BLOCK, QUERY_BLOCK, RERANK = 2048, 2048, 100
-#: Slices of the rows that a block of queries meets, each in one task. Their
-#: number is fixed, so the candidates grow with the queries, not with queries x rows.
-SLICES = 12
+#: Rows encoded and queries scored at once, and candidates of a query that are scored exactly.
+ROW_BLOCK, QUERY_BLOCK, RERANK = 2048, 64, 100
+#: Rows of a slice, about, and the least number of slices.
+SLICE_ROWS, SLICES = 1 << 20, 12
 
 
 @dataclass
@@ -97,19 +101,25 @@ def unit(values: pa.Array, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Positions of the ``most`` largest scores, ties to smaller ids; ids ascend."""
-    if len(scores) <= most:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - most)[len(scores) - most]
-    above, level = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
-    return np.concatenate([above, level[: most - len(above)]])
+def best_rows(scores: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of each row's ``most`` largest, ties at the edge to smaller ids; ids ascend along a row."""
+    n = scores.shape[1]
+    if n > most:
+        least = np.partition(scores, n - most, axis=1)[:, n - most]
+        keep = scores > least[:, None]
+        level = scores == least[:, None]
+        keep |= level & (np.cumsum(level, axis=1) <= (most - keep.sum(axis=1))[:, None])
+        at = np.nonzero(keep)[1].reshape(len(scores), most)
+        return np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
+    return ids, scores
 
 
-def best_pairs(found: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    top = np.lexsort((ids, -s))[:most]
-    return ids[top], s[top]
+def scored(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Queries x rows: the sum of each row's entries in each query's table, over the row's norm."""
+    total = np.take(tables[:, 0], codes[0], axis=1)
+    for b in range(1, len(codes)):
+        total += np.take(tables[:, b], codes[b], axis=1)
+    return total / norms
 
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
@@ -121,6 +131,12 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = lengths[0]["n"]
     good = good.where(F.size("v") == dim)
+    # rows of one id: one of them
+    again = materialize(good.groupBy("vec_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("v")).alias("least")).where("n > 1").select(F.col("vec_id").alias("of"), "least"), "repeated-ids")
+    if not again.isEmpty():
+        some = marked(good, bitmap(again, "of"), "vec_id")
+        joined = some.where("maybe").join(again, F.col("vec_id") == F.col("of"), "left").where(F.col("of").isNull() | (F.xxhash64("v") == F.col("least")))
+        good = materialize(some.where("not maybe").select("vec_id", "v", "q").unionByName(joined.groupBy("vec_id").agg(F.first("v").alias("v"), F.max("q").alias("q"))), "vectors")
     drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(sample).toArrow()
     books = spark.sparkContext.broadcast(fit_books(unit(drawn.column(0).combine_chunks(), dim)))
 
@@ -134,63 +150,58 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
                 yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()]), pa.array([codes.tobytes()]), pa.array([norms.astype("<f4").tobytes()])], names=["ids", "codes", "norms"])
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId()
         for part in parts:
-            if part.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([unit(part.column(1), dim).tobytes()])], names=["block", "q_ids", "q_x"])
+            for b in range(0, part.num_rows, QUERY_BLOCK):
+                p = part.slice(b, QUERY_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([p.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([unit(p.column(1), dim).tobytes()])], names=["q_ids", "q_x"])
 
     index = good.select("vec_id", "v").mapInArrow(encode, "ids binary, codes binary, norms binary")
-    asked = good.where("q").select("vec_id", "v")
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    blocks = asked.repartition(n_blocks).mapInArrow(pack, "block int, q_ids binary, q_x binary")
+    asked = materialize(good.where("q").select("vec_id", "v"), "queries")
+    n_slices = max(SLICES, -(-good.count() // SLICE_ROWS))
+    # few packed rows: batches of any number of queries, so they are brought together first
+    blocks = asked.coalesce(max(1, asked.count() // (64 * QUERY_BLOCK))).mapInArrow(pack, "q_ids binary, q_x binary")
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = books.value.words
-        at, q_ids, tables, held = None, [], None, {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for q, found in held.items():
-                ids, s = best_pairs(found, rerank)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(s)], names=["query_id", "vec_id", "approx"])
-
+        at, held, ready = None, [], None
         for part in parts:
             for r in part.to_pylist():
-                if (r["block"], r["slice"]) != at:
-                    yield from flush()
-                    at, q_ids, tables, held = (r["block"], r["slice"]), [], [], {}
-                if r["q_ids"] is not None:  # a slice's queries come first
-                    more = np.frombuffer(r["q_ids"], "<i8")
-                    q_ids += more.tolist()
-                    tables += list(np.einsum("qd,bwd->qbw", np.frombuffer(r["q_x"], np.float32).reshape(len(more), dim), words, optimize=True))
+                if r["slice"] != at:
+                    at, held, ready = r["slice"], [], None
+                if r["q_ids"] is None:  # a slice's rows come first
+                    held.append((r["ids"], r["codes"], r["norms"]))
+                    continue
+                if not held:
                     continue
-                ids = np.frombuffer(r["ids"], "<i8")
-                codes = np.ascontiguousarray(np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1).T)
-                norms = np.maximum(np.frombuffer(r["norms"], "<f4"), 1e-6)
-                for q, table in zip(q_ids, tables, strict=True):
-                    s = table[0][codes[0]]
-                    for b in range(1, len(codes)):
-                        s = s + table[b][codes[b]]
-                    s = s / norms
-                    s[ids == q] = -np.inf
-                    top = best_of(s, ids, rerank)
-                    top = top[np.isfinite(s[top])]
-                    found = held.setdefault(q, [])
-                    found.append((ids[top], s[top]))
-                    if len(found) > 8:
-                        held[q] = [best_pairs(found, rerank)]
-        yield from flush()
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+                if ready is None:
+                    ids = np.concatenate([np.frombuffer(x, "<i8") for x, _, _ in held])
+                    order = np.argsort(ids, kind="stable")
+                    codes = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, len(words)) for _, x, _ in held])[order]
+                    norms = np.concatenate([np.frombuffer(x, "<f4") for _, _, x in held])[order]
+                    ready = ids[order], np.ascontiguousarray(codes.T), np.maximum(norms, 1e-6)
+                ids, codes, norms = ready
+                asking = np.frombuffer(r["q_ids"], "<i8")
+                tables = np.einsum("qd,bwd->qbw", np.frombuffer(r["q_x"], np.float32).reshape(len(asking), dim), words, optimize=True)
+                best_ids, best = np.zeros((len(asking), 0), np.int64), np.zeros((len(asking), 0), np.float32)
+                for b in range(0, len(ids), ROW_BLOCK):
+                    own = slice(b, b + ROW_BLOCK)
+                    s = scored(tables, codes[:, own], norms[own])
+                    s[asking[:, None] == ids[None, own]] = -np.inf
+                    every = np.broadcast_to(ids[own], s.shape)
+                    best_ids, best = best_rows(np.concatenate([best, s], axis=1), np.concatenate([best_ids, every], axis=1), rerank)
+                good = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, good.sum(axis=1))), pa.array(best_ids[good]), pa.array(best[good])], names=["query_id", "vec_id", "approx"])
+
     none = F.lit(None).cast("binary")
-    rows = index.select(every(n_blocks).alias("block"), F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int").alias("slice"), "ids", "codes", "norms", none.alias("q_ids"), none.alias("q_x"))
-    queries = blocks.select("block", every(SLICES).alias("slice"), none.alias("ids"), none.alias("codes"), none.alias("norms"), "q_ids", "q_x")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = queries.unionByName(rows).repartition(max(tasks, min(n_blocks * SLICES, 20 * tasks)), "block", "slice").sortWithinPartitions("block", "slice", F.col("q_ids").isNull())
+    rows = index.select(F.pmod(F.xxhash64("ids"), F.lit(n_slices)).cast("int").alias("slice"), "ids", "codes", "norms", none.alias("q_ids"), none.alias("q_x"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))
+    queries = blocks.select(every.alias("slice"), none.alias("ids"), none.alias("codes"), none.alias("norms"), "q_ids", "q_x")
+    met = rows.unionByName(queries).repartition(n_slices, "slice").sortWithinPartitions("slice", F.col("q_ids").isNotNull())
     near = met.mapInArrow(score, "query_id long, vec_id long, approx float")
     by_approx = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
     near = near.withColumn("at", F.row_number().over(by_approx)).where(F.col("at") <= rerank).select("query_id", "vec_id")
     own = good.select("vec_id", "v")
-    exact = near.distinct().join(own, "vec_id").join(asked.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    exact = near.join(own, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     exact = exact.select("query_id", "vec_id", cosine(F.col("v"), F.col("qv")).alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(by_score).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

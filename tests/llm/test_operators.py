@@ -599,6 +599,28 @@ def test_nearest_neighbours(spark):
     assert hit / total >= 0.9
 
 
+def test_nearest_neighbours_of_many(spark):
+    """Of 20,000 rows, with vectors in no groups: recall of all queries against brute force."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    s = u[::50] @ u.T
+    s[np.arange(400), np.arange(400) * 50] = -9
+    best = np.argpartition(-s, 5, axis=1)[:, :5]
+    assert len(got) == 400 and np.mean([len(got[50 * i] & set(b.tolist())) / 5 for i, b in enumerate(best)]) >= 0.9
+
+
+def test_rows_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [ann.search(df.repartition(n), F.col("vec_id") == 0).orderBy("rank").collect() for n in (1, 4)]
+    assert got[0] == got[1] and sorted(r.vec_id for r in got[0]) == [1, 2]
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r.vec_id) for r in ann.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
