@@ -136,14 +136,15 @@ def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def repeated(found: DataFrame) -> DataFrame:
     """The units that repeat an earlier one: doc_id, text_hash, first, last, and kept (doc_id, text_hash, first) of that.
 
-    The digests that repeat are found first, as their smallest occurrence is a
-    partial aggregation, which a common digest doesn't hinder; only units that
-    may have one of those (by a bitmap) are shuffled again.
+    The digests that repeat are counted first, which takes no sorting and isn't
+    hindered by a common digest; only units that may have one of those (by a
+    bitmap) are looked at again, exactly.
     """
     place = F.struct("doc_id", "text_hash", "first")
-    several = found.groupBy("high", "low").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept != other")
-    several = materialize(several.select(F.col("high").alias("of_high"), F.col("low").alias("of_low"), "kept"), "several")
-    some = marked(found, bitmap(several, "of_high", "of_low"), "high", "low").where("maybe")
+    twice = materialize(found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "twice")
+    some = materialize(marked(found, bitmap(twice, "high", "low"), "high", "low").where("maybe").drop("maybe"), "some")
+    several = some.groupBy(F.col("high").alias("of_high"), F.col("low").alias("of_low")).agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept != other").drop("other")
+    several = materialize(several, "several")
     both = some.join(several, (F.col("high") == F.col("of_high")) & (F.col("low") == F.col("of_low")))
     return both.where(place != F.col("kept")).select("doc_id", "text_hash", "first", "last", "kept")
 
