@@ -35,13 +35,39 @@ def nearest_integer(q: Column) -> Column:
     return F.signum(q) * F.floor(F.abs(q) + 0.5)
 
 
-def min_image(d: Vec, box: Vec | None) -> Vec:
-    """The shortest image of a difference; lengths of zero or less are not periodic."""
+def min_image(d: Vec, box: Vec | Column | None) -> Vec:
+    """The shortest image of a difference; lengths of zero or less are not periodic.
+
+    A box of three lengths, or a column of a cell's nine numbers (its vectors in
+    rows), which rounds each cell coordinate; null: not periodic.
+    """
     if box is None:
         return d
+    if isinstance(box, Column):
+        f = [x - nearest_integer(x) for x in cell_coordinates(d, box)]
+        return tuple(F.when(box.isNull(), x).otherwise(y) for x, y in zip(d, from_cell(f, box), strict=True))
     return tuple(F.when(b > 0, x - nearest_integer(x / b) * b).otherwise(x) for x, b in zip(d, box, strict=True))
 
 
+def cell_vectors(cell: Column) -> list[Vec]:
+    return [tuple(cell[3 * i + k] for k in range(3)) for i in range(3)]
+
+
+def cell_volume(cell: Column) -> Column:
+    a, b, c = cell_vectors(cell)
+    return dot(a, cross(b, c))
+
+
+def cell_coordinates(d: Vec, cell: Column) -> list[Column]:
+    """The multiples of the cell's vectors that make ``d``."""
+    a, b, c = cell_vectors(cell)
+    return [dot(d, cross(p, q)) / cell_volume(cell) for p, q in ((b, c), (c, a), (a, b))]
+
+
+def from_cell(f: list[Column], cell: Column) -> Vec:
+    return tuple(sum(x * v[k] for x, v in zip(f, cell_vectors(cell), strict=True)) for k in range(3))
+
+
 def wrap(x: Column, length: Column) -> Column:
     return x - F.floor(x / length) * length
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Residues of proteins, atoms of the backbone.
@@ -116,3 +116,11 @@ class _Parser:
 
 def select(expression: str | Column | None) -> Column:
     return expression if isinstance(expression, Column) else _Parser(expression or "").parse()
+
+
+def select_indices(atoms: DataFrame, indices: list[int]) -> DataFrame:
+    """position, and the atom's columns, in the order given; repeats stay, and an atom that isn't there is an error."""
+    wanted = atoms.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(indices)], "position long, wanted long")
+    found = wanted.join(atoms, F.col("wanted") == F.col("atom"), "left")
+    missing = F.when(F.col("atom").isNull(), F.raise_error(F.concat(F.lit("no atom "), F.col("wanted").cast("string"))).cast("long"))
+    return found.withColumn("position", F.coalesce(missing, "position")).drop("wanted")

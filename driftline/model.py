@@ -2,7 +2,10 @@
 
 ``frames`` has a row for each frame and atom (frame, atom, x, y, z), ``atoms``
 one for each atom (atom, name, resname, resid, chain, element, mass, charge),
-``boxes`` one for each frame (frame, time_ps, lx, ly, lz; null lengths: no box).
+``boxes`` one for each frame (frame, time_ps, lx, ly, lz; null lengths: no box),
+with a column ``cell`` of nine numbers, the cell's vectors one after the other,
+where cells are skewed (null: as the lengths say). Distances, angles, unwrapping
+and imaging take skewed cells; grids and membranes need right angles.
 """
 
 from __future__ import annotations
@@ -49,6 +52,24 @@ def box_columns() -> Vec:
     return (F.col("lx"), F.col("ly"), F.col("lz"))
 
 
+def skewed(traj: Trajectory) -> bool:
+    return "cell" in traj.boxes.columns
+
+
+def cell_column() -> Column:
+    """The cell of a frame of a trajectory with skewed cells; null without a box."""
+    zero = F.lit(0.0)
+    lengths = F.when(F.col("lx").isNotNull(), F.array(F.col("lx"), zero, zero, zero, F.col("ly"), zero, zero, zero, F.col("lz")))
+    return F.coalesce(F.col("cell"), lengths)
+
+
+def box_of(traj: Trajectory) -> tuple[DataFrame, Vec | Column]:
+    """The boxes by frame, and the box as ``min_image`` takes it."""
+    if skewed(traj):
+        return traj.boxes.select("frame", cell_column().alias("cell")), F.col("cell")
+    return traj.boxes.select("frame", "lx", "ly", "lz"), box_columns()
+
+
 def from_lineitem(spark: SparkSession, sf_dir: str, frames: int = 50, atoms: int = 40) -> Trajectory:
     """The trajectory view over the driver's lineitem table: exact integer sums, scaled."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

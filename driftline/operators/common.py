@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geometry import Vec, min_image, norm, sub, vec, wrap
 from driftline.functions.selection import select
-from driftline.model import Selection, Trajectory, box_columns
+from driftline.model import Selection, Trajectory, box_columns, box_of, skewed
 
 
 def centers(traj: Trajectory, selections: dict[str, Selection], mass_weighted: bool = False, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
@@ -18,8 +18,11 @@ def centers(traj: Trajectory, selections: dict[str, Selection], mass_weighted: b
     return rows.groupBy(*keys).agg(*[(total(label, c) / total(label, "")).alias(f"{label}{c}") for label in selections for c in "xyz"])
 
 
-def with_box(traj: Trajectory, df: DataFrame, pbc: bool) -> tuple[DataFrame, Vec | None]:
-    return (df.join(traj.boxes.select("frame", "lx", "ly", "lz"), "frame"), box_columns()) if pbc else (df, None)
+def with_box(traj: Trajectory, df: DataFrame, pbc: bool) -> tuple[DataFrame, Vec | Column | None]:
+    if not pbc:
+        return df, None
+    boxes, box = box_of(traj)
+    return df.join(boxes, "frame"), box
 
 
 def pairs(traj: Trajectory, sel_a: Selection, sel_b: Selection, *, pbc: bool = False, cutoff: float | None = None, unique: bool = False, same: bool = False, attributes: tuple[str, ...] = ()) -> DataFrame:
@@ -33,7 +36,9 @@ def pairs(traj: Trajectory, sel_a: Selection, sel_b: Selection, *, pbc: bool = F
     side = lambda s, sel: traj.points(sel, *attributes).select("frame", F.col("atom").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "z", *attributes)])
     a, b = side("a", sel_a), side("b", sel_b)
     on = ["frame"]
-    if cutoff is not None:
+    # cells of a skewed box aren't cut: all pairs of a frame are looked at
+    gridded = cutoff is not None and not (pbc and skewed(traj))
+    if gridded:
         cells = [f"cell_{c}" for c in "xyz"]
         on += cells
         a, b = a.join(traj.boxes.select("frame", "lx", "ly", "lz"), "frame"), b.join(traj.boxes.select("frame", "lx", "ly", "lz"), "frame")
@@ -56,10 +61,10 @@ def pairs(traj: Trajectory, sel_a: Selection, sel_b: Selection, *, pbc: bool = F
         joined = joined.where(F.col("a") != F.col("b"))
     if unique:
         joined = joined.where(F.col("a") < F.col("b"))
-    if cutoff is None:
-        joined, box = with_box(traj, joined, pbc)
-    else:
+    if gridded:
         box = box_columns() if pbc else None
+    else:
+        joined, box = with_box(traj, joined, pbc)
     d = min_image(sub(vec("b_"), vec("a_")), box)
     out = joined.select("frame", "a", "b", *[F.col(f"{s}_{x}") for s in "ab" for x in attributes], *[x.alias(f"d{c}") for x, c in zip(d, "xyz", strict=True)], norm(d).alias("dist"))
     return out.where(F.col("dist") <= cutoff) if cutoff is not None else out
@@ -88,3 +93,14 @@ def filled(df: DataFrame, bins: int, column: str = "bin", fill: dict | None = No
     """One row for each of 0..bins-1, missing ones with zeros."""
     every = df.sparkSession.range(bins).select(F.col("id").alias(column))
     return every.join(df, column, "left").fillna(fill if fill is not None else 0)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows with their lineage cut: a checkpoint where the session has a folder for it, else as they are."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

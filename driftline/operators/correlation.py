@@ -130,6 +130,26 @@ def dielectric(traj: Trajectory, selection: Selection = None, by: str = "resid",
     return out.select("rot2", "trans2", "cross", (1.0 + F.col("f") * factor / F.col("v")).alias("epsilon"))
 
 
+def dipole_squares(traj: Trajectory, selection: Selection = None, by: str = "resid") -> DataFrame:
+    """frame, rot2, trans2, cross: of each frame's summed dipole about the groups' centers and of the centers' charges."""
+    g = traj.points(selection, by, "charge", "mass").groupBy("frame", by).agg(F.sum("charge").alias("q"), *[F.sum(F.col("charge") * F.col(c)).alias(f"d{c}") for c in "xyz"], *[(F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(f"m{c}") for c in "xyz"])
+    t = g.groupBy("frame").agg(*[F.sum(F.col(f"d{c}") - F.col("q") * F.col(f"m{c}")).alias(f"r{c}") for c in "xyz"], *[F.sum(F.col("q") * F.col(f"m{c}")).alias(f"t{c}") for c in "xyz"])
+    return t.select("frame", dot(vec("r"), vec("r")).alias("rot2"), dot(vec("t"), vec("t")).alias("trans2"), dot(vec("r"), vec("t")).alias("cross"))
+
+
+def current(traj: Trajectory, selection: Selection = None, by: str = "resid", temperature: float = 300.0, max_lag: int | None = None) -> DataFrame:
+    """quantity, idx, value: conductivity by lag, the dipole's squares by frame, and as idx 0 the static conductivity (of the last lag) and dielectric constant."""
+    sigma = conductivity(traj, selection, by, temperature, max_lag).select("lag", "sigma")
+    squares = dipole_squares(traj, selection, by)
+    one = lambda df, name, idx, value: df.select(F.lit(name).alias("quantity"), F.col(idx).cast("long").alias("idx"), F.col(value).cast("double").alias("value"))
+    out = one(sigma, "conductivity", "lag", "sigma")
+    for name, column in (("md_sq", "rot2"), ("mj_sq", "trans2"), ("md_mj", "cross")):
+        out = out.unionByName(one(squares, name, "frame", column))
+    last = sigma.agg(F.max_by("sigma", "lag").alias("value")).withColumn("idx", F.lit(0))
+    epsilon = dielectric(traj, selection, by, temperature).select(F.col("epsilon").alias("value"), F.lit(0).alias("idx"))
+    return out.unionByName(one(last, "conductivity_static", "idx", "value")).unionByName(one(epsilon, "dielectric_total", "idx", "value"))
+
+
 def equipartition(traj: Trajectory, selection: Selection = None, by: str = "chain") -> DataFrame:
     """Temperature of each group and frame with the coordinates read as velocities (nm/ps)."""
     kb = 0.00831446261815324  # kJ/mol/K

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.geometry import min_image, norm, sub, vec
+from driftline.functions.geometry import dot, min_image, norm, sub, vec
+from driftline.functions.selection import select
 from driftline.model import Selection, Trajectory
 from driftline.operators.common import centers, pairs, with_box
 
@@ -126,7 +129,7 @@ def search_neighbors(traj: Trajectory, target: Selection, probe: Selection, cuto
 
 
 def search_neighbor_list(traj: Trajectory, target: Selection, probe: Selection, cutoff: float, pbc: bool = False) -> DataFrame:
-    found = neighbours(traj, target, probe, cutoff, pbc).groupBy("frame").agg(F.array_join(F.sort_array(F.collect_list("atom")), " ").alias("atoms"), F.count("*").alias("n"))
+    found = neighbours(traj, target, probe, cutoff, pbc).groupBy("frame").agg(F.sort_array(F.collect_list("atom")).alias("atoms"), F.count("*").alias("n"))
     return found
 
 
@@ -162,10 +165,24 @@ def atom_map(traj: Trajectory, sel_a: Selection, sel_b: Selection, pbc: bool = F
     return near.select("frame", "atom", F.col("best.b").alias("nearest"))
 
 
-def hbond(traj: Trajectory, donors: Selection, acceptors: Selection, cutoff: float) -> DataFrame:
-    """Donor-acceptor pairs within the cutoff, no periodic images."""
-    found = pairs(traj, donors, acceptors, cutoff=cutoff).groupBy("frame").agg(F.count("*").alias("n"))
-    return traj.boxes.select("frame").join(found, "frame", "left").fillna(0, ["n"])
+def hbond(traj: Trajectory, donors: Selection, acceptors: Selection, cutoff: float, hydrogens: Selection = None, angle_cutoff: float | None = None) -> DataFrame:
+    """Donor-acceptor pairs within the cutoff, no periodic images.
+
+    With ``hydrogens``, the k-th of which belongs to the k-th donor, the angle
+    from the hydrogen between donor and acceptor must be ``angle_cutoff`` degrees
+    at most.
+    """
+    found = pairs(traj, donors, acceptors, cutoff=cutoff)
+    if hydrogens is not None and angle_cutoff is not None:
+        order = Window.orderBy("atom")  # the atoms of a selection, not their frames
+        turn = lambda sel, name: traj.atoms.where(select(sel)).select(F.col("atom").alias(name), F.row_number().over(order).alias("k"))
+        bonded = turn(donors, "a").join(turn(hydrogens, "h"), "k").drop("k")
+        at = lambda name: traj.frames.select("frame", F.col("atom").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
+        found = found.join(bonded, "a").join(at("a"), ["frame", "a"]).join(at("b"), ["frame", "b"]).join(at("h"), ["frame", "h"])
+        u, v = sub(vec("a"), vec("h")), sub(vec("b"), vec("h"))
+        found = found.where((norm(u) > 0) & (norm(v) > 0)).where(dot(u, v) / (norm(u) * norm(v)) >= math.cos(math.radians(angle_cutoff)))
+    counts = found.groupBy("frame").agg(F.count("*").alias("n"))
+    return traj.boxes.select("frame").join(counts, "frame", "left").fillna(0, ["n"])
 
 
 def mdmat(traj: Trajectory, selection: Selection = None, pbc: bool = False, truncate: float | None = None) -> DataFrame:

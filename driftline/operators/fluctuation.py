@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,14 @@ def rmsd(traj: Trajectory, selection: Selection = None, reference: int | None =
     return _against(traj, selection, reference).groupBy("frame").agg(F.sqrt(F.avg("square")).alias("rmsd"))
 
 
-def rmsd_perres(traj: Trajectory, selection: Selection = None, reference: int | None = None) -> DataFrame:
+def rmsd_perres(traj: Trajectory, selection: Selection = None, reference: int | None = None, align: bool = False) -> DataFrame:
+    """With ``align``, frames are first fitted to the reference by the selection."""
+    if align:
+        from driftline.operators.linear import superpose
+
+        fixed = traj.at(reference)
+        traj = replace(traj, frames=superpose(traj, selection, reference), reference=fixed)
+        reference = None
     return _against(traj, selection, reference, "resid").groupBy("frame", "resid").agg(F.sqrt(F.avg("square")).alias("rmsd"))
 
 
@@ -50,12 +58,43 @@ def distance_rmsd(traj: Trajectory, selection: Selection = None, reference: int
     return pairs(traj, selection, selection, pbc=pbc, unique=True).join(known, ["a", "b"]).groupBy("frame").agg(F.sqrt(F.avg(d * d)).alias("rmsd"))
 
 
-def pairwise_rmsd(traj: Trajectory, selection: Selection = None) -> DataFrame:
-    """Without fit, of all pairs of frames, by a join on the atom with sums combined before the shuffle."""
+def pairwise_rmsd(traj: Trajectory, selection: Selection = None, metric: str = "nofit") -> DataFrame:
+    """f1, f2, rmsd of all pairs of frames, by a join on the atom with sums combined before the shuffle.
+
+    ``nofit`` compares coordinates, ``rms`` after the best fit, and ``dme`` the
+    distances between atoms (for each pair of frames all pairs of atoms).
+    """
     p = traj.points(selection)
+    if metric == "dme":
+        d = pairs(traj, selection, selection, unique=True)
+        a, b = (d.select("a", "b", F.col("frame").alias(f"f{i}"), F.col("dist").alias(f"d{i}")) for i in (1, 2))
+        apart = F.col("d1") - F.col("d2")
+        return a.join(b, ["a", "b"]).where("f1 < f2").groupBy("f1", "f2").agg(F.sqrt(F.avg(apart * apart)).alias("rmsd"))
+    if metric not in ("nofit", "rms"):
+        raise ValueError(f"no metric {metric}")
     a, b = (p.select("atom", F.col("frame").alias(f"f{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"]) for i in (1, 2))
-    square = sum((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz")
-    return a.join(b, "atom").where("f1 < f2").groupBy("f1", "f2").agg(F.sqrt(F.avg(square)).alias("rmsd"))
+    both = a.join(b, "atom").where("f1 < f2").groupBy("f1", "f2")
+    if metric == "nofit":
+        square = sum((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz")
+        return both.agg(F.sqrt(F.avg(square)).alias("rmsd"))
+    # centered sums: of products, and of squares
+    h = F.array(*[F.avg(F.col(f"{c}1") * F.col(f"{d}2")) - F.avg(f"{c}1") * F.avg(f"{d}2") for c in "xyz" for d in "xyz"])
+    spread = sum(F.avg(F.col(f"{c}{i}") * F.col(f"{c}{i}")) - F.avg(f"{c}{i}") * F.avg(f"{c}{i}") for c in "xyz" for i in (1, 2))
+    sums = both.agg(h.alias("h"), spread.alias("e"))
+
+    def fit(parts):
+        import numpy as np
+        import pandas as pd
+
+        from driftline.operators.linear import kabsch
+
+        for d in parts:
+            if len(d):
+                m = np.stack(d["h"].to_numpy()).reshape(-1, 3, 3)
+                left = d["e"].to_numpy() - 2.0 * np.einsum("nij,nji->n", kabsch(m), m)
+                yield pd.DataFrame({"f1": d["f1"], "f2": d["f2"], "rmsd": np.sqrt(np.maximum(left, 0.0))})
+
+    return sums.mapInPandas(fit, "f1 long, f2 long, rmsd double")
 
 
 def symmrmsd(traj: Trajectory, groups: list[list[int]], selection: Selection = None, reference: int | None = None, max_permutations: int = 720) -> DataFrame:

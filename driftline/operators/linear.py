@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geometry import cross, dot, norm, sub, vec
 from driftline.model import Selection, Trajectory
+from driftline.operators.common import kept
 from driftline.operators.fluctuation import features, matrix_covariance
 
 #: Most features whose covariance matrix the driver decomposes.
@@ -123,23 +124,22 @@ def projection(traj: Trajectory, n: int = 3, selection: Selection = None, mass_w
     return f.join(mean, "feature").join(table, "feature").groupBy("frame", "component").agg(F.sum((F.col("value") - F.col("mean")) * F.col("weight")).alias("value"))
 
 
-def dbscan(traj: Trajectory, eps: float, min_points: int, selection: Selection = None) -> DataFrame:
-    """frame, cluster (-1: noise) by deviation without fit; clusters number from 0 by their first core frame."""
+def dbscan(traj: Trajectory, eps: float, min_points: int, selection: Selection = None, metric: str = "nofit") -> DataFrame:
+    """frame, cluster (-1: noise) by pairwise deviation; clusters number from 0 by their first core frame."""
     from driftline.operators.fluctuation import pairwise_rmsd
 
-    near = pairwise_rmsd(traj, selection).where(F.col("rmsd") <= eps).select(F.col("f1").alias("a"), F.col("f2").alias("b"))
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    near = pairwise_rmsd(traj, selection, metric).where(F.col("rmsd") <= eps).select(F.col("f1").alias("a"), F.col("f2").alias("b"))
+    near = kept(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     core = near.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_points).select("a")
     if min_points <= 1:
         core = traj.frames.select(F.col("frame").alias("a")).distinct()
-    labels = core.select(F.col("a").alias("frame"), F.col("a").alias("label")).persist()
-    inner = near.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi").persist()
+    labels = kept(core.select(F.col("a").alias("frame"), F.col("a").alias("label")))
+    inner = kept(near.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi"))
     while True:
         low = inner.join(labels.select(F.col("frame").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("frame")).agg(F.min("other").alias("other"))
-        new = labels.join(low, "frame", "left").select("frame", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("fell")).persist()
-        moved = not new.where("fell").isEmpty()
+        new = kept(labels.join(low, "frame", "left").select("frame", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("fell")))
         labels = new.select("frame", "label")
-        if not moved:
+        if new.where("fell").isEmpty():
             break
     edge = near.join(labels.withColumnRenamed("frame", "b"), "b").join(core, "a", "left_anti").groupBy(F.col("a").alias("frame")).agg(F.min("label").alias("label"))
     found = labels.unionByName(edge)
@@ -147,6 +147,19 @@ def dbscan(traj: Trajectory, eps: float, min_points: int, selection: Selection =
     return traj.boxes.select("frame").join(found.join(order, "label"), "frame", "left").select("frame", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def medoids(traj: Trajectory, clusters: DataFrame, selection: Selection = None, metric: str = "nofit") -> DataFrame:
+    """cluster, n, medoid: the frame with the least summed deviation from the cluster's others, noise left out."""
+    from driftline.operators.fluctuation import pairwise_rmsd
+
+    d = pairwise_rmsd(traj, selection, metric)
+    d = d.unionByName(d.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "rmsd"))
+    side = lambda f, c: clusters.where("cluster >= 0").select(F.col("frame").alias(f), F.col("cluster").alias(c))
+    inside = d.join(side("f1", "cluster"), "f1").join(side("f2", "other"), "f2").where("cluster = other")
+    total = inside.groupBy("cluster", F.col("f1").alias("frame")).agg(F.sum("rmsd").alias("total"))
+    every = side("frame", "cluster").join(total, ["cluster", "frame"], "left").fillna(0.0, ["total"])
+    return every.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("total", "frame"))["frame"].alias("medoid"))
+
+
 def kmeans(traj: Trajectory, k: int, selection: Selection = None, seed: int = 1) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -157,79 +170,112 @@ def kmeans(traj: Trajectory, k: int, selection: Selection = None, seed: int = 1)
 
 
 def backbone(traj: Trajectory, selection: Selection = None) -> DataFrame:
-    """frame, resid, pos and n_, ca_, c_, o_, h_ coordinates; hydrogens 1.0 from N, away from the middle of the previous C and CA."""
-    rows = traj.points(selection, "name", "resid", "resname").where(F.col("name").isin("N", "CA", "C", "O"))
-    at = [F.max(F.when(F.col("name") == n, F.col(c))).alias(f"{n.lower()}_{c}") for n in ("N", "CA", "C", "O") for c in "xyz"]
-    res = rows.groupBy("frame", "resid").agg(F.first("resname").alias("resname"), *at)
-    w = Window.partitionBy("frame").orderBy("resid")
-    res = res.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).select("*", *[F.lag(f"c_{c}").over(w).alias(f"p_{c}") for c in "xyz"])
+    """frame, chain, resid, pos, segment and n_, ca_, c_, o_, h_ coordinates, in the order of atoms.
+
+    A segment ends where the chain changes or a residue number is missing. A
+    hydrogen that isn't there is put 1.0 from N, away from the middle of the
+    previous C, of the same segment, and CA.
+    """
+    rows = traj.points(selection, "name", "resid", "resname", "chain").where(F.col("name").isin("N", "CA", "C", "O", "H", "HN"))
+    named = [("n", ("N",)), ("ca", ("CA",)), ("c", ("C",)), ("o", ("O",)), ("is", ("H", "HN"))]
+    at = [F.max(F.when(F.col("name").isin(*names), F.col(c))).alias(f"{k}_{c}") for k, names in named for c in "xyz"]
+    res = rows.groupBy("frame", "chain", "resid").agg(F.first("resname").alias("resname"), F.min("atom").alias("first_atom"), *at)
+    w = Window.partitionBy("frame").orderBy("first_atom")
+    goes_on = F.coalesce((F.lag("chain").over(w) == F.col("chain")) & (F.lag("resid").over(w) + 1 == F.col("resid")), F.lit(False))
+    res = res.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn("goes_on", goes_on)
+    res = res.withColumn("segment", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w))
+    res = res.select("*", *[F.when(F.col("goes_on"), F.lag(f"c_{c}").over(w)).alias(f"p_{c}") for c in "xyz"])
     unit = lambda v: tuple(c / norm(v) for c in v)
     u, v = unit(sub(vec("n_"), vec("p_"))), unit(sub(vec("n_"), vec("ca_")))
     b = tuple(p + q for p, q in zip(u, v, strict=True))
     has = F.col("p_x").isNotNull() & (F.col("resname") != "PRO")
-    return res.select("*", *[F.when(has, F.col(f"n_{c}") + d / norm(b)).alias(f"h_{c}") for c, d in zip("xyz", b, strict=True)])
+    return res.select("*", *[F.coalesce(F.col(f"is_{c}"), F.when(has, F.col(f"n_{c}") + d / norm(b))).alias(f"h_{c}") for c, d in zip("xyz", b, strict=True)])
 
 
-def kabsch_sander(traj: Trajectory, selection: Selection = None) -> DataFrame:
-    """frame, donor, acceptor (residues), energy in kcal/mol of backbone hydrogen bonds."""
-    b = backbone(traj, selection)
-    d = b.select("frame", F.col("resid").alias("donor"), F.col("pos").alias("i"), *[f"{n}_{c}" for n in ("n", "h") for c in "xyz"]).where("h_x is not null")
-    a = b.select("frame", F.col("resid").alias("acceptor"), F.col("pos").alias("j"), *[f"{n}_{c}" for n in ("c", "o") for c in "xyz"])
+def backbone_bonds(residues: DataFrame) -> DataFrame:
+    """frame, i (acceptor), j (donor), and their chains and residues, and the energy in kcal/mol; neighbours in order have none."""
+    d = residues.select("frame", F.col("chain").alias("donor_chain"), F.col("resid").alias("donor"), F.col("pos").alias("j"), *[f"{n}_{c}" for n in ("n", "h") for c in "xyz"]).where("h_x is not null and n_x is not null")
+    a = residues.select("frame", F.col("chain").alias("acceptor_chain"), F.col("resid").alias("acceptor"), F.col("pos").alias("i"), *[f"{n}_{c}" for n in ("c", "o") for c in "xyz"]).where("c_x is not null and o_x is not null")
     far = lambda p, q: 1.0 / norm(sub(vec(f"{p}_"), vec(f"{q}_")))
     energy = 27.888 * (far("o", "n") + far("c", "h") - far("o", "h") - far("c", "n"))
-    return d.join(a, "frame").where("i != j and i != j + 1").select("frame", "donor", "acceptor", energy.alias("energy"))
+    return d.join(a, "frame").where("abs(i - j) > 1").select("frame", "i", "j", "donor_chain", "donor", "acceptor_chain", "acceptor", energy.alias("energy"))
+
+
+def kabsch_sander(traj: Trajectory, selection: Selection = None) -> DataFrame:
+    """frame, donor and acceptor (residues and their chains), energy in kcal/mol of backbone hydrogen bonds."""
+    return backbone_bonds(backbone(traj, selection)).drop("i", "j")
+
+
+#: The output code of each state.
+DSSP_CODES = {" ": 0, "E": 1, "B": 2, "G": 3, "H": 4, "I": 5, "T": 6, "S": 7}
+
+
+def bridges(held: set[tuple[int, int]]) -> dict[tuple[int, int], set[str]]:
+    """(i, j), i + 2 <= j, to the kinds of its bridge, from hydrogen bonds (acceptor, donor); work follows the bonds."""
+    tried = {pair for x, y in held for pair in ((x, y), (x + 1, y - 1), (x + 1, y), (y, x + 1))}
+    out: dict[tuple[int, int], set[str]] = {}
+    for i, j in sorted(pair for pair in tried if pair[1] - pair[0] >= 2):
+        if {(i, j), (j, i)} <= held or {(i - 1, j + 1), (j - 1, i + 1)} <= held:
+            out.setdefault((i, j), set()).add("anti")
+        if {(i - 1, j), (j, i + 1)} <= held or {(j - 1, i), (i, j + 1)} <= held:
+            out.setdefault((i, j), set()).add("parallel")
+    return out
+
+
+def secondary_states(segment: list[int], held: set[tuple[int, int]], ca: np.ndarray) -> list[str]:
+    """State of each residue: helices first, then strands and bridges, turns and bends, each where nothing earlier is.
+
+    ``held`` are hydrogen bonds (acceptor, donor). Neighbouring bridges of one
+    kind make a ladder: antiparallel ones where both sides go the same way,
+    parallel ones where they go opposite ways, as in the results to be matched.
+    """
+    n = len(segment)
+    state = [" "] * n
+    together = lambda a, b: 0 <= a and b < n and segment[a] == segment[b]
+    turns = {k: [together(i, i + k) and (i, i + k) in held for i in range(n)] for k in (3, 4, 5)}
+    for k, letter, over in ((5, "I", None), (4, "H", None), (3, "G", " T")):
+        for i in range(n - k):
+            if turns[k][i] and turns[k][i + 1] and together(i, i + k):
+                for x in range(i + 1, i + k + 1):
+                    state[x] = letter if over is None or state[x] in over else state[x]
+    found = {pair: kinds for pair, kinds in bridges(held).items() if not np.isnan(ca[list(pair)]).any()}
+    steps = {"anti": ((1, 1), (-1, -1)), "parallel": ((1, -1), (-1, 1))}
+    strand, bridged = set(), {x for pair in found for x in pair}
+    for (i, j), kinds in found.items():
+        if any(kind in found.get((i + a, j + b), ()) for kind in kinds for a, b in steps[kind]):
+            strand |= {i, j}
+    span = {x for k in turns for i in range(n) if turns[k][i] for x in range(i + 1, i + k + 1)}
+    for x in range(n):
+        if state[x] == " ":
+            state[x] = "E" if x in strand else "B" if x in bridged else "T" if x in span else "S" if together(x - 2, x + 2) and _bent(ca, x) else " "
+    return state
+
+
+def _bent(ca: np.ndarray, x: int) -> bool:
+    u, v = ca[x - 2] - ca[x], ca[x + 2] - ca[x]
+    size = np.linalg.norm(u) * np.linalg.norm(v)
+    return bool(size > 0 and np.degrees(np.arccos(np.clip(u @ v / size, -1, 1))) > 70)
 
 
 def dssp(traj: Trajectory, selection: Selection = None, cutoff: float = -0.5) -> DataFrame:
-    """frame, resid, state (one of H B E G I T S or blank); a frame's hydrogen bonds are one group of the function."""
-    b = backbone(traj, selection).select("frame", "pos", "resid", "ca_x", "ca_y", "ca_z")
-    pos = b.select("frame", "resid", "pos")
-    bonds = kabsch_sander(traj, selection).where(F.col("energy") < cutoff)
-    bonds = bonds.join(pos.toDF("frame", "donor", "d"), ["frame", "donor"]).join(pos.toDF("frame", "acceptor", "a"), ["frame", "acceptor"])
-    lists = bonds.groupBy("frame", F.col("d").alias("pos")).agg(F.collect_list("a").alias("to"))
+    """frame, chain, resid, state (one of H B E G I T S or blank), code; a frame's hydrogen bonds are one group of the function."""
+    b = backbone(traj, selection)
+    lists = backbone_bonds(b).where(F.col("energy") < cutoff).groupBy("frame", F.col("i").alias("pos")).agg(F.collect_list("j").alias("donors"))
+    rows = b.select("frame", "pos", "segment", "chain", "resid", "ca_x", "ca_y", "ca_z").join(lists, ["frame", "pos"], "left")
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos").reset_index(drop=True)
-        n = len(part)
-        held = {(i, j) for i, to in enumerate(part["to"]) if to is not None for j in to}
-        bond = lambda donor, acceptor: (donor, acceptor) in held
-        state = [" "] * n
-        for step, letter in ((5, "I"), (4, "H"), (3, "G")):
-            for i in range(1, n - step):
-                if bond(i - 1 + step, i - 1) and bond(i + step, i):
-                    for k in range(i, i + step):
-                        if letter != "G" or state[k] in " T":
-                            state[k] = letter
-        ladder, bridge = set(), set()
-        partners: dict[int, set[int]] = {}
-        for i in range(1, n - 1):
-            for j in range(i + 3, n - 1):
-                parallel = (bond(j, i - 1) and bond(i + 1, j)) or (bond(i, j - 1) and bond(j + 1, i))
-                anti = (bond(i, j) and bond(j, i)) or (bond(j + 1, i - 1) and bond(i + 1, j - 1))
-                if parallel or anti:
-                    partners.setdefault(i, set()).add(j)
-                    partners.setdefault(j, set()).add(i)
-        for i, to in partners.items():
-            beside = {q for s in (-1, 1) for p in partners.get(i + s, ()) for q in (p - 1, p, p + 1)}
-            (ladder if to & beside else bridge).add(i)
-        for i in range(n):
-            if state[i] in " T":
-                state[i] = "E" if i in ladder else "B" if i in bridge else state[i]
-        for step in (3, 4, 5):
-            for i in range(n - step):
-                if bond(i + step, i):
-                    for k in range(i + 1, i + step):
-                        if state[k] == " ":
-                            state[k] = "T"
-        ca = part[["ca_x", "ca_y", "ca_z"]].to_numpy()
-        for i in range(2, n - 2):
-            u, v = ca[i - 2] - ca[i], ca[i + 2] - ca[i]
-            size = np.linalg.norm(u) * np.linalg.norm(v)
-            if state[i] == " " and size > 0 and np.degrees(np.arccos(np.clip(u @ v / size, -1, 1))) > 70:
-                state[i] = "S"
-        return pd.DataFrame({"frame": part["frame"], "resid": part["resid"], "state": state})
-
-    return b.join(lists, ["frame", "pos"], "left").groupBy("frame").applyInPandas(one, "frame long, resid long, state string")
+        held = {(i, int(j)) for i, to in enumerate(part["donors"]) if to is not None for j in to}
+        state = secondary_states(part["segment"].tolist(), held, part[["ca_x", "ca_y", "ca_z"]].to_numpy(float))
+        return pd.DataFrame({"frame": part["frame"], "chain": part["chain"], "resid": part["resid"], "state": state, "code": [DSSP_CODES[x] for x in state]})
+
+    return rows.groupBy("frame").applyInPandas(one, "frame long, chain string, resid long, state string, code long")
+
+
+def dssp_fractions(traj: Trajectory, selection: Selection = None, cutoff: float = -0.5) -> DataFrame:
+    """chain, resid and the share of frames in each state."""
+    states = [F.avg((F.col("state") == x).cast("double")).alias(f"f_{x}".replace(" ", "none")) for x in DSSP_CODES]
+    return dssp(traj, selection, cutoff).groupBy("chain", "resid").agg(*states)
 
 
 #: Van der Waals radii in angstrom, and the one of other elements.

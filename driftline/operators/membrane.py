@@ -120,40 +120,43 @@ def registration(traj: Trajectory, upper: Selection, lower: Selection, leaflet:
     return grid.fillna(0.0, ["up", "down"]).groupBy("frame").agg(F.corr("up", "down").alias("registration"))
 
 
+def crossings(states: list[int], cutoff: int) -> list[tuple[int, int, int, str]]:
+    """(start, end, leaflet, outcome) of each crossing in one lipid's leaflets."""
+    out: list[tuple[int, int, int, str]] = []
+    home, start = (states[0] if states else 0), None
+    outside = opposite = inside = 0  # frames in a row
+    for i in range(1, len(states)):
+        if start is None:
+            outside = outside + 1 if states[i] != home else 0
+            if outside == cutoff:
+                start = i - cutoff
+        opposite = opposite + 1 if states[i] == -home else 0
+        if start is None:
+            continue
+        inside = inside + 1 if states[i] == home else 0
+        if cutoff in (opposite, inside):
+            crossed = opposite == cutoff
+            home = -home if crossed else home
+            out.append((start, i - cutoff + 1, home, "Success" if crossed else "Fail"))
+            start, outside, opposite, inside = None, 0, 0, 0
+    if start is not None:
+        out.append((start, len(states) - 1, states[-1], "Ongoing"))
+    return out
+
+
 def flip_flop(leaflet: DataFrame, cutoff: int = 1) -> DataFrame:
     """resid, start, end, leaflet, outcome of each crossing.
 
     A lipid leaves when it has been outside its leaflet for ``cutoff`` frames;
     it succeeds when it stays in the other for as long, fails when it comes
-    back, and is ongoing where the series ends.
+    back for as long, and is ongoing, in its last leaflet, where the series ends.
     """
 
     def one(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("frame")
-        frames, states = part["frame"].tolist(), part["leaflet"].tolist()
-        home, start, out = None, None, []
-        runs: list[list[int]] = []
-        for i, s in enumerate(states):
-            if runs and states[runs[-1][0]] == s:
-                runs[-1][1] = i
-            else:
-                runs.append([i, i])
-        for a, b in runs:
-            s, n = states[a], b - a + 1
-            if home is None:
-                home = s if s else None
-            elif s == home:
-                if start is not None and n >= cutoff:
-                    out.append((start, frames[a], home, "Fail"))
-                    start = None
-            elif s == 0:
-                start = frames[a - 1] if start is None else start
-            elif n >= cutoff:
-                out.append((frames[a - 1] if start is None else start, frames[a], s, "Success"))
-                home, start = s, None
-        if start is not None:
-            out.append((start, frames[-1], 0, "Ongoing"))
-        return pd.DataFrame([(key[0], *x) for x in out], columns=["resid", "start", "end", "leaflet", "outcome"])
+        frames = part["frame"].tolist()
+        found = [(key[0], frames[a], frames[b], s, outcome) for a, b, s, outcome in crossings(part["leaflet"].tolist(), cutoff)]
+        return pd.DataFrame(found, columns=["resid", "start", "end", "leaflet", "outcome"])
 
     return leaflet.groupBy("resid").applyInPandas(one, "resid long, start long, end long, leaflet long, outcome string")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,3 +215,62 @@ def free_volume(traj: Trajectory, selection: Selection, center: Selection, unit:
     every = spark.range(dims[0] * dims[1] * dims[2]).select(F.col("id").alias("voxel")).join(n, "voxel", "left").fillna(0).crossJoin(F.broadcast(ends))  # one row
     mean = 1.0 - F.col("n") / F.col("frames")
     return every.select("voxel", mean.alias("mean"), F.sqrt(F.greatest(mean - mean * mean, F.lit(0.0))).alias("std"), (1 - F.col("n0")).alias("first"), (1 - F.col("n1")).alias("last"), (F.col("n") == 0).cast("long").alias("min"), (F.col("n") < F.col("frames")).cast("long").alias("max"))
+
+
+#: Grams a cubic centimetre of one dalton a cubic angstrom.
+DALTON_DENSITY = 1.66053906660
+
+
+def bondi_ffv(traj: Trajectory, selection: Selection = None, scale: float = 1.3, probe: float = 0.0, points_per_nm3: int = 1000, seed: int = 0) -> DataFrame:
+    """frame, total, occupied and free volume, free_fraction, ffv (1 - scale * occupied fraction), density of each frame.
+
+    Points drawn uniformly in the box are free where no atom's radius, and the
+    probe's, reaches them. Every draw is numbered (SplitMix64 by frame), so it
+    doesn't matter where it is made; a frame's points are dealt into blocks, and
+    each is one row of the function, with the frame's atoms.
+    """
+    from driftline.operators.linear import OTHER_RADIUS, RADII
+
+    radius = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in RADII.items() for x in kv]), F.upper("element")), F.lit(OTHER_RADIUS)) + float(probe)
+    volume = F.col("lx") * F.col("ly") * F.col("lz")
+    boxes = traj.boxes.select("frame", "lx", "ly", "lz", volume.alias("total"), F.greatest(F.round(volume / 1000.0 * points_per_nm3), F.lit(1.0)).cast("long").alias("n"))
+    order = traj.boxes.select("frame", (F.row_number().over(Window.orderBy("frame")) - 1).cast("long").alias("place"))  # a row for each frame
+    atoms = traj.points(selection, "element", "mass").groupBy("frame").agg(F.collect_list(F.array(F.col("x"), F.col("y"), F.col("z"), radius)).alias("atoms"), F.sum("mass").alias("mass"))
+    blocks = boxes.join(order, "frame").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / POINT_BLOCK))))
+    rows = blocks.join(atoms.select("frame", "atoms"), "frame", "left").select("frame", "place", "lx", "ly", "lz", "n", "block", "atoms")
+
+    def free(parts):
+        for d in parts:
+            counts = []
+            for r in d.itertuples():
+                k = np.arange(r.block * POINT_BLOCK, min((r.block + 1) * POINT_BLOCK, r.n), dtype=np.uint64)
+                box = np.array([r.lx, r.ly, r.lz])
+                points = uniform(seed, r.place, k[:, None] * np.uint64(3) + np.arange(3, dtype=np.uint64)) * box
+                open_ = np.ones(len(points), bool)
+                for x, y, z, reach in [] if r.atoms is None else r.atoms:
+                    apart = np.abs(points - (x, y, z))
+                    apart = np.minimum(apart, box - apart)
+                    open_ &= (apart * apart).sum(axis=1) >= reach * reach
+                counts.append(int(open_.sum()))
+            yield pd.DataFrame({"frame": d["frame"], "free": counts})
+
+    share = rows.mapInPandas(free, "frame long, free long").groupBy("frame").agg(F.sum("free").alias("free"))
+    out = boxes.join(share, "frame").join(atoms.select("frame", "mass"), "frame", "left")
+    fraction = F.col("free") / F.col("n")
+    return out.select("frame", "total", (F.col("total") * (1.0 - fraction)).alias("occupied"), (F.col("total") * fraction).alias("free"), fraction.alias("free_fraction"), (1.0 - scale * (1.0 - fraction)).alias("ffv"), (F.coalesce("mass", F.lit(0.0)) * DALTON_DENSITY / F.col("total")).alias("density"))
+
+
+#: Points of a block of draws.
+POINT_BLOCK = 1 << 14
+
+
+def uniform(seed: int, stream: int, k: np.ndarray) -> np.ndarray:
+    """The numbers ``k`` (from 0) of SplitMix64's doubles in [0, 1), seeded by ``seed`` and a multiple of ``stream``."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        begin = np.uint64(seed & (1 << 64) - 1) ^ np.uint64(stream) * step
+        z = begin + (k + np.uint64(1)) * step
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return (z >> np.uint64(11)) / float(1 << 53)

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.geometry import min_image, sub, vec, wrap
+from driftline.functions.geometry import cell_coordinates, cell_volume, from_cell, min_image, nearest_integer, sub, vec, wrap
 from driftline.functions.selection import select
-from driftline.model import Selection, Trajectory, box_columns
+from driftline.model import Selection, Trajectory, box_columns, box_of, cell_column, skewed
 from driftline.operators.common import centers
 
 
@@ -50,9 +50,16 @@ def center(traj: Trajectory, selection: Selection = None, mode: str = "origin",
 
 
 def image(traj: Trajectory, selection: Selection = None) -> DataFrame:
-    """Wraps the selected atoms into the box; a frame without a box is an error."""
-    rows = traj.frames.join(traj.atoms.select("atom", select(selection).alias("chosen")), "atom").join(traj.boxes.select("frame", "lx", "ly", "lz"), "frame")
-    return rows.select("frame", "atom", *[F.when(F.col("chosen"), F.when(b.isNull(), F.raise_error(F.lit("image: no box")).cast("double")).otherwise(wrap(F.col(c), b))).otherwise(F.col(c)).alias(c) for c, b in zip("xyz", box_columns(), strict=True)])
+    """Wraps the selected atoms into the box or skewed cell; a frame without a box is an error."""
+    rows = traj.frames.join(traj.atoms.select("atom", select(selection).alias("chosen")), "atom")
+    boxes, box = box_of(traj)
+    rows = rows.join(boxes, "frame")
+    if skewed(traj):
+        missing, inside = box.isNull(), from_cell([x - F.floor(x) for x in cell_coordinates(vec(), box)], box)
+    else:
+        missing, inside = F.col("lx").isNull(), tuple(wrap(x, b) for x, b in zip(vec(), box, strict=True))
+    error = F.raise_error(F.lit("image: no box")).cast("double")
+    return rows.select("frame", "atom", *[F.when(F.col("chosen"), F.when(missing, error).otherwise(new)).otherwise(F.col(c)).alias(c) for c, new in zip("xyz", inside, strict=True)])
 
 
 def replicate_cell(traj: Trajectory, repeats: tuple[int, int, int], selection: Selection = None) -> DataFrame:
@@ -71,9 +78,41 @@ def xtalsymm(traj: Trajectory, operations: list[list[float]], selection: Selecti
 
 
 def volume(traj: Trajectory) -> DataFrame:
+    if skewed(traj):
+        return traj.boxes.select("frame", F.abs(cell_volume(cell_column())).alias("volume"))
     return traj.boxes.select("frame", (F.col("lx") * F.col("ly") * F.col("lz")).alias("volume"))
 
 
+def count_frames(traj: Trajectory) -> DataFrame:
+    """n_frames, n_atoms: one row."""
+    return traj.frames.agg(F.count_distinct("frame").alias("n_frames"), F.count_distinct("atom").alias("n_atoms"))
+
+
+def decimate_frames(traj: Trajectory, start: int = 0, every: int = 1) -> DataFrame:
+    """Every so many frames from ``start`` on, by their place in the order of frames."""
+    if every <= 0:
+        raise ValueError("every must be positive")
+    order = traj.boxes.select("frame", (F.row_number().over(Window.orderBy("frame")) - 1).alias("place"))  # a row for each frame
+    return traj.frames.join(order.where((F.col("place") >= start) & ((F.col("place") - start) % every == 0)).select("frame"), "frame", "left_semi")
+
+
+def decimate_time(traj: Trajectory, step_ps: float, window: float = 1e-6) -> DataFrame:
+    """Frames whose time since the first is a multiple of ``step_ps``, within ``window``."""
+    if step_ps <= 0:
+        raise ValueError("step_ps must be positive")
+    first = traj.boxes.agg(F.min("time_ps").alias("begin"))
+    since = (F.col("time_ps") - F.col("begin")) / float(step_ps)
+    near = traj.boxes.join(F.broadcast(first)).where(F.abs(since - nearest_integer(since)) * float(step_ps) <= window)  # one row
+    return traj.frames.join(near.select("frame"), "frame", "left_semi")
+
+
+def map_beads(traj: Trajectory, beads: DataFrame, mass_weighted: bool = True) -> DataFrame:
+    """frame, bead, x, y, z, n: the centers of the atoms of each bead (atom, bead)."""
+    w = F.col("mass") if mass_weighted else F.lit(1.0)
+    rows = traj.points(None, "mass").join(beads.select("atom", "bead"), "atom")
+    return rows.groupBy("frame", "bead").agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in "xyz"], F.count("*").alias("n"))
+
+
 def get_velocity(traj: Trajectory, selection: Selection = None) -> DataFrame:
     """Finite differences; zero in the first frame."""
     rows = traj.points(selection).join(traj.boxes.select("frame", "time_ps"), "frame")
@@ -90,9 +129,10 @@ def runningavg(traj: Trajectory, selection: Selection = None, window: int = 0) -
 def unwrap(traj: Trajectory, points: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of minimum-image steps along the frames, from the first place on."""
     w = Window.partitionBy(*keys).orderBy("frame")
-    rows = points.join(traj.boxes.select("frame", "lx", "ly", "lz"), "frame")
-    before = tuple(F.lag(c).over(w) for c in "xyz")
-    steps = min_image(sub(vec(), before), box_columns())
+    boxes, box = box_of(traj)
+    rows = points.join(boxes, "frame")
+    rows = rows.select("*", *[F.lag(c).over(w).alias(f"before_{c}") for c in "xyz"])
+    steps = min_image(sub(vec(), vec("before_")), box)
     rows = rows.select("frame", *keys, *[F.coalesce(s, F.col(c)).alias(c) for s, c in zip(steps, "xyz", strict=True)])
     return rows.select("frame", *keys, *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in "xyz"])
 

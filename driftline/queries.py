@@ -7,7 +7,7 @@ does not tell.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,19 @@ def add(name: str, build: Callable[[Trajectory], DataFrame], keys: str = "", val
     REGISTRY[name] = Query(build, sql)
 
 
+def uneven(t: Trajectory) -> Trajectory:
+    """The view in boxes of 50 x (40 + frame) x (30 + 2 frame)."""
+    f = F.col("frame").cast("double")
+    return replace(t, boxes=t.boxes.withColumns({"ly": 40.0 + f, "lz": 30.0 + 2.0 * f}))
+
+
+def tilted(t: Trajectory) -> Trajectory:
+    """The same lengths, with vectors (lx, 0, 0), (10, ly, 0), (5, -8, lz)."""
+    t = uneven(t)
+    cell = F.array(F.col("lx"), F.lit(0.0), F.lit(0.0), F.lit(10.0), F.col("ly"), F.lit(0.0), F.lit(5.0), F.lit(-8.0), F.col("lz"))
+    return replace(t, boxes=t.boxes.withColumn("cell", cell))
+
+
 def _mi(d: str, length: str = "50.0::DOUBLE") -> str:
     return f"(({d}) - round(({d}) / {length}) * {length})"
 
@@ -128,7 +141,7 @@ add("hausdorff", lambda t: distances.hausdorff(t, "name CA", "name O", True), "f
 add("closest_atom", lambda t: distances.closest_atom(t, "name CA", (10, 20, 30)), "frame atom", "", f"SELECT frame, atom FROM (SELECT frame, atom, row_number() OVER (PARTITION BY frame ORDER BY {_norm('x-10', 'y-20', 'z-30')}, atom) AS k FROM t WHERE name='CA') WHERE k=1")
 NEAR = "pr AS (" + _pairs("a.resname='NA'", "b.resname='SOL'", True, "true") + ")"
 add("search_neighbors", lambda t: distances.search_neighbors(t, "resname NA", "resname SOL", 9.0, True), "frame n", "", "SELECT frame, coalesce(n, 0) AS n FROM fr LEFT JOIN (SELECT frame, count(DISTINCT b) AS n FROM pr WHERE dist <= 9 GROUP BY frame) USING (frame)", NEAR)
-add("search_neighbor_list", lambda t: distances.search_neighbor_list(t, "resname NA", "resname SOL", 9.0, True), "frame atoms n", "", "SELECT frame, string_agg(b::VARCHAR, ' ' ORDER BY b) AS atoms, count(*) AS n FROM (SELECT DISTINCT frame, b FROM pr WHERE dist <= 9) GROUP BY frame", NEAR)
+add("search_neighbor_list", lambda t: distances.search_neighbor_list(t, "resname NA", "resname SOL", 9.0, True).withColumn("atoms", F.array_join("atoms", " ")), "frame atoms n", "", "SELECT frame, string_agg(b::VARCHAR, ' ' ORDER BY b) AS atoms, count(*) AS n FROM (SELECT DISTINCT frame, b FROM pr WHERE dist <= 9) GROUP BY frame", NEAR)
 add("watershell", lambda t: distances.watershell(t, "resname NA", "resname SOL", 6.0, 12.0, True), "frame n_lower n_upper", "", "SELECT frame, coalesce(l, 0) AS n_lower, coalesce(u, 0) AS n_upper FROM fr LEFT JOIN (SELECT frame, count(DISTINCT CASE WHEN dist <= 6 THEN b END) AS l, count(DISTINCT CASE WHEN dist <= 12 THEN b END) AS u FROM pr GROUP BY frame) USING (frame)", NEAR)
 add("closest", lambda t: distances.closest(t, "resname NA", "resname SOL", 3, True), "frame rank atom", "dist", "SELECT frame, rank, b AS atom, dist FROM (SELECT frame, b, dist, row_number() OVER (PARTITION BY frame ORDER BY dist, b) AS rank FROM (SELECT frame, b, min(dist) AS dist FROM pr GROUP BY frame, b)) WHERE rank <= 3", NEAR)
 add("closest_coords", lambda t: distances.closest_coords(t, "resname NA", "resname SOL", 2, True), "frame atom", "x y z", "SELECT t.frame, t.atom, x, y, z FROM t WHERE resname='NA' OR (t.frame, t.atom) IN (SELECT (frame, b) FROM (SELECT frame, b, row_number() OVER (PARTITION BY frame ORDER BY dist, b) AS rank FROM (SELECT frame, b, min(dist) AS dist FROM pr GROUP BY frame, b)) WHERE rank <= 2)", NEAR)
@@ -172,8 +185,6 @@ QUADS = "n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY atom) -
 add("tordiff", lambda t: angles.tordiff(t), "frame", "trans cis g_plus g_minus", "SELECT frame, " + ", ".join(f"avg((s='{s}')::INT) AS {s}" for s in angles.STATES) + " FROM st GROUP BY frame", QUADS)
 add("toroidal_diffusion", lambda t: angles.toroidal_transitions(t, None, 2), "source target n", "", "SELECT source, target, count(*) AS n FROM (SELECT s AS target, lag(s, 2) OVER (PARTITION BY quad ORDER BY frame) AS source FROM st) WHERE source IS NOT NULL GROUP BY ALL", QUADS)
 add("pucker", lambda t: angles.pucker(t, "resid 0 1"), "frame", "radius", f"SELECT t.frame, max({_norm('x-ax', 'y-ay', 'z-az')}) AS radius FROM t JOIN c USING (frame) WHERE resid IN (0, 1) GROUP BY t.frame", "c AS (" + _centers(a="resid IN (0, 1)") + ")")
-add("rotate_dihedral", lambda t: angles.rotate_dihedral(t, R4, "chain B", 30.0))
-add("set_dihedral", lambda t: angles.dihedral(t.with_frames(angles.set_dihedral(t, R4, "resid 7 8 9", 60.0)), *R4), "frame", "dihedral", "SELECT frame, 60.0::DOUBLE AS dihedral FROM (SELECT DISTINCT frame FROM t)")
 
 # Polymers
 BONDS = "b AS (SELECT *, " + _norm("dx", "dy", "dz") + " AS length FROM (SELECT frame, chain, row_number() OVER v - 1 AS k, " + ", ".join(f"lead({k}) OVER v - {k} AS d{k}" for k in "xyz") + " FROM t WINDOW v AS (PARTITION BY frame, chain ORDER BY resid, atom)) WHERE dx IS NOT NULL)"
@@ -215,7 +226,9 @@ for alias in ("image", "autoimage", "fiximagedbonds"):
     add(alias, lambda t: transforms.image(t.with_frames(transforms.translate(t, (30.0, -30.0, 70.0))), "chain A"), "frame atom", "x y z", "SELECT frame, atom, CASE WHEN chain='A' THEN x-floor(x/50)*50 ELSE x END AS x, CASE WHEN chain='A' THEN y-floor(y/50)*50 ELSE y END AS y, CASE WHEN chain='A' THEN z-floor(z/50)*50 ELSE z END AS z FROM (SELECT frame, atom, chain, x+30 AS x, y-30 AS y, z+70 AS z FROM t)")
 add("replicate_cell", lambda t: transforms.replicate_cell(t, (2, 1, 2), "name CA"), "frame atom ix iy iz", "x y z", "SELECT frame, atom, i AS ix, 0::BIGINT AS iy, k AS iz, x+50*i AS x, y, z+50*k AS z FROM t, range(2) a(i), range(2) b(k) WHERE name='CA'")
 add("xtalsymm", lambda t: transforms.xtalsymm(t, [[1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0], [-1, 0, 0, 25, 0, -1, 0, 0, 0, 0, 1, 25]], "name CA"), "frame atom op", "x y z", "SELECT frame, atom, op, CASE op WHEN 0 THEN x ELSE 25-x END AS x, CASE op WHEN 0 THEN y ELSE -y END AS y, CASE op WHEN 0 THEN z ELSE z+25 END AS z FROM t, range(2) r(op) WHERE name='CA'")
-add("volume", lambda t: transforms.volume(t), "frame", "volume", "SELECT frame, 125000.0::DOUBLE AS volume FROM fr")
+#: Boxes of unequal lengths, and skewed ones, for the queries that look at nothing else.
+add("volume", lambda t: transforms.volume(uneven(t)), "frame", "volume", "SELECT frame, 50.0::DOUBLE*(40+frame)*(30+2*frame) AS volume FROM fr")
+add("volume_skewed", lambda t: transforms.volume(tilted(t)), "frame", "volume", "SELECT frame, 50.0::DOUBLE*(40+frame)*(30+2*frame) AS volume FROM fr")
 VEL = "v AS (SELECT frame, atom, " + ", ".join(f"coalesce(({k} - lag({k}) OVER w) / ((frame - lag(frame) OVER w) * 2.0), 0.0) AS v{k}" for k in "xyz") + ", row_number() OVER w AS pos FROM t WINDOW w AS (PARTITION BY atom ORDER BY frame))"
 add("get_velocity", lambda t: transforms.get_velocity(t), "frame atom", "vx vy vz", "SELECT frame, atom, vx, vy, vz FROM v", VEL)
 add("runningavg", lambda t: transforms.runningavg(t, None, 5), "frame atom", "x y z", "SELECT frame, atom, avg(x) OVER w AS x, avg(y) OVER w AS y, avg(z) OVER w AS z FROM t WINDOW w AS (PARTITION BY atom ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
@@ -247,9 +260,7 @@ add("conductivity", lambda t: correlation.conductivity(t, "name CA", max_lag=5),
 DIP = "d AS (SELECT frame, resid, sum(charge*x) AS dx, sum(charge*y) AS dy, sum(charge*z) AS dz FROM t GROUP BY frame, resid)"
 add("dipole_moments", lambda t: correlation.dipole_moments(t), "frame resid", "dx dy dz", "SELECT frame, resid, dx, dy, dz FROM d", DIP)
 add("dipole_alignment", lambda t: correlation.dipole_alignment(t), "frame", "cos_x cos_y cos_z cos2_x cos2_y cos2_z", "SELECT frame, " + ", ".join(f"avg(d{k}/n) AS cos_{k}, avg(d{k}*d{k}/(n*n)) AS cos2_{k}" for k in "xyz") + f" FROM (SELECT *, {_norm('dx', 'dy', 'dz')} AS n FROM d) GROUP BY frame", DIP)
-add("dielectric", lambda t: correlation.dielectric(t))
 add("equipartition", lambda t: correlation.equipartition(t), "frame chain", "temperature", "SELECT frame, chain, sum(mass*(x*x+y*y+z*z))/(3*count(*)*0.00831446261815324::DOUBLE) AS temperature FROM t GROUP BY frame, chain")
-add("wavelet", lambda t: correlation.wavelet(t, "chain A", "chain B"))
 
 # Grids
 BIN = lambda c, n: f"least(floor((({c}) - floor(({c})/50)*50)/50*{n}), {n}-1)::BIGINT"
@@ -263,7 +274,6 @@ for alias in ("water_count", "count_in_voxel"):
     add(alias, lambda t: grids.water_count(t, *VARGS), "voxel first last min max", "mean std", "SELECT voxel, avg(n) AS mean, stddev_pop(n) AS std, arg_min(n, frame) AS first, arg_max(n, frame) AS last, min(n) AS min, max(n) AS max FROM z GROUP BY voxel", f"{AB}, {VOX}")
 for alias in ("density", "volmap"):
     add(alias, lambda t: grids.density(t, *VARGS), "voxel", "mean std", "SELECT voxel, avg(n)/1000 AS mean, stddev_pop(n)/1000 AS std FROM z GROUP BY voxel", f"{AB}, {VOX}")
-add("potential", lambda t: grids.potential(t, None, "z", 20))
 add("h2order", lambda t: grids.h2order(t), "bin", "cos dipole", f"SELECT {BIN('hh', 10)} AS bin, avg(dz/n) AS cos, avg(n) AS dipole FROM (SELECT *, {_norm('dx', 'dy', 'dz')} AS n FROM (SELECT frame, resid, avg(z) AS hh, sum(charge*x) AS dx, sum(charge*y) AS dy, sum(charge*z) AS dz FROM t GROUP BY frame, resid)) GROUP BY 1")
 add("hydorder", lambda t: grids.hydorder(t, "name O"), "frame atom", "sg sk", "SELECT x.frame, x.a AS atom, sg, sk FROM (SELECT u.frame, u.a, 3.0/32*sum((u.ux*v.ux+u.uy*v.uy+u.uz*v.uz+1.0::DOUBLE/3)**2) AS sg FROM k u JOIN k v ON u.frame=v.frame AND u.a=v.a AND u.r < v.r GROUP BY 1, 2) x JOIN (SELECT frame, a, sum((dist-m)**2)/(12*any_value(m)**2) AS sk FROM (SELECT *, avg(dist) OVER (PARTITION BY frame, a) AS m FROM k) GROUP BY 1, 2) y ON x.frame=y.frame AND x.a=y.a", "pr AS (" + _pairs("a.name='O'", "b.name='O'", True, more="".join(f", {_mi(f'b.{k}-a.{k}')} AS d{k}" for k in "xyz")) + "), k AS (SELECT *, dx/dist AS ux, dy/dist AS uy, dz/dist AS uz FROM (SELECT *, row_number() OVER (PARTITION BY frame, a ORDER BY dist, b) AS r FROM pr) WHERE r <= 4)")
 add("nmr_ired", lambda t: grids.distance_vectors(t, [(0, 1), (4, 5)]), "frame pair", "ux uy uz", "SELECT a.frame, CASE a.atom WHEN 0 THEN 0 ELSE 1 END AS pair, " + ", ".join(f"(b.{k}-a.{k})/{_d('a', 'b')} AS u{k}" for k in "xyz") + " FROM t a JOIN t b ON a.frame=b.frame AND b.atom=a.atom+1 WHERE a.atom IN (0, 4)")
@@ -280,7 +290,6 @@ add("lipid_neighbours", lambda t: membrane.neighbours(t, None, 6.0), "frame resi
 add("lipid_neighbour_matrix", lambda t: membrane.neighbour_matrix(t, None, 6.0), "frame a_resid b_resid contact", "", "SELECT a.frame, a.resid AS a_resid, b.resid AS b_resid, CASE WHEN ra IS NULL THEN 0 ELSE 1 END::BIGINT AS contact FROM e a JOIN e b ON a.frame=b.frame LEFT JOIN k ON k.frame=a.frame AND ra=a.resid AND rb=b.resid", CON)
 add("lipid_largest_cluster", lambda t: membrane.largest_cluster(t, None, 6.0))
 add("lipid_membrane_thickness", lambda t: membrane.membrane_thickness(t, None, membrane.leaflets(t), 2), "frame", "thickness", f"SELECT frame, avg(u-d) AS thickness FROM (SELECT t.frame, {BIN('x', 2)} AS i, {BIN('y', 2)} AS j, avg(CASE WHEN leaflet=1 THEN z END) AS u, avg(CASE WHEN leaflet=-1 THEN z END) AS d FROM t JOIN l ON t.frame=l.frame AND t.resid=l.resid GROUP BY 1, 2, 3) GROUP BY frame", LEAF)
-add("lipid_registration", lambda t: membrane.registration(t, None, None, membrane.leaflets(t)))
 add("lipid_flip_flop", lambda t: membrane.flip_flop(membrane.leaflets(t), 2))
 NEM = "d AS (SELECT frame, dx/n AS x, dy/n AS y, dz/n AS z FROM (SELECT a.frame, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz, " + _d("a", "b") + " AS n FROM t a JOIN t b ON a.frame=b.frame AND a.resid=b.resid AND a.name='N' AND b.name='O')), g AS (SELECT frame, count(*) AS n, 1.5*avg(x*x)-0.5 AS xx, 1.5*avg(y*y)-0.5 AS yy, 1.5*avg(z*z)-0.5 AS zz, 1.5*avg(x*y) AS xy, 1.5*avg(x*z) AS xz, 1.5*avg(y*z) AS yz FROM d GROUP BY frame), " + EIGEN
 add("nematic_order", lambda t: membrane.nematic(t, "name N", "name O"))
@@ -329,7 +338,6 @@ add("crank", lambda t: series.crank(angles.dihedral(t, *R4), angles.dihedral(t,
 add("ti", lambda t: series.ti(t.points("name CA").select(F.floor(F.col("atom") / 8).alias("lam"), F.col("x").alias("dvdl"))), "", "integral error", "SELECT sum(w*m) AS integral, sqrt(sum(w*e*w*e)) AS error FROM (SELECT m, e, (coalesce(lead(lam) OVER v, lam) - coalesce(lag(lam) OVER v, lam))/2 AS w FROM (SELECT floor(atom/8) AS lam, avg(x) AS m, stddev_samp(x)/sqrt(count(*)) AS e FROM t WHERE name='CA' GROUP BY 1) WINDOW v AS (ORDER BY lam))")
 add("project_values", lambda t: series.project_values(t.points(), "x", "y", "z", 5, (0.0, 0.0), (50.0, 50.0)), "i j n", "mean", "SELECT floor(x/10)::BIGINT AS i, floor(y/10)::BIGINT AS j, avg(z) AS mean, count(*) AS n FROM t WHERE x < 50 AND y < 50 GROUP BY 1, 2")
 add("joint_density", lambda t: series.joint_density(t.points(), "x", "y", 5, (0.0, 0.0), (50.0, 50.0), 300.0), "i j", "density energy", "SELECT i, j, n/(sum(n) OVER ()*100.0) AS density, -0.00831446261815324::DOUBLE*300*ln(n/max(n) OVER ()) AS energy FROM (SELECT floor(x/10)::BIGINT AS i, floor(y/10)::BIGINT AS j, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2)")
-add("diffusion", lambda t: series.diffusion(t, max_lag=8))
 add("set_velocity", lambda t: transforms.set_velocity(t, "name CA", 300.0, 7))
 add("randomize_ions", lambda t: transforms.randomize_ions(t, "resname NA", "resname SOL", seed=7))
 add("lipid_curved_leaflets", lambda t: membrane.curved_leaflets(t, "chain A", 6.0))
@@ -349,11 +357,64 @@ for alias in ("pca", "analyze_modes"):
 add("projection", lambda t: linear.projection(t, 3, "name CA"))
 add("trajectory_cluster_dbscan", lambda t: linear.dbscan(t, 22.0, 4, "name CA"))
 add("trajectory_cluster_kmeans", lambda t: linear.kmeans(t, 4, "name CA"))
-add("kabsch_sander", lambda t: linear.kabsch_sander(t))
 add("dssp", lambda t: linear.dssp(t))
 for alias in ("surf", "molsurf"):
     add(alias, lambda t: linear.surf(t))
-add("helixorient", lambda t: linear.helix_orientation(t))
+
+add("dssp_fractions", lambda t: linear.dssp_fractions(t))
+add("bondi_ffv", lambda t: solvation.bondi_ffv(t, "chain A", points_per_nm3=20))
+
+# Rotations about the axis of a dihedral: Rodrigues' formula on the atoms that turn
+TURN = """k0 AS (SELECT frame, bx, "by" AS by_, bz, gx-bx AS ux, gy-"by" AS uy, gz-bz AS uz, {theta} AS th FROM c),
+k1 AS (SELECT *, sqrt(ux*ux+uy*uy+uz*uz) AS un FROM k0),
+k2 AS (SELECT t.frame, atom, {turns} AS turns, x, y, z, bx, by_, bz, ux/un AS kx, uy/un AS ky, uz/un AS kz, x-bx AS vx, y-by_ AS vy, z-bz AS vz, th FROM t JOIN k1 USING (frame)),
+k3 AS (SELECT *, kx*vx+ky*vy+kz*vz AS kd FROM k2)"""
+TURNED = "SELECT frame, atom, CASE WHEN turns THEN bx + vx*cos(th) + (ky*vz-kz*vy)*sin(th) + kx*kd*(1-cos(th)) ELSE x END AS x, CASE WHEN turns THEN by_ + vy*cos(th) + (kz*vx-kx*vz)*sin(th) + ky*kd*(1-cos(th)) ELSE y END AS y, CASE WHEN turns THEN bz + vz*cos(th) + (kx*vy-ky*vx)*sin(th) + kz*kd*(1-cos(th)) ELSE z END AS z FROM k3"
+add("rotate_dihedral", lambda t: angles.rotate_dihedral(t, R4, "chain B", 30.0), "frame atom", "x y z", TURNED, f"{QUAD}, {TURN.format(theta='radians(30.0::DOUBLE)', turns="chain='B'")}")
+add("set_dihedral", lambda t: angles.set_dihedral(t, R4, "resid 7 8 9", 60.0), "frame atom", "x y z", TURNED, f"{QUAD}, {TURN.format(theta=f'radians(60.0::DOUBLE) - radians({DI})', turns='resid BETWEEN 7 AND 9')}")
+
+# Charges in a field
+DIPOLE = "d0 AS (SELECT frame, resid, sum(charge) AS q, " + ", ".join(f"sum(charge*{c}) AS d{c}, sum(mass*{c})/sum(mass) AS m{c}" for c in "xyz") + " FROM t GROUP BY 1, 2), d1 AS (SELECT frame, " + ", ".join(f"sum(d{c}-q*m{c}) AS r{c}, sum(q*m{c}) AS t{c}" for c in "xyz") + " FROM d0 GROUP BY 1), d2 AS (SELECT frame, rx*rx+ry*ry+rz*rz AS rot2, tx*tx+ty*ty+tz*tz AS trans2, rx*tx+ry*ty+rz*tz AS \"cross\" FROM d1)"
+EPSILON = "1 + (var_pop(rx+tx)+var_pop(ry+ty)+var_pop(rz+tz))*((1.602176634e-29::DOUBLE*1.602176634e-29::DOUBLE)/(3*8.8541878128e-12::DOUBLE*1.380649e-23::DOUBLE*300*1e-30::DOUBLE))/125000"
+add("dipole_squares", lambda t: correlation.dipole_squares(t).withColumnRenamed("cross", "mixed"), "frame", "rot2 trans2 mixed", 'SELECT frame, rot2, trans2, "cross" AS mixed FROM d2', DIPOLE)
+add("dielectric", lambda t: correlation.dielectric(t).withColumnRenamed("cross", "mixed"), "", "rot2 trans2 mixed epsilon", f'SELECT (SELECT avg(rot2) FROM d2) AS rot2, (SELECT avg(trans2) FROM d2) AS trans2, (SELECT avg("cross") FROM d2) AS mixed, {EPSILON} AS epsilon FROM d1', DIPOLE)
+SIGMA = "c0 AS (SELECT frame, resid, sum(charge) AS q FROM t GROUP BY 1, 2), f0 AS (SELECT frame, row_number() OVER (ORDER BY frame)-1 AS idx FROM fr), c1 AS (SELECT f0.idx, sum(q*g.x) AS x, sum(q*g.y) AS y, sum(q*g.z) AS z FROM g JOIN f0 USING (idx) JOIN c0 ON c0.frame=f0.frame AND c0.resid=g.resid GROUP BY 1), s0 AS (SELECT b.idx-a.idx AS lag, avg((b.x-a.x)**2+(b.y-a.y)**2+(b.z-a.z)**2)/125000*((1.602176634e-19::DOUBLE*1.602176634e-19::DOUBLE)/(6*1.380649e-23::DOUBLE*300*1e-27::DOUBLE)) AS sigma FROM c1 a JOIN c1 b ON b.idx-a.idx BETWEEN 1 AND 6 GROUP BY 1)"
+add("current", lambda t: correlation.current(t, max_lag=6), "quantity idx", "value", f"""SELECT 'conductivity' AS quantity, lag::BIGINT AS idx, sigma AS value FROM s0 UNION ALL SELECT 'md_sq', frame, rot2 FROM d2 UNION ALL SELECT 'mj_sq', frame, trans2 FROM d2
+UNION ALL SELECT 'md_mj', frame, "cross" FROM d2 UNION ALL SELECT 'conductivity_static', 0, max_by(sigma, lag) FROM s0 UNION ALL SELECT 'dielectric_total', 0, {EPSILON} FROM d1""", f"{GC}, {SIGMA}, {DIPOLE}")
+add("potential", lambda t: grids.potential(t, None, "z", 20), "bin", "density field potential", """SELECT bin, density, sum1*k AS field, -k*sum(coalesce((sum1+before)/2*2.5, 0)) OVER (ORDER BY bin) AS potential
+FROM (SELECT *, lag(sum1) OVER (ORDER BY bin) AS before, 1.602176634e-10::DOUBLE/8.8541878128e-12::DOUBLE AS k FROM p2)""", f"{LD('charge')}, p0 AS (SELECT bin, w/50/6250.0 AS density FROM h), p1 AS (SELECT *, coalesce((density+lag(density) OVER (ORDER BY bin))/2*2.5, 0) AS half FROM p0), p2 AS (SELECT *, sum(half) OVER (ORDER BY bin) AS sum1 FROM p1)")
+
+# Membranes and series
+add("lipid_registration", lambda t: membrane.registration(t, None, None, membrane.leaflets(t)), "frame", "registration", "SELECT frame, corr(up, down) AS registration FROM s3 GROUP BY frame", f"""{LEAF}, s1 AS (SELECT t.frame, leaflet, {BIN('x', 4)} AS jx, {BIN('y', 4)} AS jy, count(*) AS n FROM t JOIN l ON t.frame=l.frame AND t.resid=l.resid GROUP BY ALL),
+s2 AS (SELECT s1.*, i.range AS ix, j.range AS iy, exp(-(least(abs(i.range-jx), 4-abs(i.range-jx))**2 + least(abs(j.range-jy), 4-abs(j.range-jy))**2)/2.0::DOUBLE) AS w FROM s1, range(4) i, range(4) j),
+s3 AS (SELECT frame, ix, iy, coalesce(sum(CASE WHEN leaflet=1 THEN n*w END), 0) AS up, coalesce(sum(CASE WHEN leaflet=-1 THEN n*w END), 0) AS down FROM s2 GROUP BY 1, 2, 3)""")
+add("diffusion", lambda t: series.diffusion(t, max_lag=8), "", "x y z total", "SELECT regr_slope(x, lag*2)/2 AS x, regr_slope(y, lag*2)/2 AS y, regr_slope(z, lag*2)/2 AS z, regr_slope(total, lag*2)/6 AS total FROM (SELECT b.idx-a.idx AS lag, avg((b.x-a.x)*(b.x-a.x)) AS x, avg((b.y-a.y)*(b.y-a.y)) AS y, avg((b.z-a.z)*(b.z-a.z)) AS z, avg((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z)) AS total FROM g a JOIN g b ON a.resid=b.resid AND b.idx-a.idx BETWEEN 1 AND 8 GROUP BY 1)", GC)
+HAAR = ", ".join(f"w{k} AS (SELECT k//2 AS k, (max(CASE WHEN k%2=0 THEN s END)+max(CASE WHEN k%2=1 THEN s END))/2 AS s, (max(CASE WHEN k%2=0 THEN s END)-max(CASE WHEN k%2=1 THEN s END))/2 AS d FROM w{k - 1} GROUP BY 1 HAVING count(*)=2)" for k in range(1, 6))
+add("wavelet", lambda t: correlation.wavelet(t, "chain A", "chain B"), "level k", "smooth detail", " UNION ALL ".join(f"SELECT {k}::BIGINT AS level, k, s AS smooth, d AS detail FROM w{k}" for k in range(1, 6)), f"{AB}, w0 AS (SELECT frame AS k, {_cdist('a', 'b')} AS s FROM c), {HAAR}")
+
+# Backbones
+RESIDUES = "b0 AS (SELECT frame, chain, resid, " + ", ".join(f"max(CASE WHEN name='{n}' THEN {c} END) AS {n.lower()}_{c}" for n in ("N", "CA", "C", "O") for c in "xyz") + " FROM t GROUP BY 1, 2, 3), b1 AS (SELECT *, " + ", ".join(f"lag(c_{c}) OVER (PARTITION BY frame, chain ORDER BY resid) AS p_{c}" for c in "xyz") + " FROM b0), b2 AS (SELECT *, " + f"{_norm('n_x-p_x', 'n_y-p_y', 'n_z-p_z')} AS np, {_norm('n_x-ca_x', 'n_y-ca_y', 'n_z-ca_z')} AS nca FROM b1), b3 AS (SELECT *, " + ", ".join(f"(n_{c}-p_{c})/np + (n_{c}-ca_{c})/nca AS v{c}" for c in "xyz") + " FROM b2), b4 AS (SELECT *, " + ", ".join(f"n_{c} + v{c}/{_norm('vx', 'vy', 'vz')} AS h_{c}" for c in "xyz") + " FROM b3)"
+_far = lambda p, q: f"1/{_norm(*[f'{p}_{c}-{q}_{c}' for c in 'xyz'])}"
+add("kabsch_sander", lambda t: linear.kabsch_sander(t), "frame donor_chain donor acceptor_chain acceptor", "energy", f"SELECT d.frame, d.chain AS donor_chain, d.resid AS donor, a.chain AS acceptor_chain, a.resid AS acceptor, 27.888*({_far('a.o', 'd.n')} + {_far('a.c', 'd.h')} - {_far('a.o', 'd.h')} - {_far('a.c', 'd.n')}) AS energy FROM b4 d JOIN b4 a ON a.frame=d.frame AND abs(a.resid-d.resid) > 1 WHERE d.h_x IS NOT NULL", RESIDUES)
+HELIX = "o0 AS (SELECT frame, resid, " + ", ".join(f"lead({c}, {k + 1}) OVER w - {f'lead({c}, {k}) OVER w' if k else c} AS s{k}{c}" for k in range(3) for c in "xyz") + " FROM t WHERE name='CA' WINDOW w AS (PARTITION BY frame ORDER BY resid, atom)), o1 AS (SELECT *, " + ", ".join(f"s{k}{c}-s{k + 1}{c} AS d{k}{c}" for k in range(2) for c in "xyz") + " FROM o0 WHERE s2x IS NOT NULL), o2 AS (SELECT *, " + f"{_norm('d0x', 'd0y', 'd0z')} AS m, {_norm('d1x', 'd1y', 'd1z')} AS n, d0x*d1x+d0y*d1y+d0z*d1z AS dd, d0y*d1z-d0z*d1y AS ax, d0z*d1x-d0x*d1z AS ay, d0x*d1y-d0y*d1x AS az FROM o1)"
+add("helixorient", lambda t: linear.helix_orientation(t), "frame resid", "radius twist rise", f"SELECT frame, resid, sqrt(m*n)/(2*(1-dd/(m*n))) AS radius, degrees(acos(greatest(-1, least(1, dd/(m*n))))) AS twist, abs(s1x*ax+s1y*ay+s1z*az)/{_norm('ax', 'ay', 'az')} AS rise FROM o2", HELIX)
+
+# Skewed cells, further metrics, frames
+CELL = "v AS (SELECT t.*, 40.0::DOUBLE+frame AS ly, 30.0::DOUBLE+2*frame AS lz FROM t)"
+add("image_skewed", lambda t: transforms.image(tilted(t)), "frame atom", "x y z", "SELECT frame, atom, 50*fx+10*fy+5*fz AS x, ly*fy-8*fz AS y, lz*fz AS z FROM (SELECT *, fx0-floor(fx0) AS fx, fy0-floor(fy0) AS fy, fz0-floor(fz0) AS fz FROM (SELECT *, (x-10*fy0-5*fz0)/50 AS fx0 FROM (SELECT *, (y+8*fz0)/ly AS fy0 FROM (SELECT *, z/lz AS fz0 FROM v))))", CELL)
+add("pairwise_distance_skewed", lambda t: distances.pairwise_distance(tilted(t), "name CA", "name O", True), "frame a b", "dist", f"SELECT frame, a, b, {_norm('50*fx+10*fy+5*fz', 'ly*fy-8*fz', 'lz*fz')} AS dist FROM (SELECT *, fx0-round(fx0) AS fx, fy0-round(fy0) AS fy, fz0-round(fz0) AS fz FROM (SELECT *, (dx-10*fy0-5*fz0)/50 AS fx0 FROM (SELECT *, (dy+8*fz0)/ly AS fy0 FROM (SELECT *, dz/lz AS fz0 FROM (SELECT a.frame, a.atom AS a, b.atom AS b, a.ly, a.lz, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz FROM v a JOIN v b ON a.frame=b.frame AND a.name='CA' AND b.name='O')))))", CELL)
+add("search_neighbors_skewed", lambda t: distances.search_neighbors(tilted(t), "resname NA", "resname SOL", 9.0, True), "frame n", "", f"SELECT frame, coalesce(n, 0) AS n FROM fr LEFT JOIN (SELECT frame, count(DISTINCT b) AS n FROM (SELECT *, fx0-round(fx0) AS fx, fy0-round(fy0) AS fy, fz0-round(fz0) AS fz FROM (SELECT *, (dx-10*fy0-5*fz0)/50 AS fx0 FROM (SELECT *, (dy+8*fz0)/ly AS fy0 FROM (SELECT *, dz/lz AS fz0 FROM (SELECT a.frame, a.atom AS a, b.atom AS b, a.ly, a.lz, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz FROM v a JOIN v b ON a.frame=b.frame AND a.resname='NA' AND b.resname='SOL'))))) WHERE {_norm('50*fx+10*fy+5*fz', 'ly*fy-8*fz', 'lz*fz')} <= 9 GROUP BY frame) USING (frame)", CELL)
+add("pairwise_rmsd_dme", lambda t: fluctuation.pairwise_rmsd(t, "name CA", "dme"), "f1 f2", "rmsd", f"SELECT p.frame AS f1, q.frame AS f2, sqrt(avg((p.dist-q.dist)*(p.dist-q.dist))) AS rmsd FROM pr p JOIN pr q ON p.a=q.a AND p.b=q.b AND p.frame < q.frame GROUP BY 1, 2", "pr AS (" + _pairs("a.name='CA'", "b.name='CA'", rule="a.atom < b.atom") + ")")
+add("pairwise_rmsd_fitted", lambda t: fluctuation.pairwise_rmsd(t, "name CA", "rms"))
+add("rmsd_perres_fitted", lambda t: fluctuation.rmsd_perres(t, "chain A", 0, True))
+add("trajectory_cluster_fitted", lambda t: linear.dbscan(t, 18.0, 4, "name CA", "rms"))
+add("cluster_medoids", lambda t: linear.medoids(t, t.boxes.select("frame", (F.col("frame") % 3).alias("cluster")), "name CA"), "cluster n medoid", "", f"SELECT c AS cluster, count(*) AS n, min_by(f, total) AS medoid FROM (SELECT a.frame AS f, a.frame % 3 AS c, sum(d) AS total FROM (SELECT a.frame, b.frame AS o, sqrt(avg({SQ})) AS d FROM t a JOIN t b ON a.atom=b.atom AND a.frame <> b.frame AND a.frame % 3 = b.frame % 3 WHERE a.name='CA' GROUP BY 1, 2) a GROUP BY 1, 2) GROUP BY 1")
+add("hbond_angle", lambda t: distances.hbond(t, "name N", "name O", 20.0, "name CA", 70.0), "frame n", "", f"""SELECT frame, coalesce(n, 0) AS n FROM fr LEFT JOIN (SELECT d.frame, count(*) AS n FROM t d JOIN t a ON a.frame=d.frame AND d.name='N' AND a.name='O' JOIN t h ON h.frame=d.frame AND h.atom=d.atom+1
+WHERE {_d('d', 'a')} <= 20 AND ((d.x-h.x)*(a.x-h.x)+(d.y-h.y)*(a.y-h.y)+(d.z-h.z)*(a.z-h.z))/({_d('h', 'd')}*{_d('h', 'a')}) >= cos(radians(70.0::DOUBLE)) GROUP BY 1) USING (frame)""")
+add("count_frames", lambda t: transforms.count_frames(t), "n_frames n_atoms", "", "SELECT count(DISTINCT frame) AS n_frames, count(DISTINCT atom) AS n_atoms FROM t")
+add("decimate_frames", lambda t: transforms.decimate_frames(t, 3, 7), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE frame >= 3 AND (frame-3) % 7 = 0")
+add("decimate_time", lambda t: transforms.decimate_time(t, 6.0), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE frame % 3 = 0")
+add("map_beads", lambda t: transforms.map_beads(t, t.atoms.select("atom", F.floor(F.col("atom") / 5).cast("long").alias("bead"))), "frame bead n", "x y z", "SELECT frame, atom // 5 AS bead, count(*) AS n, sum(mass*x)/sum(mass) AS x, sum(mass*y)/sum(mass) AS y, sum(mass*z)/sum(mass) AS z FROM t GROUP BY 1, 2")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

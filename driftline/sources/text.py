@@ -38,20 +38,25 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_gro(spark: SparkSession, path: str) -> DataFrame:
-    """path, frame, atom, names, coordinates and box in angstrom (files hold nm), time from the title."""
+def _heads(lines: Column, count_at: int, extra: int) -> Column:
+    """First line of each frame, which holds a number of atoms at ``count_at``, as many lines and ``extra`` others.
+
+    A frame's head follows from the one before, so what stands in other lines doesn't matter.
+    """
+    state = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
+    count = lambda i: F.regexp_extract(F.get(lines, i + count_at), r"^\s*(\d+)\s*$", 1)
+
+    def step(acc: Column, i: Column) -> Column:
+        here = (i == acc["next"]) & (F.coalesce(count(i), F.lit("")) != "")
+        return F.when(here, F.struct((i + extra + count(i).cast("int")).alias("next"), F.concat(acc["at"], F.array(i)).alias("at"))).otherwise(acc)
 
-    def frames(lines: Column) -> Column:
-        """[first line of each frame]: title, count, that many atoms, box."""
-        step = F.aggregate(
-            F.sequence(F.lit(0), F.size(lines) - 1),
-            F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")),
-            lambda acc, i: F.when((i == acc["next"]) & (i + 1 < F.size(lines)) & (F.trim(F.get(lines, i + 1)) != ""), F.struct((i + 3 + F.trim(F.get(lines, i + 1)).cast("int")).alias("next"), F.concat(acc["at"], F.array(i)).alias("at"))).otherwise(acc),
-        )
-        return step["at"]
+    return F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), state, step)["at"]
 
+
+def read_gro(spark: SparkSession, path: str) -> DataFrame:
+    """path, frame, atom, names, coordinates and box in angstrom (files hold nm), time from the title."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
-    rows = whole.select("path", "lines", F.posexplode(frames(F.col("lines"))).alias("frame", "at"))
+    rows = whole.select("path", "lines", F.posexplode(_heads(F.col("lines"), 1, 3)).alias("frame", "at"))
     n = F.trim(F.get(F.col("lines"), F.col("at") + 1)).cast("int")
     rows = rows.select("path", F.col("frame").cast("long").alias("frame"), F.regexp_extract(F.get(F.col("lines"), F.col("at")), r"t=\s*([-0-9.eE+]+)", 1).alias("t"), F.split(F.trim(F.get(F.col("lines"), F.col("at") + 2 + n)), r"\s+").alias("box"), F.posexplode(F.slice("lines", F.col("at") + 3, n)).alias("atom", "line"))
     return rows.select(
@@ -62,14 +67,47 @@ def read_gro(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
-    """path, frame, atom, element, x, y, z; frames are a count, a comment and that many atoms."""
-    lines = _lines(spark, path)
-    head = F.col("line").rlike(r"^\s*\d+\s*$")
-    w = Window.partitionBy("path").orderBy("n")
-    rows = lines.select("path", "n", "line", (F.sum(head.cast("long")).over(w) - 1).alias("frame"), F.max(F.when(head, F.col("n"))).over(w).alias("head"))
+    """path, frame, atom, element, x, y, z; frames are a count, a comment of any kind and that many atoms."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    rows = whole.select("path", "lines", F.posexplode(_heads(F.col("lines"), 0, 2)).alias("frame", "at"))
+    n = F.trim(F.get(F.col("lines"), F.col("at"))).cast("int")
+    rows = rows.select("path", F.col("frame").cast("long").alias("frame"), F.posexplode(F.slice("lines", F.col("at") + 3, n)).alias("atom", "line"))
     parts = F.split(F.trim("line"), r"\s+")
-    rows = rows.where((F.col("n") > F.col("head") + 1) & (F.trim("line") != ""))
-    return rows.select("path", "frame", (F.col("n") - F.col("head") - 2).alias("atom"), F.upper(parts[0]).alias("element"), *[parts[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")])
+    return rows.select("path", "frame", F.col("atom").cast("long").alias("atom"), F.upper(parts[0]).alias("element"), *[parts[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")])
+
+
+def read_g96(spark: SparkSession, path: str) -> DataFrame:
+    """path, frame, atom, step, time_ps, coordinates and box in angstrom (files hold nm) of GROMOS96 blocks.
+
+    A frame ends with the block of its positions (POSITION, POSITIONRED) or the
+    velocities or box after it: each TIMESTEP, or else each position block, begins one.
+    """
+    w = Window.partitionBy("path").orderBy("n")
+    lines = _lines(spark, path).withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    names = ["TITLE", "TIMESTEP", "POSITION", "POSITIONRED", "VELOCITY", "VELOCITYRED", "BOX"]
+    opens = F.col("line").isin(names)
+    lines = lines.withColumns({"name": F.last(F.when(opens, F.col("line")), True).over(w), "opens": opens, "block": F.max(F.when(opens, F.col("n"))).over(w)})
+    timed = F.max((F.col("line") == "TIMESTEP").cast("int")).over(Window.partitionBy("path"))
+    begins = F.when(timed == 1, F.col("line") == "TIMESTEP").otherwise(F.col("line").isin("POSITION", "POSITIONRED"))
+    lines = lines.withColumn("frame", F.sum(begins.cast("long")).over(w) - 1).where(~F.col("opens") & (F.col("line") != "END"))
+    parts = F.split("line", r"\s+")
+    last = lambda k: F.element_at(parts, -k).cast("double") * 10.0
+    at = lines.where(F.col("name").isin("POSITION", "POSITIONRED"))
+    atoms = at.select("path", "frame", (F.row_number().over(Window.partitionBy("path", "block").orderBy("n")) - 1).cast("long").alias("atom"), last(3).alias("x"), last(2).alias("y"), last(1).alias("z"))
+    times = lines.where("name = 'TIMESTEP'").groupBy("path", "frame").agg(F.first(parts[0].cast("long")).alias("step"), F.first(parts[1].cast("double")).alias("time_ps"))
+    boxes = lines.where("name = 'BOX'").groupBy("path", "frame").agg(*[F.first(parts[k].cast("double") * 10.0).alias(f"l{c}") for k, c in enumerate("xyz")])
+    return atoms.join(times, ["path", "frame"], "left").join(boxes, ["path", "frame"], "left")
+
+
+def read_ndx(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, position, atom (from 0) of the groups of an index file, whose numbers are from 1."""
+    w = Window.partitionBy("path").orderBy("n")
+    head = F.regexp_extract("line", r"^\s*\[\s*(.*?)\s*\]", 1)
+    lines = _lines(spark, path).withColumn("line", F.regexp_replace("line", ";.*", ""))
+    lines = lines.select("path", "n", "line", F.last(F.when(F.col("line").rlike(r"^\s*\["), head), True).over(w).alias("name"))
+    numbers = lines.where(F.col("line").rlike(r"^\s*\d")).select("path", "name", "n", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("k", "atom"))
+    position = F.row_number().over(Window.partitionBy("path", "name").orderBy("n", "k")) - 1
+    return numbers.select("path", "name", position.cast("long").alias("position"), (F.col("atom").cast("long") - 1).alias("atom"))
 
 
 def pdb_lines(atoms: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against DuckDB at sf0.001 and against small cases worked by hand."""
 
 import math
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -8,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline import queries
-from driftline.functions.selection import SelectionError, select
+from driftline.functions.selection import SelectionError, select, select_indices
 from driftline.model import Trajectory
 from driftline.operators import angles, correlation, distances, fluctuation, linear, membrane, radial, series, shape, solvation, transforms
 from driftline.plans import analyses, run
-from driftline.sources import dcd, text
+from driftline.sources import dcd, text, xdr
 from driftline.streaming import running
 
 SF = "/root/testdata/sf0.001"
@@ -139,7 +140,61 @@ def test_flip_flop(spark):
     series = [-1] * 6 + [0, 0, 1, 0, 0] + [1] * 7 + [0] + [-1] * 6
     df = spark.createDataFrame([(0, f, s) for f, s in enumerate(series)], "resid long, frame long, leaflet long")
     got = [(r.start, r.end, r.leaflet, r.outcome) for r in membrane.flip_flop(df, 1).orderBy("start").collect()]
-    assert (5, 8, 1, "Success") in got and (17, 19, -1, "Success") in got
+    assert got == [(5, 8, 1, "Success"), (8, 11, 1, "Fail"), (17, 19, -1, "Success")]
+
+
+def test_flip_flop_with_a_longer_cutoff():
+    assert membrane.crossings([-1, -1, 0, -1, -1, -1], 2) == []
+    assert membrane.crossings([-1, -1, 0, 0, -1, -1], 2) == [(1, 4, -1, "Fail")]
+    assert membrane.crossings([-1, 0, 0, 1, 1, 1], 2) == [(0, 3, 1, "Success")]
+    assert membrane.crossings([1, 0, 0, 0], 2) == [(0, 3, 0, "Ongoing")] and membrane.crossings([], 1) == []
+
+
+def test_bridges_against_all_pairs():
+    """Bridges found from the bonds are those found by looking at every pair."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n = 14
+        held = {(int(i), int(j)) for i, j in rng.integers(0, n, (50, 2)) if abs(i - j) > 1}
+        want = {}
+        for i in range(n):
+            for j in range(i + 2, n):
+                kinds = set()
+                if ((i, j) in held and (j, i) in held) or ((i - 1, j + 1) in held and (j - 1, i + 1) in held):
+                    kinds.add("anti")
+                if ((i - 1, j) in held and (j, i + 1) in held) or ((j - 1, i) in held and (i, j + 1) in held):
+                    kinds.add("parallel")
+                if kinds:
+                    want[i, j] = kinds
+        assert linear.bridges(held) == want
+
+
+def test_secondary_states():
+    ca = np.zeros((12, 3))  # nothing is bent
+    helix = {(i, i + 4) for i in range(1, 6)}
+    assert linear.secondary_states([0] * 12, helix, ca) == [" ", " ", *"HHHHHHH", "T", " ", " "]
+    # a chain's end between them: no turn reaches over it
+    cut = linear.secondary_states([0] * 6 + [1] * 6, helix, ca)
+    assert cut[6:] == [" "] * 6 and "H" not in cut
+    assert set(linear.secondary_states([0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1], {(1, 5), (2, 6)}, ca)) == {" "}
+    turn = linear.secondary_states([0] * 8, {(1, 4)}, ca[:8])
+    assert turn == [" ", " ", "T", "T", "T", " ", " ", " "]
+    straight = np.array([[i * 3.0, 0.0, 0.0] for i in range(7)])  # an angle of 180 degrees is above 70
+    assert linear.secondary_states([0] * 7, set(), straight) == [" ", " ", "S", "S", "S", " ", " "]
+    pair = linear.secondary_states([0] * 12, {(2, 9), (9, 2)}, ca)
+    assert [i for i, x in enumerate(pair) if x == "B"] == [2, 9]
+
+
+def test_residues_of_two_chains_stay_apart(spark):
+    """One residue number in two chains is two residues, and no hydrogen is made from the other chain."""
+    atoms = [(c, r, n) for c in "AB" for r in (1, 2) for n in ("N", "CA", "C", "O")]
+    frames = spark.createDataFrame([(0, i, float(i), float(i * i % 7), float(i % 3)) for i in range(len(atoms))], "frame long, atom long, x double, y double, z double")
+    table = spark.createDataFrame([(i, n, "ALA", r, c, n[0], 1.0, 0.0) for i, (c, r, n) in enumerate(atoms)], "atom long, name string, resname string, resid long, chain string, element string, mass double, charge double")
+    t = Trajectory(frames, table, spark.createDataFrame([(0, 0.0, 50.0, 50.0, 50.0)], "frame long, time_ps double, lx double, ly double, lz double"))
+    got = {(r.chain, r.resid): r for r in linear.backbone(t).collect()}
+    assert len(got) == 4 and [got[k].h_x is None for k in (("A", 1), ("A", 2), ("B", 1), ("B", 2))] == [True, False, True, False]
+    assert got["B", 1].n_x == 8.0 and got["B", 1].segment != got["A", 2].segment
+    assert linear.dssp(t).count() == 4
 
 
 def test_frames_by_index(spark):
@@ -180,6 +235,124 @@ def test_files(spark, tmp_path):
     assert np.allclose([[r.x, r.y, r.z] for r in got], x.reshape(-1, 3), atol=1e-6) and got[0].lx == 20.0
 
 
+def test_xyz_comments_may_be_numbers(spark, tmp_path):
+    (tmp_path / "b.xyz").write_text("2\n100\nC 0 0 1\nO 1 2 3\n1\n2\nN 0 0 2\n")
+    got = [(r.frame, r.atom, r.element, r.z) for r in text.read_xyz(spark, str(tmp_path / "b.xyz")).orderBy("frame", "atom").collect()]
+    assert got == [(0, 0, "C", 1.0), (0, 1, "O", 3.0), (1, 0, "N", 2.0)]
+
+
+@pytest.mark.parametrize("n", [4, 9, 10, 60])
+def test_xtc_and_trr(spark, tmp_path, n):
+    """Files of our own: pairs that are packed together, few atoms, skewed cells, one file read by several tasks."""
+    rng = np.random.default_rng(n)
+    x = np.cumsum(rng.normal(size=(11, n, 3)), axis=1) * 3
+    x[5] *= 200
+    cells = np.array([np.diag([40.0, 50, 60]).reshape(-1) for _ in range(11)])
+    cells[3, 3] = 12.0
+    times = [2.0 * k for k in range(11)]
+    (tmp_path / "a.xtc").write_bytes(xdr.xtc_bytes(x, cells, times))
+    read = xdr.read_xtc(spark, [str(tmp_path / "a.xtc")], frames_per_task=2)
+    got = read.orderBy("frame", "atom").collect()
+    assert len(got) == 11 * n and read.rdd.getNumPartitions() > 1
+    assert np.allclose([[r.x, r.y, r.z] for r in got], x.reshape(-1, 3), atol=6e-3, rtol=1e-5)
+    assert [r.time_ps for r in got[::n]] == times and (got[0].lx, got[0].ly, got[0].lz, got[0].cell) == pytest.approx((40.0, 50.0, 60.0, None)) and got[3 * n].cell[3] == pytest.approx(12.0)
+    for real in (">f4", ">f8"):
+        (tmp_path / f"a{real[1:]}.trr").write_bytes(xdr.trr_bytes(x, cells, times, x * 2, real))
+        got = xdr.read_trr(spark, [str(tmp_path / f"a{real[1:]}.trr")], frames_per_task=3).orderBy("frame", "atom").collect()
+        assert np.allclose([[r.x, r.y, r.z] for r in got], x.reshape(-1, 3), rtol=1e-5, atol=1e-4) and np.allclose([[r.vx, r.vy, r.vz] for r in got], 2 * x.reshape(-1, 3), rtol=1e-5, atol=1e-4)
+        assert [r.time_ps for r in got[::n]] == times and got[0].step == 0 and got[-1].step == 10
+    (tmp_path / "bad.xtc").write_bytes((tmp_path / "a.xtc").read_bytes()[:-7])
+    with pytest.raises(Exception, match="ends within a frame"):
+        xdr.read_xtc(spark, [str(tmp_path / "bad.xtc")]).count()
+
+
+def test_gromos_blocks_and_index_groups(spark, tmp_path):
+    frame = "TIMESTEP\n{step} {time}\nEND\nPOSITIONRED\n# two atoms\n 0.1 0.2 0.3\n 0.4 0.5 {z}\nEND\nBOX\n 1 2 3\nEND\n"
+    (tmp_path / "a.g96").write_text("TITLE\nwater\nEND\n" + frame.format(step=0, time=0.0, z=0.6) + frame.format(step=5, time=2.5, z=0.7))
+    got = text.read_g96(spark, str(tmp_path / "a.g96")).orderBy("frame", "atom").collect()
+    assert [(r.frame, r.atom, r.step, r.time_ps, round(r.z, 9), r.ly) for r in got] == [(0, 0, 0, 0.0, 3.0, 20.0), (0, 1, 0, 0.0, 6.0, 20.0), (1, 0, 5, 2.5, 3.0, 20.0), (1, 1, 5, 2.5, 7.0, 20.0)]
+    (tmp_path / "b.g96").write_text("TITLE\nx\nEND\nPOSITION\n    1 SOL   OW         1    0.1 0.2 0.3\nEND\n")
+    assert [(r.frame, r.atom, round(r.x, 9)) for r in text.read_g96(spark, str(tmp_path / "b.g96")).collect()] == [(0, 0, 1.0)]
+    (tmp_path / "a.ndx").write_text("; made by hand\n[ System ]\n1 2 3\n4\n[ Ends ]\n 4 1\n")
+    got = text.read_ndx(spark, str(tmp_path / "a.ndx")).orderBy("name", "position").collect()
+    assert [(r.name, r.atom) for r in got] == [("Ends", 3), ("Ends", 0), ("System", 0), ("System", 1), ("System", 2), ("System", 3)]
+
+
+def test_indices_in_order(spark):
+    t = make(spark, [line(0, 1, 2)])
+    assert [r.atom for r in select_indices(t.atoms, [2, 0, 2]).orderBy("position").collect()] == [2, 0, 2]
+    with pytest.raises(Exception, match="no atom 9"):
+        select_indices(t.atoms, [9]).collect()
+
+
+def test_skewed_cells_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    cell = np.array([[20.0, 0, 0], [6.0, 18, 0], [-4.0, 5, 22]])
+    x = rng.uniform(-40, 40, size=(1, 12, 3))
+    t = make(spark, x.tolist())
+    t = replace(t, boxes=t.boxes.withColumn("cell", F.array(*[F.lit(float(v)) for v in cell.reshape(-1)])))
+    inv = np.linalg.inv(cell)
+    for r in distances.pairwise_distance(t, None, None, True).collect():
+        f = (x[0, r.b] - x[0, r.a]) @ inv
+        assert r.dist == pytest.approx(np.linalg.norm((f - np.round(f)) @ cell))
+    got = {r.atom: (r.x, r.y, r.z) for r in transforms.image(t).collect()}
+    for k in range(12):
+        f = x[0, k] @ inv
+        assert got[k] == pytest.approx((f - np.floor(f)) @ cell)
+    assert values(transforms.volume(t), "volume") == [(pytest.approx(abs(np.linalg.det(cell))),)]
+
+
+def test_fitted_deviations_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4, 8, 3)) * 5
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    x[1] = x[0] @ (q * np.sign(np.linalg.det(q))).T + 3.0
+    t = make(spark, x.tolist())
+
+    def best(a, b):
+        a, b = a - a.mean(axis=0), b - b.mean(axis=0)
+        u, _, vt = np.linalg.svd(a.T @ b)
+        r = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
+        return a @ r, b
+
+    got = {(r.f1, r.f2): r.rmsd for r in fluctuation.pairwise_rmsd(t, None, "rms").collect()}
+    for i in range(4):
+        for j in range(i + 1, 4):
+            a, b = best(x[i], x[j])
+            assert got[i, j] == pytest.approx(np.sqrt(((a - b) ** 2).sum(axis=1).mean()), abs=1e-6)
+    assert got[0, 1] < 1e-6
+    assert all(r.rmsd < 1e-6 for r in fluctuation.rmsd_perres(t, None, 0, align=True).where("frame = 1").collect())
+    a, b = best(x[2], x[0])
+    want = (((a + x[0].mean(axis=0)) - x[0]) ** 2).sum(axis=1)
+    by = {}
+    for atom, resid in [(r.atom, r.resid) for r in t.atoms.collect()]:
+        by.setdefault(resid, []).append(want[atom])
+    for r in fluctuation.rmsd_perres(t, None, 0, align=True).where("frame = 2").collect():
+        assert r.rmsd == pytest.approx(np.sqrt(np.mean(by[r.resid])), abs=1e-6)
+
+
+def test_free_points_one_by_one(spark):
+    """Bondi's free volume against draws made one after the other."""
+    t = make(spark, [[(1.0, 2.0, 3.0), (9.0, 9.5, 0.5)], [(5.0, 5.0, 5.0), (0.0, 0.0, 0.0)]])
+    t = replace(t, boxes=t.boxes.withColumns({c: F.lit(v) for c, v in (("lx", 10.0), ("ly", 11.0), ("lz", 12.0))}))
+    mask, step, box = (1 << 64) - 1, 0x9E3779B97F4A7C15, (10.0, 11.0, 12.0)
+    where = {(r.frame, r.atom): (r.x, r.y, r.z) for r in t.frames.collect()}
+    reach = {r.atom: linear.RADII.get(r.element, linear.OTHER_RADIUS) + 0.5 for r in t.atoms.collect()}
+    for r in solvation.bondi_ffv(t, None, probe=0.5, points_per_nm3=300, seed=5).collect():
+        state, free, n = 5 ^ (r.frame * step & mask), 0, round(300 * 1.32)
+        for _ in range(n):
+            p = []
+            for length in box:
+                state = (state + step) & mask
+                z = state
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+                z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+                p.append(((z ^ z >> 31) >> 11) / 2.0**53 * length)
+            near = lambda a: sum(min(abs(u - v), length - abs(u - v)) ** 2 for u, v, length in zip(p, where[r.frame, a], box))  # noqa: B023, E731
+            free += all(near(a) >= reach[a] ** 2 for a in reach)
+        assert r.free_fraction == free / n and r.ffv == pytest.approx(1 - 1.3 * (1 - free / n)) and r.total == pytest.approx(1320.0)
+
+
 def test_requests(spark):
     t = make(spark, [line(0, 2)])
     assert values(run(t, [{"analysis": "rg", "id": "size"}])["size"], "rg") == [(1.0,)]
