@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geometry import angle as between
 from driftline.functions.geometry import cross, dihedral as torsion
-from driftline.functions.geometry import clamp, dot, min_image, norm, rotate_about, sub, vec, wrapped_difference
+from driftline.functions.geometry import clamp, dot, eigenvalues, min_image, norm, rotate_about, signed, sub, vec, wrapped_difference
 from driftline.functions.selection import select
 from driftline.model import Selection, Trajectory
 from driftline.operators.common import centers, with_box
@@ -97,10 +97,41 @@ def toroidal_transitions(traj: Trajectory, selection: Selection = None, lag: int
     return rows.groupBy(F.col("before").alias("source"), F.col("state").alias("target")).agg(F.count("*").alias("n"))
 
 
-def pucker(traj: Trajectory, selection: Selection = None) -> DataFrame:
-    """Largest distance from the ring's center."""
+def pucker(traj: Trajectory, selection: Selection = None, metric: str = "max_radius", phase: bool = False) -> DataFrame:
+    """frame, radius or amplitude, and phase (degrees, 0 to 360).
+
+    ``max_radius`` is the largest distance from the ring's center, ``amplitude``
+    the root of the least eigenvalue of the coordinates' covariance. The phase is
+    that of the heights along the plane's normal against the atoms' order; the
+    normal's largest component is positive.
+    """
+    if metric not in ("max_radius", "amplitude"):
+        raise ValueError(f"no metric {metric}")
     rows = traj.points(selection).join(centers(traj, {"c": selection}), "frame")
-    return rows.groupBy("frame").agg(F.max(norm(sub(vec(), vec("c")))).alias("radius"))
+    rows = rows.select("frame", "atom", *[(F.col(c) - F.col(f"c{c}")).alias(c) for c in "xyz"])
+    radius = F.max(norm(vec())).alias("radius")
+    if metric == "max_radius" and not phase:
+        return rows.groupBy("frame").agg(radius)
+    parts = ("xx", "yy", "zz", "xy", "xz", "yz")
+    flat = rows.groupBy("frame").agg(radius, F.count("*").alias("n"), *[F.avg(F.col(p[0]) * F.col(p[1])).alias(p) for p in parts])
+    flat = flat.withColumn("low", eigenvalues(*[F.col(p) for p in parts])[0])
+    value = F.col("radius") if metric == "max_radius" else F.sqrt(F.greatest("low", F.lit(0.0))).alias("amplitude")
+    if not phase:
+        return flat.select("frame", value)
+    xx, yy, zz, xy, xz, yz = (F.col(p) for p in parts)
+    lines = [(xx - F.col("low"), xy, xz), (xy, yy - F.col("low"), yz), (xz, yz, zz - F.col("low"))]
+    # two rows of the shifted covariance that aren't parallel span the plane
+    across = [cross(lines[i], lines[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    best = F.array_max(F.array(*[F.struct(norm(v).alias("size"), *[c.alias(k) for c, k in zip(v, "xyz", strict=True)]) for v in across]))
+    flat = flat.withColumn("best", best)
+    largest = F.array_max(F.array(*[F.struct(F.abs(F.col(f"best.{k}")).alias("size"), F.signum(F.col(f"best.{k}")).alias("sign")) for k in "xyz"]))["sign"]
+    flat = flat.select("frame", value, "n", *[(F.col(f"best.{k}") / F.col("best.size") * largest).alias(f"n{k}") for k in "xyz"])
+    order = F.row_number().over(Window.partitionBy("frame").orderBy("atom")) - 1
+    turned = rows.withColumn("j", order).join(flat, "frame").withColumn("turn", 2.0 * math.pi * F.col("j") / F.col("n"))
+    height = dot(vec(), vec("n"))
+    q = turned.groupBy("frame").agg(F.first(value.alias("value") if metric == "max_radius" else F.col("amplitude")).alias("radius" if metric == "max_radius" else "amplitude"), F.first("n").alias("n"), F.sum(height * F.cos("turn")).alias("qx"), F.sum(height * F.sin("turn")).alias("qy"))
+    name = "radius" if metric == "max_radius" else "amplitude"
+    return q.select("frame", name, F.when(F.col("n") < 3, F.lit(0.0)).otherwise(signed(F.atan2("qy", "qx"), True, True)).alias("phase"))
 
 
 def _turned(traj: Trajectory, quad: Quad, rotated: Selection, theta: Column, mass_weighted: bool, pbc: bool = False) -> DataFrame:

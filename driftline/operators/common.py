@@ -84,6 +84,25 @@ def lagged(df: DataFrame, keys: list[str], order: str, values: list[str], max_la
     return early.withColumn("end", F.col(order) + F.col("lag")).join(late, [*keys, "end"]).drop("end")
 
 
+def multi_tau_lags(m: int, levels: int) -> list[int]:
+    """1 .. m - 1, and on each further level the upper half of those, twice as far apart."""
+    return [j << k for k in range(levels) for j in range(1 if k == 0 else m // 2, m)]
+
+
+def multi_tau(df: DataFrame, keys: list[str], order: str, values: list[str], m: int, levels: int) -> DataFrame:
+    """As ``lagged``, at multi_tau_lags only: a level's rows are means of twice as many neighbours as the one before's.
+
+    The rows of a level are half of those below, so the work follows rows x m, not rows x lags.
+    """
+    out = None
+    for k in range(levels):
+        block = df.groupBy(*keys, F.floor(F.col(order) / (1 << k)).cast("long").alias(order)).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("held_"))
+        rows = lagged(block.where(F.col("held_") == 1 << k).drop("held_"), keys, order, values, m - 1).where(F.col("lag") >= (1 if k == 0 else m // 2))
+        rows = rows.withColumn("lag", F.col("lag") * (1 << k))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def indexed(df: DataFrame, keys: list[str], order: str = "frame") -> DataFrame:
     """Adds idx, 0, 1, ... along ``order`` inside each key."""
     return df.withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))

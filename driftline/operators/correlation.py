@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geometry import dot, norm, sub, vec
+from driftline.functions.selection import select
 from driftline.model import Selection, Trajectory
-from driftline.operators.common import centers, indexed, lagged
+from driftline.operators.common import centers, indexed, lagged, multi_tau
 from driftline.operators.transforms import get_velocity, unwrap
 
 XYZ = ["x", "y", "z"]
@@ -28,12 +29,29 @@ def group_centers(traj: Trajectory, selection: Selection = None, by: str = "resi
     return unwrap(traj, rows, [by]) if unwrapped else rows
 
 
-def msd(traj: Trajectory, selection: Selection = None, by: str = "resid", max_lag: int | None = None, unwrapped: bool = True) -> DataFrame:
-    """lag, x, y, z, total: mean squared displacement of the groups' centers."""
+def msd(traj: Trajectory, selection: Selection = None, by: str = "resid", max_lag: int | None = None, unwrapped: bool = True, types: str | None = None, mode: str = "exact", m: int = 16, levels: int = 20) -> DataFrame:
+    """lag, x, y, z, total: mean squared displacement of the groups' centers.
+
+    With ``types``, an attribute that the atoms of a group share, there is a row
+    for each type as well, and the one of all has a null type. ``multi_tau``
+    takes lags up to (m - 1) * 2^(levels - 1), further apart the longer they
+    are, from means of as many frames.
+    """
     require_uniform(traj)
-    rows = lagged(indexed(group_centers(traj, selection, by, unwrapped), [by]), [by], "idx", XYZ, max_lag).where("lag > 0")
+    rows = indexed(group_centers(traj, selection, by, unwrapped), [by])
+    if mode == "multi_tau":
+        most = max(1, math.ceil(math.log2(max(traj.boxes.count(), 2))))
+        rows = multi_tau(rows, [by], "idx", XYZ, m, min(levels, most))
+    elif mode == "exact":
+        rows = lagged(rows, [by], "idx", XYZ, max_lag).where("lag > 0")
+    else:
+        raise ValueError(f"no mode {mode}")
     square = lambda c: (F.col(f"1_{c}") - F.col(f"0_{c}")) * (F.col(f"1_{c}") - F.col(f"0_{c}"))
-    return rows.groupBy("lag").agg(*[F.avg(square(c)).alias(c) for c in "xyz"], F.avg(sum(square(c) for c in "xyz")).alias("total"))
+    means = [F.avg(square(c)).alias(c) for c in "xyz"] + [F.avg(sum(square(c) for c in "xyz")).alias("total")]
+    if types is None:
+        return rows.groupBy("lag").agg(*means)
+    kinds = traj.atoms.where(select(selection)).groupBy(by).agg(F.first(types).alias("type"))
+    return rows.join(kinds, by).groupingSets([["lag", "type"], ["lag"]], "lag", "type").agg(*means)
 
 
 def lipid_msd(traj: Trajectory, selection: Selection = None, max_lag: int | None = None) -> DataFrame:

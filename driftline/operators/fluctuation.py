@@ -72,15 +72,16 @@ def pairwise_rmsd(traj: Trajectory, selection: Selection = None, metric: str = "
         return a.join(b, ["a", "b"]).where("f1 < f2").groupBy("f1", "f2").agg(F.sqrt(F.avg(apart * apart)).alias("rmsd"))
     if metric not in ("nofit", "rms"):
         raise ValueError(f"no metric {metric}")
+    if metric == "rms":
+        mean = p.groupBy("frame").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+        p = p.join(mean, "frame").select("frame", "atom", *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"])
     a, b = (p.select("atom", F.col("frame").alias(f"f{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"]) for i in (1, 2))
     both = a.join(b, "atom").where("f1 < f2").groupBy("f1", "f2")
     if metric == "nofit":
         square = sum((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz")
         return both.agg(F.sqrt(F.avg(square)).alias("rmsd"))
-    # centered sums: of products, and of squares
-    h = F.array(*[F.avg(F.col(f"{c}1") * F.col(f"{d}2")) - F.avg(f"{c}1") * F.avg(f"{d}2") for c in "xyz" for d in "xyz"])
-    spread = sum(F.avg(F.col(f"{c}{i}") * F.col(f"{c}{i}")) - F.avg(f"{c}{i}") * F.avg(f"{c}{i}") for c in "xyz" for i in (1, 2))
-    sums = both.agg(h.alias("h"), spread.alias("e"))
+    h = F.array(*[F.avg(F.col(f"{c}1") * F.col(f"{d}2")) for c in "xyz" for d in "xyz"])
+    sums = both.agg(h.alias("h"), F.avg(sum(F.col(f"{c}{i}") * F.col(f"{c}{i}") for c in "xyz" for i in (1, 2))).alias("e"))
 
     def fit(parts):
         import numpy as np

@@ -278,6 +278,13 @@ def dssp_fractions(traj: Trajectory, selection: Selection = None, cutoff: float
     return dssp(traj, selection, cutoff).groupBy("chain", "resid").agg(*states)
 
 
+def dssp_atoms(traj: Trajectory, selection: Selection = None, cutoff: float = -0.5) -> DataFrame:
+    """frame, atom, state: every selected atom with its residue's state, blank where the residue has no backbone."""
+    states = dssp(traj, selection, cutoff).select("frame", "chain", "resid", "state")
+    rows = traj.points(selection, "chain", "resid").select("frame", "atom", "chain", "resid")
+    return rows.join(states, ["frame", "chain", "resid"], "left").select("frame", "atom", F.coalesce("state", F.lit(" ")).alias("state"))
+
+
 #: Van der Waals radii in angstrom, and the one of other elements.
 RADII = {"H": 1.20, "C": 1.70, "N": 1.55, "O": 1.52, "S": 1.80, "P": 1.80, "F": 1.47, "CL": 1.75, "MG": 1.18}
 OTHER_RADIUS = 1.7
@@ -303,6 +310,12 @@ def surf(traj: Trajectory, selection: Selection = None, probe: float = 1.4, n_po
     return rows.select("frame", "atom", (exposed / n_points * 4.0 * float(np.pi) * F.col("radius") ** 2).alias("area"))
 
 
+def surf_box(traj: Trajectory, selection: Selection = None) -> DataFrame:
+    """frame, area of the selection's bounding box, along the axes."""
+    a, b, c = (F.max(k) - F.min(k) for k in "xyz")
+    return traj.points(selection).groupBy("frame").agg((2.0 * (a * b + b * c + c * a)).alias("area"))
+
+
 def helix_orientation(traj: Trajectory, selection: Selection = "name CA") -> DataFrame:
     """frame, resid, radius, twist, rise of the local helix through four consecutive atoms."""
     w = Window.partitionBy("frame").orderBy("resid", "atom")

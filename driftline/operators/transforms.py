@@ -15,9 +15,24 @@ from driftline.model import Selection, Trajectory, box_columns, box_of, cell_col
 from driftline.operators.common import centers
 
 
-def strip(traj: Trajectory, selection: Selection) -> DataFrame:
-    """Keeps the selected atoms."""
-    return traj.frames.join(traj.atoms.where(select(selection)).select("atom"), "atom", "left_semi")
+def strip(traj: Trajectory, selection: Selection, invert: bool = False) -> DataFrame:
+    """Keeps the selected atoms, or with ``invert`` all others."""
+    return traj.frames.join(traj.atoms.where(select(selection)).select("atom"), "atom", "left_anti" if invert else "left_semi")
+
+
+def common_atoms(traj: Trajectory, sel_a: Selection, sel_b: Selection) -> DataFrame:
+    """The atoms that are in both selections."""
+    a, b = (traj.atoms.where(select(s)).select("atom") for s in (sel_a, sel_b))
+    return a.intersect(b)
+
+
+def per_frame(traj: Trajectory, f, schema: str, selection: Selection = None, *attributes: str) -> DataFrame:
+    """A function of one frame's points (a pandas frame, by atom) as an analysis: it returns a pandas frame of ``schema``."""
+
+    def call(part: pd.DataFrame) -> pd.DataFrame:
+        return f(part.sort_values("atom").reset_index(drop=True))
+
+    return traj.points(selection, *attributes).groupBy("frame").applyInPandas(call, schema)
 
 
 def translate(traj: Trajectory, delta: tuple[float, float, float]) -> DataFrame:

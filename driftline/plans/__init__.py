@@ -22,6 +22,9 @@ ALIASES = {
     "dist": "matrix_distance", "rotdif": "rotacf", "toroidal_diffusion": "toroidal_transitions", "velocity_autocorrelation": "velocityautocorr",
 }
 
+#: Analyses that a session has registered.
+OWN: dict[str, Callable[..., DataFrame]] = {}
+
 
 def analyses() -> dict[str, Callable[..., DataFrame]]:
     """Every public function of the operator modules whose first argument is a trajectory; membranes' begin with lipid_."""
@@ -30,7 +33,16 @@ def analyses() -> dict[str, Callable[..., DataFrame]]:
         for name, f in inspect.getmembers(module, inspect.isfunction):
             if f.__module__ == module.__name__ and not name.startswith("_") and next(iter(inspect.signature(f).parameters), "") == "traj":
                 found[f"lipid_{name}" if module is membrane and name != "nematic" else name] = f
-    return found | {alias: found[name] for alias, name in ALIASES.items()}
+    return found | {alias: found[name] for alias, name in ALIASES.items()} | OWN
+
+
+def register(name: str, f: Callable[..., DataFrame]) -> None:
+    """Makes a function of a trajectory and keyword parameters an analysis; a known name is an error."""
+    if name in analyses():
+        raise ValueError(f"{name!r} is an analysis already")
+    if next(iter(inspect.signature(f).parameters), None) is None:
+        raise TypeError("an analysis takes a trajectory first")
+    OWN[name] = f
 
 
 def run(traj: Trajectory, requests: list[dict]) -> dict[str, DataFrame]:

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions import chemistry
 from driftline.model import Trajectory, from_lineitem
 from driftline.operators import angles, correlation, distances, fluctuation, grids, linear, membrane, radial, series, shape, solvation, transforms
 
@@ -416,6 +417,20 @@ add("decimate_frames", lambda t: transforms.decimate_frames(t, 3, 7), "frame ato
 add("decimate_time", lambda t: transforms.decimate_time(t, 6.0), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE frame % 3 = 0")
 add("map_beads", lambda t: transforms.map_beads(t, t.atoms.select("atom", F.floor(F.col("atom") / 5).cast("long").alias("bead"))), "frame bead n", "x y z", "SELECT frame, atom // 5 AS bead, count(*) AS n, sum(mass*x)/sum(mass) AS x, sum(mass*y)/sum(mass) AS y, sum(mass*z)/sum(mass) AS z FROM t GROUP BY 1, 2")
 
+add("pucker_amplitude", lambda t: angles.pucker(t, "resid 0 1", "amplitude"), "frame", "amplitude", "SELECT frame, sqrt(greatest(l1, 0)) AS amplitude FROM e", f"k AS (SELECT t.*, x-avg(x) OVER w AS dx, y-avg(y) OVER w AS dy, z-avg(z) OVER w AS dz FROM t WHERE resid < 2 WINDOW w AS (PARTITION BY frame)), g AS (SELECT frame, avg(dx*dx) AS xx, avg(dy*dy) AS yy, avg(dz*dz) AS zz, avg(dx*dy) AS xy, avg(dx*dz) AS xz, avg(dy*dz) AS yz FROM k GROUP BY 1), {EIGEN}")
+add("pucker_phase", lambda t: angles.pucker(t, "resid 0 1", "amplitude", True))
+_square = "avg((b.x-a.x)*(b.x-a.x)) AS x, avg((b.y-a.y)*(b.y-a.y)) AS y, avg((b.z-a.z)*(b.z-a.z)) AS z, avg((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z)) AS total"
+add("msd_by_type", lambda t: correlation.msd(t, max_lag=6, types="chain"), "lag type", "x y z total", f"SELECT b.idx-a.idx AS lag, k.chain AS type, {_square} FROM g a JOIN g b ON a.resid=b.resid AND b.idx-a.idx BETWEEN 1 AND 6 JOIN (SELECT resid, min(chain) AS chain FROM t GROUP BY 1) k ON k.resid=a.resid GROUP BY GROUPING SETS ((b.idx-a.idx, k.chain), (b.idx-a.idx))", GC)
+add("msd_multi_tau", lambda t: correlation.msd(t, mode="multi_tau", m=4, levels=3), "lag", "x y z total", " UNION ALL ".join(f"SELECT (b.idx-a.idx)*{1 << k} AS lag, {_square} FROM m{k} a JOIN m{k} b ON a.resid=b.resid AND b.idx-a.idx BETWEEN {1 if k == 0 else 2} AND 3 GROUP BY 1" for k in range(3)), f"{GC}, " + ", ".join(f"m{k} AS (SELECT resid, idx//{1 << k} AS idx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM g GROUP BY 1, 2 HAVING count(*)={1 << k})" for k in range(3)))
+add("strip_inverted", lambda t: transforms.strip(t, "chain A or name CA", True), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE atom IN (SELECT atom FROM t EXCEPT SELECT atom FROM t WHERE chain='A' OR name='CA')")
+add("common_atoms", lambda t: transforms.common_atoms(t, "chain A or name CA", "resname SOL ALA"), "atom", "", "SELECT atom FROM t WHERE chain='A' OR name='CA' INTERSECT SELECT atom FROM t WHERE resname IN ('SOL', 'ALA')")
+add("dssp_atoms", lambda t: linear.dssp_atoms(t))
+add("elements_and_labels", lambda t: t.atoms.select("atom", chemistry.element_of(F.concat(F.lit("1"), "name")).alias("found"), chemistry.mass_of(chemistry.element_of(F.col("element"))).alias("weight"), chemistry.group_label(F.col("resname"), F.col("resid"), F.col("chain")).alias("label")), "atom found label", "weight", "SELECT DISTINCT atom, CASE name WHEN 'CA' THEN 'Ca' ELSE name END AS found, resname || resid || '@' || chain AS label, CASE name WHEN 'N' THEN 14.007 WHEN 'O' THEN 15.999 ELSE 12.011 END::DOUBLE AS weight FROM t")
+add("decay_length", lambda t: t.points(None, "chain").groupBy("chain", "frame").agg(F.avg(F.exp(-F.col("z") / 25.0 - F.col("frame") / 9.0) - 0.001).alias("y")).groupBy("chain").agg(chemistry.decay_length(F.col("frame"), F.col("y")).alias("length")), "chain", "length", "SELECT chain, CASE WHEN s < 0 THEN -1/s END AS length FROM (SELECT chain, regr_slope(ln(y), frame) AS s FROM (SELECT chain, frame, avg(exp(-z/25-frame/9.0::DOUBLE)-0.001) AS y FROM t GROUP BY 1, 2) WHERE y > 0 GROUP BY 1)")
+
+add("surf_box", lambda t: linear.surf_box(t, "chain A"), "frame", "area", "SELECT frame, 2*(a*b+b*c+c*a) AS area FROM (SELECT frame, max(x)-min(x) AS a, max(y)-min(y) AS b, max(z)-min(z) AS c FROM t WHERE chain='A' GROUP BY 1)")
+add("element_by_mass", lambda t: t.atoms.select("atom", chemistry.element_by_mass(F.col("mass")).alias("found")), "atom found", "", "SELECT DISTINCT atom, CASE WHEN mass <= 2 THEN 'H' WHEN mass = 12 THEN 'C' WHEN mass = 13 THEN 'C' WHEN mass IN (14, 15) THEN 'N' WHEN mass = 16 THEN 'O' END AS found FROM t")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from driftline import queries
 from driftline.functions.selection import SelectionError, select, select_indices
 from driftline.model import Trajectory
-from driftline.operators import angles, correlation, distances, fluctuation, linear, membrane, radial, series, shape, solvation, transforms
-from driftline.plans import analyses, run
+from driftline.operators import angles, common, correlation, distances, fluctuation, linear, membrane, radial, series, shape, solvation, transforms
+from driftline.plans import analyses, register, run
 from driftline.sources import dcd, text, xdr
 from driftline.streaming import running
 
@@ -372,6 +372,80 @@ def test_stream(spark, tmp_path):
     assert sorted((r.frame, r.rg, r.n) for r in spark.table("rg_so_far").collect()) == [(0, 1.0, 2), (1, 1.0, 2)]
 
 
+def run_stream(spark, tmp_path, name, build, parts, schema, mode):
+    """Results after each part has been a file of its own, the query being stopped and started again in between."""
+    source = tmp_path / f"in-{name}"
+    source.mkdir()
+    stream = build(spark.readStream.schema(schema).parquet(str(source)))
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / f"check-{name}")).trigger(availableNow=True)
+        if mode == "append":
+            writer.format("parquet").start(str(tmp_path / f"out-{name}")).awaitTermination()
+        else:
+            writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out-{name}"))).start().awaitTermination()
+    return spark.read.parquet(str(tmp_path / f"out-{name}"))
+
+
+POINT = "frame long, atom long, x double, y double, z double"
+
+
+def test_stream_of_fluctuations(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8, 3, 3))
+    rows = [[(f, a, *map(float, x[f, a])) for f in frames for a in range(3)] for frames in (range(5), range(5, 8))]
+    got = {r.atom: r for r in run_stream(spark, tmp_path, "rmsf", running.running_rmsf, rows, POINT, "complete").collect()}
+    assert all(got[a].n == 8 and got[a].rmsf == pytest.approx(np.sqrt(x[:, a].var(axis=0).sum())) for a in range(3))
+
+
+def test_stream_of_lags_over_a_restart(spark, tmp_path):
+    """The state holds the last frames between two runs of the query."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(7, 2, 3))
+    rows = [[(f, a, *map(float, x[f, a])) for f in frames for a in range(2)] for frames in (range(4), range(4, 7))]
+    got = {(r.atom, r.frame, r.lag): r.value for r in run_stream(spark, tmp_path, "ring", lambda p: running.ring_correlation(p, 2), rows, POINT, "append").collect()}
+    want = {(a, f, k): float(x[f, a] @ x[f - k, a]) for a in range(2) for f in range(7) for k in range(3) if f - k >= 0}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_stream_of_windows_drops_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp, event_type string, value double"
+    parts = [[(at(1), "a", 1.0), (at(1, 30), "a", 2.0), (at(3), "b", 5.0)], [(at(1, 45), "a", 100.0), (at(9), "a", 1.0)], [(at(20), "c", 1.0)]]
+    got = run_stream(spark, tmp_path, "windows", running.windowed_counts, parts, schema, "append").collect()
+    assert {(r.window.start.hour, r.event_type): (r.n, r.total) for r in got} == {(1, "a"): (2, 3.0), (3, "b"): (1, 5.0), (9, "a"): (1, 1.0)}
+
+
+def test_multi_tau_lags():
+    assert common.multi_tau_lags(4, 3) == [1, 2, 3, 4, 6, 8, 12] and common.multi_tau_lags(16, 1) == list(range(1, 16))
+
+
+def test_registered_analyses(spark):
+    import pandas as pd
+
+    t = make(spark, [line(0, 2), line(1, 5)])
+    spread = lambda part: pd.DataFrame({"frame": part["frame"].head(1), "spread": [part["x"].max() - part["x"].min()]})
+    register("spread", lambda traj, selection=None: transforms.per_frame(traj, spread, "frame long, spread double", selection))
+    assert values(run(t, [{"analysis": "spread"}])["spread"], "spread") == [(2.0,), (4.0,)]
+    with pytest.raises(ValueError):
+        register("rg", shape.rg)
+
+
+def test_pucker_phase_against_numpy(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(5, 6, 3)) * (3.0, 2.0, 0.4)
+    got = {r.frame: r for r in angles.pucker(make(spark, x.tolist()), None, "amplitude", True).collect()}
+    for f in range(5):
+        d = x[f] - x[f].mean(axis=0)
+        w, v = np.linalg.eigh(d.T @ d / 6)
+        n = v[:, 0] * np.sign(v[np.abs(v[:, 0]).argmax(), 0])
+        turn = 2 * np.pi * np.arange(6) / 6
+        phase = np.degrees(np.arctan2((d @ n * np.sin(turn)).sum(), (d @ n * np.cos(turn)).sum())) % 360
+        assert got[f].amplitude == pytest.approx(np.sqrt(w[0]), rel=1e-6) and got[f].phase == pytest.approx(phase, abs=1e-4)
+
+
 def test_voronoi_cells_fill_the_plane(spark):
     rng = np.random.default_rng(3)
     t = make(spark, [[(*rng.uniform(0, 12, 2), 0.0) for _ in range(15)] for _ in range(2)], box=12.0)
