@@ -92,3 +92,27 @@ def from_lineitem(spark: SparkSession, sf_dir: str, frames: int = 50, atoms: int
     fifty = F.lit(50.0)
     boxes = spark.range(frames).select(F.col("id").alias("frame"), (F.col("id") * 2.0).alias("time_ps"), fifty.alias("lx"), fifty.alias("ly"), fifty.alias("lz"))
     return Trajectory(points, table, boxes)
+
+
+def from_arrays(spark: SparkSession, coordinates, atoms: DataFrame, boxes=None, times=None) -> Trajectory:
+    """A trajectory of frames x atoms x 3 coordinates, with frames x 3 box lengths or frames x 9 cells, and times, where given."""
+    import numpy as np
+    import pandas as pd
+
+    x = np.asarray(coordinates, float)
+    if x.ndim != 3 or x.shape[2] != 3:
+        raise ValueError("coordinates must be frames x atoms x 3")
+    n, m, _ = x.shape
+    points = pd.DataFrame({"frame": np.repeat(np.arange(n), m), "atom": np.tile(np.arange(m), n), **{c: x[:, :, k].reshape(-1) for k, c in enumerate("xyz")}})
+    time = np.arange(n, dtype=float) if times is None else np.asarray(times, float)
+    table = {"frame": list(range(n)), "time_ps": time.tolist()}
+    schema = "frame long, time_ps double, lx double, ly double, lz double"
+    if boxes is None:
+        table |= {c: [None] * n for c in ("lx", "ly", "lz")}
+    else:
+        b = np.asarray(boxes, float).reshape(n, -1)
+        table |= {c: b[:, k if b.shape[1] == 3 else 4 * k].tolist() for k, c in enumerate(("lx", "ly", "lz"))}
+        if b.shape[1] == 9:
+            table["cell"], schema = b.tolist(), schema + ", cell array<double>"
+    rows = list(zip(*table.values(), strict=True))
+    return Trajectory(spark.createDataFrame(points, "frame long, atom long, x double, y double, z double"), atoms, spark.createDataFrame(rows, schema))

@@ -95,16 +95,50 @@ def align_principal_axis(traj: Trajectory, selection: Selection = None, mass_wei
     return rows.select("frame", "atom", *[turn(i).alias(c) for i, c in enumerate("xyz")])
 
 
-def pca_model(traj: Trajectory, n: int, selection: Selection = None, mass_weighted: bool = False) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(features, eigenvalues, eigenvectors in columns), largest first, signs fixed by the largest component."""
-    rows = matrix_covariance(traj, selection, mass_weighted)
-    names = [r["i"] for r in rows.select("i").distinct().orderBy("i").limit(MOST_FEATURES + 1).collect()]
+def pca_model(traj: Trajectory, n: int, selection: Selection = None, mass_weighted: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """(feature, component, weight of the eigenvectors; eigenvalues), largest first, the largest weight of each positive.
+
+    The driver decomposes the smaller of two symmetric matrices with the same
+    eigenvalues: features x features, or frames x frames, whose eigenvectors
+    become those of the features by one more aggregation. One of them must have
+    MOST_FEATURES rows at most.
+    """
+    f = features(traj, selection, mass_weighted)
+    size = f.agg(F.approx_count_distinct("feature", 0.01).alias("features"), F.approx_count_distinct("frame", 0.01).alias("frames")).collect()[0]
+    mean = f.groupBy("feature").agg(F.avg("value").alias("mean"))
+    if size["features"] <= 0.98 * MOST_FEATURES and size["features"] <= 4 * size["frames"]:
+        table = _symmetric(matrix_covariance(traj, selection, mass_weighted), "i", "j", "cov")
+        names, values, vectors = _largest(*table, n)
+        weights = traj.frames.sparkSession.createDataFrame([(int(i), k, float(vectors[r, k])) for r, i in enumerate(names) for k in range(vectors.shape[1])], "feature long, component long, weight double")
+        return weights, values
+    # values of a frame, centered; the frames' products over their number have the covariance's eigenvalues
+    x = f.join(mean, "feature").select("feature", "frame", (F.col("value") - F.col("mean")).alias("value"))
+    a, b = (x.select("feature", F.col("frame").alias(k), F.col("value").alias(f"v{k}")) for k in "ij")
+    products = a.join(b, "feature").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("p"))
+    half = products.select("i", "j", "p")
+    names, gram = _symmetric(half.unionByName(half.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "p")), "i", "j", "p")
+    names, values, vectors = _largest(names, gram / max(len(names), 1), n)
+    kept_ = [k for k in range(len(values)) if values[k] > 1e-12 * max(values[0], 1e-300)]
+    table = traj.frames.sparkSession.createDataFrame([(int(i), k, float(vectors[r, k] / np.sqrt(values[k] * len(names)))) for r, i in enumerate(names) for k in kept_], "frame long, component long, u double")
+    weights = x.join(F.broadcast(table), "frame").groupBy("feature", "component").agg(F.sum(F.col("value") * F.col("u")).alias("weight"))  # MOST_FEATURES x n rows at most
+    sign = weights.groupBy("component").agg(F.signum(F.max_by("weight", F.struct(F.round(F.abs("weight"), 9), -F.col("feature")))).alias("sign"))
+    return weights.join(F.broadcast(sign), "component").select("feature", "component", (F.col("weight") * F.col("sign")).alias("weight")), values
+
+
+def _symmetric(rows: DataFrame, i: str, j: str, value: str) -> tuple[list[int], np.ndarray]:
+    names = [r[i] for r in rows.select(i).distinct().orderBy(i).limit(MOST_FEATURES + 1).collect()]
     if len(names) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} features")
+        raise ValueError(f"more than {MOST_FEATURES} features and frames")
     at = {f: k for k, f in enumerate(names)}
     c = np.zeros((len(names), len(names)))
-    for r in rows.toLocalIterator():
-        c[at[r["i"]], at[r["j"]]] = r["cov"]
+    found = rows.toArrow()
+    if found.num_rows:
+        place = np.vectorize(at.__getitem__)
+        c[place(found.column(i).to_numpy()), place(found.column(j).to_numpy())] = found.column(value).to_numpy()
+    return names, c
+
+
+def _largest(names: list[int], c: np.ndarray, n: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     values, vectors = np.linalg.eigh(c)
     values, vectors = values[::-1][:n], vectors[:, ::-1][:, :n]
     big = vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])]
@@ -112,15 +146,14 @@ def pca_model(traj: Trajectory, n: int, selection: Selection = None, mass_weight
 
 
 def pca(traj: Trajectory, n: int = 3, selection: Selection = None, mass_weighted: bool = False) -> DataFrame:
-    _, values, _ = pca_model(traj, n, selection, mass_weighted)
+    _, values = pca_model(traj, n, selection, mass_weighted)
     return traj.frames.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "component long, eigenvalue double")
 
 
 def projection(traj: Trajectory, n: int = 3, selection: Selection = None, mass_weighted: bool = False) -> DataFrame:
-    names, _, vectors = pca_model(traj, n, selection, mass_weighted)
+    table, _ = pca_model(traj, n, selection, mass_weighted)
     f = features(traj, selection, mass_weighted)
     mean = f.groupBy("feature").agg(F.avg("value").alias("mean"))
-    table = traj.frames.sparkSession.createDataFrame([(int(i), k, float(vectors[r, k])) for r, i in enumerate(names) for k in range(vectors.shape[1])], "feature long, component long, weight double")
     return f.join(mean, "feature").join(table, "feature").groupBy("frame", "component").agg(F.sum((F.col("value") - F.col("mean")) * F.col("weight")).alias("value"))
 
 

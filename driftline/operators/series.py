@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +124,43 @@ def lipidscd(traj: Trajectory, first: Selection, second: Selection, axis: str =
     """by, scd: mean second Legendre polynomial of the bond's angle with an axis."""
     u = F.col(f"u{axis}")
     return bond_vectors(traj, first, second, by, pbc).groupBy(by).agg(F.avg(1.5 * u * u - 0.5).alias("scd"))
+
+
+#: Centimetres a second of light, and hertz of each unit of frequency.
+LIGHT = 2.99792458e10
+UNITS = {"cm-1": LIGHT, "thz": 1e12, "hz": 1.0}
+
+
+def infraredspec(traj: Trajectory, selection: Selection = None, max_lag: int | None = None, window: str | None = "hann", unit: str = "cm-1") -> DataFrame:
+    """k, frequency, intensity: the transform of the velocities' circular autocorrelation, over n - lag, times the step.
+
+    Velocities are differences of neighbouring frames over the frames' median
+    step in picoseconds. Each atom's power spectrum is a row of the function;
+    what is left then is one number for each frequency.
+    """
+    if unit not in UNITS or window not in ("hann", "none", None):
+        raise ValueError(f"no unit {unit} or window {window}")
+    steps = traj.boxes.select((F.lead("time_ps").over(Window.orderBy("frame")) - F.col("time_ps")).alias("dt")).where("dt > 0")  # a row for each frame
+    dt = steps.agg(F.median("dt").alias("dt"))
+    w = Window.partitionBy("atom").orderBy("frame")
+    v = traj.points(selection).select("atom", "frame", *[(F.lead(c).over(w) - F.col(c)).alias(c) for c in "xyz"]).where("x is not null")
+    lists = v.groupBy("atom").agg(F.sort_array(F.collect_list(F.struct("frame", "x", "y", "z"))).alias("v")).select(*[F.col(f"v.{c}").alias(c) for c in "xyz"])
+
+    def power(parts):
+        for d in parts:
+            rows = [np.abs(np.fft.rfft(np.asarray(d[c].iloc[i]))) ** 2 for i in range(len(d)) for c in "xyz"]
+            if rows:
+                yield pd.DataFrame({"n": [len(d["x"].iloc[0])], "dof": [len(rows)], "power": [np.sum(rows, axis=0)]})
+
+    parts = lists.mapInPandas(power, "n long, dof long, power array<double>")
+    total = parts.select("n", "dof", F.posexplode("power").alias("k", "power")).groupBy("k").agg(F.max("n").alias("n"), F.sum("dof").alias("dof"), F.sum("power").alias("power"))
+
+    def spectrum(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k")
+        n, step = int(part["n"].iloc[0]), float(part["dt"].iloc[0]) * 1e-12
+        corr = np.fft.irfft(part["power"].to_numpy(), n=n) / np.arange(n, 0, -1) / float(part["dof"].iloc[0]) / float(part["dt"].iloc[0]) ** 2
+        corr = corr if max_lag is None or max_lag < 0 else corr[: max_lag + 1]
+        corr = corr * np.hanning(len(corr)) if window == "hann" else corr
+        return pd.DataFrame({"k": np.arange(len(corr) // 2 + 1), "frequency": np.fft.rfftfreq(len(corr), step) / UNITS[unit], "intensity": np.fft.rfft(corr).real * step})
+
+    return total.join(F.broadcast(dt)).groupBy(F.lit(0).alias("all")).applyInPandas(spectrum, "k long, frequency double, intensity double")  # a row for each frequency

@@ -431,6 +431,9 @@ add("decay_length", lambda t: t.points(None, "chain").groupBy("chain", "frame").
 add("surf_box", lambda t: linear.surf_box(t, "chain A"), "frame", "area", "SELECT frame, 2*(a*b+b*c+c*a) AS area FROM (SELECT frame, max(x)-min(x) AS a, max(y)-min(y) AS b, max(z)-min(z) AS c FROM t WHERE chain='A' GROUP BY 1)")
 add("element_by_mass", lambda t: t.atoms.select("atom", chemistry.element_by_mass(F.col("mass")).alias("found")), "atom found", "", "SELECT DISTINCT atom, CASE WHEN mass <= 2 THEN 'H' WHEN mass = 12 THEN 'C' WHEN mass = 13 THEN 'C' WHEN mass IN (14, 15) THEN 'N' WHEN mass = 16 THEN 'O' END AS found FROM t")
 
+SPECTRUM = "e0 AS (SELECT atom, frame, " + ", ".join(f"(lead({c}) OVER w - {c})/2 AS {c}" for c in "xyz") + " FROM t WINDOW w AS (PARTITION BY atom ORDER BY frame)), e5 AS (SELECT * FROM e0 WHERE x IS NOT NULL), e6 AS (SELECT (b.frame-a.frame+49)%49 AS lag, sum(a.x*b.x+a.y*b.y+a.z*b.z) AS s FROM e5 a JOIN e5 b USING (atom) GROUP BY 1), e7 AS (SELECT lag, s/(49-lag)/120*(0.5-0.5*cos(2*pi()*lag/20)) AS c FROM e6 WHERE lag <= 20)"
+add("infraredspec", lambda t: series.infraredspec(t, max_lag=20, unit="thz").withColumn("intensity", F.col("intensity") * 1e12), "k", "frequency intensity", "SELECT k, k/(21*2.0::DOUBLE) AS frequency, sum(c*cos(2*pi()*lag*k/21))*2 AS intensity FROM e7, (SELECT range AS k FROM range(11)) GROUP BY 1", SPECTRUM)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}

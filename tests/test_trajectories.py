@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline import queries
 from driftline.functions.selection import SelectionError, select, select_indices
-from driftline.model import Trajectory
+from driftline.model import Trajectory, from_arrays
 from driftline.operators import angles, common, correlation, distances, fluctuation, linear, membrane, radial, series, shape, solvation, transforms
 from driftline.plans import analyses, register, run
 from driftline.sources import dcd, text, xdr
@@ -418,6 +418,26 @@ def test_stream_of_windows_drops_late_rows(spark, tmp_path):
     assert {(r.window.start.hour, r.event_type): (r.n, r.total) for r in got} == {(1, "a"): (2, 3.0), (3, "b"): (1, 5.0), (9, "a"): (1, 1.0)}
 
 
+def test_pca_by_features_and_by_frames(spark, monkeypatch):
+    """Both ways give numpy's eigenvalues and projections."""
+    rng = np.random.default_rng(1)
+    for n, m in ((5, 9), (30, 3)):
+        x = rng.normal(size=(n, m, 3)) * np.linspace(1, 4, m)[None, :, None]
+        t = from_arrays(spark, x, make(spark, [line(*range(m))]).atoms, np.full((n, 3), 50.0))
+        flat = x.reshape(n, -1) - x.reshape(n, -1).mean(axis=0)
+        want, vectors = np.linalg.eigh(flat.T @ flat / n)
+        monkeypatch.setattr(linear, "MOST_FEATURES", 4096)
+        assert [r.eigenvalue for r in linear.pca(t, 2).orderBy("component").collect()] == pytest.approx(want[::-1][:2].tolist())
+        for most in (4096, max(n, 8) if n < 3 * m else 4096):
+            monkeypatch.setattr(linear, "MOST_FEATURES", most)
+            got = {(r.frame, r.component): r.value for r in linear.projection(t, 2).collect()}
+            for k in range(2):
+                v = vectors[:, -1 - k] * np.sign(vectors[np.abs(vectors[:, -1 - k]).argmax(), -1 - k])
+                assert [got[f, k] for f in range(n)] == pytest.approx((flat @ v).tolist(), abs=1e-6)
+    with pytest.raises(ValueError):
+        from_arrays(spark, np.zeros((2, 3)), t.atoms)
+
+
 def test_multi_tau_lags():
     assert common.multi_tau_lags(4, 3) == [1, 2, 3, 4, 6, 8, 12] and common.multi_tau_lags(16, 1) == list(range(1, 16))
 
