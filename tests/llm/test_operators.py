@@ -663,12 +663,47 @@ def test_language_sample_has_one_row_of_an_id(spark, monkeypatch):
     assert zlib.crc32(b"1") % 4 != 2 and fitted == [used, used]
 
 
-def test_kernel_matrices_equal_the_kernel():
-    """The one matrix for each order scores as landmarks and features do."""
-    texts, labels = ["aaa bbb", "abab ab", "ccc ddd", "cdcd cd"], ["x", "x", "y", "y"]
-    m = language.fit(texts, labels)
-    names, _ = m.predict(texts)
-    assert names == labels
+def test_model_equals_ridge_regression_on_explicit_kernels():
+    """The matrices' scores are those of kernels of n-gram sets, Nystroem features and a weighted ridge regression."""
+    rng = random.Random(27)
+    kinds = {"x": ["the", "ing", "er"], "y": ["schen", "ung", "ber"], "z": ["eau", "oi"]}
+    labels = [rng.choice([*kinds]) for _ in range(40)]
+    texts = [" ".join("".join(rng.choice(kinds[k]) for _ in range(2)) for _ in range(6)) for k in labels] + ["x" * 9]
+    labels.append("x")
+    model = language.fit(texts, labels, landmarks=12)
+    held = [[set(p.tolist()) for p in language.presence(t)] for t in texts]
+
+    def kernel(a, b):
+        return sum(len(p & q) / math.sqrt(len(p) * len(q)) if p and q else 0.0 for p, q in zip(a, b, strict=True)) / 3
+
+    turn, order = {}, []
+    for i, x in enumerate(labels):
+        order.append((turn.setdefault(x, 0), i))
+        turn[x] += 1
+    marks = [i for _, i in sorted(order)[:12]]
+    k = np.array([[kernel(a, held[m]) for m in marks] for a in held])
+    values, vectors = np.linalg.eigh(k[marks])
+    good = values > 1e-6 * values.max()
+    features = k @ vectors[:, good] / np.sqrt(values[good])
+    target = np.array([[1.0 if x == y else -1.0 for y in sorted(kinds)] for x in labels])
+    w = np.array([1.0 / turn[x] for x in labels])
+    w *= len(w) / w.sum()
+    centre = lambda m: m - (m * w[:, None]).mean(axis=0)
+    f, t = centre(features), centre(target)
+    solved = np.linalg.solve(f.T @ (f * w[:, None]) + language.RIDGE * len(w) / 100 * np.eye(f.shape[1]), f.T @ (t * w[:, None]))
+    want = f @ solved + (target * w[:, None]).mean(axis=0)
+    assert np.allclose(model.scores(texts), want, atol=2e-3)
+    assert model.predict(texts[:40])[0] == [sorted(kinds)[i] for i in want[:40].argmax(axis=1)]
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    rng = random.Random(3)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
+    kinds = {"xx": ["the", "ing", "er"], "yy": ["schen", "ung", "ber"]}
+    rows = [(i, make(kinds[k], 30), k) for i, k in enumerate([*kinds] * 40)] + [(500, make(kinds["yy"], 60_000), None), (501, "1" * 200_000 + " " + make(kinds["xx"], 9_000), None)] + [(7, "12 34", "yy")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predict_languages(df, language.train(df)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.lang_pred) for r in got if r.doc_id >= 500} == {(500, "yy"), (501, "xx")} and sum(r.lang_pred == "und" for r in got) == 3
 
 
 @pytest.mark.parametrize("run", [
