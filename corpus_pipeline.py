@@ -4,6 +4,13 @@ Language identification drops documents without a known language, near-dedup
 keeps one document of each group of copies, the secret scan masks what it
 finds, mixing brings sources to target weights (a document that the mix takes
 twice appears twice), and BPE encoding gives the token ids.
+
+Defined cases: a null, empty or letterless text goes in the first stage; a null
+id is kept unless a copy has an id; of rows that agree in id and text one stays;
+where no row has a label, every text with a letter counts as identified; a null
+source is a source of its own; extra columns are carried up to the last stage;
+an empty table gives an empty result. Each stage's tables stay in
+``spark.checkpoint.dir`` for its owner to clear.
 """
 
 from __future__ import annotations
@@ -50,7 +57,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Language, near-dedup and BPE have no SQL form; tests hold the run against a brute-force version.
+#: Language, near-dedup and BPE have no SQL form; tests hold the run against a version without Spark.
 ORACLE_SQL = None
 
 
