@@ -60,14 +60,15 @@ def lengths(texts: list[str], path: str) -> list[int]:
 
 
 def batches(texts: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Consecutive texts of about ``most`` characters together; a longer one stands alone."""
+    """Consecutive texts of ``most`` bytes together at most; a longer one stands alone."""
     batch, held = [], 0
     for x in texts:
-        if batch and held + len(x) > most:
+        size = len(x) if x.isascii() else len(x.encode())
+        if batch and held + size > most:
             yield batch
             batch, held = [], 0
         batch.append(x)
-        held += len(x)
+        held += size
     if batch:
         yield batch
 

@@ -397,6 +397,11 @@ def test_token_counts_match_the_library(docs, name):
     assert got == want
 
 
+def test_batches_by_bytes():
+    texts = ["a" * 10, "é" * 10, "中" * 10, "b" * 100, "", "c"]
+    assert list(token_counts.batches(texts, 40)) == [["a" * 10, "é" * 10], ["中" * 10], ["b" * 100], ["", "c"]]
+
+
 def fuzzed():
     rng = random.Random(1)
     parts = [*"ab c'sd\n\t 　\x1c\x85é中😀12!<|>.'", "<|endoftext|>", "  ", "'ll", "́", "İ", "ſ"]
