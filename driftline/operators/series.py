@@ -164,3 +164,9 @@ def infraredspec(traj: Trajectory, selection: Selection = None, max_lag: int | N
         return pd.DataFrame({"k": np.arange(len(corr) // 2 + 1), "frequency": np.fft.rfftfreq(len(corr), step) / UNITS[unit], "intensity": np.fft.rfft(corr).real * step})
 
     return total.join(F.broadcast(dt)).groupBy(F.lit(0).alias("all")).applyInPandas(spectrum, "k long, frequency double, intensity double")  # a row for each frequency
+
+
+def thin_lags(result: DataFrame, cut1: int, stride1: int, cut2: int, stride2: int) -> DataFrame:
+    """Rows of a result by lag: all up to ``cut1``, then multiples of ``stride1`` up to ``cut2``, then multiples of ``stride2``."""
+    lag = F.col("lag")
+    return result.where(F.when(lag > cut2, lag % stride2 == 0).when(lag > cut1, lag % stride1 == 0).otherwise(True))

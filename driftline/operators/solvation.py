@@ -193,6 +193,56 @@ def gist_grid(traj: Trajectory, atoms: tuple[Selection, Selection, Selection], s
     return mol.select(_voxel(at, dims).alias("voxel"), turn.cast("long").alias("orientation")).where("voxel is not null").groupBy("voxel", "orientation").agg(F.count("*").alias("n"))
 
 
+#: Fixed value: kJ/mol of two unit charges a nanometre apart.
+COULOMB = 138.935456
+
+
+def pair_energy(exceptions: bool = False, coulomb: float = COULOMB) -> Column:
+    """Lennard-Jones and Coulomb energy of a row of ``pairs`` with charge, sigma and epsilon of both; a pair's own values, where given, instead."""
+    mixed = {"q": F.col("a_charge") * F.col("b_charge"), "s": (F.col("a_sigma") + F.col("b_sigma")) / 2.0, "e": F.sqrt(F.col("a_epsilon") * F.col("b_epsilon"))}
+    q, s, e = (F.when(F.col("own_q").isNotNull(), F.col(f"own_{k}")).otherwise(v) if exceptions else v for k, v in mixed.items())
+    sixth = F.pow(s / F.col("dist"), 6.0)
+    return F.when(F.col("dist") > 0, 4.0 * e * (sixth * sixth - sixth) + coulomb * q / F.col("dist")).otherwise(0.0)
+
+
+def gist_energies(traj: Trajectory, solvent: Selection, oxygen: Selection, solute: Selection, cutoff: float, pbc: bool = True, by: str = "resid", exceptions: DataFrame | None = None, coulomb: float = COULOMB) -> DataFrame:
+    """frame, by, place of the oxygen, sw, ww of each solvent molecule: its energy with the solute, and half of that with other solvent.
+
+    ``atoms`` has sigma and epsilon beside charge; ``exceptions`` (a, b, q,
+    sigma, epsilon) replaces what the atoms say, for a pair in either order.
+    Pairs come from cells not narrower than the cutoff. ``coulomb`` is in the
+    units of lengths and energies at hand (here nm and kJ/mol).
+    """
+    attributes = ("charge", "sigma", "epsilon", by)
+
+    def total(other: Selection, name: str, half: bool) -> DataFrame:
+        p = pairs(traj, solvent, other, pbc=pbc, cutoff=cutoff, attributes=attributes)
+        if half:
+            p = p.where(F.col(f"a_{by}") != F.col(f"b_{by}"))
+        if exceptions is not None:
+            own = exceptions.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), F.col("q").alias("own_q"), F.col("sigma").alias("own_s"), F.col("epsilon").alias("own_e"))
+            p = p.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(own, ["low", "high"], "left")
+        return p.groupBy("frame", F.col(f"a_{by}").alias(by)).agg((F.sum(pair_energy(exceptions is not None, coulomb)) * (0.5 if half else 1.0)).alias(name))
+
+    places = traj.points(oxygen, by).select("frame", by, "x", "y", "z")
+    out = places.join(total(solute, "sw", False), ["frame", by], "left").join(total(solvent, "ww", True), ["frame", by], "left")
+    return out.fillna(0.0, ["sw", "ww"])
+
+
+def gist_direct(traj: Trajectory, solvent: Selection, oxygen: Selection, solute: Selection, cutoff: float, origin: tuple[float, float, float], dims: tuple[int, int, int], spacing: float, **options) -> DataFrame:
+    """voxel, n, sw, ww: molecules by the voxel of their oxygen, and the sums of their energies over all frames; orientations are in ``gist_grid``."""
+    at = tuple(F.floor((F.col(c) - float(o)) / spacing) for c, o in zip("xyz", origin, strict=True))
+    rows = gist_energies(traj, solvent, oxygen, solute, cutoff, **options).withColumn("voxel", _voxel(at, dims)).where("voxel is not null")
+    return rows.groupBy("voxel").agg(F.count("*").alias("n"), F.sum("sw").alias("sw"), F.sum("ww").alias("ww"))
+
+
+def gist_frames(traj: Trajectory, solvent: Selection, oxygen: Selection, solute: Selection, cutoff: float, origin: tuple[float, float, float], dims: tuple[int, int, int], spacing: float, **options) -> DataFrame:
+    """frame, sw, ww of the molecules inside the grid, total_sw, total_ww of all."""
+    at = tuple(F.floor((F.col(c) - float(o)) / spacing) for c, o in zip("xyz", origin, strict=True))
+    rows = gist_energies(traj, solvent, oxygen, solute, cutoff, **options).withColumn("inside", _voxel(at, dims).isNotNull())
+    return rows.groupBy("frame").agg(*[F.coalesce(F.sum(F.when(F.col("inside"), F.col(k))), F.lit(0.0)).alias(k) for k in ("sw", "ww")], *[F.sum(k).alias(f"total_{k}") for k in ("sw", "ww")])
+
+
 def free_volume(traj: Trajectory, selection: Selection, center: Selection, unit: float, dims: tuple[int, int, int], probe: float = 0.0) -> DataFrame:
     """voxel, mean, std (population), first, last, min, max of being free, in a region about a center.
 

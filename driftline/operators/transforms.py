@@ -104,11 +104,11 @@ def count_frames(traj: Trajectory) -> DataFrame:
 
 
 def decimate_frames(traj: Trajectory, start: int = 0, every: int = 1) -> DataFrame:
-    """Every so many frames from ``start`` on, by their place in the order of frames."""
+    """The first ``start`` frames, and after those the ones whose place, from 1, is a multiple of ``every``."""
     if every <= 0:
         raise ValueError("every must be positive")
-    order = traj.boxes.select("frame", (F.row_number().over(Window.orderBy("frame")) - 1).alias("place"))  # a row for each frame
-    return traj.frames.join(order.where((F.col("place") >= start) & ((F.col("place") - start) % every == 0)).select("frame"), "frame", "left_semi")
+    order = traj.boxes.select("frame", F.row_number().over(Window.orderBy("frame")).alias("place"))  # a row for each frame
+    return traj.frames.join(order.where((F.col("place") <= start) | (F.col("place") % every == 0)).select("frame"), "frame", "left_semi")
 
 
 def decimate_time(traj: Trajectory, step_ps: float, window: float = 1e-6) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import chemistry
 from driftline.model import Trajectory, from_lineitem
-from driftline.operators import angles, correlation, distances, fluctuation, grids, linear, membrane, radial, series, shape, solvation, transforms
+from driftline.operators import angles, correlation, defects, distances, fluctuation, grids, linear, membrane, radial, series, shape, solvation, transforms
 
 POINTS = """p AS (
   SELECT l_orderkey % 50 AS frame, l_partkey % 40 AS atom,
@@ -319,6 +319,28 @@ add("gist_grid", lambda t: solvation.gist_grid(t, TRIPLE, "resname NA", (5.0, 5.
 FREE = "pl AS (SELECT t.frame, x-ax+12 AS x, y-ay+12 AS y, z-az+12 AS z FROM t JOIN c USING (frame) WHERE resname='SOL'), iv AS (SELECT * FROM pl WHERE x >= 0 AND y >= 0 AND z >= 0 AND x < 24 AND y < 24 AND z < 24), tk AS (SELECT DISTINCT frame, i + 6*(j + 6*k) AS voxel FROM iv, range(6) a(i), range(6) b(j), range(6) d(k) WHERE ((i+0.5)*4-x)**2 + ((j+0.5)*4-y)**2 + ((k+0.5)*4-z)**2 <= 25), oc AS (SELECT voxel, count(*) AS n, max((frame=0)::INT) AS n0, max((frame=49)::INT) AS n1 FROM tk GROUP BY voxel), vv AS (SELECT range AS voxel, coalesce(n, 0) AS n, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, 1-coalesce(n, 0)/50.0 AS mean FROM range(216) LEFT JOIN oc ON voxel=range)"
 add("free_volume", lambda t: solvation.free_volume(t, "resname SOL", "chain A", 4.0, (6, 6, 6), 5.0), "voxel first last min max", "mean std", "SELECT voxel, mean, sqrt(greatest(mean-mean*mean, 0)) AS std, (1-n0)::BIGINT AS first, (1-n1)::BIGINT AS last, (n=0)::BIGINT AS min, (n<50)::BIGINT AS max FROM vv", f"{AB}, {FREE}")
 
+# Energies by voxel, and defects
+GD = "w AS (SELECT *, (atom % 5 + 1)*0.2::DOUBLE AS sg, (atom % 3)*0.1::DOUBLE AS ep FROM t), q AS (SELECT a.frame, a.resid, b.resname = 'NA' AS solute, a.charge*b.charge AS qq, (a.sg+b.sg)/2 AS sg, sqrt(a.ep*b.ep) AS ep, " + _d("a", "b", True) + " AS r FROM w a JOIN w b ON a.frame=b.frame AND a.resid<>b.resid WHERE a.resname<>'NA'), e AS (SELECT frame, resid, sum(v) FILTER (solute) AS sw, sum(v) FILTER (NOT solute)/2 AS ww FROM (SELECT *, 4*ep*((sg/r)**12 - (sg/r)**6) + 138.935456::DOUBLE*qq/r AS v FROM q WHERE r > 0 AND r <= 12) GROUP BY frame, resid), o AS (SELECT t.*, coalesce(sw, 0) AS sw, coalesce(ww, 0) AS ww, x>=5 AND x<45 AND y>=5 AND y<35 AND z>=5 AND z<25 AS inside FROM t LEFT JOIN e USING (frame, resid) WHERE name='O' AND resname<>'NA')"
+GIST = ("not resname NA", "name O and not resname NA", "resname NA", 12.0, (5.0, 5.0, 5.0), (4, 3, 2), 10.0)
+charged = lambda t: replace(t, atoms=t.atoms.withColumns({"sigma": (F.col("atom") % 5 + 1) * 0.2, "epsilon": (F.col("atom") % 3) * 0.1}))
+add("gist_direct", lambda t: solvation.gist_direct(charged(t), *GIST), "voxel n", "sw ww", "SELECT floor((x-5)/10)::BIGINT + 4*(floor((y-5)/10)::BIGINT + 3*floor((z-5)/10)::BIGINT) AS voxel, count(*) AS n, sum(sw) AS sw, sum(ww) AS ww FROM o WHERE inside GROUP BY 1", GD)
+add("gist_frames", lambda t: solvation.gist_frames(charged(t), *GIST), "frame", "sw ww total_sw total_ww", "SELECT frame, coalesce(sum(sw) FILTER (inside), 0) AS sw, coalesce(sum(ww) FILTER (inside), 0) AS ww, sum(sw) AS total_sw, sum(ww) AS total_ww FROM o GROUP BY frame", GD)
+
+
+def _defect_sites(side: str = "true") -> str:
+    """CTE: sites in a defect, by all sites against all atoms."""
+    off = [_mi(f"(i{c}+0.5)*5 - t.{c}") for c in "xy"]
+    flat = f"({off[0]}**2 + {off[1]}**2)"
+    radius = "(CASE name WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.7 END + 3)::DOUBLE"
+    some = lambda rule: f"EXISTS (SELECT 1 FROM t JOIN lv USING (frame) WHERE t.frame=g.frame AND {side} AND {rule})"
+    return f"lv AS (SELECT frame, avg(z) AS mid FROM t WHERE chain='A' GROUP BY frame), g AS (SELECT frame, a.range AS ix, b.range AS iy, d.range AS iz FROM fr, range(10) a, range(10) b, range(10) d), st AS (SELECT * FROM g WHERE " + some(f"chain='B' AND {flat} < 49 AND (iz+0.5)*5 < t.z") + " AND NOT " + some(f"chain='A' AND {flat} + ((iz+0.5)*5 - t.z)**2 <= {radius}**2") + ")"
+
+
+DEFECT = {"voxel": 5.0, "heights": (0.0, 50.0), "probe": 3.0, "reach": 7.0}
+add("hydrophobic_defects", lambda t: defects.hydrophobic_defects(t, "chain A", "chain B", **DEFECT), "ix iy iz first last min max lifetime", "mean", "SELECT ix, iy, iz, sum(n)/50 AS mean, max((a=0)::BIGINT) AS first, max((b=49)::BIGINT) AS last, (sum(n)=50)::BIGINT AS min, 1::BIGINT AS max, max(n) AS lifetime FROM rn GROUP BY ix, iy, iz", _defect_sites() + ", rn AS (SELECT ix, iy, iz, count(*) AS n, min(frame) AS a, max(frame) AS b FROM (SELECT *, frame - row_number() OVER (PARTITION BY ix, iy, iz ORDER BY frame) AS island FROM st) GROUP BY ix, iy, iz, island)")
+add("hydrophobic_defect_sites", lambda t: defects.defect_sites(t, "chain A", "chain B", leaflet="upper", **DEFECT).drop("nx", "ny"), "frame ix iy iz", "", "SELECT frame, ix, iy, iz FROM st", _defect_sites("t.z >= mid"))
+add("hydrophobic_defect_frames", lambda t: defects.hydrophobic_defect_frames(t, "chain A", "chain B", **DEFECT))
+
 # Bundles and rings
 add("multipucker", lambda t: angles.multipucker(t, "resid 0 1", 6, 40.0), "frame bin", "value", f"SELECT fr.frame, range AS bin, coalesce(n, 0)/sum(coalesce(n, 0)) OVER (PARTITION BY fr.frame) AS value FROM fr CROSS JOIN range(6) LEFT JOIN (SELECT t.frame, least(floor({_norm('x-ax', 'y-ay', 'z-az')}*6/40), 5)::BIGINT AS b, count(*) AS n FROM t JOIN c USING (frame) WHERE resid IN (0, 1) AND {_norm('x-ax', 'y-ay', 'z-az')} <= 40 GROUP BY 1, 2) k ON k.frame=fr.frame AND b=range", "c AS (" + _centers(a="resid IN (0, 1)") + ")")
 BUN = "s0 AS (SELECT frame, chain, CASE WHEN name='CA' THEN 't' ELSE 'b' END AS part, " + ", ".join(f"first({k}) OVER v + {_mi(f'{k} - first({k}) OVER v')} AS {k}" for k in "xyz") + " FROM t WHERE name IN ('CA', 'O') WINDOW v AS (PARTITION BY frame, chain, name ORDER BY atom)), s1 AS (SELECT frame, chain, " + ", ".join(f"avg({k}) FILTER (part='{p}') AS {p}{k}" for p in "tb" for k in "xyz") + " FROM s0 GROUP BY frame, chain), s2 AS (SELECT frame, chain, " + ", ".join(f"(t{k}+b{k})/2 - (avg(t{k}) OVER u + avg(b{k}) OVER u)/2 AS mid_{k}, t{k}-b{k} AS v{k}" for k in "xyz").replace("+by", '+"by"').replace("(by)", '("by")').replace("-by", '-"by"') + " FROM s1 WINDOW u AS (PARTITION BY frame)), s3 AS (SELECT *, " + _norm("vx", "vy", "vz") + " AS length FROM s2), s4 AS (SELECT *, " + ", ".join(f"v{k}/length AS dir_{k}" for k in "xyz") + " FROM s3)"
@@ -413,7 +435,7 @@ add("cluster_medoids", lambda t: linear.medoids(t, t.boxes.select("frame", (F.co
 add("hbond_angle", lambda t: distances.hbond(t, "name N", "name O", 20.0, "name CA", 70.0), "frame n", "", f"""SELECT frame, coalesce(n, 0) AS n FROM fr LEFT JOIN (SELECT d.frame, count(*) AS n FROM t d JOIN t a ON a.frame=d.frame AND d.name='N' AND a.name='O' JOIN t h ON h.frame=d.frame AND h.atom=d.atom+1
 WHERE {_d('d', 'a')} <= 20 AND ((d.x-h.x)*(a.x-h.x)+(d.y-h.y)*(a.y-h.y)+(d.z-h.z)*(a.z-h.z))/({_d('h', 'd')}*{_d('h', 'a')}) >= cos(radians(70.0::DOUBLE)) GROUP BY 1) USING (frame)""")
 add("count_frames", lambda t: transforms.count_frames(t), "n_frames n_atoms", "", "SELECT count(DISTINCT frame) AS n_frames, count(DISTINCT atom) AS n_atoms FROM t")
-add("decimate_frames", lambda t: transforms.decimate_frames(t, 3, 7), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE frame >= 3 AND (frame-3) % 7 = 0")
+add("decimate_frames", lambda t: transforms.decimate_frames(t, 3, 7), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE frame < 3 OR (frame+1) % 7 = 0")
 add("decimate_time", lambda t: transforms.decimate_time(t, 6.0), "frame atom", "x y z", "SELECT frame, atom, x, y, z FROM t WHERE frame % 3 = 0")
 add("map_beads", lambda t: transforms.map_beads(t, t.atoms.select("atom", F.floor(F.col("atom") / 5).cast("long").alias("bead"))), "frame bead n", "x y z", "SELECT frame, atom // 5 AS bead, count(*) AS n, sum(mass*x)/sum(mass) AS x, sum(mass*y)/sum(mass) AS y, sum(mass*z)/sum(mass) AS z FROM t GROUP BY 1, 2")
 

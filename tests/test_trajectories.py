@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline import queries
 from driftline.functions.selection import SelectionError, select, select_indices
 from driftline.model import Trajectory, from_arrays
-from driftline.operators import angles, common, correlation, distances, fluctuation, linear, membrane, radial, series, shape, solvation, transforms
+from driftline.operators import angles, common, correlation, defects, distances, fluctuation, linear, membrane, radial, series, shape, solvation, transforms
 from driftline.plans import analyses, register, run
 from driftline.sources import dcd, text, xdr
 from driftline.streaming import running
@@ -27,7 +27,7 @@ def same(a, b):
 
 
 
-@pytest.mark.parametrize("name", [n for n in ("radius_of_gyration", "radgyr_tensor", "pairwise_distance", "search_neighbors", "rmsf", "image", "msd_multi", "lipid_neighbours", "water_count", "polymer_end_to_end", "drid", "runningavg", "sorient", "spol_shell", "ion_pair_corr", "docking_contacts", "gist_grid", "free_volume", "bundle", "ired_matrix")])
+@pytest.mark.parametrize("name", [n for n in ("radius_of_gyration", "radgyr_tensor", "pairwise_distance", "search_neighbors", "rmsf", "image", "msd_multi", "lipid_neighbours", "water_count", "polymer_end_to_end", "drid", "runningavg", "sorient", "spol_shell", "ion_pair_corr", "docking_contacts", "gist_grid", "free_volume", "bundle", "ired_matrix", "gist_direct", "gist_frames", "hydrophobic_defects", "hydrophobic_defect_sites", "decimate_frames")])
 def test_queries_match_duckdb(spark, name):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
@@ -554,3 +554,34 @@ def test_all_lags_without_a_parameter(spark):
     assert [r.lag for r in series.correlate(s, ["v"]).orderBy("lag").collect()] == list(range(25))
     t = make(spark, [line(i) for i in range(14)], box=100.0)
     assert [r.lag for r in correlation.msd(t).orderBy("lag").collect()] == list(range(1, 14))
+
+
+def test_defects(spark, tmp_path):
+    t = make(spark, [[(0.5, 0.5, 0.5), (2.5, 2.5, 3.0)], [(0.5, 0.5, 0.5), (2.5, 2.5, 1.0)], [(2.5, 2.5, 0.5), (2.5, 2.5, -1.0)]], box=4.0)
+    options = {"heights": (0.0, 3.0), "probe": -1.2, "reach": 0.6}
+    found = defects.hydrophobic_defects(t, "resid 0", "resid 1", **options)
+    assert {tuple(r) for r in found.select("ix", "iy", "iz", "first", "last", "min", "lifetime").collect()} == {(2, 2, 0, 1, 0, 0, 2), (2, 2, 1, 1, 0, 0, 1), (2, 2, 2, 1, 0, 0, 1)}
+    frames = defects.hydrophobic_defect_frames(t, "resid 0", "resid 1", **options)
+    assert values(frames, "sites", "clusters", "largest", "volume") == [(3, 1, 3, 3.0), (1, 1, 1, 1.0), (0, 0, 0, 0.0)]
+    assert sorted(defects.site_clusters({(0, 0, 0), (9, 0, 0), (5, 5, 5), (5, 5, 7)}, 10, 10)) == [1, 1, 2]
+    assert defects.height_range(t, "resid 0", "resid 1", 1.0, 1.0) == (-1.5, 5.0)
+    points = defects.defect_points(found, 1.0, 0.0, "first")
+    defects.write_defect_points(points, str(tmp_path / "xyz"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "xyz")).collect())[0] == "1\t 2.50\t 2.50\t 0.50"
+    assert defects.hydrophobic_defects(t.with_frames(t.frames.limit(0)), "resid 0", "resid 1", **options).count() == 0
+
+
+def test_pair_energies(spark):
+    t = make(spark, [line(0, 2, 5)], box=100.0)
+    t = replace(t, atoms=t.atoms.withColumns({"sigma": F.lit(1.0), "epsilon": F.lit(0.5)}))
+    lj = lambda r, s=1.0, e=0.5: 4 * e * ((s / r) ** 12 - (s / r) ** 6)
+    rows = solvation.gist_energies(t, "resid 1 2", "resid 1 2", "resid 0", 4.0).orderBy("resid").collect()
+    assert [(r.sw, r.ww) for r in rows] == [(pytest.approx(lj(2) + solvation.COULOMB / 2), pytest.approx((lj(3) + solvation.COULOMB / 3) / 2)), (0.0, pytest.approx((lj(3) + solvation.COULOMB / 3) / 2))]
+    own = spark.createDataFrame([(1, 0, 0.0, 3.0, 2.0)], "a long, b long, q double, sigma double, epsilon double")
+    rows = solvation.gist_energies(t, "resid 1 2", "resid 1 2", "resid 0", 4.0, exceptions=own).orderBy("resid").collect()
+    assert rows[0].sw == pytest.approx(lj(2, 3.0, 2.0))
+
+
+def test_thin_lags(spark):
+    lags = spark.range(41).select(F.col("id").alias("lag"))
+    assert [r.lag for r in series.thin_lags(lags, 4, 3, 20, 10).orderBy("lag").collect()] == [0, 1, 2, 3, 4, 6, 9, 12, 15, 18, 30, 40]
