@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from driftline.model import Trajectory
-from driftline.operators import angles, correlation, defects, distances, fluctuation, grids, linear, membrane, radial, series, shape, solvation, transforms
+from driftline.operators import angles, correlation, defects, distances, fluctuation, grids, helices, linear, membrane, radial, series, shape, solvation, transforms
 
 #: Other names of the same analysis.
 ALIASES = {
@@ -29,7 +29,7 @@ OWN: dict[str, Callable[..., DataFrame]] = {}
 def analyses() -> dict[str, Callable[..., DataFrame]]:
     """Every public function of the operator modules whose first argument is a trajectory; membranes' begin with lipid_."""
     found = {}
-    for module in (shape, distances, angles, fluctuation, transforms, radial, correlation, grids, membrane, linear, solvation, defects, series):
+    for module in (shape, distances, angles, fluctuation, transforms, radial, correlation, grids, membrane, linear, solvation, defects, helices, series):
         for name, f in inspect.getmembers(module, inspect.isfunction):
             if f.__module__ == module.__name__ and not name.startswith("_") and next(iter(inspect.signature(f).parameters), "") == "traj":
                 found[f"lipid_{name}" if module is membrane and name != "nematic" else name] = f

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import chemistry
 from driftline.model import Trajectory, from_lineitem
-from driftline.operators import angles, correlation, defects, distances, fluctuation, grids, linear, membrane, radial, series, shape, solvation, transforms
+from driftline.operators import angles, correlation, defects, distances, fluctuation, grids, helices, linear, membrane, radial, series, shape, solvation, transforms
 
 POINTS = """p AS (
   SELECT l_orderkey % 50 AS frame, l_partkey % 40 AS atom,
@@ -341,6 +341,13 @@ add("hydrophobic_defects", lambda t: defects.hydrophobic_defects(t, "chain A", "
 add("hydrophobic_defect_sites", lambda t: defects.defect_sites(t, "chain A", "chain B", leaflet="upper", **DEFECT).drop("nx", "ny"), "frame ix iy iz", "", "SELECT frame, ix, iy, iz FROM st", _defect_sites("t.z >= mid"))
 add("hydrophobic_defect_frames", lambda t: defects.hydrophobic_defect_frames(t, "chain A", "chain B", **DEFECT))
 
+add("helix", lambda t: helices.helix(t, between=(5, 9)).drop("residue_rmsd"))
+_cell = lambda n, d: ", ".join(f"max({c}) FILTER (name='{n}') AS {d}{c}" for c in "xyz")
+_on = lambda f, k, d, e: ", ".join(f"{f}({d}{c}, {k}) OVER w AS {e}{c}" for c in "xyz")
+HX = "hr AS (SELECT frame, chain, resid, " + ", ".join(_cell(n, d) for n, d in (("N", "n"), ("C", "c"), ("O", "o"))) + " FROM t GROUP BY 1, 2, 3), hd AS (SELECT *, " + ", ".join(_on("lead", k, "n", f"n{k}") for k in (3, 4)) + " FROM hr WINDOW w AS (PARTITION BY frame, chain ORDER BY resid))"
+_dip = "sqrt(" + " + ".join(f"(0.42::DOUBLE*(sum(c{c}) - sum(o{c})) - 0.2::DOUBLE*sum(n{c}))**2" for c in "xyz") + ")"
+add("helix_fixed", lambda t: helices.helix(replace(t, atoms=t.atoms.withColumn("resname", F.lit("PRO"))), between=(5, 9)).select("frame", "first", "last", "dipole", "hb3", "hb4"), "frame first last", "dipole hb3 hb4", f"SELECT frame, 5::BIGINT AS first, 9::BIGINT AS last, {_dip} AS dipole, avg({_norm('n3x-ox', 'n3y-oy', 'n3z-oz')}) AS hb3, avg({_norm('n4x-ox', 'n4y-oy', 'n4z-oz')}) AS hb4 FROM hd WHERE resid >= 5 GROUP BY frame", HX)
+
 # Bundles and rings
 add("multipucker", lambda t: angles.multipucker(t, "resid 0 1", 6, 40.0), "frame bin", "value", f"SELECT fr.frame, range AS bin, coalesce(n, 0)/sum(coalesce(n, 0)) OVER (PARTITION BY fr.frame) AS value FROM fr CROSS JOIN range(6) LEFT JOIN (SELECT t.frame, least(floor({_norm('x-ax', 'y-ay', 'z-az')}*6/40), 5)::BIGINT AS b, count(*) AS n FROM t JOIN c USING (frame) WHERE resid IN (0, 1) AND {_norm('x-ax', 'y-ay', 'z-az')} <= 40 GROUP BY 1, 2) k ON k.frame=fr.frame AND b=range", "c AS (" + _centers(a="resid IN (0, 1)") + ")")
 BUN = "s0 AS (SELECT frame, chain, CASE WHEN name='CA' THEN 't' ELSE 'b' END AS part, " + ", ".join(f"first({k}) OVER v + {_mi(f'{k} - first({k}) OVER v')} AS {k}" for k in "xyz") + " FROM t WHERE name IN ('CA', 'O') WINDOW v AS (PARTITION BY frame, chain, name ORDER BY atom)), s1 AS (SELECT frame, chain, " + ", ".join(f"avg({k}) FILTER (part='{p}') AS {p}{k}" for p in "tb" for k in "xyz") + " FROM s0 GROUP BY frame, chain), s2 AS (SELECT frame, chain, " + ", ".join(f"(t{k}+b{k})/2 - (avg(t{k}) OVER u + avg(b{k}) OVER u)/2 AS mid_{k}, t{k}-b{k} AS v{k}" for k in "xyz").replace("+by", '+"by"').replace("(by)", '("by")').replace("-by", '-"by"') + " FROM s1 WINDOW u AS (PARTITION BY frame)), s3 AS (SELECT *, " + _norm("vx", "vy", "vz") + " AS length FROM s2), s4 AS (SELECT *, " + ", ".join(f"v{k}/length AS dir_{k}" for k in "xyz") + " FROM s3)"

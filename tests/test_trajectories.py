@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline import queries
 from driftline.functions.selection import SelectionError, select, select_indices
 from driftline.model import Trajectory, from_arrays
-from driftline.operators import angles, common, correlation, defects, distances, fluctuation, linear, membrane, radial, series, shape, solvation, transforms
+from driftline.operators import angles, common, correlation, defects, distances, fluctuation, helices, linear, membrane, radial, series, shape, solvation, transforms
 from driftline.plans import analyses, register, run
 from driftline.sources import dcd, text, xdr
 from driftline.streaming import running
@@ -27,7 +27,7 @@ def same(a, b):
 
 
 
-@pytest.mark.parametrize("name", [n for n in ("radius_of_gyration", "radgyr_tensor", "pairwise_distance", "search_neighbors", "rmsf", "image", "msd_multi", "lipid_neighbours", "water_count", "polymer_end_to_end", "drid", "runningavg", "sorient", "spol_shell", "ion_pair_corr", "docking_contacts", "gist_grid", "free_volume", "bundle", "ired_matrix", "gist_direct", "gist_frames", "hydrophobic_defects", "hydrophobic_defect_sites", "decimate_frames")])
+@pytest.mark.parametrize("name", [n for n in ("radius_of_gyration", "radgyr_tensor", "pairwise_distance", "search_neighbors", "rmsf", "image", "msd_multi", "lipid_neighbours", "water_count", "polymer_end_to_end", "drid", "runningavg", "sorient", "spol_shell", "ion_pair_corr", "docking_contacts", "gist_grid", "free_volume", "bundle", "ired_matrix", "gist_direct", "gist_frames", "hydrophobic_defects", "hydrophobic_defect_sites", "decimate_frames", "helix_fixed")])
 def test_queries_match_duckdb(spark, name):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
@@ -585,3 +585,48 @@ def test_pair_energies(spark):
 def test_thin_lags(spark):
     lags = spark.range(41).select(F.col("id").alias("lag"))
     assert [r.lag for r in series.thin_lags(lags, 4, 3, 20, 10).orderBy("lag").collect()] == [0, 1, 2, 3, 4, 6, 9, 12, 15, 18, 30, 40]
+
+
+def strand(angles_):
+    """N, CA, C, O of residues with these phi and psi, by standard lengths and angles."""
+
+    def place(a, b, c, length, angle, turn):
+        angle, turn = math.radians(angle), math.radians(turn)
+        u = (c - b) / np.linalg.norm(c - b)
+        n = np.cross(b - a, u)
+        n /= np.linalg.norm(n)
+        return c + length * (-math.cos(angle) * u + math.sin(angle) * (math.cos(turn) * np.cross(n, u) + math.sin(turn) * n))
+
+    n, ca = np.zeros(3), np.array([1.458, 0, 0])
+    c = ca + 1.525 * np.array([-math.cos(math.radians(111)), math.sin(math.radians(111)), 0])
+    out = []
+    for k, (_, psi) in enumerate(angles_):
+        out += [n, ca, c, place(n, ca, c, 1.231, 120.5, psi + 180)]
+        if k + 1 < len(angles_):
+            m = place(n, ca, c, 1.329, 116.2, psi)
+            a = place(ca, c, m, 1.458, 121.7, 180)
+            n, ca, c = m, a, place(c, m, a, 1.525, 111.0, angles_[k + 1][0])
+    return [tuple(p) for p in out]
+
+
+def test_helix(spark):
+    helical, stretched = (-57.0, -47.0), (-120.0, 130.0)
+    frames = [strand([stretched] * 14), strand([stretched] * 2 + [helical] * 10 + [stretched] * 2), strand([helical] * 14)]
+    t = make(spark, frames, names=["N", "CA", "C", "O"] * 14, resids=[i // 4 for i in range(56)])
+    none, part, whole = helices.helix(t, every_frame=True).orderBy("frame").collect()
+    assert (none.first, none.last, none.radius, none.residue_rmsd) == (-1, -1, None, None)
+    # the last residues have no O-N partner but go on from the seed; the end of the chain has no psi
+    assert (part.first, part.last) == (2, 11) and (whole.first, whole.last) == (1, 12)
+    assert whole.phi == pytest.approx(-57) and whole.psi == pytest.approx(-47)
+    assert whole.ellipticity == pytest.approx(12 * 0.44)  # the first weight that is near, not the nearest
+    assert abs(whole.radius - 2.3) < 0.1 and abs(whole.twist - 99) < 3 and abs(whole.rise - 1.5) < 0.1 and whole.rmsd < 0.5 and abs(whole.ca_phi - 50) < 5 and abs(whole.hb4 - 2.9) < 0.3
+    assert len(whole.residue_rmsd) == 12 and whole.rmsd == pytest.approx(math.sqrt(np.mean(np.square(whole.residue_rmsd))))
+    along = helices.helix(t, fit=False, every_frame=True).where("frame = 2").first()
+    assert abs(along.twist - 99) < 5 and abs(along.rise - 1.5) < 0.1 and along.length == pytest.approx(whole.length)
+    held = helices.helix(t).orderBy("frame").collect()
+    assert [(r.first, r.last) for r in held] == [(-1, -1), (2, 11), (2, 11)]
+    assert [(r.first, r.last) for r in helices.helix(t, between=(3, 6)).collect()] == [(3, 6)] * 3
+    share = {r.resid: r for r in helices.helix_residues(t, every_frame=True).collect()}
+    assert [round(share[k].helicity, 3) for k in (0, 1, 2, 11, 12, 13)] == [0, 0.333, 0.667, 0.667, 0.333, 0] and share[0].jcaha is None
+    shift = lambda phi, psi: 1.4 * math.sin(math.radians(psi + 138)) - 4.1 * math.cos(2 * math.radians(psi + 138)) + 2 * math.cos(2 * math.radians(phi + 30))
+    assert share[5].jcaha == pytest.approx(140.3 + (shift(*stretched) + 2 * shift(*helical)) / 3)
