@@ -197,12 +197,29 @@ def gist_grid(traj: Trajectory, atoms: tuple[Selection, Selection, Selection], s
 COULOMB = 138.935456
 
 
-def pair_energy(exceptions: bool = False, coulomb: float = COULOMB) -> Column:
+def pair_energy(exceptions: bool = False, coulomb: float = COULOMB) -> tuple[Column, Column]:
     """Lennard-Jones and Coulomb energy of a row of ``pairs`` with charge, sigma and epsilon of both; a pair's own values, where given, instead."""
     mixed = {"q": F.col("a_charge") * F.col("b_charge"), "s": (F.col("a_sigma") + F.col("b_sigma")) / 2.0, "e": F.sqrt(F.col("a_epsilon") * F.col("b_epsilon"))}
     q, s, e = (F.when(F.col("own_q").isNotNull(), F.col(f"own_{k}")).otherwise(v) if exceptions else v for k, v in mixed.items())
     sixth = F.pow(s / F.col("dist"), 6.0)
-    return F.when(F.col("dist") > 0, 4.0 * e * (sixth * sixth - sixth) + coulomb * q / F.col("dist")).otherwise(0.0)
+    apart = lambda v: F.when(F.col("dist") > 0, v).otherwise(0.0)
+    return apart(4.0 * e * (sixth * sixth - sixth)), apart(coulomb * q / F.col("dist"))
+
+
+def _with_exceptions(p: DataFrame, exceptions: DataFrame | None) -> DataFrame:
+    if exceptions is None:
+        return p
+    own = exceptions.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), F.col("q").alias("own_q"), F.col("sigma").alias("own_s"), F.col("epsilon").alias("own_e"))
+    return p.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(own, ["low", "high"], "left")
+
+
+def interaction_energy(traj: Trajectory, selection: Selection, cutoff: float | None = None, pbc: bool = True, exceptions: DataFrame | None = None, coulomb: float = COULOMB) -> DataFrame:
+    """frame, vdw, ele, total of the selected atoms with all others; parameters as in ``gist_energies``. Without a cutoff every such pair of a frame is made."""
+    p = pairs(traj, selection, ~select(selection), pbc=pbc, cutoff=cutoff, attributes=("charge", "sigma", "epsilon"))
+    vdw, ele = pair_energy(exceptions is not None, coulomb)
+    sums = _with_exceptions(p, exceptions).groupBy("frame").agg(F.sum(vdw).alias("vdw"), F.sum(ele).alias("ele"))
+    out = traj.boxes.select("frame").join(sums, "frame", "left").fillna(0.0)
+    return out.select("frame", "vdw", "ele", (F.col("vdw") + F.col("ele")).alias("total"))
 
 
 def gist_energies(traj: Trajectory, solvent: Selection, oxygen: Selection, solute: Selection, cutoff: float, pbc: bool = True, by: str = "resid", exceptions: DataFrame | None = None, coulomb: float = COULOMB) -> DataFrame:
@@ -219,10 +236,8 @@ def gist_energies(traj: Trajectory, solvent: Selection, oxygen: Selection, solut
         p = pairs(traj, solvent, other, pbc=pbc, cutoff=cutoff, attributes=attributes)
         if half:
             p = p.where(F.col(f"a_{by}") != F.col(f"b_{by}"))
-        if exceptions is not None:
-            own = exceptions.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), F.col("q").alias("own_q"), F.col("sigma").alias("own_s"), F.col("epsilon").alias("own_e"))
-            p = p.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(own, ["low", "high"], "left")
-        return p.groupBy("frame", F.col(f"a_{by}").alias(by)).agg((F.sum(pair_energy(exceptions is not None, coulomb)) * (0.5 if half else 1.0)).alias(name))
+        energy = sum(pair_energy(exceptions is not None, coulomb))
+        return _with_exceptions(p, exceptions).groupBy("frame", F.col(f"a_{by}").alias(by)).agg((F.sum(energy) * (0.5 if half else 1.0)).alias(name))
 
     places = traj.points(oxygen, by).select("frame", by, "x", "y", "z")
     out = places.join(total(solute, "sw", False), ["frame", by], "left").join(total(solvent, "ww", True), ["frame", by], "left")

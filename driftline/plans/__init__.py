@@ -19,7 +19,7 @@ ALIASES = {
     "strip_trajectory": "strip", "superpose_trajectory": "superpose", "rotate_dihedral_trajectory": "rotate_dihedral", "set_dihedral_trajectory": "set_dihedral", "center_trajectory_output": "center",
     "transform_trajectory": "transform", "image_trajectory": "image", "autoimage_trajectory": "image", "fiximagedbonds_trajectory": "image", "runningavg_trajectory": "runningavg",
     "randomize_ions_trajectory": "randomize_ions", "docking": "docking_contacts", "docking_analysis": "docking_contacts", "radial": "rdf", "sasa": "surf", "covar": "matrix_covariance", "correl": "matrix_correlation",
-    "dist": "matrix_distance", "rotdif": "rotacf", "toroidal_diffusion": "toroidal_transitions", "velocity_autocorrelation": "velocityautocorr",
+    "dist": "matrix_distance", "rotdif": "rotacf", "toroidal_diffusion": "toroidal_transitions", "velocity_autocorrelation": "velocityautocorr", "lie": "interaction_energy",
 }
 
 #: Analyses that a session has registered.

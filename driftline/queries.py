@@ -326,6 +326,9 @@ charged = lambda t: replace(t, atoms=t.atoms.withColumns({"sigma": (F.col("atom"
 add("gist_direct", lambda t: solvation.gist_direct(charged(t), *GIST), "voxel n", "sw ww", "SELECT floor((x-5)/10)::BIGINT + 4*(floor((y-5)/10)::BIGINT + 3*floor((z-5)/10)::BIGINT) AS voxel, count(*) AS n, sum(sw) AS sw, sum(ww) AS ww FROM o WHERE inside GROUP BY 1", GD)
 add("gist_frames", lambda t: solvation.gist_frames(charged(t), *GIST), "frame", "sw ww total_sw total_ww", "SELECT frame, coalesce(sum(sw) FILTER (inside), 0) AS sw, coalesce(sum(ww) FILTER (inside), 0) AS ww, sum(sw) AS total_sw, sum(ww) AS total_ww FROM o GROUP BY frame", GD)
 
+LE = "w AS (SELECT *, (atom % 5 + 1)*0.2::DOUBLE AS sg, (atom % 3)*0.1::DOUBLE AS ep FROM t), q AS (SELECT a.frame, a.charge*b.charge AS qq, (a.sg+b.sg)/2 AS sg, sqrt(a.ep*b.ep) AS ep, " + _d("a", "b", True) + " AS r FROM w a JOIN w b ON a.frame=b.frame WHERE a.chain='A' AND b.chain<>'A')"
+add("lie", lambda t: solvation.interaction_energy(charged(t), "chain A", 15.0), "frame", "vdw ele total", "SELECT fr.frame, coalesce(vdw, 0) AS vdw, coalesce(ele, 0) AS ele, coalesce(vdw+ele, 0) AS total FROM fr LEFT JOIN (SELECT frame, sum(4*ep*((sg/r)**12 - (sg/r)**6)) AS vdw, sum(138.935456::DOUBLE*qq/r) AS ele FROM q WHERE r > 0 AND r <= 15 GROUP BY frame) e USING (frame)", LE)
+
 
 def _defect_sites(side: str = "true") -> str:
     """CTE: sites in a defect, by all sites against all atoms."""

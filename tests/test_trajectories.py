@@ -27,7 +27,7 @@ def same(a, b):
 
 
 
-@pytest.mark.parametrize("name", [n for n in ("radius_of_gyration", "radgyr_tensor", "pairwise_distance", "search_neighbors", "rmsf", "image", "msd_multi", "lipid_neighbours", "water_count", "polymer_end_to_end", "drid", "runningavg", "sorient", "spol_shell", "ion_pair_corr", "docking_contacts", "gist_grid", "free_volume", "bundle", "ired_matrix", "gist_direct", "gist_frames", "hydrophobic_defects", "hydrophobic_defect_sites", "decimate_frames", "helix_fixed")])
+@pytest.mark.parametrize("name", [n for n in ("radius_of_gyration", "radgyr_tensor", "pairwise_distance", "search_neighbors", "rmsf", "image", "msd_multi", "lipid_neighbours", "water_count", "polymer_end_to_end", "drid", "runningavg", "sorient", "spol_shell", "ion_pair_corr", "docking_contacts", "gist_grid", "free_volume", "bundle", "ired_matrix", "gist_direct", "gist_frames", "hydrophobic_defects", "hydrophobic_defect_sites", "decimate_frames", "helix_fixed", "lie")])
 def test_queries_match_duckdb(spark, name):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
@@ -580,6 +580,8 @@ def test_pair_energies(spark):
     own = spark.createDataFrame([(1, 0, 0.0, 3.0, 2.0)], "a long, b long, q double, sigma double, epsilon double")
     rows = solvation.gist_energies(t, "resid 1 2", "resid 1 2", "resid 0", 4.0, exceptions=own).orderBy("resid").collect()
     assert rows[0].sw == pytest.approx(lj(2, 3.0, 2.0))
+    r = solvation.interaction_energy(t, "resid 0", exceptions=own).first()
+    assert (r.vdw, r.ele) == (pytest.approx(lj(2, 3.0, 2.0) + lj(5)), pytest.approx(solvation.COULOMB / 5))
 
 
 def test_thin_lags(spark):
