@@ -2,7 +2,7 @@
 
 A text of more than LEAF characters is halved again and again, wherever the
 halves happen to end. The leaves of a batch of texts are encoded together, and
-put together pairwise up the trees. At each join a window of tokens from both
+put together pairwise up the trees, a level at a time. At each join a window of tokens from both
 sides is encoded anew, by the library and with all its rules, and widened until
 it agrees with both sides. The pattern before the merges never joins white space
 to what stands before it, so where the window holds such places on both sides,
@@ -13,6 +13,12 @@ the window, where both have the same token at the same bytes, as a sequence of
 merges is right if and only if each pair of neighbours is. Decoding joins the
 bytes of the tokens.
 
+Leaves and windows are merged by the library's model. Cutting them into words by
+the pattern takes most of the library's time, so for the usual pattern the words'
+ends are found here for all texts of a batch at once, by what the library's own
+pattern says of each character when it is first met; nothing is kept of words.
+Texts that hold a special token, and files with another pattern, are left to the library.
+
 Texts of more than SPREAD characters are cut into parts that are encoded in
 tasks of their own; each such text's parts then meet in one task, which joins them.
 
@@ -48,6 +54,13 @@ NEAR = 128
 #: Documents to a batch of results.
 ROWS = 256
 
+#: The pattern whose words are found here; all else is left to the library.
+USUAL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: What a character is to that pattern; 0 is not asked yet.
+LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
+#: What an apostrophe that begins a word takes with it: one letter, or two.
+SHORT, LONG = [ord(c) for c in "stmd"], [(ord(x), ord(y)) for x, y in ("re", "ve", "ll")]
+
 _loaded: dict = {}
 
 
@@ -69,16 +82,23 @@ class Coder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.leaf = leaf
-        special = [t["content"] for t in json.loads(self.whole.to_str())["added_tokens"]]
+        file = json.loads(self.whole.to_str())
+        self.special = special = [t["content"] for t in file["added_tokens"]]
         # a window's side must be longer than a special token that a join cuts, and than what a pattern looks at
         self.window = max([WINDOW, AHEAD + 1, *(len(x.encode()) + 1 for x in special)])
         letters = {c: b for b, c in byte_letters().items()}
+        self.merger = None
+        if file["normalizer"] is None and {k: v for k, v in (file["pre_tokenizer"] or {}).items() if k != "trim_offsets"} == USUAL:
+            self.merger = Tokenizer(self.whole.model)
+            self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")  # no byte's letter
+            self.kinds = np.zeros(0x110000, np.uint8)
+            self.letters = np.array([ord(c) for _, c in sorted(byte_letters().items())], np.uint16)
         self.bytes = []
         for i in range(self.whole.get_vocab_size(with_added_tokens=True)):
             t = self.whole.id_to_token(i)
@@ -100,46 +120,114 @@ class Coder:
             out.append(Ids(np.array(e.ids, np.uint32), np.append(True, words[1:] != words[:-1]) if len(words) else np.zeros(0, bool)))
         return out
 
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of short texts, each by itself."""
+        left = [self.merger is None or any(t in x for t in self.special) for x in texts]
+        plain = iter(self.whole.encode_batch_fast([x for x, y in zip(texts, left, strict=True) if y], add_special_tokens=False))
+        cut = self.words([x for x, y in zip(texts, left, strict=True) if not y])
+        merged = iter(self.merger.encode_batch_fast(cut, add_special_tokens=False) if cut else [])
+        return [np.array(next(plain if y else merged).ids, np.uint32) for y in left]
+
+    def words(self, texts: list[str]) -> list[str]:
+        """What the merger takes: the letters of a text's bytes, and a line end before each word but the first."""
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        if not len(codes):
+            return texts
+        ends = np.cumsum([len(x) for x in texts])
+        first = np.zeros(len(codes) + 1, bool)
+        first[0] = first[ends] = True
+        begins = self.begins(codes, first) & ~first[:-1]
+        data = np.frombuffer(whole.encode(), np.uint8)
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        places = chars[:-1][begins]
+        held = np.ones(len(data) + len(places), bool)
+        held[places + np.arange(len(places))] = False
+        out = np.full(len(held), ord("\n"), "<u2")
+        out[held] = self.letters[data]
+        text = out.tobytes().decode("utf-16-le")
+        cuts = [0, *(chars[ends] + np.searchsorted(places, chars[ends])).tolist()]
+        return [text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def begins(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where the pattern begins a word; ``first`` marks the beginnings of texts, and the end."""
+        kinds = self.kinds[codes]
+        if not kinds.all():
+            self.ask(np.unique(codes[kinds == 0]))
+            kinds = self.kinds[codes]
+        out = first[:-1].copy()
+        out[1:] |= kinds[1:] != kinds[:-1]
+        # the last white space before something else stands alone, or goes with that if it is a blank
+        space = kinds == SPACE
+        last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:-1])
+        out[last] = True
+        out[last[codes[last] == 0x20] + 1] = False
+        at = np.flatnonzero(out & (codes == ord("'")))
+        if len(at):
+            x, y = (np.where(at + k < len(codes), codes[np.minimum(at + k, len(codes) - 1)], 0) for k in (1, 2))
+            x[first[at + 1]] = 0
+            y[first[np.minimum(at + 2, len(codes))]] = 0
+            one = np.isin(x, SHORT)
+            two = np.logical_or.reduce([(x == a) & (y == b) for a, b in LONG])
+            out[at[one | two] + 1] = False
+            after = np.concatenate([at[one] + 2, at[two] + 3])
+            out[after[after < len(codes)]] = True
+        return out
+
+    def ask(self, codes: np.ndarray) -> None:
+        """Has the library's pattern say what characters are: of each kind's own it makes one word."""
+        chars = [chr(x) for x in codes.tolist()]
+        text = "".join(f"a{x}a\n1{x}1\n!{x}!\n" for x in chars)
+        found = {i for _, (i, j) in self.whole.pre_tokenizer.pre_tokenize_str(text) if j - i == 3}
+        of = lambda i: LETTER if i in found else NUMBER if i + 4 in found else OTHER if i + 8 in found else SPACE
+        self.kinds[codes] = [of(12 * k) for k in range(len(chars))]
+
     def trees(self, texts: list[str]) -> list[Ids]:
         """The ids of texts, each from its leaves."""
         split = [self.halves(x) for x in texts]
-        leaves = [Ids(np.array(e.ids, np.uint32)) for e in self.whole.encode_batch_fast([y for x in split for y in x], add_special_tokens=False)]
-        out, at = [], 0
-        for x in split:
-            level = leaves[at : at + len(x)]
-            at += len(x)
-            while len(level) > 1:
-                level = [self.join(level[i], level[i + 1]) for i in range(0, len(level), 2)]
-            out.append(level[0])
-        return out
+        leaves = iter([Ids(x) for x in self.ids_of([y for x in split for y in x])])
+        return self.grown([[next(leaves) for _ in x] for x in split])
 
     def joined(self, parts: list[Ids]) -> Ids:
         """The ids of what consecutive parts stand for together, pairwise up a tree."""
-        while len(parts) > 1:
-            parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0]
+        return self.grown([parts])[0]
+
+    def grown(self, trees: list[list[Ids]]) -> list[Ids]:
+        """The same for many trees, whose joins of one level are made together."""
+        while any(len(x) > 1 for x in trees):
+            made = iter(self.joins([(x[i], x[i + 1]) for x in trees for i in range(0, len(x) - 1, 2)]))
+            trees = [[next(made) if i + 1 < len(x) else x[i] for i in range(0, len(x), 2)] for x in trees]
+        return [x[0] for x in trees]
 
     def join(self, a: Ids, b: Ids) -> Ids:
         """The ids of what ``a`` and ``b`` stand for together."""
-        if not len(a) or not len(b):
-            return a if len(a) else b
-        return self.join_at_spaces(a, b) or self.join_in_words(self.with_words(a), self.with_words(b))
+        return self.joins([(a, b)])[0]
 
-    def join_at_spaces(self, a: Ids, b: Ids) -> Ids | None:
-        """None if no window with white space on both sides agrees."""
+    def joins(self, pairs: list[tuple[Ids, Ids]]) -> list[Ids]:
+        out = [None if len(a) and len(b) else a if len(a) else b for a, b in pairs]
         w = self.window
-        while w <= NEAR:
+        while w <= NEAR and None in out:
+            self.join_at_spaces(pairs, out, w)
+            w *= 2
+        return [x or self.join_in_words(self.with_words(a), self.with_words(b)) if len(a) and len(b) else x for x, (a, b) in zip(out, pairs, strict=True)]
+
+    def join_at_spaces(self, pairs: list[tuple[Ids, Ids]], out: list[Ids | None], w: int) -> None:
+        """Fills in what is None, where a window with white space on both sides agrees."""
+        held, texts = [], []
+        for k, (a, b) in enumerate(pairs):
+            if out[k] is not None:
+                continue
             start, end = max(0, len(a) - w), min(len(b), w)
             left, right = (np.flatnonzero(self.spaced[x[1:]] & self.plain[x[:-1]]) + 1 for x in (a.ids[start:], b.ids[:end]))
             if len(left) > 1 and len(right) > 1:
                 low, i, j, high = start + int(left[0]), start + int(left[-1]), int(right[0]), int(right[-1])
+                held.append((k, low, i, j, high))
                 # at white space the text is cut between characters
-                text = (self.decode_bytes(a.ids[low:]) + self.decode_bytes(b.ids[:high])).decode()
-                middle = np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-                if np.array_equal(middle[: i - low], a.ids[low:i]) and np.array_equal(middle[len(middle) - (high - j) :], b.ids[j:high]):
-                    return Ids(np.concatenate([a.ids[:low], middle, b.ids[high:]]))
-            w *= 2
-        return None
+                texts.append((self.decode_bytes(a.ids[low:]) + self.decode_bytes(b.ids[:high])).decode())
+        for (k, low, i, j, high), middle in zip(held, self.ids_of(texts), strict=True):
+            a, b = pairs[k]
+            if np.array_equal(middle[: i - low], a.ids[low:i]) and np.array_equal(middle[len(middle) - (high - j) :], b.ids[j:high]):
+                out[k] = Ids(np.concatenate([a.ids[:low], middle, b.ids[high:]]))
 
     def with_words(self, a: Ids) -> Ids:
         return a if a.begins is not None else self.parsed([self.decode_bytes(a.ids).decode()])[0]
@@ -219,10 +307,10 @@ class Coder:
         for group in batches(texts):
             short = [x for x in group if len(x) <= self.leaf]
             long = [x for x in group if len(x) > self.leaf]
-            plain = iter(self.whole.encode_batch_fast(short, add_special_tokens=False))
+            plain = iter(self.ids_of(short))
             grown = iter(self.trees(long))
             for x in group:
-                yield np.array(next(plain).ids, np.uint32) if len(x) <= self.leaf else next(grown).ids
+                yield next(plain) if len(x) <= self.leaf else next(grown).ids
 
 
 def byte_letters() -> dict[int, str]:
